@@ -1,0 +1,386 @@
+"""FHIR resources derived from the driver tables, as VARIANT values.
+
+Each builder maps one driver row to one resource with built-in struct and
+array constructors (``to_variant_object``); no grouping, so the work is a
+single narrow stage per table and grows linearly with it. Arrays that the
+flatteners explode are built from the row itself (fixed-size lists, emptied
+on a rule for some rows), so the expected flat rows are plain SQL over the
+same tables. ``bundles`` wraps resources into bundle documents.
+
+Timestamps are written as ISO text to the second, as in FHIR JSON.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.flatten import GEOLOCATION_URL
+from .roles import BIRTH_EPOCH, DriverTables
+
+ISO = "yyyy-MM-dd'T'HH:mm:ss"
+
+
+def _v(x) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
+
+
+def obj(**fields) -> Column:
+    return F.struct(*[_v(v).alias(k) for k, v in fields.items()])
+
+
+def arr(*items) -> Column:
+    return F.array(*items)
+
+
+def keep_if(a: Column, cond: Column) -> Column:
+    """``a`` when ``cond`` holds, else an empty array of the same type."""
+    return F.filter(a, lambda _x: cond)
+
+
+def coding(**fields) -> Column:
+    return obj(coding=arr(obj(**fields)))
+
+
+def ref(reference, display=None) -> Column:
+    return obj(reference=reference) if display is None else obj(reference=reference, display=display)
+
+
+def txt(prefix: str, c: Column) -> Column:
+    return F.concat(F.lit(prefix), c.cast("string"))
+
+
+def iso(c: Column) -> Column:
+    return F.date_format(c, ISO)
+
+
+def as_resource(df: DataFrame, resource: Column) -> DataFrame:
+    return df.select(F.to_variant_object(resource).alias("resource"))
+
+
+class RoleResources:
+    """One ``DataFrame[resource: variant]`` per resource type."""
+
+    def __init__(self, t: DriverTables):
+        self.t = t
+
+    # -- customers ---------------------------------------------------------------
+
+    def patient(self) -> DataFrame:
+        c, n = self.t.table("customer"), self.t.table("nation")
+        k = F.col("c_custkey")
+        birth = F.date_add(F.lit(BIRTH_EPOCH).cast("date"), ((k * 37) % 33000).cast("int"))
+        ext = lambda url, s=None, addr=None, d=None: obj(
+            url=url, valueString=F.lit(s).cast("string") if s is None else s,
+            valueAddress=addr if addr is not None else F.lit(None).cast(
+                "struct<city:string,state:string,country:string>"),
+            valueDecimal=d if d is not None else F.lit(None).cast("double"))
+        resource = obj(
+            resourceType="Patient", id=txt("p", k),
+            identifier=arr(
+                obj(type=coding(display=F.lit("Medical Record Number")), value=txt("MR", k)),
+                obj(type=coding(display=F.col("c_mktsegment")), value=F.col("c_name"))),
+            name=arr(obj(use="official", family=F.col("c_name"))),
+            gender=F.when(k % 2 == 0, "male").otherwise("female"),
+            birthDate=F.when(k % 97 == 0, F.lit(None)).otherwise(F.date_format(birth, "yyyy-MM-dd")),
+            address=arr(obj(
+                city=F.col("c_mktsegment"), state=F.col("n_name"),
+                country=txt("R", F.col("n_regionkey")), postalCode=txt("N", F.col("c_nationkey")),
+                extension=arr(obj(url=GEOLOCATION_URL, extension=arr(
+                    obj(url="latitude", valueDecimal=F.col("c_acctbal")),
+                    obj(url="longitude", valueDecimal=F.col("n_nationkey").cast("double"))))))),
+            telecom=arr(obj(system="phone", value=txt("555-", k))),
+            maritalStatus=obj(text=F.when(k % 4 == 0, " M ").when(k % 4 == 1, "S")
+                              .when(k % 4 == 2, "Never Married")),
+            extension=arr(
+                ext("mothersMaidenName", s=F.col("c_name")),
+                ext("birthPlace", addr=obj(city=F.col("c_mktsegment"), state=F.col("n_name"),
+                                           country=F.lit("CA"))),
+                ext("disability-adjusted-life-years", d=F.col("c_acctbal") / F.lit(1000.0)),
+                ext("quality-adjusted-life-years", d=F.col("c_acctbal") / F.lit(500.0))),
+            multipleBirthBoolean=(k % 3 == 0),
+            communication=arr(obj(language=obj(text="English")),
+                              obj(language=obj(text=F.col("n_name")))),
+        )
+        return c.join(n, c.c_nationkey == n.n_nationkey), resource
+
+    # -- orders --------------------------------------------------------------------
+
+    @staticmethod
+    def _order_cols():
+        k = F.col("o_orderkey")
+        start = iso(F.col("o_orderdate"))
+        end = iso(F.timestamp_add("MINUTE", (k * 37) % 100000, F.col("o_orderdate")))
+        subject = txt("urn:uuid:p", F.col("o_custkey"))
+        return k, start, end, subject
+
+    def encounter(self) -> DataFrame:
+        k, start, end, subject = self._order_cols()
+        prio = F.substring("o_orderpriority", 1, 1)
+        period = obj(start=start, end=end)
+        part = lambda disp, r, code, label: obj(
+            individual=obj(display=disp, reference=r), period=period,
+            type=arr(coding(code=F.lit(code), display=F.lit(label))))
+        resource = obj(
+            resourceType="Encounter", id=txt("e", k),
+            status=F.when(F.col("o_orderstatus") == "F", "finished").otherwise("in-progress"),
+            **{"class": obj(code=F.when(prio == "1", "EMER").when(prio == "2", "IMP")
+                            .when(prio == "3", "AMB").when(prio == "4", "HH"))},
+            type=arr(obj(text=F.col("o_orderpriority"))),
+            period=obj(start=F.when(k % 40 == 0, F.lit(None)).otherwise(start), end=end),
+            subject=ref(subject),
+            serviceProvider=ref(txt("urn:uuid:org", k % 7),
+                                F.when(k % 7 == 0, F.lit(None)).when(k % 7 == 1, "")
+                                .otherwise(txt("Clinic ", k % 7))),
+            participant=keep_if(arr(
+                part(txt("Dr ", k % 13), txt("urn:uuid:pr", k % 13), "PPRF", "primary performer"),
+                part(txt("Nurse ", F.col("o_custkey") % 11), txt("urn:uuid:nu", F.col("o_custkey") % 11),
+                     "ATND", "attender")), F.col("o_orderstatus") != "P"),
+        )
+        return self.t.table("orders"), resource
+
+    @staticmethod
+    def _adjudication(value: Column, display: str, code: str) -> Column:
+        return obj(amount=obj(value=value, currency="USD"),
+                   category=obj(coding=arr(obj(system="adjudication", code=code, display=display))))
+
+    def claim(self) -> DataFrame:
+        k, start, end, subject = self._order_cols()
+        price = F.col("o_totalprice")
+        item = lambda i, net: obj(
+            productOrService=coding(code=F.lit(f"svc{i}"), display=F.lit(f"Service {i}")),
+            category=coding(display=F.col("o_orderpriority")),
+            net=obj(value=net, currency="USD"),
+            encounter=arr(ref(txt("urn:uuid:e", k))),
+            locationCodeableConcept=coding(display=txt("Clinic ", k % 7)),
+            servicedPeriod=obj(start=start, end=end),
+            adjudication=arr(self._adjudication(net, "Line Submitted Charge Amount", "submitted")))
+        resource = obj(
+            resourceType="Claim", id=txt("c", k), status="active",
+            type=coding(code=F.lit("institutional")), use="claim",
+            patient=obj(reference=F.when(k % 50 == 0, F.lit(None)).otherwise(subject),
+                        display=txt("Patient ", F.col("o_custkey"))),
+            created=start, billablePeriod=obj(start=start, end=end),
+            provider=ref(txt("urn:uuid:org", k % 7)), priority=coding(code=F.lit("normal")),
+            total=obj(value=price, currency="USD"),
+            supportingInfo=keep_if(arr(obj(category=coding(code=F.lit("info")),
+                                           valueReference=ref(txt("urn:uuid:e", k)))),
+                                  F.col("o_orderpriority") != "5-LOW"),
+            insurance=arr(obj(coverage=obj(display=txt("Plan ", F.col("o_orderstatus"))),
+                              focal=F.lit(True))),
+            item=arr(item(1, price), item(2, F.lit(0.0))),
+            diagnosis=arr(obj(diagnosisReference=ref(txt("urn:uuid:k", k)))),
+        )
+        return self.t.table("orders"), resource
+
+    def explanation_of_benefit(self) -> DataFrame:
+        k, start, end, subject = self._order_cols()
+        price = F.col("o_totalprice")
+        item = lambda i, net: obj(
+            category=coding(display=F.col("o_orderpriority")),
+            productOrService=coding(code=F.lit(f"svc{i}"), display=F.lit(f"Service {i}")),
+            net=obj(value=net, currency="USD"),
+            locationCodeableConcept=coding(display=txt("Clinic ", k % 7)),
+            servicedPeriod=obj(start=start, end=end),
+            adjudication=arr(self._adjudication(net, "Line Submitted Charge Amount", "submitted"),
+                             self._adjudication(net / F.lit(2.0), "Line Allowed Charge Amount",
+                                                "allowed")))
+        resource = obj(
+            resourceType="ExplanationOfBenefit", id=txt("b", k),
+            identifier=arr(obj(value=txt("c", k)), obj(value=txt("g", F.col("o_custkey")))),
+            status="active", type=coding(code=F.lit("institutional")), use="claim",
+            patient=ref(subject), billablePeriod=obj(start=start, end=end),
+            insurer=obj(display=txt("Insurer ", F.col("o_orderstatus"))),
+            provider=ref(txt("urn:uuid:org", k % 7)), referral=ref(txt("urn:uuid:r", k)),
+            claim=ref(txt("urn:uuid:c", k)), outcome="complete",
+            total=arr(obj(category=coding(code=F.lit("submitted")),
+                          amount=obj(value=price, currency="USD"))),
+            payment=obj(amount=obj(value=price / F.lit(2.0), currency="USD")),
+            created=start,
+            contained=arr(obj(resourceType="Coverage", id=txt("cov", k))),
+            careTeam=arr(obj(provider=ref(txt("urn:uuid:pr", k % 13)),
+                             role=coding(display=F.lit("primary provider")))),
+            insurance=arr(obj(coverage=obj(reference=txt("urn:uuid:cov", k),
+                                           display=txt("Plan ", F.col("o_orderstatus"))),
+                              focal=F.lit(True))),
+            item=arr(item(1, price), item(2, F.lit(0.0))),
+        )
+        return self.t.table("orders"), resource
+
+    def careplan(self) -> DataFrame:
+        k, start, end, subject = self._order_cols()
+        act = lambda code, label: obj(detail=obj(
+            code=coding(display=F.lit(label), code=F.lit(code)), status="completed",
+            location=obj(display=txt("Clinic ", k % 7))))
+        resource = obj(
+            resourceType="CarePlan", id=txt("cp", k),
+            status=F.when(F.col("o_orderstatus") == "F", "completed").otherwise("active"),
+            intent="plan", subject=ref(subject), encounter=ref(txt("urn:uuid:e", k)),
+            period=obj(start=start, end=end), created=start,
+            careTeam=arr(ref(txt("urn:uuid:ct", k))),
+            activity=arr(act("a1", "Diet"), act("a2", "Exercise")),
+            addresses=arr(ref(txt("urn:uuid:k", k))),
+            category=arr(obj(text=F.col("o_orderpriority"))),
+        )
+        return self.t.table("orders"), resource
+
+    def careteam(self) -> DataFrame:
+        k, start, end, subject = self._order_cols()
+        resource = obj(
+            resourceType="CareTeam", id=txt("ct", k), status="active",
+            subject=ref(subject), encounter=ref(txt("urn:uuid:e", k)),
+            period=obj(start=start, end=end),
+            participant=arr(
+                obj(role=arr(obj(text="Physician")),
+                    member=ref(txt("urn:uuid:pr", k % 13), txt("Dr ", k % 13))),
+                obj(role=arr(obj(text="Patient")),
+                    member=ref(subject, txt("Patient ", F.col("o_custkey"))))),
+            managingOrganization=arr(obj(display=txt("Clinic ", k % 7))),
+        )
+        return self.t.table("orders"), resource
+
+    # -- lines ------------------------------------------------------------------------
+
+    def _lines(self) -> DataFrame:
+        li = self.t.table("lineitem")
+        o = self.t.table("orders").select("o_orderkey", "o_custkey")
+        return li.join(o, li.l_orderkey == o.o_orderkey)
+
+    def medication_request(self) -> DataFrame:
+        ok, ln = F.col("l_orderkey"), F.col("l_linenumber")
+        resource = obj(
+            resourceType="MedicationRequest",
+            id=F.concat(F.lit("m"), ok.cast("string"), F.lit("-"), ln.cast("string")),
+            status=F.when(F.col("l_linestatus") == "F", "completed").otherwise("active"),
+            intent="order",
+            medicationCodeableConcept=coding(display=txt("Part ", F.col("l_partkey"))),
+            subject=ref(txt("urn:uuid:p", F.col("o_custkey"))),
+            requester=ref(txt("urn:uuid:s", F.col("l_suppkey")), txt("Supplier ", F.col("l_suppkey"))),
+            encounter=ref(txt("urn:uuid:e", ok)),
+            authoredOn=iso(F.col("l_shipdate")),
+            dosageInstruction=F.concat(
+                arr(obj(text=F.concat(F.lit("Take "), ln.cast("string"), F.lit(" units")))),
+                keep_if(arr(obj(text=F.lit("With food"))), F.col("l_quantity") > 25)),
+        )
+        return self._lines(), resource
+
+    def procedure(self) -> DataFrame:
+        ok, ln = F.col("l_orderkey"), F.col("l_linenumber")
+        ship = F.col("l_shipdate")
+        resource = obj(
+            resourceType="Procedure",
+            id=F.concat(F.lit("x"), ok.cast("string"), F.lit("-"), ln.cast("string")),
+            status="completed",
+            code=coding(display=txt("Part ", F.col("l_partkey")), code=F.col("l_partkey").cast("string")),
+            subject=ref(txt("urn:uuid:p", F.col("o_custkey"))),
+            performedPeriod=obj(start=iso(ship), end=iso(F.timestamp_add("MINUTE", F.lit(30), ship))),
+            encounter=ref(txt("urn:uuid:e", ok)),
+            reasonReference=keep_if(arr(ref(txt("urn:uuid:k", ok), F.col("l_returnflag"))),
+                                    F.col("l_returnflag") != "N"),
+        )
+        return self._lines(), resource
+
+    # -- events -------------------------------------------------------------------------
+
+    def _events(self, *types) -> DataFrame:
+        return self.t.table("events").filter(F.col("event_type").isin(*types))
+
+    def condition(self) -> DataFrame:
+        e, v = F.col("event_id"), F.col("value")
+        resource = obj(
+            resourceType="Condition", id=txt("k", e),
+            clinicalStatus=coding(code=F.lit("active")),
+            verificationStatus=coding(code=F.lit("confirmed")),
+            code=obj(text=F.when(v > 100, "Chronic sinusitis").when(v > 50, "ACUTE ON CHRONIC pain")
+                     .otherwise("Sprain")),
+            subject=ref(txt("urn:uuid:p", F.col("user_id"))), encounter=ref(txt("urn:uuid:e", e)),
+            onsetDateTime=iso(F.col("ts")), recordedDate=F.date_format("ts", "yyyy-MM-dd"),
+        )
+        return self._events("error"), resource
+
+    def diagnostic_report(self) -> DataFrame:
+        e = F.col("event_id")
+        resource = obj(
+            resourceType="DiagnosticReport", id=txt("d", e), status="final",
+            code=coding(display=F.col("event_type"), code=txt("LOINC-", e % 50)),
+            subject=ref(txt("urn:uuid:p", F.col("user_id"))), encounter=ref(txt("urn:uuid:e", e)),
+            effectiveDateTime=iso(F.col("ts")), issued=iso(F.col("ts")),
+            category=arr(coding(display=F.lit("Laboratory"))),
+            result=arr(obj(display="Result A"), obj(display=F.col("props"))),
+        )
+        return self._events("view"), resource
+
+    def immunization(self) -> DataFrame:
+        e = F.col("event_id")
+        resource = obj(
+            resourceType="Immunization", id=txt("i", e), status="completed",
+            vaccineCode=coding(display=F.lit("Influenza"), code=txt("CVX-", e % 20)),
+            patient=ref(txt("urn:uuid:p", F.col("user_id"))), encounter=ref(txt("urn:uuid:e", e)),
+            primarySource=F.col("value") > 50, occurrenceDateTime=iso(F.col("ts")),
+        )
+        return self._events("signup"), resource
+
+    def observation(self) -> DataFrame:
+        e = F.col("event_id")
+        resource = obj(
+            resourceType="Observation", id=txt("o", e), status="final",
+            code=coding(display=F.col("event_type"), code=txt("obs-", F.col("event_type"))),
+            subject=ref(txt("urn:uuid:p", F.col("user_id"))), encounter=ref(txt("urn:uuid:e", e)),
+            effectiveDateTime=iso(F.col("ts")), issued=iso(F.col("ts")),
+            valueQuantity=obj(value=F.col("value"), unit="USD"),
+            category=arr(coding(display=F.lit("vital-signs"))),
+        )
+        return self._events("click", "purchase"), resource
+
+    BY_TYPE = {
+        "Patient": "patient", "Encounter": "encounter", "Condition": "condition",
+        "MedicationRequest": "medication_request", "Claim": "claim",
+        "ExplanationOfBenefit": "explanation_of_benefit", "CarePlan": "careplan",
+        "CareTeam": "careteam", "Procedure": "procedure", "DiagnosticReport": "diagnostic_report",
+        "Immunization": "immunization", "Observation": "observation",
+    }
+    # Which driver rows carry which resources in one bundle.
+    ORDER_TYPES = ("Encounter", "Claim", "ExplanationOfBenefit", "CarePlan", "CareTeam")
+    LINE_TYPES = ("MedicationRequest", "Procedure")
+    EVENT_TYPES = {"error": "Condition", "view": "DiagnosticReport", "signup": "Immunization",
+                   "click": "Observation", "purchase": "Observation"}
+
+    def _build(self, resource_type: str):
+        return getattr(self, self.BY_TYPE[resource_type])()
+
+    def of_type(self, resource_type: str) -> DataFrame:
+        """``DataFrame[resource: variant]`` of one resource type."""
+        return as_resource(*self._build(resource_type))
+
+    def bundles(self) -> DataFrame:
+        """Bundle documents with the reader's schema, one per driver row.
+
+        A customer row gives a Patient bundle; an order row one bundle with
+        its Encounter, Claim, ExplanationOfBenefit, CarePlan and CareTeam; a
+        line row MedicationRequest and Procedure; an event row the resource
+        of its type. No grouping: each bundle comes from one row.
+        """
+        def entry(resource: Column) -> Column:
+            v = F.to_variant_object(resource)
+            url = F.concat(F.lit("urn:uuid:"), F.try_variant_get(v, "$.id", "string"))
+            return F.struct(url.alias("fullUrl"), v.alias("resource"))
+
+        frames = []
+        src, res = self._build("Patient")
+        frames.append(src.select(F.array(entry(res)).alias("entry")))
+        for types in (self.ORDER_TYPES, self.LINE_TYPES):
+            built = [self._build(t) for t in types]
+            src = built[0][0]
+            frames.append(src.select(F.array(*[entry(r) for _, r in built]).alias("entry")))
+        ev = self.t.table("events")
+        chosen = None
+        for etype, rtype in self.EVENT_TYPES.items():
+            _, r = self._build(rtype)
+            v = entry(r)
+            cond = F.col("event_type") == etype
+            chosen = F.when(cond, v) if chosen is None else chosen.when(cond, v)
+        frames.append(ev.select(F.array(chosen).alias("entry")))
+        out = frames[0]
+        for f in frames[1:]:
+            out = out.unionByName(f)
+        return out
