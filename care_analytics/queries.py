@@ -640,3 +640,4 @@ __all__ = ["QUERIES", "SQL", "mean_integral", "ratio", "stddev_rounded"]
 
 # ETL and model queries register themselves into the same tables.
 from . import queries_etl  # noqa: E402,F401
+from . import queries_models  # noqa: E402,F401

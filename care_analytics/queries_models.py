@@ -1,0 +1,153 @@
+"""Registered model queries over the patient feature table.
+
+Training, cross-validation and grid search are checked on row counts (the
+numbers depend on the tree learner); preprocessing steps whose output is
+exact are checked against SQL.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .plans import features as FT
+from .plans import models as M
+from .queries import _features, register
+
+# Boosting rounds for the registered risk-model check: 100 rounds at step 0.1
+# (the same shrinkage budget as the library default of 1000 at 0.01, at a
+# tenth of the jobs).
+RISK_BOOST_ROUNDS, RISK_BOOST_STEP = 100, 0.1
+
+
+def _data(spark, sf) -> DataFrame:
+    return _features(spark, sf)
+
+
+def _round_cols(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c)
+                       for c, t in df.dtypes])
+
+
+@register("split_train_test")
+def split_train_test(spark, sf):
+    return M.with_split(_data(spark, sf)).select("patient_id", "is_test")
+
+
+@register("impute_median")
+def impute_median(spark, sf):
+    data = M.prepare(_data(spark, sf))
+    imp = Imputer(strategy="median", inputCols=list(FT.NUMERIC_FEATURES),
+                  outputCols=list(FT.NUMERIC_FEATURES))
+    return imp.fit(data).transform(data).select("patient_id", *FT.NUMERIC_FEATURES)
+
+
+def _z_sql() -> str:
+    cols = []
+    for c in FT.NUMERIC_FEATURES:
+        x = f"CAST({c} AS DOUBLE)"
+        sd = f"STDDEV_SAMP({x}) OVER ()"
+        cols.append(f"ROUND(CASE WHEN {sd} = 0 THEN 0.0 ELSE ({x} - AVG({x}) OVER ()) / {sd} END, 4)"
+                    f" AS z_{c}")
+    return "SELECT patient_id, " + ", ".join(cols) + " FROM features"
+
+
+@register("standardise_features", _z_sql())
+def standardise_features(spark, sf):
+    data = M.prepare(_data(spark, sf))
+    imputed = [f"{c}__imp" for c in FT.NUMERIC_FEATURES]
+    pipe = Pipeline(stages=[
+        Imputer(strategy="median", inputCols=list(FT.NUMERIC_FEATURES), outputCols=imputed),
+        VectorAssembler(inputCols=imputed, outputCol="num__vec"),
+        StandardScaler(inputCol="num__vec", outputCol="num__scaled", withMean=True, withStd=True),
+    ])
+    return M.scaled_columns(pipe.fit(data), data)
+
+
+@register("impute_most_frequent", """
+SELECT patient_id, state, CAST(has_chronic_conditions AS VARCHAR) AS has_chronic_conditions,
+  CAST(is_senior AS VARCHAR) AS is_senior FROM features""")
+def impute_most_frequent(spark, sf):
+    return M.prepare(_data(spark, sf)).select("patient_id", *FT.CATEGORICAL_FEATURES)
+
+
+@register("one_hot_categories")
+def one_hot_categories(spark, sf):
+    data = M.prepare(_data(spark, sf))
+    stages = M.preprocess_stages()
+    model = Pipeline(stages=stages).fit(data)
+    out = model.transform(data)
+    return out.select("patient_id", *[F.col(f"{c}__idx").alias(f"{c}_index")
+                                      for c in FT.CATEGORICAL_FEATURES],
+                      F.size(vector_to_array("features")).alias("num_features"))
+
+
+@register("encode_labels", """
+SELECT patient_id, state, CAST(DENSE_RANK() OVER (ORDER BY state) - 1 AS DOUBLE) AS state_index
+FROM features""")
+def encode_labels(spark, sf):
+    data = _data(spark, sf).select("patient_id", "state")
+    idx = StringIndexer(inputCol="state", outputCol="state_index", stringOrderType="alphabetAsc")
+    return idx.fit(data).transform(data)
+
+
+def _fit_query(name: str, pipeline_fn, columns=FT.RISK_COLUMNS):
+    @register(name)
+    def q(spark, sf):
+        data = _features(spark, sf, columns)
+        _, m = M.fit_evaluate(spark, pipeline_fn(), data, name)
+        return m
+    q.__name__ = name
+    return q
+
+
+_fit_query("train_forest_risk", lambda: M.forest(numTrees=100, maxDepth=12))
+_fit_query("train_forest_readmission",
+           lambda: M.forest(numTrees=100, maxDepth=10, minInstancesPerNode=4,
+                            featureSubsetStrategy="sqrt"), FT.READMISSION_COLUMNS)
+_fit_query("train_boosted_risk", lambda: M.boosted(RISK_BOOST_ROUNDS, RISK_BOOST_STEP))
+_fit_query("train_boosted_readmission",
+           lambda: M.boosted(100, 0.3, maxDepth=10, minInstancesPerNode=4,
+                             featureSubsetStrategy="sqrt"), FT.READMISSION_COLUMNS)
+
+
+@register("regression_metrics", """
+SELECT ROUND(AVG((CAST(label AS DOUBLE) - p) * (CAST(label AS DOUBLE) - p)), 6) AS mse,
+  ROUND(1 - AVG((CAST(label AS DOUBLE) - p) * (CAST(label AS DOUBLE) - p)) / VAR_POP(CAST(label AS DOUBLE)), 6) AS r2,
+  COUNT(*) AS num_rows
+FROM (SELECT f.label, s.p FROM features f
+      JOIN (SELECT state, CAST(SUM(label) AS DOUBLE) / COUNT(label) AS p FROM features GROUP BY state) s
+      ON f.state = s.state)""")
+def regression_metrics(spark, sf):
+    """MSE and R-squared of a per-state mean-label baseline over all patients."""
+    data = _data(spark, sf)
+    baseline = data.groupBy("state").agg(
+        (F.sum("label").cast("double") / F.count("label")).alias("prediction"))
+    return M.metrics(data.join(baseline, "state"))
+
+
+@register("cross_validate_forest")
+def cross_validate_forest(spark, sf):
+    mse = M.cross_validate(spark, M.forest(numTrees=100, maxDepth=10), _data(spark, sf), folds=5)
+    return spark.createDataFrame([(5, float(mse[0]))], "folds int, cv_mse double")
+
+
+@register("grid_search_forest")
+def grid_search_forest(spark, sf):
+    pipe = M.forest(numTrees=50)
+    rf = pipe.getStages()[-1]
+    grid = M.default_grid(rf)
+    mse = M.cross_validate(spark, pipe, _data(spark, sf), folds=5, grid=grid, parallelism=4)
+    rows = [(int(p[rf.maxDepth]), str(p[rf.featureSubsetStrategy]), float(m))
+            for p, m in zip(grid, mse)]
+    return spark.createDataFrame(rows, "max_depth int, feature_subset string, cv_mse double")
+
+
+@register("score_patients")
+def score_patients(spark, sf):
+    data = _data(spark, sf)
+    model, _ = M.fit_evaluate(spark, M.forest(numTrees=100, maxDepth=10), data, "forest")
+    return M.score(model, data)
