@@ -87,13 +87,27 @@ def explode_all(df: DataFrame, columns: Sequence[str], outer: bool = False) -> D
     return df
 
 
+def _typed_items(root: Column, path: str, items: Sequence[ColumnSpec]) -> Column:
+    """The array at ``path`` with each element decoded once into a typed struct."""
+    if not items:
+        return F.transform(varray(root, path), lambda x: F.lit(True))
+    return F.transform(varray(root, path), lambda x: F.struct(*[_column(x, c) for c in items]))
+
+
 def flatten(resources: DataFrame, spec: Spec, grain: str = "line", outer: bool = False,
             resource_col: str = "resource") -> DataFrame:
+    """One flat table from one resource type.
+
+    Each array is first mapped to typed structs (``transform``), so an
+    element is decoded once and the exploded rows carry compact values, not
+    VARIANT copies.
+    """
     root = F.col(resource_col)
     head = [_column(root, c) for c in spec.head]
-    arrays = [varray(root, path).alias(alias) for alias, path in spec.arrays]
-    df = resources.select(*head, *arrays)
     aliases = [a for a, _ in spec.arrays]
+    arrays = [_typed_items(root, path, spec.items.get(alias, ())).alias(alias)
+              for alias, path in spec.arrays]
+    df = resources.select(*head, *arrays)
     if grain == "line":
         df = explode_all(df, aliases, outer=outer)
     elif grain == "header":
@@ -103,7 +117,7 @@ def flatten(resources: DataFrame, spec: Spec, grain: str = "line", outer: bool =
         raise ValueError(f"unknown grain {grain!r}")
     cols = [F.col(c[0]) for c in spec.head]
     for alias in aliases:
-        cols += [_column(F.col(alias), c) for c in spec.items.get(alias, ())]
+        cols += [F.col(alias).getField(c[0]).alias(c[0]) for c in spec.items.get(alias, ())]
     return df.select(*cols).select(*spec.names())
 
 

@@ -50,7 +50,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     b = (SparkSession.builder.master(f"local[{cores}]").appName(app)
          .config("spark.ui.enabled", "false")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-         .config("spark.driver.memory", "8g"))
+         .config("spark.driver.memory", "8g")
+         .config("spark.ui.showConsoleProgress", "false"))
     for k, v in {**RECOMMENDED, **(extra or {})}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()

@@ -54,8 +54,31 @@ def iso(c: Column) -> Column:
     return F.date_format(c, ISO)
 
 
+def once(df: DataFrame, column: Column, name: str) -> DataFrame:
+    """``df.select(column.alias(name))``, evaluated once per row.
+
+    Filters that the optimizer infers later (an inner ``explode`` adds
+    ``size(array) > 0``) would otherwise be pushed below this projection and
+    rebuild the whole constructor once per inferred predicate. A one-element
+    generator is a boundary they cannot cross.
+    """
+    return df.select(F.inline(F.array(F.struct(column.alias(name)))))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a sub-parallel input over the cluster's cores.
+
+    Building and flattening resources is CPU work per row. A small table
+    read as one file split would run it in one task; an input that already
+    has at least as many partitions as there are cores is left alone, so at
+    scale this adds nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def as_resource(df: DataFrame, resource: Column) -> DataFrame:
-    return df.select(F.to_variant_object(resource).alias("resource"))
+    return once(spread(df), F.to_variant_object(resource), "resource")
 
 
 class RoleResources:
@@ -367,11 +390,11 @@ class RoleResources:
 
         frames = []
         src, res = self._build("Patient")
-        frames.append(src.select(F.array(entry(res)).alias("entry")))
+        frames.append(once(spread(src), F.array(entry(res)), "entry"))
         for types in (self.ORDER_TYPES, self.LINE_TYPES):
             built = [self._build(t) for t in types]
             src = built[0][0]
-            frames.append(src.select(F.array(*[entry(r) for _, r in built]).alias("entry")))
+            frames.append(once(spread(src), F.array(*[entry(r) for _, r in built]), "entry"))
         ev = self.t.table("events")
         chosen = None
         for etype, rtype in self.EVENT_TYPES.items():
@@ -379,7 +402,7 @@ class RoleResources:
             v = entry(r)
             cond = F.col("event_type") == etype
             chosen = F.when(cond, v) if chosen is None else chosen.when(cond, v)
-        frames.append(ev.select(F.array(chosen).alias("entry")))
+        frames.append(once(spread(ev), F.array(chosen), "entry"))
         out = frames[0]
         for f in frames[1:]:
             out = out.unionByName(f)
