@@ -9,6 +9,7 @@ adjudications by their length.
 from __future__ import annotations
 
 import hashlib
+import time
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -377,4 +378,21 @@ def scan_warehouse_tables(spark, sf):
     return wh.row_counts()
 
 
+@_reg("stream_warehouse_tables", SCAN_SQL)
+def stream_warehouse_tables(spark, sf):
+    """Streaming round trip: bundles written as NDJSON to the shared folder,
+    ingested by Structured Streaming (``availableNow``), counted per table."""
+    from .streaming import ingest
+    base = f"{checkpoint_dir(spark)}/stream-{hashlib.sha1(sf.encode()).hexdigest()[:10]}"
+    run = hashlib.sha1(str(time.time_ns()).encode()).hexdigest()[:8]
+    src, out = f"{base}/{run}/in", f"{base}/{run}/out"
+    bundles = RoleResources(_t(spark, sf)).bundles()
+    bundles.select(F.to_json(F.struct("entry")).alias("value")).write.text(src)
+    q = ingest.start(spark, src, out, checkpoint=f"{base}/{run}/ckpt")
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return Warehouse(spark, out).row_counts()
+
+
 __all__ = ["CODEABLE_CONCEPTS"]

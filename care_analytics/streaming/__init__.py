@@ -1 +1 @@
-"""See package docstring."""
+"""Structured Streaming: incremental bundle ingestion (``ingest``)."""

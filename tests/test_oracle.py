@@ -11,7 +11,7 @@ import pytest
 from care_analytics.queries import QUERIES, SQL
 from care_analytics.sources.roles import DRIVER_TABLES
 
-SLOW = {"scan_warehouse_tables"}
+SLOW = {"scan_warehouse_tables", "stream_warehouse_tables"}
 
 
 def norm(v):
