@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import exact_sum, money, ratio, to_double
@@ -133,3 +133,51 @@ def weighted_benefit_mean(lines: DataFrame, eob_rows: DataFrame, demographics: D
             .groupBy(*keys)
             .agg(F.sum(_weighted(F.col("_s"), w)).alias("_s"), F.sum(F.col("_n") * w).alias("_n"))
             .select(*keys, ratio(F.col("_s"), F.col("_n")).alias(out)))
+
+
+def benefit_line_sums(eob: DataFrame, label: Callable[[Column], Column],
+                      excluded: Sequence[str] = (), strip: Callable[[Column], Column] | None = None,
+                      eob_key: str = "eob_id", patient_key: str = "patient_reference",
+                      adjudication: str = "adjudication") -> DataFrame:
+    """Per (patient, category): value sum and count over lines x EOB rows, in one pass.
+
+    Equivalent to joining the exploded adjudication lines back to the EOB
+    table on ``eob_key`` (each line meets every row of its EOB), without
+    reading the EOB table twice. ``posexplode_outer`` gives every EOB row
+    either its lines (positions 0..n-1) or one empty line, so "position 0 or
+    none" marks exactly one output per EOB row; summed over a window on the
+    EOB id, the marks are the row count that weights the line sums. The
+    window runs over rows already reduced to one per (EOB, category).
+    """
+    strip = strip or (lambda c: c)
+    x = eob.select(F.col(eob_key), strip(F.col(patient_key)).alias(patient_key),
+                   F.posexplode_outer(adjudication).alias("_pos", "_a"))
+    first = F.col("_pos").isNull() | (F.col("_pos") == 0)
+    lab = label(F.get(F.col("_a.category.coding"), 0).getField("display"))
+    x = (x.select(eob_key, patient_key, first.alias("_first"), lab.alias("_label"),
+                  F.col("_a.amount.value").alias("_value"))
+         .filter(F.col("_first") | ~F.col("_label").isin(*excluded)))
+    per_eob_label = x.groupBy(eob_key, patient_key, "_label").agg(
+        F.sum(money("_value")).alias("_s"), F.count("_value").alias("_n"),
+        F.count_if("_first").alias("_m"))
+    rows = F.sum("_m").over(Window.partitionBy(eob_key))
+    weighted = (per_eob_label.withColumn("_r", rows)
+                .filter(~F.col("_label").isin(*excluded))
+                .select(patient_key, F.col("_label").alias("category_display"),
+                        _weighted(F.col("_s"), F.col("_r")).alias("_s"),
+                        (F.col("_n") * F.col("_r")).alias("_n")))
+    return weighted.groupBy(patient_key, "category_display").agg(
+        F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
+
+
+def weighted_group_mean(per_patient: DataFrame, demographics: DataFrame, keys: Sequence[str],
+                        category: str = "category_display", patient_key: str = "patient_reference",
+                        out: str = "avg_value") -> DataFrame:
+    """Weight per-(patient, category) sums by each patient's demographic rows."""
+    demo_cols = [c for c in keys if c != category]
+    per_demo = demographics.groupBy(patient_key, *demo_cols).agg(F.count(F.lit(1)).alias("_w"))
+    w = F.col("_w")
+    return (per_patient.join(per_demo, patient_key)
+            .groupBy(*keys)
+            .agg(F.sum(_weighted(F.col("_s"), w)).alias("_s"), F.sum(F.col("_n") * w).alias("_n"))
+            .select(*keys, ratio(F.col("_s"), F.col("_n")).alias(out)))

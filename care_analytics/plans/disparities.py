@@ -119,9 +119,15 @@ def demographics(encounter_patients_kept: DataFrame) -> DataFrame:
 def benefit_by(eob: DataFrame, encounter_patients_kept: DataFrame, keys: Sequence[str],
                method: str = "weighted") -> DataFrame:
     """Mean benefit value by category and demographic ``keys``."""
-    return fanout.weighted_benefit_mean(benefit_lines(eob), eob.select("eob_id"),
-                                        demographics(encounter_patients_kept), keys,
-                                        method=method)
+    if method == "join":
+        return fanout.weighted_benefit_mean(benefit_lines(eob), eob.select("eob_id"),
+                                            demographics(encounter_patients_kept), keys,
+                                            method="join")
+    per_patient = fanout.benefit_line_sums(
+        eob, label=lambda c: C.map_codes(c, C.BENEFIT_CATEGORY_LABELS, C.BENEFIT_CATEGORY_DEFAULT,
+                                         normalise=True),
+        excluded=C.BENEFIT_CATEGORY_EXCLUDED, strip=C.reference_id)
+    return fanout.weighted_group_mean(per_patient, demographics(encounter_patients_kept), keys)
 
 
 def benefit_rows(eob: DataFrame, encounter_patients_kept: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.flatten import GEOLOCATION_URL
-from .roles import BIRTH_EPOCH, DriverTables
+from .roles import BIRTH_EPOCH, DriverTables, spread
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss"
 
@@ -65,18 +65,6 @@ def once(df: DataFrame, column: Column, name: str) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(column.alias(name)))))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a sub-parallel input over the cluster's cores.
-
-    Building and flattening resources is CPU work per row. A small table
-    read as one file split would run it in one task; an input that already
-    has at least as many partitions as there are cores is left alone, so at
-    scale this adds nothing.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def as_resource(df: DataFrame, resource: Column) -> DataFrame:
     return once(spread(df), F.to_variant_object(resource), "resource")
 

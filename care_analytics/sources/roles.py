@@ -43,6 +43,18 @@ BENEFIT_CATEGORIES = (
 )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a sub-parallel input over the cluster's cores.
+
+    Used before CPU-heavy per-row work (building nested resources): a small
+    table stored as one file split would run it in one task. An input with
+    at least as many partitions as cores, which is every input at scale, is
+    left untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class DriverTables:
     """Lazy access to the driver's Parquet tables in one directory."""
 
