@@ -37,11 +37,31 @@ class Warehouse:
         df.write.mode(mode).parquet(self.path(name))
 
     def build(self, entries: DataFrame, types: Iterable[str] | None = None,
-              grain: str = "line") -> list[str]:
-        """Flatten and write every resource type (12 actions over one cached input)."""
+              grain: str = "line", stage: str = "parquet") -> list[str]:
+        """Flatten and write every resource type (actions).
+
+        ``stage="parquet"`` (default) writes the entries once, partitioned
+        by resource type, under ``<root>/_staging``; each table then reads
+        only its own partition. The input is parsed once, no executor has
+        to hold it in memory, and the twelve writes restart from the staged
+        files, not from the raw bundles, if executors are lost.
+        ``stage="memory"`` persists the entries instead (small inputs).
+        """
+        types = list(types or TABLE_OF)
         written = []
+        if stage == "parquet":
+            path = f"{self.root}/_staging/entries"
+            (entries.filter(F.col("resource_type").isin(*types))
+             .select("resource_type", "resource")
+             .write.mode("overwrite").partitionBy("resource_type").parquet(path))
+            staged = self.spark.read.schema("resource variant, resource_type string").parquet(path)
+            for rtype in types:
+                name = TABLE_OF[rtype]
+                self.write(flatten(resources(staged, rtype), FLATTENERS[rtype], grain=grain), name)
+                written.append(name)
+            return written
         with shared(entries) as e:
-            for rtype in types or TABLE_OF:
+            for rtype in types:
                 name = TABLE_OF[rtype]
                 self.write(flatten(resources(e, rtype), FLATTENERS[rtype], grain=grain), name)
                 written.append(name)
