@@ -202,6 +202,10 @@ def flatten_explanation_of_benefit(spark, sf):
     return _nested_len(_flat(spark, sf, "ExplanationOfBenefit"))
 
 
+# The inventory's short name for the same flattener.
+_reg("flatten_eob", RAW_SQL["flatten_explanation_of_benefit"])(flatten_explanation_of_benefit)
+
+
 def _careplan(code: str, label: str) -> str:
     return f"""
 SELECT {_s('cp', 'o_orderkey')} AS careplan_id,
