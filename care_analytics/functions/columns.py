@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, TimestampType
+from pyspark.sql.types import StringType, TimestampNTZType
 
 # ---------------------------------------------------------------------------
 # Fixed values. These must equal the original pipeline's for equal results.
@@ -179,13 +179,29 @@ def blank_to(c: Column | str, default: str = BLANK_PROVIDER_LABEL) -> Column:
     return F.when(c.isNull() | (c == ""), F.lit(default)).otherwise(c)
 
 
-def duration_seconds(start: Column | str, end: Column | str) -> Column:
-    """Whole seconds from ``start`` to ``end`` (time-zone independent)."""
-    return F.timestamp_diff("SECOND", col_(start), col_(end))
+def epoch_seconds(c: Column | str, ntz: bool = False) -> Column:
+    """Whole seconds since 1970-01-01, independent of the session time zone.
+
+    TIMESTAMP values are instants (``unix_seconds``). TIMESTAMP_NTZ values
+    are wall-clock readings and are counted from their calendar fields as if
+    in UTC; a cast to TIMESTAMP would move readings that fall in a local
+    daylight-saving gap.
+    """
+    c = col_(c)
+    if not ntz:
+        return F.unix_seconds(c)
+    day = F.unix_date(F.to_date(c)).cast("long")
+    return day * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+
+
+def duration_seconds(start: Column | str, end: Column | str, ntz: bool = False) -> Column:
+    """Whole seconds from ``start`` to ``end``: the difference of the two
+    epoch readings, each truncated to the second."""
+    return epoch_seconds(end, ntz) - epoch_seconds(start, ntz)
 
 
-def duration_minutes(start: Column | str, end: Column | str) -> Column:
-    return duration_seconds(start, end) / F.lit(60.0)
+def duration_minutes(start: Column | str, end: Column | str, ntz: bool = False) -> Column:
+    return duration_seconds(start, end, ntz) / F.lit(60.0)
 
 
 def first(c: Column | str, field: str | None = None) -> Column:
@@ -212,5 +228,5 @@ def patient_flags(age: Column | str, state: Column | str,
     }
 
 
-def is_timestamp(dtype) -> bool:
-    return isinstance(dtype, TimestampType) or type(dtype).__name__ == "TimestampNTZType"
+def is_ntz(dtype) -> bool:
+    return isinstance(dtype, TimestampNTZType)

@@ -48,7 +48,8 @@ def clean_encounters(encounters: DataFrame, strip_reference: bool = True) -> Dat
     df = encounters.dropna(subset=["encounter_id", "patient_reference", "start_time"])
     df = (df.withColumn("start_time", C.to_timestamp_safe("start_time", schema["start_time"]))
             .withColumn("end_time", C.to_timestamp_safe("end_time", schema["end_time"])))
-    df = (df.withColumn("encounter_seconds", C.duration_seconds("start_time", "end_time"))
+    ntz = C.is_ntz(df.schema["start_time"].dataType) and C.is_ntz(df.schema["end_time"].dataType)
+    df = (df.withColumn("encounter_seconds", C.duration_seconds("start_time", "end_time", ntz))
             .withColumn("encounter_duration", F.col("encounter_seconds") / F.lit(60.0))
             .withColumn("status", C.map_codes("status", C.ENCOUNTER_STATUS_LABELS,
                                               C.ENCOUNTER_STATUS_DEFAULT))

@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 from ..operators.flatten import GEOLOCATION_URL
 from .roles import BIRTH_EPOCH, DriverTables, spread
 
-ISO = "yyyy-MM-dd'T'HH:mm:ss"
-
-
 def _v(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
@@ -51,7 +48,9 @@ def txt(prefix: str, c: Column) -> Column:
 
 
 def iso(c: Column) -> Column:
-    return F.date_format(c, ISO)
+    """ISO text to the second of a TIMESTAMP_NTZ, without time-zone rules
+    (``date_format`` would pass through the session zone)."""
+    return F.regexp_replace(F.substring(c.cast("string"), 1, 19), " ", "T")
 
 
 def once(df: DataFrame, column: Column, name: str) -> DataFrame:
@@ -93,7 +92,7 @@ class RoleResources:
                 obj(type=coding(display=F.col("c_mktsegment")), value=F.col("c_name"))),
             name=arr(obj(use="official", family=F.col("c_name"))),
             gender=F.when(k % 2 == 0, "male").otherwise("female"),
-            birthDate=F.when(k % 97 == 0, F.lit(None)).otherwise(F.date_format(birth, "yyyy-MM-dd")),
+            birthDate=F.when(k % 97 == 0, F.lit(None)).otherwise(birth.cast("string")),
             address=arr(obj(
                 city=F.col("c_mktsegment"), state=F.col("n_name"),
                 country=txt("R", F.col("n_regionkey")), postalCode=txt("N", F.col("c_nationkey")),
@@ -305,7 +304,7 @@ class RoleResources:
             code=obj(text=F.when(v > 100, "Chronic sinusitis").when(v > 50, "ACUTE ON CHRONIC pain")
                      .otherwise("Sprain")),
             subject=ref(txt("urn:uuid:p", F.col("user_id"))), encounter=ref(txt("urn:uuid:e", e)),
-            onsetDateTime=iso(F.col("ts")), recordedDate=F.date_format("ts", "yyyy-MM-dd"),
+            onsetDateTime=iso(F.col("ts")), recordedDate=F.to_date("ts").cast("string"),
         )
         return self._events("error"), resource
 

@@ -67,3 +67,16 @@ def test_first_where(spark):
     df = spark.createDataFrame([([("a", 1), ("b", 2)],)], "arr array<struct<k:string,v:int>>")
     assert df.select(C.first_where("arr", "k", "b")["v"]).collect()[0][0] == 2
     assert df.select(C.first_where("arr", "k", "z")["v"]).collect()[0][0] is None
+
+
+def test_ntz_durations_ignore_session_zone(spark):
+    df = spark.sql("SELECT timestamp_ntz'1998-03-28 00:00:00' s, timestamp_ntz'1998-04-05 02:15:00' e")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        got = []
+        for tz in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            got.append(df.select(C.duration_seconds("s", "e", ntz=True)).collect()[0][0])
+        assert got == [8 * 86400 + 2 * 3600 + 15 * 60] * 2
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
