@@ -42,7 +42,7 @@ r_patient AS (
   SELECT 'p' || CAST(c_custkey AS VARCHAR) AS patient_id,
     CASE WHEN c_custkey % 2 = 0 THEN 'male' ELSE 'female' END AS gender,
     CASE WHEN c_custkey % 97 = 0 THEN NULL
-         ELSE DATE '1930-01-01' + CAST((c_custkey * 37) % 33000 AS INTEGER) END AS birth_date,
+         ELSE DATE '1930-01-01' + CAST((c_custkey * 7919) % 33000 AS INTEGER) END AS birth_date,
     c_mktsegment AS city, n_name AS state, 'N' || CAST(c_nationkey AS VARCHAR) AS postal_code,
     CASE WHEN c_custkey % 4 = 0 THEN ' M ' WHEN c_custkey % 4 = 1 THEN 'S'
          WHEN c_custkey % 4 = 2 THEN 'Never Married' END AS marital_status,

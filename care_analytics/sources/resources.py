@@ -79,7 +79,7 @@ class RoleResources:
     def patient(self) -> DataFrame:
         c, n = self.t.table("customer"), self.t.table("nation")
         k = F.col("c_custkey")
-        birth = F.date_add(F.lit(BIRTH_EPOCH).cast("date"), ((k * 37) % 33000).cast("int"))
+        birth = F.date_add(F.lit(BIRTH_EPOCH).cast("date"), ((k * 7919) % 33000).cast("int"))
         ext = lambda url, s=None, addr=None, d=None: obj(
             url=url, valueString=F.lit(s).cast("string") if s is None else s,
             valueAddress=addr if addr is not None else F.lit(None).cast(

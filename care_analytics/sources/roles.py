@@ -71,7 +71,7 @@ class DriverTables:
         c = self.table("customer")
         n = self.table("nation")
         k = F.col("c_custkey")
-        birth = F.date_add(F.lit(BIRTH_EPOCH).cast("date"), ((k * 37) % 33000).cast("int"))
+        birth = F.date_add(F.lit(BIRTH_EPOCH).cast("date"), ((k * 7919) % 33000).cast("int"))
         return (c.join(n, c.c_nationkey == n.n_nationkey)
                 .select(
                     _id("p", k).alias("patient_id"),
