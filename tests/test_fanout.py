@@ -77,3 +77,24 @@ def test_top_cost_encounters_equals_full_sort(spark, sf_small):
     full = (cost.claim_encounters(claims, encounters)
             .orderBy(F.col("total_amount").desc(), "claim_id", "encounter_id").limit(10))
     assert [tuple(r) for r in fast.collect()] == [tuple(r) for r in full.select(*fast.columns).collect()]
+
+
+def test_hot_patient_third_of_rows(spark):
+    """One patient holds a third of claims and encounters: same numbers, and the
+    weighted plan joins per-patient summaries, never the raw rows."""
+    n = 900
+    claims = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("p"), (F.col("id") % 97).cast("string")))
+        .alias("patient_id"),
+        ((F.col("id") * 7919) % 100000 / F.lit(100.0)).alias("total_amount"))
+    encounters = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("p"), (F.col("id") % 89).cast("string")))
+        .alias("patient_id"),
+        F.concat(F.lit("T"), (F.col("id") % 5).cast("string")).alias("type_text"))
+    w = fanout.claim_encounter_cost(claims, encounters, "type_text")
+    naive = fanout.claim_encounter_cost(claims, encounters, "type_text", method="join")
+    same(w, naive, "type_text")
+    plan = w._jdf.queryExecution().optimizedPlan().toString()
+    join_at = plan.index("Join")
+    below = plan[join_at:]
+    assert below.count("Aggregate") >= 2   # both join inputs are aggregates
