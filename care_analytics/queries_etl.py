@@ -19,7 +19,7 @@ from .plans import disparities
 from .queries import _t, register
 from .schemas import CODEABLE_CONCEPTS, TABLE_OF
 from .session import checkpoint_dir
-from .sources.bundles import bundle_entries, resource_counts
+from .sources.bundles import bundle_entries, read_bundles, resource_counts
 from .sources.resources import RoleResources
 from .sources.warehouse import Warehouse
 
@@ -374,11 +374,16 @@ SCAN_SQL = "\nUNION ALL\n".join(
 
 @_reg("scan_warehouse_tables", SCAN_SQL)
 def scan_warehouse_tables(spark, sf):
-    """ETL round trip: bundles -> 12 Parquet tables in the shared checkpoint
-    folder -> read back with schema check -> row count per table."""
-    root = f"{checkpoint_dir(spark)}/warehouse-{hashlib.sha1(sf.encode()).hexdigest()[:10]}"
-    wh = Warehouse(spark, root)
-    wh.build(_entries(spark, sf))
+    """ETL round trip: bundles written as NDJSON text, read back with the
+    declared bundle schema, twelve Parquet tables built in the shared
+    checkpoint folder, read back with their schema check, counted per table."""
+    base = f"{checkpoint_dir(spark)}/warehouse-{hashlib.sha1(sf.encode()).hexdigest()[:10]}"
+    run = hashlib.sha1(str(time.time_ns()).encode()).hexdigest()[:8]
+    src = f"{base}/{run}/bundles"
+    bundles = RoleResources(_t(spark, sf)).bundles()
+    bundles.select(F.to_json(F.struct("entry")).alias("value")).write.text(src)
+    wh = Warehouse(spark, f"{base}/{run}/tables")
+    wh.build(bundle_entries(read_bundles(spark, src, ndjson=True)))
     return wh.row_counts()
 
 
