@@ -41,8 +41,7 @@ ROLE_CTES = f"""
 r_patient AS (
   SELECT 'p' || CAST(c_custkey AS VARCHAR) AS patient_id,
     CASE WHEN c_custkey % 2 = 0 THEN 'male' ELSE 'female' END AS gender,
-    CASE WHEN c_custkey % 97 = 0 THEN NULL
-         ELSE DATE '1930-01-01' + CAST((c_custkey * 7919) % 33000 AS INTEGER) END AS birth_date,
+    CAST(DATE '1930-01-01' + CAST((c_custkey * 7919) % 33000 AS INTEGER) AS VARCHAR) AS birth_date,
     c_mktsegment AS city, n_name AS state, 'N' || CAST(c_nationkey AS VARCHAR) AS postal_code,
     CASE WHEN c_custkey % 4 = 0 THEN ' M ' WHEN c_custkey % 4 = 1 THEN 'S'
          WHEN c_custkey % 4 = 2 THEN 'Never Married' END AS marital_status,
@@ -122,7 +121,7 @@ p_clean AS (
          WHEN trim(lower(marital_status)) = 'never married' THEN 'Never Married'
          ELSE 'Unknown' END AS marital_status,
     disability_adjusted_life_years, quality_adjusted_life_years,
-    CAST(year(DATE '{AS_OF}') - year(birth_date) AS INTEGER) AS age
+    CAST(year(DATE '{AS_OF}') - year(CAST(birth_date AS DATE)) AS INTEGER) AS age
   FROM r_patient),
 e_clean AS (
   SELECT encounter_id,
@@ -188,7 +187,7 @@ benefit_joined AS (
   WHERE l.category_display NOT IN ('Unknown', 'Part B Deductible')),
 features_base AS (
   SELECT patient_id, state,
-    CAST(trunc(CAST(date_diff('day', birth_date, DATE '{AS_OF}') AS DOUBLE) / CAST(365.25 AS DOUBLE)) AS INTEGER) AS age
+    CAST(trunc(CAST(date_diff('day', CAST(birth_date AS DATE), DATE '{AS_OF}') AS DOUBLE) / CAST(365.25 AS DOUBLE)) AS INTEGER) AS age
   FROM r_patient),
 features AS (
   SELECT b.patient_id, b.state,

@@ -482,7 +482,7 @@ def cost_share_by_gender(spark, sf):
 SELECT CASE WHEN age <= 18 THEN '0-18' WHEN age <= 35 THEN '19-35' WHEN age <= 50 THEN '36-50'
             WHEN age <= 65 THEN '51-65' ELSE '66+' END AS age_range,
        {O.sum_sql('total_amount')} AS total_cost
-FROM (SELECT total_amount, CAST(year(DATE '{AS_OF}') - year(birth_date) AS INTEGER) AS age FROM claim_patient)
+FROM (SELECT total_amount, CAST(year(DATE '{AS_OF}') - year(CAST(birth_date AS DATE)) AS INTEGER) AS age FROM claim_patient)
 GROUP BY 1 ORDER BY 1""")
 def cost_by_age_range(spark, sf):
     claims, _, patients, _ = cost_inputs(_t(spark, sf))

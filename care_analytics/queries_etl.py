@@ -72,8 +72,7 @@ SELECT {_s('p', 'c_custkey')} AS patient_id,
   to_json(['Medical Record Number', c_mktsegment]) AS identifier_types,
   '[{{"family":"' || c_name || '","use":"official"}}]' AS name,
   CASE WHEN c_custkey % 2 = 0 THEN 'male' ELSE 'female' END AS gender,
-  CASE WHEN c_custkey % 97 = 0 THEN NULL
-       ELSE strftime(DATE '1930-01-01' + CAST((c_custkey * 7919) % 33000 AS INTEGER), '%Y-%m-%d') END AS birth_date,
+  strftime(DATE '1930-01-01' + CAST((c_custkey * 7919) % 33000 AS INTEGER), '%Y-%m-%d') AS birth_date,
   c_mktsegment AS city, n_name AS state, {_s('R', 'n_regionkey')} AS country,
   {_s('N', 'c_nationkey')} AS postal_code, c_acctbal AS latitude, CAST(n_nationkey AS DOUBLE) AS longitude,
   {_s('555-', 'c_custkey')} AS phone,

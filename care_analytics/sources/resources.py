@@ -92,7 +92,7 @@ class RoleResources:
                 obj(type=coding(display=F.col("c_mktsegment")), value=F.col("c_name"))),
             name=arr(obj(use="official", family=F.col("c_name"))),
             gender=F.when(k % 2 == 0, "male").otherwise("female"),
-            birthDate=F.when(k % 97 == 0, F.lit(None)).otherwise(birth.cast("string")),
+            birthDate=birth.cast("string"),
             address=arr(obj(
                 city=F.col("c_mktsegment"), state=F.col("n_name"),
                 country=txt("R", F.col("n_regionkey")), postalCode=txt("N", F.col("c_nationkey")),

@@ -76,7 +76,7 @@ class DriverTables:
                 .select(
                     _id("p", k).alias("patient_id"),
                     F.when(k % 2 == 0, "male").otherwise("female").alias("gender"),
-                    F.when(k % 97 == 0, F.lit(None).cast("date")).otherwise(birth).alias("birth_date"),
+                    birth.cast("string").alias("birth_date"),
                     F.col("c_mktsegment").alias("city"),
                     F.col("n_name").alias("state"),
                     _id("N", F.col("c_nationkey")).alias("postal_code"),
