@@ -204,6 +204,16 @@ def duration_minutes(start: Column | str, end: Column | str, ntz: bool = False)
     return duration_seconds(start, end, ntz) / F.lit(60.0)
 
 
+def parse_json_array(c: Column | str, schema) -> Column:
+    """JSON text that holds one object or a list of them -> array of structs.
+
+    ``from_json`` with an array schema accepts both shapes, so fields that a
+    producer writes either way need no second parser. Malformed text gives
+    NULL.
+    """
+    return F.from_json(col_(c), schema)
+
+
 def first(c: Column | str, field: str | None = None) -> Column:
     """First element of an array (NULL when empty or missing), then a field."""
     e = F.get(col_(c), 0)

@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.aggregates import (exact_sum, mean_integral, mean_money, ratio,
-                                    stddev_rounded, sum_double)
+from ..functions.aggregates import mean_integral, mean_money, stddev_rounded, sum_double
 from ..operators import cleaning, fanout, grouping
 
 DEMOGRAPHIC_COLUMNS = ("patient_reference", "gender", "age", "marital_status", "age_group")
@@ -142,5 +141,5 @@ def benefit_rows(eob: DataFrame, encounter_patients_kept: DataFrame) -> DataFram
 __all__ = [
     "age_statistics", "age_by", "encounter_patients", "overlap_count", "duration_by",
     "pivot_duration", "pivot_counts", "longest", "benefit_totals", "adjudication_lines",
-    "benefit_lines", "demographics", "benefit_by", "benefit_rows", "exact_sum", "ratio",
+    "benefit_lines", "demographics", "benefit_by", "benefit_rows",
 ]

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from . import oracle as O
 from .functions import columns as C
-from .functions.aggregates import mean_integral, ratio, stddev_rounded
 from .operators import cleaning, grouping
 from .plans import cost, disparities, features
 from .sources.roles import DriverTables
@@ -635,7 +634,7 @@ def topk_longest_encounters(spark, sf):
         "encounter_id", "patient_id", "class_code", "encounter_duration")
 
 
-__all__ = ["QUERIES", "SQL", "mean_integral", "ratio", "stddev_rounded"]
+__all__ = ["QUERIES", "SQL"]
 
 
 # ETL and model queries register themselves into the same tables.

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from .operators.flatten import FLATTENERS, flatten
 from .plans import disparities
 from .queries import _t, register
-from .schemas import CODEABLE_CONCEPTS, TABLE_OF
+from .functions.columns import parse_json_array
+from .schemas import TABLE_OF
 from .session import checkpoint_dir
 from .sources.bundles import bundle_entries, read_bundles, resource_counts
 from .sources.resources import RoleResources
@@ -324,9 +325,8 @@ def demux_resource_counts(spark, sf):
 SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
 def parse_polymorphic_json(spark, sf):
     """``from_json`` with an array schema: one object or a list both parse."""
-    schema = "array<struct<k: bigint>>"
-    return _t(spark, sf).table("events").select(
-        "event_id", F.get(F.from_json("props", schema), 0).getField("k").alias("k"))
+    parsed = parse_json_array("props", "array<struct<k: bigint>>")
+    return _t(spark, sf).table("events").select("event_id", F.get(parsed, 0).getField("k").alias("k"))
 
 
 @_reg("explode_cross_product", f"""
@@ -402,5 +402,3 @@ def stream_warehouse_tables(spark, sf):
         raise RuntimeError(str(q.exception()))
     return Warehouse(spark, out).row_counts()
 
-
-__all__ = ["CODEABLE_CONCEPTS"]

@@ -52,3 +52,13 @@ def test_json_text_round_trip_equals_in_memory(spark, sf_small, tmp_path):
         a = sorted(map(repr, from_text.collect()))
         b = sorted(map(repr, direct.collect()))
         assert a == b, rtype
+
+
+def test_codeable_concepts_parse_object_or_list(spark):
+    from care_analytics.functions.columns import parse_json_array
+    from care_analytics.schemas import CODEABLE_CONCEPTS
+    df = spark.createDataFrame([('{"coding": [{"code": "a"}], "text": "x"}',),
+                                ('[{"text": "y"}, {"text": "z"}]',)], "t string")
+    out = [r[0] for r in df.select(parse_json_array("t", CODEABLE_CONCEPTS)).collect()]
+    assert out[0][0].coding[0].code == "a" and out[0][0].text == "x"
+    assert [c.text for c in out[1]] == ["y", "z"]
