@@ -63,7 +63,11 @@ class DriverTables:
         self.root = root.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        # Line items feed the per-row heavy views (benefit lines are exploded
+        # five to a line); spread them when they arrive in fewer splits than
+        # there are cores.
+        return spread(df) if name == "lineitem" else df
 
     # -- role views -------------------------------------------------------
 
