@@ -38,12 +38,25 @@ def clean_patients(patients: DataFrame, as_of=None,
                                     C.MARITAL_STATUS_DEFAULT, normalise=True)))
 
 
-def clean_encounters(encounters: DataFrame, strip_reference: bool = True) -> DataFrame:
+PARTICIPANT_COLUMNS = tuple(c for c in ENCOUNTER_HELPER_COLUMNS if c.startswith("participant_"))
+
+
+def clean_encounters(encounters: DataFrame, strip_reference: bool = True,
+                     grain: str = "row") -> DataFrame:
     """Drop incomplete encounters, parse times, add durations, map labels.
 
     ``encounter_seconds`` (whole seconds) is kept next to
     ``encounter_duration`` (minutes) so that means can be taken exactly.
+    ``grain="row"`` keeps the table's rows: the flattened encounter table has
+    one per participant, and statistics count them as the original does.
+    ``grain="encounter"`` drops the participant columns and keeps one row per
+    encounter id (one shuffle on the id).
     """
+    if grain == "encounter":
+        encounters = (encounters.drop(*[c for c in PARTICIPANT_COLUMNS if c in encounters.columns])
+                      .dropDuplicates(["encounter_id"]))
+    elif grain != "row":
+        raise ValueError(f"unknown grain {grain!r}")
     schema = {f.name: f.dataType for f in encounters.schema.fields}
     df = encounters.dropna(subset=["encounter_id", "patient_reference", "start_time"])
     df = (df.withColumn("start_time", C.to_timestamp_safe("start_time", schema["start_time"]))

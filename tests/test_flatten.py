@@ -119,3 +119,13 @@ def test_table_check_rejects_wrong_schema(spark, tmp_path):
     spark.range(1).write.parquet(p + "/patient")
     with pytest.raises(ValueError):
         Warehouse(spark, p).table("patient")
+
+
+def test_encounter_grain(spark, tmp_path):
+    from care_analytics.operators.cleaning import clean_encounters
+    e = entries_of(spark, tmp_path, [bundle(ENCOUNTER)])
+    flat = flatten(resources(e, "Encounter"), FLATTENERS["Encounter"])
+    rows = clean_encounters(flat)
+    assert rows.count() == 2                      # one per participant, as the original
+    one = clean_encounters(flat, grain="encounter").collect()
+    assert len(one) == 1 and one[0].encounter_duration == 30.0
