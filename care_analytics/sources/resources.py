@@ -68,15 +68,19 @@ def as_resource(df: DataFrame, resource: Column) -> DataFrame:
     return once(spread(df), F.to_variant_object(resource), "resource")
 
 
+Built = tuple[DataFrame, Column]  # (source rows, resource struct over them)
+
+
 class RoleResources:
-    """One ``DataFrame[resource: variant]`` per resource type."""
+    """Resource builders: each returns its source rows and the resource struct;
+    ``of_type`` turns them into ``DataFrame[resource: variant]``."""
 
     def __init__(self, t: DriverTables):
         self.t = t
 
     # -- customers ---------------------------------------------------------------
 
-    def patient(self) -> DataFrame:
+    def patient(self) -> Built:
         c, n = self.t.table("customer"), self.t.table("nation")
         k = F.col("c_custkey")
         birth = F.date_add(F.lit(BIRTH_EPOCH).cast("date"), ((k * 7919) % 33000).cast("int"))
@@ -124,7 +128,7 @@ class RoleResources:
         subject = txt("urn:uuid:p", F.col("o_custkey"))
         return k, start, end, subject
 
-    def encounter(self) -> DataFrame:
+    def encounter(self) -> Built:
         k, start, end, subject = self._order_cols()
         prio = F.substring("o_orderpriority", 1, 1)
         period = obj(start=start, end=end)
@@ -154,7 +158,7 @@ class RoleResources:
         return obj(amount=obj(value=value, currency="USD"),
                    category=obj(coding=arr(obj(system="adjudication", code=code, display=display))))
 
-    def claim(self) -> DataFrame:
+    def claim(self) -> Built:
         k, start, end, subject = self._order_cols()
         price = F.col("o_totalprice")
         item = lambda i, net: obj(
@@ -183,7 +187,7 @@ class RoleResources:
         )
         return self.t.table("orders"), resource
 
-    def explanation_of_benefit(self) -> DataFrame:
+    def explanation_of_benefit(self) -> Built:
         k, start, end, subject = self._order_cols()
         price = F.col("o_totalprice")
         item = lambda i, net: obj(
@@ -217,7 +221,7 @@ class RoleResources:
         )
         return self.t.table("orders"), resource
 
-    def careplan(self) -> DataFrame:
+    def careplan(self) -> Built:
         k, start, end, subject = self._order_cols()
         act = lambda code, label: obj(detail=obj(
             code=coding(display=F.lit(label), code=F.lit(code)), status="completed",
@@ -234,7 +238,7 @@ class RoleResources:
         )
         return self.t.table("orders"), resource
 
-    def careteam(self) -> DataFrame:
+    def careteam(self) -> Built:
         k, start, end, subject = self._order_cols()
         resource = obj(
             resourceType="CareTeam", id=txt("ct", k), status="active",
@@ -256,7 +260,7 @@ class RoleResources:
         o = self.t.table("orders").select("o_orderkey", "o_custkey")
         return li.join(o, li.l_orderkey == o.o_orderkey)
 
-    def medication_request(self) -> DataFrame:
+    def medication_request(self) -> Built:
         ok, ln = F.col("l_orderkey"), F.col("l_linenumber")
         resource = obj(
             resourceType="MedicationRequest",
@@ -274,7 +278,7 @@ class RoleResources:
         )
         return self._lines(), resource
 
-    def procedure(self) -> DataFrame:
+    def procedure(self) -> Built:
         ok, ln = F.col("l_orderkey"), F.col("l_linenumber")
         ship = F.col("l_shipdate")
         resource = obj(
@@ -295,7 +299,7 @@ class RoleResources:
     def _events(self, *types) -> DataFrame:
         return self.t.table("events").filter(F.col("event_type").isin(*types))
 
-    def condition(self) -> DataFrame:
+    def condition(self) -> Built:
         e, v = F.col("event_id"), F.col("value")
         resource = obj(
             resourceType="Condition", id=txt("k", e),
@@ -308,7 +312,7 @@ class RoleResources:
         )
         return self._events("error"), resource
 
-    def diagnostic_report(self) -> DataFrame:
+    def diagnostic_report(self) -> Built:
         e = F.col("event_id")
         resource = obj(
             resourceType="DiagnosticReport", id=txt("d", e), status="final",
@@ -320,7 +324,7 @@ class RoleResources:
         )
         return self._events("view"), resource
 
-    def immunization(self) -> DataFrame:
+    def immunization(self) -> Built:
         e = F.col("event_id")
         resource = obj(
             resourceType="Immunization", id=txt("i", e), status="completed",
@@ -330,7 +334,7 @@ class RoleResources:
         )
         return self._events("signup"), resource
 
-    def observation(self) -> DataFrame:
+    def observation(self) -> Built:
         e = F.col("event_id")
         resource = obj(
             resourceType="Observation", id=txt("o", e), status="final",
@@ -371,9 +375,8 @@ class RoleResources:
         of its type. No grouping: each bundle comes from one row.
         """
         def entry(resource: Column) -> Column:
-            v = F.to_variant_object(resource)
-            url = F.concat(F.lit("urn:uuid:"), F.try_variant_get(v, "$.id", "string"))
-            return F.struct(url.alias("fullUrl"), v.alias("resource"))
+            url = F.concat(F.lit("urn:uuid:"), resource.getField("id"))
+            return F.struct(url.alias("fullUrl"), F.to_variant_object(resource).alias("resource"))
 
         frames = []
         src, res = self._build("Patient")
