@@ -21,6 +21,9 @@ def test_no_python_or_cartesian(spark, sf_small, name):
     p = plan(QUERIES[name](spark, sf_small))
     for bad in FORBIDDEN:
         assert bad not in p, f"{name}: {bad}"
+    for line in p.splitlines():
+        if "Window [" in line:
+            assert not line.rstrip().endswith(", []"), f"{name}: unpartitioned window"
 
 
 @pytest.mark.parametrize("name", ["topk_cost_encounters", "topk_procedures", "topk_longest_encounters",
