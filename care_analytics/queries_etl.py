@@ -376,12 +376,12 @@ def scan_warehouse_tables(spark, sf):
     """ETL round trip: bundles written as NDJSON text, read back with the
     declared bundle schema, twelve Parquet tables built in the shared
     checkpoint folder, read back with their schema check, counted per table."""
+    # Fixed folders per input, overwritten on every run: disk use stays bounded.
     base = f"{checkpoint_dir(spark)}/warehouse-{hashlib.sha1(sf.encode()).hexdigest()[:10]}"
-    run = hashlib.sha1(str(time.time_ns()).encode()).hexdigest()[:8]
-    src = f"{base}/{run}/bundles"
+    src = f"{base}/bundles"
     bundles = RoleResources(_t(spark, sf)).bundles()
-    bundles.select(F.to_json(F.struct("entry")).alias("value")).write.text(src)
-    wh = Warehouse(spark, f"{base}/{run}/tables")
+    bundles.select(F.to_json(F.struct("entry")).alias("value")).write.mode("overwrite").text(src)
+    wh = Warehouse(spark, f"{base}/tables")
     wh.build(bundle_entries(read_bundles(spark, src, ndjson=True)))
     return wh.row_counts()
 
@@ -389,7 +389,10 @@ def scan_warehouse_tables(spark, sf):
 @_reg("stream_warehouse_tables", SCAN_SQL)
 def stream_warehouse_tables(spark, sf):
     """Streaming round trip: bundles written as NDJSON to the shared folder,
-    ingested by Structured Streaming (``availableNow``), counted per table."""
+    ingested by Structured Streaming (``availableNow``), counted per table.
+
+    Each run takes a fresh folder: a stream's checkpoint remembers the files
+    it has read, so re-written input must not meet an old checkpoint."""
     from .streaming import ingest
     base = f"{checkpoint_dir(spark)}/stream-{hashlib.sha1(sf.encode()).hexdigest()[:10]}"
     run = hashlib.sha1(str(time.time_ns()).encode()).hexdigest()[:8]
