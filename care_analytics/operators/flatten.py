@@ -149,6 +149,38 @@ PATIENT = Spec("Patient", head=[
     ("languages", each("$.communication", "$.language.text")),
 ])
 
+# Patient columns read from ``extension[i]`` by position, with the field read.
+PATIENT_EXTENSION_COLUMNS = {
+    "mothers_maiden_name": (0, "$.valueString", S),
+    "birthplace_city": (1, "$.valueAddress.city", S),
+    "birthplace_state": (1, "$.valueAddress.state", S),
+    "birthplace_country": (1, "$.valueAddress.country", S),
+    "disability_adjusted_life_years": (2, "$.valueDecimal", D),
+    "quality_adjusted_life_years": (3, "$.valueDecimal", D),
+}
+
+
+def patient_spec(by_url: Mapping[str, str] | None = None) -> Spec:
+    """The patient spec; ``by_url`` maps extension columns to extension URLs.
+
+    By default extensions are read by position, as the original does. With
+    ``by_url``, a named column takes the first extension whose ``url``
+    matches, so producers that order extensions differently still fill the
+    right column.
+    """
+    if not by_url:
+        return PATIENT
+    head = []
+    for spec in PATIENT.head:
+        name = spec[0]
+        if name in by_url and name in PATIENT_EXTENSION_COLUMNS:
+            _, inner, dtype = PATIENT_EXTENSION_COLUMNS[name]
+            head.append((name, first_where("$.extension", "$.url", by_url[name], inner, dtype)))
+        else:
+            head.append(spec)
+    return Spec("Patient", head=head)
+
+
 ENCOUNTER = Spec("Encounter", head=[
     ("encounter_id", "$.id", S),
     ("status", "$.status", S),

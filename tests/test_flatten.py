@@ -129,3 +129,22 @@ def test_encounter_grain(spark, tmp_path):
     assert rows.count() == 2                      # one per participant, as the original
     one = clean_encounters(flat, grain="encounter").collect()
     assert len(one) == 1 and one[0].encounter_duration == 30.0
+
+
+def test_patient_extensions_by_url(spark, tmp_path):
+    from care_analytics.operators.flatten import patient_spec
+    p = dict(PATIENT, extension=[
+        {"url": "u:qaly", "valueDecimal": 2.5},
+        {"url": "u:maiden", "valueString": "Smith"},
+        {"url": "u:daly", "valueDecimal": 1.5},
+        {"url": "u:birth", "valueAddress": {"city": "Oslo", "country": "NO"}}])
+    e = entries_of(spark, tmp_path, [bundle(p)])
+    pos = flatten(resources(e, "Patient"), FLATTENERS["Patient"]).collect()[0]
+    assert pos.mothers_maiden_name is None and pos.disability_adjusted_life_years == 1.5
+    assert pos.quality_adjusted_life_years is None            # position 3 holds the birthplace
+    spec = patient_spec({"mothers_maiden_name": "u:maiden", "birthplace_city": "u:birth",
+                         "disability_adjusted_life_years": "u:daly",
+                         "quality_adjusted_life_years": "u:qaly"})
+    r = flatten(resources(e, "Patient"), spec).collect()[0]
+    assert (r.mothers_maiden_name, r.birthplace_city, r.disability_adjusted_life_years,
+            r.quality_adjusted_life_years) == ("Smith", "Oslo", 1.5, 2.5)
