@@ -72,7 +72,7 @@ r_procedure AS (
     {ref_sql('p', 'o_custkey')} AS subject_reference,
     {ref_sql('e', 'l_orderkey')} AS encounter_reference,
     p_name AS procedure_code_display, CAST(l_partkey AS VARCHAR) AS procedure_code
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
+  FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey),
 r_eob AS (
   SELECT 'b' || CAST(l_orderkey AS VARCHAR) AS eob_id, {ref_sql('p', 'o_custkey')} AS patient_reference,
     l_linenumber AS line, 'Plan ' || o_orderstatus AS insurance_coverage_display,
