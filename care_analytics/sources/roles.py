@@ -2,8 +2,9 @@
 
 The test data is a TPC-H-like schema plus an ``events`` table. Each view
 below derives one clinical table from it, row for row, with built-in column
-expressions only: no row is dropped, no key is sampled. Work grows linearly
-with the input tables; the only joins are key -> dimension lookups.
+expressions only. The only selection is the role itself (events of a type
+stand for one resource type); no key is sampled and no row is capped. Work
+grows linearly with the input tables; the only joins are key lookups.
 
 | view          | from                          | grain            |
 | ------------- | ----------------------------- | ---------------- |
