@@ -188,6 +188,20 @@ def cross_validate(spark, pipeline: Pipeline, data: DataFrame, folds: int = 5,
         prepared.unpersist()
 
 
+def grid_search(spark, pipeline: Pipeline, data: DataFrame, grid=None, folds: int = 5,
+                parallelism: int = 4, id_col: str = "patient_id") -> list[tuple[dict, float]]:
+    """Cross-validated MSE for every grid point, best first (an action).
+
+    ``grid`` defaults to ``default_grid`` over the pipeline's last stage;
+    ``parallelism`` fits that many models at once.
+    """
+    grid = grid or default_grid(pipeline.getStages()[-1])
+    mse = cross_validate(spark, pipeline, data, folds=folds, id_col=id_col, grid=grid,
+                         parallelism=parallelism)
+    points = [({p.name: v for p, v in point.items()}, float(m)) for point, m in zip(grid, mse)]
+    return sorted(points, key=lambda x: x[1])
+
+
 def default_grid(estimator) -> list:
     """A small grid over depth and feature subsets (any grid is accepted)."""
     return (ParamGridBuilder()

@@ -137,12 +137,8 @@ def cross_validate_forest(spark, sf):
 
 @register("grid_search_forest")
 def grid_search_forest(spark, sf):
-    pipe = M.forest(numTrees=50)
-    rf = pipe.getStages()[-1]
-    grid = M.default_grid(rf)
-    mse = M.cross_validate(spark, pipe, _data(spark, sf), folds=5, grid=grid, parallelism=4)
-    rows = [(int(p[rf.maxDepth]), str(p[rf.featureSubsetStrategy]), float(m))
-            for p, m in zip(grid, mse)]
+    points = M.grid_search(spark, M.forest(numTrees=50), _data(spark, sf), folds=5, parallelism=4)
+    rows = [(int(p["maxDepth"]), str(p["featureSubsetStrategy"]), m) for p, m in points]
     return spark.createDataFrame(rows, "max_depth int, feature_subset string, cv_mse double")
 
 
