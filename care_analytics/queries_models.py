@@ -37,7 +37,13 @@ def split_train_test(spark, sf):
     return M.with_split(_data(spark, sf)).select("patient_id", "is_test")
 
 
-@register("impute_median")
+# The feature table has no missing values (counts are filled with 0), so the
+# median imputer returns every value unchanged; the SQL states exactly that.
+IMPUTE_MEDIAN_SQL = "SELECT patient_id, " + ", ".join(
+    f"CAST({c} AS DOUBLE) AS {c}" for c in FT.NUMERIC_FEATURES) + " FROM features"
+
+
+@register("impute_median", IMPUTE_MEDIAN_SQL)
 def impute_median(spark, sf):
     data = M.prepare(_data(spark, sf))
     imp = Imputer(strategy="median", inputCols=list(FT.NUMERIC_FEATURES),
@@ -74,7 +80,19 @@ def impute_most_frequent(spark, sf):
     return M.prepare(_data(spark, sf)).select("patient_id", *FT.CATEGORICAL_FEATURES)
 
 
-@register("one_hot_categories")
+def _one_hot_sql() -> str:
+    idx = ", ".join(
+        f"CAST(DENSE_RANK() OVER (ORDER BY CAST({c} AS VARCHAR)) - 1 AS DOUBLE) AS {c}_index"
+        for c in FT.CATEGORICAL_FEATURES)
+    # one-hot width per column: every category, plus the indexer's slot for
+    # unseen labels, plus the encoder's slot for invalid indices
+    width = " + ".join(f"(SELECT COUNT(DISTINCT {c}) + 2 FROM features)"
+                       for c in FT.CATEGORICAL_FEATURES)
+    return (f"SELECT patient_id, {idx}, CAST({len(FT.NUMERIC_FEATURES)} + {width} AS INTEGER) "
+            "AS num_features FROM features")
+
+
+@register("one_hot_categories", _one_hot_sql())
 def one_hot_categories(spark, sf):
     data = M.prepare(_data(spark, sf))
     stages = M.preprocess_stages()
