@@ -26,3 +26,49 @@ def test_reports_from_etl_warehouse(spark, sf_small, tmp_path):
     # encounters at participant grain: every encounter row has a participant
     enc = spark.read.parquet(f"{root}/encounter")
     assert enc.filter(F.col("participant_individual_display").isNull()).count() == 0
+
+
+def test_edge_case_bundles_through_reports(spark, tmp_path):
+    """Edge cases from the fixture list: nothing raises under ANSI mode."""
+    import json
+    patient = {"resourceType": "Patient", "id": "p1", "gender": "female",
+               "maritalStatus": {"text": "S"}, "address": [{"state": "ON"}]}       # no birth date
+    patient2 = {"resourceType": "Patient", "id": "p2", "gender": "male", "birthDate": "not-a-date",
+                "address": [{"state": "CA"}]}
+    enc = {"resourceType": "Encounter", "id": "e1", "status": "finished", "class": {"code": "IMP"},
+           "type": [{"coding": [], "text": "Visit"}], "subject": {"reference": "p1"},   # no prefix
+           "period": {"start": "garbage", "end": "2020-01-01T10:30:00Z"},
+           "participant": [{"type": [{"coding": []}]}]}
+    enc2 = {"resourceType": "Encounter", "id": "e2", "status": "planned", "class": {"code": "AMB"},
+            "type": [], "subject": {"reference": "urn:uuid:p2"},
+            "period": {"start": "2020-01-01T10:00:00Z", "end": "2020-01-03T10:00:00Z"},
+            "participant": [{}]}
+    claim = {"resourceType": "Claim", "id": "c1", "type": {"coding": []}, "patient": {"reference": "urn:uuid:p2"},
+             "total": {"value": 10.0}, "supportingInfo": [{}], "insurance": [{}], "item": [{"encounter": []}],
+             "diagnosis": [{}]}
+    eob = {"resourceType": "ExplanationOfBenefit", "id": "b1", "patient": {"reference": "urn:uuid:p2"},
+           "total": [], "contained": [{}], "careTeam": [{}], "insurance": [{}],
+           "item": [{"adjudication": [{"amount": {"value": 5.0}, "category": {"coding": []}}]},
+                    {"adjudication": None}]}
+    plan = {"resourceType": "CarePlan", "id": "cp1", "careTeam": [{}], "activity": [{}],
+            "category": ["assess-plan", "other"]}                                    # strings, not objects
+    proc = {"resourceType": "Procedure", "id": "x1", "code": {"coding": []},
+            "encounter": {"reference": "e1"}, "reasonReference": [{}]}
+    src = tmp_path / "bundles"
+    src.mkdir()
+    (src / "b.ndjson").write_text(json.dumps({"entry": [{"resource": r} for r in
+                                  (patient, patient2, enc, enc2, claim, eob, plan, proc)]}) + "\n")
+    root = str(tmp_path / "warehouse")
+    etl.run(spark, str(src), root, ndjson=True)
+    wh = Warehouse(spark, root)
+    assert wh.table("careplan").collect()[0].category_text is None
+    frames = reports.reports(wh, as_of="2024-12-01")
+    for name, df in frames.items():
+        df.collect()                                          # every report evaluates
+    ages = {r.patient_id: r.age for r in frames["patient_features"].collect()}
+    assert ages == {"p1": 0, "p2": 0}                          # missing / bad dates -> NULL -> filled 0
+    # NULLs are dropped before parsing, as in the original: e1's unparsable
+    # start stays, with a NULL duration (sorted last among the longest).
+    longest = frames["longest_encounters"].collect()
+    assert [r.encounter_id for r in longest] == ["e2", "e1"]
+    assert longest[0].encounter_duration == 2 * 24 * 60 and longest[1].encounter_duration is None
