@@ -127,12 +127,8 @@ def weighted_benefit_mean(lines: DataFrame, eob_rows: DataFrame, demographics: D
                    .groupBy(patient_key, category)
                    .agg(F.sum(_weighted(F.col("_s"), r)).alias("_s"),
                         F.sum(F.col("_n") * r).alias("_n")))
-    per_demo = demographics.groupBy(patient_key, *demo_cols).agg(F.count(F.lit(1)).alias("_w"))
-    w = F.col("_w")
-    return (per_patient.join(per_demo, patient_key)
-            .groupBy(*keys)
-            .agg(F.sum(_weighted(F.col("_s"), w)).alias("_s"), F.sum(F.col("_n") * w).alias("_n"))
-            .select(*keys, ratio(F.col("_s"), F.col("_n")).alias(out)))
+    return weighted_group_mean(per_patient, demographics, keys, category=category,
+                               patient_key=patient_key, out=out)
 
 
 def benefit_line_sums(eob: DataFrame, label: Callable[[Column], Column],
