@@ -210,8 +210,11 @@ def default_grid(estimator) -> list:
             .build())
 
 
-def score(model: PipelineModel, data: DataFrame, id_col: str = "patient_id") -> DataFrame:
-    return model.transform(prepare(data)).select(id_col, "prediction")
+def score(model: PipelineModel, data: DataFrame, id_col: str = "patient_id",
+          mode_source: DataFrame | None = None) -> DataFrame:
+    """Predictions per patient. ``mode_source`` (the training rows) supplies
+    the most-frequent values for missing categoricals, as in training."""
+    return model.transform(prepare(data, mode_source=mode_source)).select(id_col, "prediction")
 
 
 def scaled_columns(model: PipelineModel, data: DataFrame, numeric=NUMERIC_FEATURES,

@@ -164,4 +164,4 @@ def grid_search_forest(spark, sf):
 def score_patients(spark, sf):
     data = _data(spark, sf)
     model, _ = M.fit_evaluate(spark, M.forest(numTrees=100, maxDepth=10), data, "forest")
-    return M.score(model, data)
+    return M.score(model, data, mode_source=M.split(data)[0])
