@@ -31,3 +31,32 @@ def test_random_fanout_equals_naive(spark, claims, encounters, procedures):
     w = fanout.procedure_claim_cost(p, e, c)
     n = fanout.procedure_claim_cost(p, e, c, method="join")
     assert rows(w, 0) == rows(n.select(*w.columns), 0)
+
+
+LABELS = st.sampled_from(["Line Submitted Charge Amount", " line allowed charge amount",
+                          "Line Beneficiary Part B Deductible Amount", "something else"])
+ADJ = st.tuples(AMOUNTS, LABELS)
+EOB_ROWS = st.tuples(st.sampled_from(["b1", "b2", "b3"]),
+                     st.sampled_from(["urn:uuid:a", "urn:uuid:b", "c"]),
+                     st.one_of(st.none(), st.lists(ADJ, max_size=4)))
+DEMO = st.tuples(st.sampled_from(["a", "b", "c", "z"]), st.sampled_from(["male", "female"]),
+                 st.sampled_from(["Child", "Senior"]))
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(eob_rows=st.lists(EOB_ROWS, min_size=1, max_size=12), demo_rows=st.lists(DEMO, max_size=12))
+def test_random_benefit_means_equal_naive(spark, eob_rows, demo_rows):
+    from care_analytics.plans import disparities
+    data = [(e, p, None if adj is None else
+             [((v, "USD"), ([("s", "c", label)],)) for v, label in adj]) for e, p, adj in eob_rows]
+    eob = spark.createDataFrame(data, "eob_id string, patient_reference string, adjudication "
+                                "array<struct<amount:struct<value:double,currency:string>,"
+                                "category:struct<coding:array<struct<system:string,code:string,"
+                                "display:string>>>>>")
+    demo = spark.createDataFrame([(p, g, 30, "Single", a) for p, g, a in demo_rows],
+                                 "patient_reference string, gender string, age int, "
+                                 "marital_status string, age_group string")
+    for keys in (["category_display"], ["category_display", "gender", "age_group"]):
+        w = disparities.benefit_by(eob, demo, keys)
+        n = disparities.benefit_by(eob, demo, keys, method="join")
+        assert rows(w, 0) == rows(n.select(*w.columns), 0)
