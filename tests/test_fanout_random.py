@@ -77,3 +77,24 @@ def test_random_top_k_equals_full_sort(spark, claims, encounters, k):
             .orderBy(F.col("total_amount").desc_nulls_last(), F.col("claim_id").asc_nulls_first(),
                      F.col("encounter_id").asc_nulls_first()).limit(k))
     assert [tuple(r) for r in fast.collect()] == [tuple(r) for r in full.select(*fast.columns).collect()]
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(pairs=st.lists(st.tuples(
+    st.datetimes(min_value=__import__("datetime").datetime(1950, 1, 1),
+                 max_value=__import__("datetime").datetime(2050, 1, 1)),
+    st.datetimes(min_value=__import__("datetime").datetime(1950, 1, 1),
+                 max_value=__import__("datetime").datetime(2050, 1, 1))), min_size=1, max_size=20))
+def test_random_ntz_durations_match_wall_clock(spark, pairs):
+    import datetime as dt
+    from care_analytics.functions.columns import duration_seconds
+    df = spark.createDataFrame([(a, b) for a, b in pairs], "a timestamp_ntz, b timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = [r[0] for r in df.select(duration_seconds("a", "b", ntz=True)).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    floor = lambda t: t.replace(microsecond=0)
+    want = [int((floor(b) - floor(a)) / dt.timedelta(seconds=1)) for a, b in pairs]
+    assert got == want
