@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from care_analytics.llm.queries import bpe, exact, simhash
+from care_analytics.llm.queries import bpe, exact, language, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = [bpe, exact, simhash]
+_MODULES = [bpe, exact, language, simhash]
 
 QUERIES: dict[str, Query] = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL: dict[str, str] = {name: q for m in _MODULES for name, q in m.SQL.items()}
