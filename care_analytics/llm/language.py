@@ -20,12 +20,12 @@ row can be learned from; equal means take the alphabetically first label; repeat
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +39,7 @@ CHAIN_WORDS = 48           # length of a training chain
 SPAN_WORDS = (4, 24)       # words of one language in a row, in a training chain
 EPOCHS = 12
 CHUNK_CHARS = 3_000_000
+MIN_SCORE = 0.3            # a text below is rejected: no language stands out
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -275,24 +276,34 @@ def _small(model: Crf) -> Crf:
     return Crf(model.labels, model.weight.astype(np.float32), model.step.astype(np.float32))
 
 
+def language_of(docs: DataFrame, model: Crf) -> Callable[[Column], Column]:
+    """Text column -> struct (lang_pred, score) of the whole text."""
+    shared = docs.sparkSession.sparkContext.broadcast(_small(model))      # fixed size: 2^16 weights a label
+
+    @F.arrow_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    def predict(texts: pa.Array) -> pa.Array:
+        names: list[str] = []
+        scores: list[float] = []
+        for part in _parts(texts.to_pylist()):
+            n, s = shared.value.predict(part)
+            names += n
+            scores += s
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
+
+    return lambda text: predict(text_or_empty(text))
+
+
 def identify(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of each whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(_small(model))      # fixed size: 2^16 weights a label
+    return docs.select(F.col(id_col), language_of(docs, model)(F.col(text_col)).alias("__p")) \
+        .select(F.col(id_col), F.col("__p.lang_pred").alias("lang_pred"), F.col("__p.score").alias("score"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names: list[str] = []
-            scores: list[float] = []
-            for part in _parts(batch.column(1).to_pylist()):
-                n, s = shared.value.predict(part)
-                names += n
-                scores += s
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                                             names=[id_col, "lang_pred", "score"])
-
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()),
-                           T.StructField("score", T.DoubleType())])
-    return docs.select(F.col(id_col), text_or_empty(text_col).alias("__text")).mapInArrow(run, schema)
+
+def accepted(docs: DataFrame, model: Crf, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``docs``, all columns as they were, whose language is known with ``min_score`` or more."""
+    return docs.withColumn("__language", language_of(docs, model)(docs[text_col])) \
+        .filter((F.col("__language.lang_pred") != UNKNOWN) & (F.col("__language.score") >= min_score)) \
+        .select(*[docs[c] for c in docs.columns])
 
 
 def label_words(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,20 +1,62 @@
-"""Corpus pipeline over ``documents`` (grows stage by stage with the operators)."""
+"""Corpus pipeline over ``documents``: five operators, each on all that the one before kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as
+Parquet to the shared folder and reads again for the next. All but the last return the
+columns of documents. Rows with null or empty text go at the first stage (no letter, no language).
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from care_analytics.llm import bpe, decontaminate, exact_dedup, language, simhash
+from care_analytics.llm.common import drop_rows, keep_rows, written
+
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
-from care_analytics.llm.common import written
-from care_analytics.llm.exact_dedup import distinct_rows
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or in which no learned language stands out, go."""
+    return language.accepted(docs, language.train(docs))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal text, the one with the largest doc_id stays."""
-    return distinct_rows(docs)
+    return exact_dedup.distinct_rows(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by their fingerprints, the one with the smallest doc_id stays."""
+    first = simhash.near_dedup(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))) \
+        .select(F.col("doc_id").alias("__keep")).distinct()
+    return keep_rows(docs, first)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    leaks = decontaminate.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return drop_rows(docs, leaks.select(F.col("__id").alias("__drop")).distinct())
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, token ids (little-endian unsigned 32-bit), their number, and the digests of ids and decoded bytes."""
+    path = public_tokenizers.path(RANKS)
+    return bpe.decode(bpe.encode(docs, path), path).select(
+        "doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-STAGES = [("exact_dedup", drop_exact_copies)]
+STAGES = [
+    ("language", known_language),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_benchmark_leaks),
+    ("tokenize", tokenize),
+]
 
+# Language prediction, fingerprints, templates and token merging are not SQL: tests/llm checks run() by brute force.
 ORACLE_SQL = None
 
 
