@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from care_analytics.llm.queries import bpe, decontaminate, exact, language, pii, simhash, warc
+from care_analytics.llm.queries import bpe, decontaminate, exact, language, licenses, pii, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = [bpe, decontaminate, exact, language, pii, simhash, warc]
+_MODULES = [bpe, decontaminate, exact, language, licenses, pii, simhash, warc]
 
 QUERIES: dict[str, Query] = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL: dict[str, str] = {name: q for m in _MODULES for name, q in m.SQL.items()}
