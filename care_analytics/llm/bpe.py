@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from care_analytics.llm.common import text_or_empty
+from care_analytics.llm.common import slices, text_or_empty
 
 # Unicode White_Space, and the contraction endings of the pattern.
 WHITE_SPACE = [9, 10, 11, 12, 13, 32, 133, 160, 5760, 8192, 8193, 8194, 8195, 8196, 8197, 8198, 8199, 8200,
@@ -38,8 +38,8 @@ WHITE_SPACE = [9, 10, 11, 12, 13, 32, 133, 160, 5760, 8192, 8193, 8194, 8195, 81
 ENDINGS_OF_ONE = "stmd"
 ENDINGS_OF_TWO = ["re", "ve", "ll"]
 
-CACHE_WORDS = 600_000     # words a worker remembers
-CHUNK_CHARS = 2_000_000   # code points scanned side by side
+CACHE_WORDS = 250_000     # words a worker remembers
+CHUNK_BYTES = 2_000_000   # bytes of text scanned side by side
 ROW_CHARS = 1024          # steps of a scan
 
 # Classes of code points; + 8 marks the first code point of a text.
@@ -133,8 +133,8 @@ def token_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(marks.T).reshape(-1)[:n]
 
 
-class Merger:
-    """Pair merging by a rank table, with a bounded cache of words."""
+class Decoder:
+    """The bytes of each token."""
 
     def __init__(self, table: bytes):
         lines = [line.split() for line in table.splitlines() if line]
@@ -143,6 +143,16 @@ class Merger:
         self.token: list[bytes | None] = [None] * self.size
         for token, rank in self.rank.items():
             self.token[rank] = token
+
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+class Merger(Decoder):
+    """Pair merging by a rank table, with a bounded cache of words."""
+
+    def __init__(self, table: bytes):
+        super().__init__(table)
         self.length = np.array([len(t or b"") for t in self.token], np.int64)
         self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
         keys, ranks = [], []
@@ -152,7 +162,6 @@ class Merger:
                 if left is not None and right is not None:
                     keys.append(left * self.size + right)
                     ranks.append(rank)
-        self.pair = dict(zip(keys, ranks))
         self._hash(np.array(keys, np.int64), np.array(ranks, np.int64))
         self.known: dict[str, bytes] = {}
 
@@ -193,8 +202,8 @@ class Merger:
         ids = self.byte[np.frombuffer(word, np.uint8)].tolist()
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair, size = self.pair, self.size
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := pair.get(ids[i] * size + ids[i + 1])) is not None]
+        token, rank_of = self.token, self.rank.get
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank_of(token[ids[i]] + token[ids[i + 1]])) is not None]
         heapq.heapify(heap)
         while heap:
             rank, i, left, right = heapq.heappop(heap)
@@ -205,9 +214,9 @@ class Merger:
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
-                if (r := pair.get(rank * size + ids[after[i]])) is not None:
+                if (r := rank_of(token[rank] + token[ids[after[i]]])) is not None:
                     heapq.heappush(heap, (r, i, rank, ids[after[i]]))
-            if before[i] >= 0 and (r := pair.get(ids[before[i]] * size + rank)) is not None:
+            if before[i] >= 0 and (r := rank_of(token[ids[before[i]]] + token[rank])) is not None:
                 heapq.heappush(heap, (r, before[i], ids[before[i]], rank))
         return np.array([x for x in ids if x >= 0], "<u4").tobytes()
 
@@ -289,37 +298,21 @@ class Merger:
         cuts = np.searchsorted(at, np.r_[0, ends]).tolist()
         return [b"".join(ids[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
 
-    def decode(self, ids: bytes | None) -> bytes:
-        return b"".join(map(self.token.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
-
     def offsets(self, ids: bytes) -> bytes:
         """First byte of each token in the encoded text, little-endian unsigned 32-bit integers."""
         size = self.length[np.frombuffer(ids, "<u4")]
         return (np.cumsum(size) - size).astype("<u4").tobytes()
 
 
-_MERGERS: dict[bytes, Merger] = {}
-
-
-def merger(table: bytes) -> Merger:
-    """One merger per worker and rank table."""
-    key = table[:64] + len(table).to_bytes(8, "little")
-    if key not in _MERGERS:
-        _MERGERS[key] = Merger(table)
-    return _MERGERS[key]
+_OWN: dict[tuple[type, bytes], Merger | Decoder] = {}
 
 
-def _chunks(texts: list[str]) -> Iterator[list[str]]:
-    part: list[str] = []
-    size = 0
-    for text in texts:
-        if part and size + len(text) > CHUNK_CHARS:
-            yield part
-            part, size = [], 0
-        part.append(text)
-        size += len(text)
-    if part:
-        yield part
+def own(kind: type, table: bytes) -> Merger | Decoder:
+    """One merger or decoder per worker and rank table."""
+    key = (kind, table[:64] + len(table).to_bytes(8, "little"))
+    if key not in _OWN:
+        _OWN[key] = kind(table)
+    return _OWN[key]
 
 
 def _table(docs: DataFrame, ranks_path: str):
@@ -327,22 +320,25 @@ def _table(docs: DataFrame, ranks_path: str):
         return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids binary, offsets binary): the tokens of each whole text and the byte each starts at."""
+def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text",
+           decoded: bool = False) -> DataFrame:
+    """(id, ids binary, offsets binary): the tokens of each whole text and the byte each starts at. With ``decoded``,
+    also the bytes that the ids decode to, from the same worker."""
     table = _table(docs, ranks_path)
+    names = [id_col, "ids", "offsets"] + ["decoded"] * decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = merger(table.value)
+        merger = own(Merger, table.value)
         for batch in batches:
-            ids: list[bytes] = []
-            for part in _chunks(batch.column(1).to_pylist()):
-                ids += own.encode_all(part)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids, pa.binary()), pa.array([own.offsets(x) for x in ids], pa.binary())],
-                names=[id_col, "ids", "offsets"])
-
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType),
-                           T.StructField("ids", T.BinaryType()), T.StructField("offsets", T.BinaryType())])
+            for part, texts in slices(batch, batch.column(1), CHUNK_BYTES):
+                ids = merger.encode_all(texts)
+                columns = [part.column(0), pa.array(ids, pa.binary()), pa.array(map(merger.offsets, ids), pa.binary())]
+                if decoded:
+                    columns.append(pa.array(map(merger.decode, ids), pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType)]
+                          + [T.StructField(name, T.BinaryType()) for name in names[1:]])
     return docs.select(F.col(id_col), text_or_empty(text_col).alias("__text")).mapInArrow(run, schema)
 
 
@@ -351,19 +347,19 @@ def decode(tokens: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
     table = _table(tokens, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = merger(table.value)
+        decoder = own(Decoder, table.value)
         for batch in batches:
-            decoded = pa.array([own.decode(x) for x in batch.column(1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), decoded],
-                                             names=[id_col, "ids", "decoded"])
+            for part, ids in slices(batch, batch.column(1), CHUNK_BYTES):
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(map(decoder.decode, ids), pa.binary())],
+                                                 names=[id_col, "ids", "decoded"])
 
     schema = T.StructType([T.StructField(id_col, tokens.schema[id_col].dataType),
                            T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
-    return tokens.select(F.col(id_col), F.col(ids_col).alias("ids")).mapInArrow(run, schema)
+    return tokens.select(F.col(id_col), F.coalesce(F.col(ids_col), F.lit(b"")).alias("ids")).mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) of each text, encoded and decoded again."""
-    return decode(encode(docs, ranks_path, id_col, text_col), ranks_path, id_col) \
-        .select(F.col(id_col), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+    """(id, ids, n_tokens, ids_sha256, decoded_sha256) of each text, encoded and decoded again."""
+    return encode(docs, ranks_path, id_col, text_col, decoded=True) \
+        .select(F.col(id_col), "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                 F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -8,7 +8,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,3 +97,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")) \
         .union(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def slices(rows: pa.RecordBatch | pa.Array, text: pa.Array, size: int) -> Iterator[tuple[pa.RecordBatch | pa.Array, list[str]]]:
+    """Consecutive parts of ``rows`` with their texts, of about ``size`` bytes of text each (a longer text is a
+    part of its own). Only one part's texts are Python objects at a time."""
+    if not len(text):
+        return
+    ends = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < len(text):
+        base = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, base + size, side="right")))
+        yield rows.slice(begin, end - begin), text.slice(begin, end - begin).to_pylist()
+        begin = end

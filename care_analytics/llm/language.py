@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from care_analytics.llm.common import text_or_empty
+from care_analytics.llm.common import slices, text_or_empty
 
 UNKNOWN = "und"
 SAMPLE_LINES = 400         # different lines a label is fitted on
@@ -38,7 +38,7 @@ FEATURE_BITS = 16
 CHAIN_WORDS = 48           # length of a training chain
 SPAN_WORDS = (4, 24)       # words of one language in a row, in a training chain
 EPOCHS = 12
-CHUNK_CHARS = 3_000_000
+CHUNK_BYTES = 3_000_000
 MIN_SCORE = 0.3            # a text below is rejected: no language stands out
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -259,19 +259,6 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit(training_lines(docs, id_col, text_col, lang_col, sample_lines))
 
 
-def _parts(texts: list[str]) -> Iterator[list[str]]:
-    part: list[str] = []
-    size = 0
-    for text in texts:
-        if part and size + len(text) > CHUNK_CHARS:
-            yield part
-            part, size = [], 0
-        part.append(text)
-        size += len(text)
-    if part:
-        yield part
-
-
 def _small(model: Crf) -> Crf:
     return Crf(model.labels, model.weight.astype(np.float32), model.step.astype(np.float32))
 
@@ -284,7 +271,7 @@ def language_of(docs: DataFrame, model: Crf) -> Callable[[Column], Column]:
     def predict(texts: pa.Array) -> pa.Array:
         names: list[str] = []
         scores: list[float] = []
-        for part in _parts(texts.to_pylist()):
+        for _, part in slices(texts, texts, CHUNK_BYTES):
             n, s = shared.value.predict(part)
             names += n
             scores += s
@@ -315,7 +302,7 @@ def label_words(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: s
         own = shared.value
         for batch in batches:
             rows: list[list[dict]] = []
-            for part in _parts(batch.column(1).to_pylist()):
+            for _, part in slices(batch, batch.column(1), CHUNK_BYTES):
                 for words, post in zip(*own.word_labels(part)):
                     best = post.argmax(axis=1).tolist() if own.labels and len(words) else []
                     rows.append([{"word": w, "label": own.labels[b], "score": float(p[b])} for w, b, p in zip(words, best, post)]

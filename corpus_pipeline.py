@@ -42,10 +42,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, token ids (little-endian unsigned 32-bit), their number, and the digests of ids and decoded bytes."""
-    path = public_tokenizers.path(RANKS)
-    return bpe.decode(bpe.encode(docs, path), path).select(
-        "doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.round_trip(docs, public_tokenizers.path(RANKS))
 
 
 STAGES = [
