@@ -45,8 +45,9 @@ def main() -> None:
     spark = local_session(cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE", "16")),
                           app="care_analytics_bench")
     from care_analytics.plans import cost, disparities
-    from care_analytics.queries import QUERIES, cost_inputs, encounter_patients_kept
-    from care_analytics.sources.roles import DriverTables
+    from driver_queries import QUERIES
+    from driver_queries.core import cost_inputs, encounter_patients_kept
+    from driver_queries.roles import DriverTables
 
     run(spark.read.parquet(f"{sf_dir}/orders.parquet"))  # warm-up: JVM, codegen caches
     def timed(build) -> float:

@@ -100,16 +100,6 @@ def outlier_stays(df: DataFrame, limit: float = C.OUTLIER_STAY_MINUTES) -> DataF
     return df.filter(F.col("encounter_duration") > limit)
 
 
-def split_outliers(df: DataFrame, limit: float = C.OUTLIER_STAY_MINUTES,
-                   class_label: str = C.INPATIENT_LABEL) -> tuple[DataFrame, DataFrame]:
-    return keep_short_stays(df, limit, class_label), outlier_stays(df, limit)
-
-
 def long_stays(df: DataFrame, minutes: float = C.LONG_STAY_MINUTES,
                class_label: str = C.INPATIENT_LABEL) -> DataFrame:
     return df.filter((F.col("class_code") == class_label) & (F.col("encounter_duration") > minutes))
-
-
-def fill_missing(df: DataFrame, value=0, subset: Sequence[str] | None = None) -> DataFrame:
-    """``fillna``: numeric columns only when ``value`` is a number."""
-    return df.fillna(value, subset=list(subset) if subset else None)

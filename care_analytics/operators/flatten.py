@@ -13,6 +13,7 @@ takes element columns from the first element of each array.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -27,13 +28,32 @@ GEOLOCATION_URL = "http://hl7.org/fhir/StructureDefinition/geolocation"
 ColumnSpec = tuple  # (name, path, type) or (name, callable(root) -> Column)
 
 
+CODED = re.compile(r"^(\$\.(?:\w+\.)*\w+)(?:\[0\])?\.coding\[0\]\.(\w+)$")
+TEXT = re.compile(r"^(\$\.(?:\w+\.)*\w+)(?:\[0\])?\.text$")
+
+
+def either_shape(path: str) -> list[str]:
+    """The paths at which a coded value may stand: producers write a concept, and its
+    codings, as one object or as a list. Other paths have one shape."""
+    if coded := CODED.match(path):
+        shapes = [f"{coded[1]}{one}.coding{two}.{coded[2]}" for one in ("", "[0]") for two in ("[0]", "")]
+    elif text := TEXT.match(path):
+        shapes = [f"{text[1]}{one}.text" for one in ("", "[0]")]
+    else:
+        return [path]
+    return sorted(shapes, key=lambda x: x != path)
+
+
 def vget(root: Column, path: str, dtype: str = "string") -> Column:
-    """Value at a JSON path of a VARIANT; NULL when missing or of another shape."""
-    return F.try_variant_get(root, path, dtype)
+    """Value at a JSON path of a VARIANT; NULL when missing. A coded value is found in either shape."""
+    return F.coalesce(*[F.try_variant_get(root, x, dtype) for x in either_shape(path)])
 
 
 def varray(root: Column, path: str) -> Column:
-    return F.try_variant_get(root, path, "array<variant>")
+    """The array at a path; an object there counts as a list of one, and anything else as missing."""
+    one = F.try_variant_get(root, path, "variant")
+    return F.coalesce(F.try_variant_get(root, path, "array<variant>"),
+                      F.when(F.schema_of_variant(one).startswith("OBJECT"), F.array(one)))
 
 
 def raw_json(path: str) -> Callable[[Column], Column]:

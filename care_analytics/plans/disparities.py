@@ -69,6 +69,14 @@ def pivot_duration(df: DataFrame, rows: Sequence[str], column: str,
                                 values, fill=fill)
 
 
+def pivot_duration_all(df: DataFrame, rows: Sequence[str], column: str, values: Sequence[str]) -> DataFrame:
+    """Mean duration, ``rows`` x ``values`` of ``column`` plus one column for all other values and one for
+    NULL; empty cells 0."""
+    def cell(where):
+        return F.coalesce(mean_integral(F.when(where, F.col("encounter_seconds")), 60.0), F.lit(0.0))
+    return grouping.pivot_all(df, rows, column, cell, values)
+
+
 def pivot_counts(df: DataFrame, rows: Sequence[str], column: str,
                  values: Sequence[str], fill=0) -> DataFrame:
     return grouping.pivot_table(df, rows, column, F.count(F.lit(1)), values, fill=fill)
@@ -129,17 +137,22 @@ def benefit_by(eob: DataFrame, encounter_patients_kept: DataFrame, keys: Sequenc
     return fanout.weighted_group_mean(per_patient, demographics(encounter_patients_kept), keys)
 
 
-def benefit_rows(eob: DataFrame, encounter_patients_kept: DataFrame) -> DataFrame:
-    """The joined benefit rows themselves (lines x EOB rows x encounters)."""
-    lines = adjudication_lines(eob).join(
+def adjudication_rows(eob: DataFrame) -> DataFrame:
+    """Every adjudication line with every row of its EOB. The rows grow with the square of an EOB's
+    rows: for given EOBs, not for reports."""
+    return adjudication_lines(eob).join(
         eob.select("eob_id", "insurance_coverage_display", "billable_period_start"), ["eob_id"])
-    lines = (lines.drop("category_code", "insurance_coverage_display")
-                  .withColumn("patient_reference", C.reference_id("patient_reference")))
+
+
+def benefit_rows(eob: DataFrame, encounter_patients_kept: DataFrame) -> DataFrame:
+    """The joined benefit rows themselves (lines x EOB rows x encounters), labelled and filtered. For given
+    patients, not for reports: ``benefit_by`` gives the same means without the product."""
+    lines = benefit_lines(eob).join(eob.select("eob_id"), ["eob_id"]).drop("category_code")
     return lines.join(demographics(encounter_patients_kept), ["patient_reference"])
 
 
 __all__ = [
     "age_statistics", "age_by", "encounter_patients", "overlap_count", "duration_by",
-    "pivot_duration", "pivot_counts", "longest", "benefit_totals", "adjudication_lines",
-    "benefit_lines", "demographics", "benefit_by", "benefit_rows",
+    "pivot_duration", "pivot_duration_all", "pivot_counts", "longest", "benefit_totals", "adjudication_lines",
+    "benefit_lines", "demographics", "benefit_by", "benefit_rows", "adjudication_rows",
 ]

@@ -20,5 +20,5 @@ def run(spark: SparkSession, input_path: str, output_root: str, ndjson: bool = F
         num_partitions: int | None = None, grain: str = "line") -> list[str]:
     """Read bundles, flatten all resource types, write one Parquet folder each."""
     entries = bundle_entries(read_bundles(spark, input_path, ndjson=ndjson,
-                                          num_partitions=num_partitions))
+                                          num_partitions=num_partitions), keep_corrupt=True)
     return Warehouse(spark, output_root).build(entries, grain=grain)

@@ -71,10 +71,6 @@ def claim_features(claims: DataFrame, ref: str = "patient_reference") -> DataFra
         to_double(exact_sum("total_amount")).alias("total_claim_amount"))
 
 
-def count_per_key(df: DataFrame, ref: str, id_col: str, out: str) -> DataFrame:
-    return df.groupBy(_key(ref)).agg(F.count(id_col).alias(out))
-
-
 def activity_counts(conditions: DataFrame, procedures: DataFrame, immunizations: DataFrame,
                     diagnostic_reports: DataFrame) -> DataFrame:
     """Conditions, procedures, immunizations, reports per patient: one shuffle."""

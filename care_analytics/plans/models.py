@@ -162,7 +162,7 @@ def metrics(predictions: DataFrame, label: str = LABEL, prediction: str = "predi
 def fit_evaluate(spark, pipeline: Pipeline, data: DataFrame, name: str,
                  id_col: str = "patient_id", test: float = 0.2) -> tuple[PipelineModel, DataFrame]:
     """Fit on the hash-split training part; metrics on the held-out part."""
-    checkpoint_dir(spark)
+    spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     prepared = prepare(data, mode_source=split(data, id_col, test)[0])
     train, held_out = split(prepared, id_col, test)
     train = train.persist()
@@ -177,7 +177,7 @@ def fit_evaluate(spark, pipeline: Pipeline, data: DataFrame, name: str,
 def cross_validate(spark, pipeline: Pipeline, data: DataFrame, folds: int = 5,
                    id_col: str = "patient_id", grid=None, parallelism: int = 1) -> list[float]:
     """Mean squared error per grid point, over ``folds`` hash folds (an action)."""
-    checkpoint_dir(spark)
+    spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     prepared = with_folds(prepare(data), id_col, folds).persist()
     try:
         cv = CrossValidator(estimator=pipeline, estimatorParamMaps=grid or [{}],

@@ -20,7 +20,8 @@ from ..sources.warehouse import Warehouse, write_result
 from . import cost, disparities, features
 
 CLASS_LABELS = ("Ambulatory", "Emergency", "Inpatient", "Unknown")
-GENDERS = ("female", "male")
+# The administrative genders of the record format; any other value has a column of its own.
+GENDERS = ("female", "male", "other", "unknown")
 
 
 def reports(wh: Warehouse, as_of=None, genders=GENDERS) -> dict[str, DataFrame]:
@@ -52,7 +53,7 @@ def reports(wh: Warehouse, as_of=None, genders=GENDERS) -> dict[str, DataFrame]:
                                                                C.CARE_AGE_LABELS),
         "duration_by_class_age_gender": disparities.duration_by(
             kept, ["class_code", "age_group", "gender"], order=True),
-        "pivot_class_age_gender_duration": disparities.pivot_duration(
+        "pivot_class_age_gender_duration": disparities.pivot_duration_all(
             kept, ["class_code", "age_group"], "gender", genders),
         "duration_by_marital": disparities.duration_by(kept, ["marital_status"]),
         "duration_by_marital_gender": disparities.duration_by(kept, ["marital_status", "gender"],

@@ -39,7 +39,9 @@ ENTRY = StructType([
     StructField("fullUrl", StringType()),
     StructField("resource", VariantType()),
 ])
-BUNDLE = StructType([StructField("entry", ArrayType(ENTRY))])
+# Documents that cannot be parsed arrive whole in this column, and as entries of this type.
+CORRUPT = "_corrupt"
+BUNDLE = StructType([StructField("entry", ArrayType(ENTRY)), StructField(CORRUPT, StringType())])
 
 CODING = StructType([
     StructField("system", StringType()),

@@ -6,9 +6,6 @@ sets only what is unset, so a cluster's own settings always win.
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Adaptive execution re-plans joins and partition counts from real sizes;
@@ -32,23 +29,26 @@ def configure(spark: SparkSession, overrides: dict[str, str] | None = None) -> S
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
+    """The cluster's shared checkpoint folder, as the session names it.
 
-    Only when the session names none (local tests) is a folder set here.
+    There is no fallback: a folder on the driver's disk is not seen by executors, and a
+    stream that starts in a new one loses its progress.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="care-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        raise ValueError("no checkpoint folder: set spark.checkpoint.dir to a folder that all executors "
+                         "share, or call SparkContext.setCheckpointDir, before this step")
     return d
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "care_analytics",
                   extra: dict[str, str] | None = None) -> SparkSession:
-    """A local session for tests and benchmarks (UI off, no servers)."""
+    """A local session for tests and benchmarks (UI off, no servers). Files are read in small
+    splits, so that a small table still feeds every core."""
     b = (SparkSession.builder.master(f"local[{cores}]").appName(app)
          .config("spark.ui.enabled", "false")
+         .config("spark.sql.files.minPartitionNum", str(cores if cores != "*" else 8))
+         .config("spark.sql.files.openCostInBytes", "65536")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.driver.memory", "8g")
          .config("spark.ui.showConsoleProgress", "false"))

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.flatten import FLATTENERS, flatten
-from ..schemas import TABLE_OF
-from .bundles import resources, shared
+from ..schemas import CORRUPT, TABLE_OF
+from .bundles import corrupt_documents, resources, shared
 
 
 class Warehouse:
@@ -44,28 +44,29 @@ class Warehouse:
         by resource type, under ``<root>/_staging``; each table then reads
         only its own partition. The input is parsed once, no executor has
         to hold it in memory, and the twelve writes restart from the staged
-        files, not from the raw bundles, if executors are lost.
+        files, not from the raw bundles, if executors are lost. The staged
+        copy is removed when all tables are written. Malformed documents go to
+        the table ``_corrupt``; its row count says how many there were.
         ``stage="memory"`` persists the entries instead (small inputs).
         """
         types = list(types or TABLE_OF)
-        written = []
-        if stage == "parquet":
-            path = f"{self.root}/_staging/entries"
-            (entries.filter(F.col("resource_type").isin(*types))
-             .select("resource_type", "resource")
-             .write.mode("overwrite").partitionBy("resource_type").parquet(path))
-            staged = self.spark.read.schema("resource variant, resource_type string").parquet(path)
-            for rtype in types:
-                name = TABLE_OF[rtype]
-                self.write(flatten(resources(staged, rtype), FLATTENERS[rtype], grain=grain), name)
-                written.append(name)
-            return written
-        with shared(entries) as e:
-            for rtype in types:
-                name = TABLE_OF[rtype]
-                self.write(flatten(resources(e, rtype), FLATTENERS[rtype], grain=grain), name)
-                written.append(name)
-        return written
+        if stage != "parquet":
+            with shared(entries) as e:
+                return self._tables(e, types, grain)
+        path = f"{self.root}/_staging/entries"
+        (entries.filter(F.col("resource_type").isin(*types, CORRUPT))
+         .select("resource_type", "resource")
+         .write.mode("overwrite").partitionBy("resource_type").parquet(path))
+        staged = self.spark.read.schema("resource variant, resource_type string").parquet(path)
+        names = self._tables(staged, types, grain)
+        _remove(self.spark, f"{self.root}/_staging")
+        return names
+
+    def _tables(self, entries: DataFrame, types: Iterable[str], grain: str) -> list[str]:
+        for rtype in types:
+            self.write(flatten(resources(entries, rtype), FLATTENERS[rtype], grain=grain), TABLE_OF[rtype])
+        self.write(corrupt_documents(entries), CORRUPT)
+        return [TABLE_OF[rtype] for rtype in types]
 
     def row_counts(self, names: Iterable[str] | None = None) -> DataFrame:
         """One row per table: (table_name, num_rows), from a single union job."""
@@ -85,6 +86,12 @@ def write_result(df: DataFrame, root: str, name: str, mode: str = "overwrite") -
     return path
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder on whatever file system holds it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _expected_columns(name: str) -> list[str]:
     for rtype, table in TABLE_OF.items():
         if table == name:

@@ -18,22 +18,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.flatten import FLATTENERS, flatten
-from ..schemas import BUNDLE, TABLE_OF
+from ..schemas import BUNDLE, CORRUPT, TABLE_OF
 from ..session import checkpoint_dir
-from ..sources.bundles import bundle_entries, resources, shared
+from ..sources.bundles import bundle_entries, corrupt_documents, resources, shared
 
 
 def bundle_stream(spark: SparkSession, input_dir: str, ndjson: bool = True,
                   max_files_per_trigger: int | None = None) -> DataFrame:
     reader = (spark.readStream.schema(BUNDLE).option("mode", "PERMISSIVE")
-              .option("multiLine", not ndjson))
+              .option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", not ndjson))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return bundle_entries(reader.json(input_dir))
+    return bundle_entries(reader.json(input_dir), keep_corrupt=True)
 
 
 def write_batch(output_root: str, types: Iterable[str], grain: str = "line"):
-    """A ``foreachBatch`` function: flatten one micro-batch into every table."""
+    """A ``foreachBatch`` function: flatten one micro-batch into every table (malformed documents into ``_corrupt``)."""
     types = list(types)
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -43,6 +43,8 @@ def write_batch(output_root: str, types: Iterable[str], grain: str = "line"):
                 (flatten(resources(b, rtype), FLATTENERS[rtype], grain=grain)
                  .write.mode("overwrite")
                  .parquet(f"{output_root.rstrip('/')}/{table}/batch_id={batch_id}"))
+            corrupt_documents(b).write.mode("overwrite") \
+                .parquet(f"{output_root.rstrip('/')}/{CORRUPT}/batch_id={batch_id}")
     return run
 
 
@@ -52,8 +54,9 @@ def start(spark: SparkSession, input_dir: str, output_root: str, ndjson: bool =
           max_files_per_trigger: int | None = None, grain: str = "line") -> StreamingQuery:
     """Start ingestion. ``available_now`` processes what is there and stops;
     otherwise a micro-batch runs every ``processing_time``. Progress lives in
-    ``checkpoint`` (default: a folder under the session's shared checkpoint
-    directory)."""
+    ``checkpoint``; without it, in a folder of fixed name under the session's shared
+    checkpoint folder, so a restarted driver goes on where the last one stopped. With
+    neither, the call is an error."""
     key = hashlib.sha1(f"{input_dir}|{output_root}".encode()).hexdigest()[:12]
     ckpt = checkpoint or f"{checkpoint_dir(spark)}/stream-{key}"
     writer = (bundle_stream(spark, input_dir, ndjson, max_files_per_trigger).writeStream

@@ -14,17 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle as O
-from .functions import columns as C
-from .operators import cleaning, grouping
-from .plans import cost, disparities, features
-from .sources.roles import DriverTables
+from care_analytics.functions import columns as C
+from care_analytics.functions.aggregates import sum_double
+from care_analytics.operators import cleaning, grouping
+from care_analytics.plans import cost, disparities, features
+from .roles import DriverTables
 
 AS_OF = O.AS_OF
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 CLASS_LABELS = ("Ambulatory", "Emergency", "Inpatient", "Unknown")
-GENDERS = ("female", "male")
+# The administrative genders of the record format; any other value has a column of its own.
+GENDERS = ("female", "male", "other", "unknown")
 BENEFIT_LABELS = tuple(sorted(set(C.BENEFIT_CATEGORY_LABELS.values()) - set(C.BENEFIT_CATEGORY_EXCLUDED)))
 
 
@@ -274,44 +276,23 @@ def join_claim_patient(spark, sf):
 
 
 @register("join_adjudication_eob", """
-SELECT l.eob_id, l.category_display, COUNT(*) AS num_rows, {s} AS total_value
-FROM r_benefit l JOIN (SELECT eob_id FROM r_eob) h ON l.eob_id = h.eob_id
-GROUP BY l.eob_id, l.category_display""".format(s=O.sum_sql("l.value")))
+SELECT l.eob_id, l.category_display, l.value, h.billable_period_start
+FROM r_benefit l JOIN (SELECT eob_id, billable_period_start FROM r_eob) h ON l.eob_id = h.eob_id""")
 def join_adjudication_eob(spark, sf):
-    """Lines x EOB header rows, summarised per (EOB, category): rows and value.
-
-    Computed from per-EOB counts; the product itself is never built.
-    """
-    eob = _t(spark, sf).eob()
-    lines = disparities.adjudication_lines(eob)
-    per_line = lines.groupBy("eob_id", "category_display").agg(
-        F.count(F.lit(1)).alias("_k"), F.sum(F.col("value").cast("decimal(18,4)")).alias("_s"))
-    rows = eob.groupBy("eob_id").agg(F.count(F.lit(1)).alias("_r"))
-    j = per_line.join(rows, "eob_id")
-    return j.select("eob_id", "category_display", (F.col("_k") * F.col("_r")).alias("num_rows"),
-                    (F.col("_s") * F.col("_r").cast("decimal(20,0)")).cast("double").alias("total_value"))
+    """The joined rows: every adjudication line with every row of its EOB."""
+    return disparities.adjudication_rows(_t(spark, sf).eob()).select(
+        "eob_id", "category_display", "value", "billable_period_start")
 
 
 @register("join_benefit_demographics", """
 SELECT category_display, gender, age_group, COUNT(*) AS num_rows, {s} AS total_value
 FROM benefit_joined GROUP BY category_display, gender, age_group""".format(s=O.sum_sql("value")))
 def join_benefit_demographics(spark, sf):
-    """Benefit lines x EOB rows x kept encounters: row count and value by group."""
+    """The joined rows (lines x EOB rows x kept encounters), counted and summed by group only to be compared."""
     t = _t(spark, sf)
-    eob = t.eob()
-    lines = disparities.benefit_lines(eob)
-    per_line = lines.groupBy("eob_id", "patient_reference", "category_display").agg(
-        F.count(F.lit(1)).alias("_k"), F.sum(F.col("value").cast("decimal(18,4)")).alias("_s"))
-    rows = eob.groupBy("eob_id").agg(F.count(F.lit(1)).alias("_r"))
-    per_patient = (per_line.join(rows, "eob_id").groupBy("patient_reference", "category_display")
-                   .agg(F.sum(F.col("_k") * F.col("_r")).alias("_k"),
-                        F.sum(F.col("_s") * F.col("_r").cast("decimal(20,0)")).alias("_s")))
-    demo = (disparities.demographics(encounter_patients_kept(t))
-            .groupBy("patient_reference", "gender", "age_group").agg(F.count(F.lit(1)).alias("_w")))
-    j = per_patient.join(demo, "patient_reference")
-    return j.groupBy("category_display", "gender", "age_group").agg(
-        F.sum(F.col("_k") * F.col("_w")).alias("num_rows"),
-        F.sum(F.col("_s") * F.col("_w").cast("decimal(20,0)")).cast("double").alias("total_value"))
+    rows = disparities.benefit_rows(t.eob(), encounter_patients_kept(t))
+    return rows.groupBy("category_display", "gender", "age_group").agg(
+        F.count(F.lit(1)).alias("num_rows"), sum_double("value").alias("total_value"))
 
 
 @register("join_patient_chronic_flag", """
@@ -591,12 +572,16 @@ def pivot_class_age_duration(spark, sf):
                                       "age_group", C.CARE_AGE_LABELS)
 
 
+GENDER_CELLS = [(v, f"gender = '{v}'") for v in GENDERS] + [
+    ("(other)", "gender NOT IN (" + ", ".join(f"'{v}'" for v in GENDERS) + ")"), ("(missing)", "gender IS NULL")]
+
+
 @register("pivot_class_age_gender_duration", "SELECT class_code, age_group, " + ", ".join(
-    f"COALESCE({_avg(f'gender = {chr(39)}{v}{chr(39)}')}, 0.0) AS {_q(v)}" for v in GENDERS)
+    f"COALESCE({_avg(w)}, 0.0) AS {_q(v)}" for v, w in GENDER_CELLS)
     + " FROM ep_kept GROUP BY class_code, age_group")
 def pivot_class_age_gender_duration(spark, sf):
-    return disparities.pivot_duration(encounter_patients_kept(_t(spark, sf)),
-                                      ["class_code", "age_group"], "gender", GENDERS)
+    return disparities.pivot_duration_all(encounter_patients_kept(_t(spark, sf)),
+                                          ["class_code", "age_group"], "gender", GENDERS)
 
 
 @register("pivot_benefit_groups", "SELECT gender, age_group, marital_status, " + ", ".join(
@@ -635,8 +620,3 @@ def topk_longest_encounters(spark, sf):
 
 
 __all__ = ["QUERIES", "SQL"]
-
-
-# ETL and model queries register themselves into the same tables.
-from . import queries_etl  # noqa: E402,F401
-from . import queries_models  # noqa: E402,F401

@@ -1,6 +1,6 @@
 """Registered ETL queries: bundles, entries, flatteners, warehouse round trip.
 
-Resources are built from the driver tables (``sources/resources.py``); the
+Resources are built from the driver tables (``resources.py``); the
 oracle SQL states the flat rows each flattener must produce from them.
 Array columns are compared as JSON text (``to_json`` on both sides), nested
 adjudications by their length.
@@ -14,15 +14,15 @@ import time
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators.flatten import FLATTENERS, flatten
-from .plans import disparities
-from .queries import _t, register
-from .functions.columns import parse_json_array
-from .schemas import TABLE_OF
-from .session import checkpoint_dir
-from .sources.bundles import bundle_entries, read_bundles, resource_counts
-from .sources.resources import RoleResources
-from .sources.warehouse import Warehouse
+from care_analytics.operators.flatten import FLATTENERS, flatten
+from care_analytics.plans import disparities
+from .core import _t, register
+from care_analytics.functions.columns import parse_json_array
+from care_analytics.schemas import TABLE_OF
+from care_analytics.session import checkpoint_dir
+from care_analytics.sources.bundles import bundle_entries, read_bundles, resource_counts
+from .resources import RoleResources
+from care_analytics.sources.warehouse import Warehouse
 
 
 def _iso(c: str) -> str:
@@ -72,7 +72,7 @@ PATIENT_SQL = f"""
 SELECT {_s('p', 'c_custkey')} AS patient_id,
   to_json(['Medical Record Number', c_mktsegment]) AS identifier_types,
   '[{{"family":"' || c_name || '","use":"official"}}]' AS name,
-  CASE WHEN c_custkey % 2 = 0 THEN 'male' ELSE 'female' END AS gender,
+  CASE WHEN c_custkey % 41 = 7 THEN 'other' WHEN c_custkey % 43 = 9 THEN 'unknown' WHEN c_custkey % 47 = 5 THEN NULL WHEN c_custkey % 2 = 0 THEN 'male' ELSE 'female' END AS gender,
   strftime(DATE '1930-01-01' + CAST((c_custkey * 7919) % 33000 AS INTEGER), '%Y-%m-%d') AS birth_date,
   c_mktsegment AS city, n_name AS state, {_s('R', 'n_regionkey')} AS country,
   {_s('N', 'c_nationkey')} AS postal_code, c_acctbal AS latitude, CAST(n_nationkey AS DOUBLE) AS longitude,
@@ -393,7 +393,7 @@ def stream_warehouse_tables(spark, sf):
 
     Each run takes a fresh folder: a stream's checkpoint remembers the files
     it has read, so re-written input must not meet an old checkpoint."""
-    from .streaming import ingest
+    from care_analytics.streaming import ingest
     base = f"{checkpoint_dir(spark)}/stream-{hashlib.sha1(sf.encode()).hexdigest()[:10]}"
     run = hashlib.sha1(str(time.time_ns()).encode()).hexdigest()[:8]
     src, out = f"{base}/{run}/in", f"{base}/{run}/out"

@@ -13,9 +13,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .plans import features as FT
-from .plans import models as M
-from .queries import _features, register
+from care_analytics.plans import features as FT
+from care_analytics.plans import models as M
+from .core import _features, register
 
 # Boosting rounds for the registered risk-model check: 100 rounds at step 0.1
 # (the same shrinkage budget as the library default of 1000 at 0.01, at a
@@ -27,11 +27,6 @@ def _data(spark, sf) -> DataFrame:
     return _features(spark, sf)
 
 
-def _round_cols(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c)
-                       for c, t in df.dtypes])
-
-
 @register("split_train_test")
 def split_train_test(spark, sf):
     return M.with_split(_data(spark, sf)).select("patient_id", "is_test")

@@ -1,6 +1,6 @@
 """DuckDB SQL for every registered query, over the driver's tables.
 
-The role views of ``sources/roles.py`` and the cleaning steps are restated
+The role views of ``roles.py`` and the cleaning steps are restated
 as CTEs; each query appends its own SELECT. Where the Spark side uses a
 rewrite (fan-out joins, top-k before join), the SQL here is the naive form:
 the literal join then aggregate. Means are written as an exact sum divided
@@ -40,7 +40,7 @@ def ref_sql(prefix: str, c: str) -> str:
 ROLE_CTES = f"""
 r_patient AS (
   SELECT 'p' || CAST(c_custkey AS VARCHAR) AS patient_id,
-    CASE WHEN c_custkey % 2 = 0 THEN 'male' ELSE 'female' END AS gender,
+    CASE WHEN c_custkey % 41 = 7 THEN 'other' WHEN c_custkey % 43 = 9 THEN 'unknown' WHEN c_custkey % 47 = 5 THEN NULL WHEN c_custkey % 2 = 0 THEN 'male' ELSE 'female' END AS gender,
     CAST(DATE '1930-01-01' + CAST((c_custkey * 7919) % 33000 AS INTEGER) AS VARCHAR) AS birth_date,
     c_mktsegment AS city, n_name AS state, 'N' || CAST(c_nationkey AS VARCHAR) AS postal_code,
     CASE WHEN c_custkey % 4 = 0 THEN ' M ' WHEN c_custkey % 4 = 1 THEN 'S'

@@ -15,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.flatten import GEOLOCATION_URL
-from .roles import BIRTH_EPOCH, DriverTables, spread
+from care_analytics.operators.flatten import GEOLOCATION_URL
+from .roles import BIRTH_EPOCH, DriverTables, gender_role
 
 def _v(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
@@ -65,7 +65,7 @@ def once(df: DataFrame, column: Column, name: str) -> DataFrame:
 
 
 def as_resource(df: DataFrame, resource: Column) -> DataFrame:
-    return once(spread(df), F.to_variant_object(resource), "resource")
+    return once(df, F.to_variant_object(resource), "resource")
 
 
 Built = tuple[DataFrame, Column]  # (source rows, resource struct over them)
@@ -95,7 +95,7 @@ class RoleResources:
                 obj(type=coding(display=F.lit("Medical Record Number")), value=txt("MR", k)),
                 obj(type=coding(display=F.col("c_mktsegment")), value=F.col("c_name"))),
             name=arr(obj(use="official", family=F.col("c_name"))),
-            gender=F.when(k % 2 == 0, "male").otherwise("female"),
+            gender=gender_role(k),
             birthDate=birth.cast("string"),
             address=arr(obj(
                 city=F.col("c_mktsegment"), state=F.col("n_name"),
@@ -380,11 +380,11 @@ class RoleResources:
 
         frames = []
         src, res = self._build("Patient")
-        frames.append(once(spread(src), F.array(entry(res)), "entry"))
+        frames.append(once(src, F.array(entry(res)), "entry"))
         for types in (self.ORDER_TYPES, self.LINE_TYPES):
             built = [self._build(t) for t in types]
             src = built[0][0]
-            frames.append(once(spread(src), F.array(*[entry(r) for _, r in built]), "entry"))
+            frames.append(once(src, F.array(*[entry(r) for _, r in built]), "entry"))
         ev = self.t.table("events")
         chosen = None
         for etype, rtype in self.EVENT_TYPES.items():
@@ -392,7 +392,7 @@ class RoleResources:
             v = entry(r)
             cond = F.col("event_type") == etype
             chosen = F.when(cond, v) if chosen is None else chosen.when(cond, v)
-        frames.append(once(spread(ev), F.array(chosen), "entry"))
+        frames.append(once(ev, F.array(chosen), "entry"))
         out = frames[0]
         for f in frames[1:]:
             out = out.unionByName(f)

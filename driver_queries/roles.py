@@ -44,16 +44,10 @@ BENEFIT_CATEGORIES = (
 )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a sub-parallel input over the cluster's cores.
-
-    Used before CPU-heavy per-row work (building nested resources): a small
-    table stored as one file split would run it in one task. An input with
-    at least as many partitions as cores, which is every input at scale, is
-    left untouched.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def gender_role(key: Column) -> Column:
+    """Gender of a customer: every administrative value occurs, and NULL."""
+    return (F.when(key % 41 == 7, "other").when(key % 43 == 9, "unknown").when(key % 47 == 5, F.lit(None))
+            .when(key % 2 == 0, "male").otherwise("female"))
 
 
 class DriverTables:
@@ -64,11 +58,7 @@ class DriverTables:
         self.root = root.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.root}/{name}.parquet")
-        # Line items feed the per-row heavy views (benefit lines are exploded
-        # five to a line); spread them when they arrive in fewer splits than
-        # there are cores.
-        return spread(df) if name == "lineitem" else df
+        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
     # -- role views -------------------------------------------------------
 
@@ -80,7 +70,7 @@ class DriverTables:
         return (c.join(n, c.c_nationkey == n.n_nationkey)
                 .select(
                     _id("p", k).alias("patient_id"),
-                    F.when(k % 2 == 0, "male").otherwise("female").alias("gender"),
+                    gender_role(k).alias("gender"),
                     birth.cast("string").alias("birth_date"),
                     F.col("c_mktsegment").alias("city"),
                     F.col("n_name").alias("state"),

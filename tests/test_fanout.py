@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from care_analytics.operators import fanout
 from care_analytics.plans import cost, disparities
-from care_analytics.queries import cost_inputs, encounter_patients_kept
-from care_analytics.sources.roles import DriverTables
+from driver_queries.core import cost_inputs, encounter_patients_kept
+from driver_queries.roles import DriverTables
 
 
 def same(a, b, key):

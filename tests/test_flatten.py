@@ -148,3 +148,35 @@ def test_patient_extensions_by_url(spark, tmp_path):
     r = flatten(resources(e, "Patient"), spec).collect()[0]
     assert (r.mothers_maiden_name, r.birthplace_city, r.disability_adjusted_life_years,
             r.quality_adjusted_life_years) == ("Smith", "Oslo", 1.5, 2.5)
+
+
+def test_object_or_array_shapes(spark, tmp_path):
+    """A concept, its codings, and an exploded array, each as one object and as a list."""
+    coding = {"code": "c1", "display": "d1"}
+    shapes = [{"coding": [coding]}, [{"coding": [coding]}], {"coding": coding}, [{"coding": coding}]]
+    claim = dict(CLAIM, supportingInfo=[{}], insurance=[{}], diagnosis=[{}])
+    item = {"productOrService": {"coding": [{"code": "i"}]}}
+    claims = [dict(claim, id=f"s{i}", type=shape) for i, shape in enumerate(shapes)]
+    claims += [dict(claim, id="one", item=item), dict(claim, id="list", item=[item]), dict(claim, id="text", item="no list")]
+    observations = [{"resourceType": "Observation", "id": f"o{i}", "category": shape} for i, shape in enumerate(shapes)]
+    entries = entries_of(spark, tmp_path, [bundle(*claims, *observations)])
+    rows = flatten(resources(entries, "Claim"), FLATTENERS["Claim"]).collect()
+    assert {r.type_code for r in rows if r.claim_id.startswith("s")} == {"c1"}
+    assert len([r for r in rows if r.claim_id.startswith("s")]) == 8
+    by = {k: [r.item_code for r in rows if r.claim_id == k] for k in ("one", "list", "text")}
+    assert by == {"one": ["i"], "list": ["i"], "text": []}
+    found = flatten(resources(entries, "Observation"), FLATTENERS["Observation"]).collect()
+    assert len(found) == 4 and {r.category_display for r in found} == {"d1"}
+
+
+def test_bad_documents_are_kept_and_counted(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    lines = [json.dumps(bundle(PATIENT)), '{"entry": [{"fullUrl": "x", ', "not json", json.dumps(bundle(ENCOUNTER))]
+    (source / "all.ndjson").write_text("\n".join(lines))
+    root = str(tmp_path / "wh")
+    etl.run(spark, str(source), root, ndjson=True)
+    wh = Warehouse(spark, root)
+    assert not (tmp_path / "wh" / "_staging").exists()
+    assert sorted(r.document for r in wh.table("_corrupt").collect()) == sorted(lines[1:3])
+    assert wh.table("patient").count() == 1 and wh.table("encounter").count() == 2

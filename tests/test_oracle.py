@@ -8,8 +8,8 @@ import duckdb
 import pandas as pd
 import pytest
 
-from care_analytics.queries import QUERIES, SQL
-from care_analytics.sources.roles import DRIVER_TABLES
+from driver_queries import QUERIES, SQL
+from driver_queries.roles import DRIVER_TABLES
 
 SLOW = {"scan_warehouse_tables", "stream_warehouse_tables"}
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from care_analytics.queries import QUERIES
+from driver_queries import QUERIES
 
 TRAINING = {"split_train_test", "impute_median", "standardise_features", "impute_most_frequent",
             "one_hot_categories", "encode_labels", "train_forest_risk", "train_forest_readmission",

@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 
 from care_analytics.operators import grouping
 from care_analytics.operators.flatten import FLATTENERS, flatten
-from care_analytics.queries import encounter_patients, patients_clean
-from care_analytics.sources.resources import RoleResources
-from care_analytics.sources.roles import DriverTables
+from driver_queries.core import encounter_patients, patients_clean
+from driver_queries.resources import RoleResources
+from driver_queries.roles import DriverTables
 
 
 def test_header_grain_has_unique_ids(spark, sf_small):

@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from care_analytics.plans import etl, reports
-from care_analytics.sources.resources import RoleResources
-from care_analytics.sources.roles import DriverTables
+from driver_queries.resources import RoleResources
+from driver_queries.roles import DriverTables
 from care_analytics.sources.warehouse import Warehouse
 
 

@@ -14,7 +14,7 @@ from collections import Counter
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from care_analytics.queries import QUERIES  # noqa: E402
+from driver_queries import QUERIES  # noqa: E402
 from care_analytics.session import local_session  # noqa: E402
 
 OPS = r"(Exchange hashpartitioning|Exchange rangepartitioning|Exchange RoundRobinPartitioning|" \
