@@ -169,9 +169,11 @@ def benefit_line_sums(eob: DataFrame, label: Callable[[Column], Column],
 def weighted_group_mean(per_patient: DataFrame, demographics: DataFrame, keys: Sequence[str],
                         category: str = "category_display", patient_key: str = "patient_reference",
                         out: str = "avg_value") -> DataFrame:
-    """Weight per-(patient, category) sums by each patient's demographic rows."""
+    """Weight per-(patient, category) sums by each patient's demographic rows. ``demographics`` has one row per
+    kept encounter, or a count of them in ``_w``."""
     demo_cols = [c for c in keys if c != category]
-    per_demo = demographics.groupBy(patient_key, *demo_cols).agg(F.count(F.lit(1)).alias("_w"))
+    weight = F.sum("_w") if "_w" in demographics.columns else F.count(F.lit(1))
+    per_demo = demographics.groupBy(patient_key, *demo_cols).agg(weight.alias("_w"))
     w = F.col("_w")
     return (per_patient.join(per_demo, patient_key)
             .groupBy(*keys)

@@ -47,12 +47,6 @@ def encounter_patients(encounters_clean: DataFrame, patients_clean: DataFrame) -
              .withColumn("age_group", C.care_age_group("age")))
 
 
-def overlap_count(encounters_clean: DataFrame, patients_clean: DataFrame) -> DataFrame:
-    e, p = encounters_clean, patients_clean
-    return (e.join(p, e["patient_reference"] == p["patient_id"], "inner")
-             .agg(F.count(F.lit(1)).alias("overlap_count")))
-
-
 def duration_by(df: DataFrame, keys: Sequence[str], with_max: bool = False,
                 order: bool = False) -> DataFrame:
     """Mean (and max) encounter duration in minutes by ``keys``."""
@@ -62,26 +56,6 @@ def duration_by(df: DataFrame, keys: Sequence[str], with_max: bool = False,
     return grouping.stats_by(df, keys, aggs, order=order)
 
 
-def pivot_duration(df: DataFrame, rows: Sequence[str], column: str,
-                   values: Sequence[str], fill=0.0) -> DataFrame:
-    """Mean duration, ``rows`` x values of ``column``; empty cells ``fill``."""
-    return grouping.pivot_table(df, rows, column, mean_integral("encounter_seconds", 60.0),
-                                values, fill=fill)
-
-
-def pivot_duration_all(df: DataFrame, rows: Sequence[str], column: str, values: Sequence[str]) -> DataFrame:
-    """Mean duration, ``rows`` x ``values`` of ``column`` plus one column for all other values and one for
-    NULL; empty cells 0."""
-    def cell(where):
-        return F.coalesce(mean_integral(F.when(where, F.col("encounter_seconds")), 60.0), F.lit(0.0))
-    return grouping.pivot_all(df, rows, column, cell, values)
-
-
-def pivot_counts(df: DataFrame, rows: Sequence[str], column: str,
-                 values: Sequence[str], fill=0) -> DataFrame:
-    return grouping.pivot_table(df, rows, column, F.count(F.lit(1)), values, fill=fill)
-
-
 def longest(df: DataFrame, k: int = 10) -> DataFrame:
     return grouping.top_k(df, k, [F.col("encounter_duration").desc_nulls_last(),
                                   F.col("encounter_id").asc_nulls_first()])
@@ -119,7 +93,10 @@ def benefit_lines(eob: DataFrame, mapping=C.BENEFIT_CATEGORY_LABELS,
 
 
 def demographics(encounter_patients_kept: DataFrame) -> DataFrame:
-    """One row per kept encounter with its patient's demographic columns."""
+    """One row per kept encounter with its patient's demographic columns (counts of them, ``cube.kept_weights``,
+    stay as they are)."""
+    if "_w" in encounter_patients_kept.columns:
+        return encounter_patients_kept
     return encounter_patients_kept.select(*DEMOGRAPHIC_COLUMNS)
 
 
@@ -152,7 +129,7 @@ def benefit_rows(eob: DataFrame, encounter_patients_kept: DataFrame) -> DataFram
 
 
 __all__ = [
-    "age_statistics", "age_by", "encounter_patients", "overlap_count", "duration_by",
-    "pivot_duration", "pivot_duration_all", "pivot_counts", "longest", "benefit_totals", "adjudication_lines",
+    "age_statistics", "age_by", "encounter_patients", "duration_by",
+    "longest", "benefit_totals", "adjudication_lines",
     "benefit_lines", "demographics", "benefit_by", "benefit_rows", "adjudication_rows",
 ]

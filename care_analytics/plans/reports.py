@@ -16,15 +16,19 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import cleaning, grouping
+from ..session import configure
 from ..sources.warehouse import Warehouse, write_result
-from . import cost, disparities, features
+from . import cost, cube, disparities, features
 
 CLASS_LABELS = ("Ambulatory", "Emergency", "Inpatient", "Unknown")
 # The administrative genders of the record format; any other value has a column of its own.
 GENDERS = ("female", "male", "other", "unknown")
 
 
-def reports(wh: Warehouse, as_of=None, genders=GENDERS) -> dict[str, DataFrame]:
+def reports(wh: Warehouse, as_of=None, genders=GENDERS, scratch: str | None = None) -> dict[str, DataFrame]:
+    """With ``scratch`` (a folder all executors share), the encounter cube and the patient weights are
+    written there first (two jobs), and the duration, count and benefit reports read them."""
+    spark = wh.spark
     patient, encounter = wh.table("patient"), wh.table("encounter")
     claim, eob = wh.table("claim"), wh.table("explanation_of_benefit")
 
@@ -32,7 +36,11 @@ def reports(wh: Warehouse, as_of=None, genders=GENDERS) -> dict[str, DataFrame]:
     p = cleaning.clean_patients(patient, as_of)
     e = cleaning.clean_encounters(encounter)
     ep = disparities.encounter_patients(e, p)
-    kept = cleaning.keep_short_stays(ep)
+    c = cube.encounter_cube(e, p)
+    weights = cube.kept_weights(e, p)
+    if scratch:                                # each is read by many reports: written once
+        c = spark.read.parquet(write_result(c, scratch, "encounter_cube"))
+        weights = spark.read.parquet(write_result(weights, scratch, "patient_weights"))
     out: dict[str, DataFrame] = {
         "count_by_gender": grouping.count_by(p, "gender"),
         "age_statistics": disparities.age_statistics(p),
@@ -40,33 +48,28 @@ def reports(wh: Warehouse, as_of=None, genders=GENDERS) -> dict[str, DataFrame]:
         "count_by_age": grouping.count_by(p, "age"),
         "age_by_gender_marital": disparities.age_by(p, "gender", "marital_status"),
         "age_box_statistics": grouping.box_statistics(p, "age"),
-        "encounters_by_gender_class": grouping.count_by(ep, "gender", "class_code"),
-        "pivot_gender_class": disparities.pivot_counts(ep, ["gender"], "class_code", CLASS_LABELS),
-        "duration_by_gender": disparities.duration_by(ep, ["gender"]),
-        "duration_by_age_group": disparities.duration_by(ep, ["age_group"]),
+        "encounters_by_gender_class": cube.count_by(c, "gender", "class_code"),
+        "pivot_gender_class": cube.pivot_counts(c, ["gender"], "class_code", CLASS_LABELS),
+        "duration_by_gender": cube.duration_by(c, ["gender"], kept=False),
+        "duration_by_age_group": cube.duration_by(c, ["age_group"], kept=False),
         "longest_encounters": disparities.longest(ep),
         "long_inpatient_stays": disparities.longest(cleaning.long_stays(ep)),
-        "duration_by_class": disparities.duration_by(ep, ["class_code"], with_max=True),
-        "duration_by_class_filtered": disparities.duration_by(kept, ["class_code"], with_max=True),
-        "duration_by_class_age": disparities.duration_by(kept, ["class_code", "age_group"], order=True),
-        "pivot_class_age_duration": disparities.pivot_duration(kept, ["class_code"], "age_group",
-                                                               C.CARE_AGE_LABELS),
-        "duration_by_class_age_gender": disparities.duration_by(
-            kept, ["class_code", "age_group", "gender"], order=True),
-        "pivot_class_age_gender_duration": disparities.pivot_duration_all(
-            kept, ["class_code", "age_group"], "gender", genders),
-        "duration_by_marital": disparities.duration_by(kept, ["marital_status"]),
-        "duration_by_marital_gender": disparities.duration_by(kept, ["marital_status", "gender"],
-                                                              order=True),
-        "duration_by_marital_gender_age": disparities.duration_by(
-            kept, ["marital_status", "gender", "age_group"], order=True),
+        "duration_by_class": cube.duration_by(c, ["class_code"], kept=False, with_max=True),
+        "duration_by_class_filtered": cube.duration_by(c, ["class_code"], with_max=True),
+        "duration_by_class_age": cube.duration_by(c, ["class_code", "age_group"], order=True),
+        "pivot_class_age_duration": cube.pivot_duration(c, ["class_code"], "age_group", C.CARE_AGE_LABELS),
+        "duration_by_class_age_gender": cube.duration_by(c, ["class_code", "age_group", "gender"], order=True),
+        "pivot_class_age_gender_duration": cube.pivot_duration_all(c, ["class_code", "age_group"], "gender", genders),
+        "duration_by_marital": cube.duration_by(c, ["marital_status"]),
+        "duration_by_marital_gender": cube.duration_by(c, ["marital_status", "gender"], order=True),
+        "duration_by_marital_gender_age": cube.duration_by(c, ["marital_status", "gender", "age_group"], order=True),
         "benefit_totals": disparities.benefit_totals(eob),
     }
     for keys in (["category_display"], ["category_display", "gender"],
                  ["category_display", "age_group"],
                  ["category_display", "gender", "age_group", "marital_status"]):
         out["benefit_by_" + "_".join(k.replace("_display", "") for k in keys)] = \
-            disparities.benefit_by(eob, kept, keys)
+            disparities.benefit_by(eob, weights, keys)
     labels = sorted(set(C.BENEFIT_CATEGORY_LABELS.values()) - set(C.BENEFIT_CATEGORY_EXCLUDED))
     out["pivot_benefit_groups"] = grouping.pivot_table(
         out["benefit_by_category_gender_age_group_marital_status"],
@@ -105,7 +108,8 @@ def main(argv: list[str]) -> None:
     warehouse_root, results_root = argv[0], argv[1]
     as_of = argv[2] if len(argv) > 2 else None
     spark = SparkSession.builder.appName("care_analytics_reports").getOrCreate()
-    publish(reports(Warehouse(spark, warehouse_root), as_of), results_root)
+    configure(spark)
+    publish(reports(Warehouse(spark, warehouse_root), as_of, scratch=f"{results_root}/_shared"), results_root)
 
 
 if __name__ == "__main__":

@@ -17,7 +17,7 @@ from . import oracle as O
 from care_analytics.functions import columns as C
 from care_analytics.functions.aggregates import sum_double
 from care_analytics.operators import cleaning, grouping
-from care_analytics.plans import cost, disparities, features
+from care_analytics.plans import cost, cube, disparities, features
 from .roles import DriverTables
 
 AS_OF = O.AS_OF
@@ -57,6 +57,14 @@ def encounter_patients(t: DriverTables) -> DataFrame:
     return disparities.encounter_patients(encounters_clean(t), patients_clean(t))
 
 
+def encounter_cube(t: DriverTables) -> DataFrame:
+    return cube.encounter_cube(encounters_clean(t), patients_clean(t))
+
+
+def kept_weights(t: DriverTables) -> DataFrame:
+    return cube.kept_weights(encounters_clean(t), patients_clean(t))
+
+
 def encounter_patients_kept(t: DriverTables) -> DataFrame:
     return cleaning.keep_short_stays(encounter_patients(t))
 
@@ -244,8 +252,7 @@ def join_encounter_patient(spark, sf):
 
 @register("count_encounter_patient_overlap", "SELECT COUNT(*) AS overlap_count FROM ep")
 def count_encounter_patient_overlap(spark, sf):
-    t = _t(spark, sf)
-    return disparities.overlap_count(encounters_clean(t), patients_clean(t))
+    return cube.overlap_count(encounter_cube(_t(spark, sf)))
 
 
 @register("join_claim_encounter", """
@@ -370,7 +377,7 @@ def count_distinct_city(spark, sf):
 @register("encounters_by_gender_class",
           "SELECT gender, class_code, COUNT(*) AS count FROM ep GROUP BY gender, class_code")
 def encounters_by_gender_class(spark, sf):
-    return grouping.count_by(encounter_patients(_t(spark, sf)), "gender", "class_code")
+    return cube.count_by(encounter_cube(_t(spark, sf)), "gender", "class_code")
 
 
 def _duration_sql(keys: str, source: str = "ep_kept", with_max: bool = False) -> str:
@@ -381,9 +388,7 @@ def _duration_sql(keys: str, source: str = "ep_kept", with_max: bool = False) ->
 def _duration_query(name: str, keys: tuple[str, ...], kept: bool = True, with_max: bool = False):
     @register(name, _duration_sql(", ".join(keys), "ep_kept" if kept else "ep", with_max))
     def q(spark, sf):
-        t = _t(spark, sf)
-        df = encounter_patients_kept(t) if kept else encounter_patients(t)
-        return disparities.duration_by(df, keys, with_max=with_max, order=True)
+        return cube.duration_by(encounter_cube(_t(spark, sf)), keys, kept=kept, with_max=with_max, order=True)
     q.__name__ = name
     return q
 
@@ -412,7 +417,7 @@ def _benefit_query(name: str, keys: tuple[str, ...]):
     @register(name, f"SELECT {k}, {O.mean_sql('value')} AS avg_value FROM benefit_joined GROUP BY {k}")
     def q(spark, sf):
         t = _t(spark, sf)
-        return disparities.benefit_by(t.eob(), encounter_patients_kept(t), keys)
+        return disparities.benefit_by(t.eob(), kept_weights(t), keys)
     q.__name__ = name
     return q
 
@@ -560,16 +565,14 @@ def _q(v: str) -> str:
     f"COUNT(CASE WHEN class_code = '{v}' THEN 1 END) AS {_q(v)}" for v in CLASS_LABELS)
     + " FROM ep GROUP BY gender")
 def pivot_gender_class(spark, sf):
-    return disparities.pivot_counts(encounter_patients(_t(spark, sf)), ["gender"], "class_code",
-                                    CLASS_LABELS)
+    return cube.pivot_counts(encounter_cube(_t(spark, sf)), ["gender"], "class_code", CLASS_LABELS)
 
 
 @register("pivot_class_age_duration", "SELECT class_code, " + ", ".join(
     f"COALESCE({_avg(f'age_group = {chr(39)}{v}{chr(39)}')}, 0.0) AS {_q(v)}" for v in C.CARE_AGE_LABELS)
     + " FROM ep_kept GROUP BY class_code")
 def pivot_class_age_duration(spark, sf):
-    return disparities.pivot_duration(encounter_patients_kept(_t(spark, sf)), ["class_code"],
-                                      "age_group", C.CARE_AGE_LABELS)
+    return cube.pivot_duration(encounter_cube(_t(spark, sf)), ["class_code"], "age_group", C.CARE_AGE_LABELS)
 
 
 GENDER_CELLS = [(v, f"gender = '{v}'") for v in GENDERS] + [
@@ -580,8 +583,7 @@ GENDER_CELLS = [(v, f"gender = '{v}'") for v in GENDERS] + [
     f"COALESCE({_avg(w)}, 0.0) AS {_q(v)}" for v, w in GENDER_CELLS)
     + " FROM ep_kept GROUP BY class_code, age_group")
 def pivot_class_age_gender_duration(spark, sf):
-    return disparities.pivot_duration_all(encounter_patients_kept(_t(spark, sf)),
-                                          ["class_code", "age_group"], "gender", GENDERS)
+    return cube.pivot_duration_all(encounter_cube(_t(spark, sf)), ["class_code", "age_group"], "gender", GENDERS)
 
 
 @register("pivot_benefit_groups", "SELECT gender, age_group, marital_status, " + ", ".join(
@@ -591,7 +593,7 @@ def pivot_class_age_gender_duration(spark, sf):
 def pivot_benefit_groups(spark, sf):
     t = _t(spark, sf)
     keys = ["category_display", "gender", "age_group", "marital_status"]
-    means = disparities.benefit_by(t.eob(), encounter_patients_kept(t), keys)
+    means = disparities.benefit_by(t.eob(), kept_weights(t), keys)
     return grouping.pivot_table(means, keys[1:], "category_display", F.first("avg_value"),
                                 BENEFIT_LABELS)
 
