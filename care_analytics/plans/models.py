@@ -4,15 +4,15 @@ The original collects the feature table to one process and trains there.
 Here every step is an MLlib stage or a DataFrame aggregate, so fitting runs
 on executors and scales with the table:
 
-- split: a hash of the patient id, stable under any repartitioning
-  (``randomSplit`` depends on partition layout);
-- median imputation (``Imputer``, approximate quantiles), scaling
-  (``StandardScaler``), most-frequent imputation of categoricals (``mode``
-  as scalar subqueries), one-hot encoding (``StringIndexer`` +
-  ``OneHotEncoder``), all in one ``Pipeline``;
-- ``RandomForestRegressor`` / ``GBTRegressor``; metrics as two aggregates;
-  k-fold cross-validation and grid search with ``CrossValidator`` on a
-  hash fold column.
+- split and folds: an MD5 of the patient id, stable under any repartitioning
+  (``randomSplit`` depends on partition layout) and the same in SQL;
+- median imputation (``Imputer``), scaling (``StandardScaler``), most-frequent
+  imputation of categoricals (``ModeImputer``), one-hot encoding (``StringIndexer`` +
+  ``OneHotEncoder``), all stages of one ``Pipeline``, so they are fitted on the
+  training rows of a split or fold only;
+- ``RandomForestRegressor`` / ``GBTRegressor``; metrics as one aggregate;
+  k-fold cross-validation and grid search fit the preprocessing once per fold and
+  search over the last stage.
 
 Long tree ensembles checkpoint their node ids to the session's shared
 checkpoint folder, so a lost executor costs a few iterations, not the fit.
@@ -22,13 +22,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from multiprocessing.pool import ThreadPool
+
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import (Imputer, OneHotEncoder, StandardScaler, StringIndexer,
                                 VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +44,9 @@ SEED = 42
 # -- splitting ------------------------------------------------------------------------
 
 def hash_bucket(id_col: str, buckets: int, seed: int = SEED) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(buckets))
+    """First 32 bits of the MD5 of ``seed:id``, modulo ``buckets``."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.lit(buckets)
 
 
 def with_split(df: DataFrame, id_col: str = "patient_id", test: float = 0.2,
@@ -77,6 +81,29 @@ def mode_impute(df: DataFrame, columns: Sequence[str], source: DataFrame | None
     return df
 
 
+class ModeImputer(Estimator):
+    """Pipeline stage: the most frequent value of each column (ties -> smallest), learned where it is fitted."""
+
+    def __init__(self, columns: Sequence[str]):
+        super().__init__()
+        self.columns = list(columns)
+
+    def _fit(self, dataset: DataFrame) -> ModeImputerModel:
+        row = dataset.agg(*[F.mode(c, deterministic=True).alias(c) for c in self.columns]).first()
+        return ModeImputerModel({c: row[c] for c in self.columns})
+
+
+class ModeImputerModel(Model):
+    """Fills NULLs with the learned values; a column that had none but NULLs gets the empty text."""
+
+    def __init__(self, modes: dict[str, str | None]):
+        super().__init__()
+        self.modes = modes
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return dataset.withColumns({c: F.coalesce(F.col(c), F.lit(m if m is not None else "")) for c, m in self.modes.items()})
+
+
 def as_double(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(c).cast("double").alias(c) if c in columns else F.col(c)
                        for c in df.columns])
@@ -90,7 +117,8 @@ def preprocess_stages(numeric: Sequence[str] = NUMERIC_FEATURES,
     idx = [f"{c}__idx" for c in categorical]
     ohe = [f"{c}__ohe" for c in categorical]
     return [
-        Imputer(strategy="median", inputCols=list(numeric), outputCols=imputed),
+        ModeImputer(categorical),
+        Imputer(strategy="median", relativeError=0.0, inputCols=list(numeric), outputCols=imputed),
         VectorAssembler(inputCols=imputed, outputCol="num__vec", handleInvalid="keep"),
         StandardScaler(inputCol="num__vec", outputCol="num__scaled", withMean=True, withStd=True),
         StringIndexer(inputCols=list(categorical), outputCols=idx, handleInvalid="keep",
@@ -100,46 +128,68 @@ def preprocess_stages(numeric: Sequence[str] = NUMERIC_FEATURES,
     ]
 
 
+def encoded_stages(numeric: Sequence[str] = NUMERIC_FEATURES, categorical: Sequence[str] = CATEGORICAL_FEATURES,
+                   features: str = "features") -> list:
+    """Categoricals as label numbers, numerics unscaled (missing ones get the median: MLlib's trees take no NaN)."""
+    imputed = [f"{c}__imp" for c in numeric]
+    idx = [f"{c}__idx" for c in categorical]
+    return [
+        ModeImputer(categorical),
+        Imputer(strategy="median", relativeError=0.0, inputCols=list(numeric), outputCols=imputed),
+        StringIndexer(inputCols=list(categorical), outputCols=idx, handleInvalid="keep", stringOrderType="alphabetAsc"),
+        VectorAssembler(inputCols=[*imputed, *idx], outputCol=features, handleInvalid="keep"),
+    ]
+
+
 def prepare(df: DataFrame, numeric: Sequence[str] = NUMERIC_FEATURES,
-            categorical: Sequence[str] = CATEGORICAL_FEATURES,
-            mode_source: DataFrame | None = None) -> DataFrame:
-    """Numeric inputs as DOUBLE, categoricals as text with their mode filled in."""
+            categorical: Sequence[str] = CATEGORICAL_FEATURES) -> DataFrame:
+    """Numeric inputs as DOUBLE, categoricals as text."""
     out = as_double(df, numeric)
-    out = out.select(*[F.col(c).cast("string").alias(c) if c in categorical else F.col(c)
-                       for c in out.columns])
-    src = None
-    if mode_source is not None:
-        src = mode_source.select(*[F.col(c).cast("string").alias(c) for c in categorical])
-    return mode_impute(out, categorical, src)
+    return out.select(*[F.col(c).cast("string").alias(c) if c in categorical else F.col(c)
+                        for c in out.columns])
+
+
+CATEGORIES = 10_000        # distinct values a categorical column may have: the indexer keeps them on the driver
+
+
+def check_categories(df: DataFrame, categorical: Sequence[str] = CATEGORICAL_FEATURES, limit: int = CATEGORIES) -> None:
+    """Raises when a categorical column has clearly more than ``limit`` distinct values (one aggregate)."""
+    row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in categorical]).first()
+    over = [c for c in categorical if row[c] > 1.2 * limit]
+    if over:
+        raise ValueError(f"columns {over} have more than {limit} distinct values: they are no categories")
 
 
 # -- estimators -----------------------------------------------------------------------------
 
-def forest(numTrees: int = 100, maxDepth: int = 10, minInstancesPerNode: int = 1,
+MAX_DEPTH = 30             # MLlib's limit; a depth without limit is asked for as this
+
+
+def forest(numTrees: int = 100, maxDepth: int = MAX_DEPTH, minInstancesPerNode: int = 1,
            featureSubsetStrategy: str = "auto", seed: int = SEED,
            numeric=NUMERIC_FEATURES, categorical=CATEGORICAL_FEATURES) -> Pipeline:
-    """Preprocessing + random forest. MLlib caps depth at 30 (no unlimited depth);
-    ``min_samples_split`` has no MLlib counterpart."""
+    """Preprocessing + random forest. ``min_samples_split`` has no MLlib counterpart."""
     rf = RandomForestRegressor(featuresCol="features", labelCol=LABEL, numTrees=numTrees,
                                maxDepth=maxDepth, minInstancesPerNode=minInstancesPerNode,
                                featureSubsetStrategy=featureSubsetStrategy, seed=seed)
     return Pipeline(stages=[*preprocess_stages(numeric, categorical), rf])
 
 
-def boosted(maxIter: int = 1000, stepSize: float = 0.01, maxDepth: int = 5,
+def boosted(maxIter: int = 1000, stepSize: float = 0.01, maxDepth: int = 6,
             minInstancesPerNode: int = 1, featureSubsetStrategy: str = "all", seed: int = SEED,
             checkpointInterval: int = 10, numeric=NUMERIC_FEATURES,
-            categorical=CATEGORICAL_FEATURES) -> Pipeline:
+            categorical=CATEGORICAL_FEATURES, encoded: bool = False) -> Pipeline:
     """Preprocessing + gradient-boosted trees (squared loss).
 
-    Defaults are the risk model's (1000 rounds at 0.01); the readmission model
-    uses 100 rounds, depth 10, step 0.3, 4 rows per leaf, sqrt features.
+    Defaults are the risk model's (1000 rounds at 0.01), which reads label-encoded states and unscaled
+    numbers (``encoded``); the readmission model uses 100 rounds, depth 10, step 0.3, 4 rows per
+    leaf, sqrt features.
     """
     gbt = GBTRegressor(featuresCol="features", labelCol=LABEL, maxIter=maxIter, stepSize=stepSize,
                        maxDepth=maxDepth, minInstancesPerNode=minInstancesPerNode,
                        featureSubsetStrategy=featureSubsetStrategy, seed=seed,
                        checkpointInterval=checkpointInterval, cacheNodeIds=True)
-    return Pipeline(stages=[*preprocess_stages(numeric, categorical), gbt])
+    return Pipeline(stages=[*(encoded_stages if encoded else preprocess_stages)(numeric, categorical), gbt])
 
 
 # -- evaluation ------------------------------------------------------------------------------
@@ -161,10 +211,10 @@ def metrics(predictions: DataFrame, label: str = LABEL, prediction: str = "predi
 
 def fit_evaluate(spark, pipeline: Pipeline, data: DataFrame, name: str,
                  id_col: str = "patient_id", test: float = 0.2) -> tuple[PipelineModel, DataFrame]:
-    """Fit on the hash-split training part; metrics on the held-out part."""
+    """Fit every stage on the hash-split training part; metrics on the held-out part."""
     spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
-    prepared = prepare(data, mode_source=split(data, id_col, test)[0])
-    train, held_out = split(prepared, id_col, test)
+    train, held_out = split(prepare(data), id_col, test)
+    check_categories(train)
     train = train.persist()
     try:
         model = pipeline.fit(train)
@@ -175,25 +225,38 @@ def fit_evaluate(spark, pipeline: Pipeline, data: DataFrame, name: str,
 
 
 def cross_validate(spark, pipeline: Pipeline, data: DataFrame, folds: int = 5,
-                   id_col: str = "patient_id", grid=None, parallelism: int = 1) -> list[float]:
-    """Mean squared error per grid point, over ``folds`` hash folds (an action)."""
+                   id_col: str = "patient_id", grid=None, parallelism: int = 4) -> list[float]:
+    """Mean squared error per grid point of the last stage, over ``folds`` hash folds (an action).
+
+    The other stages are fitted once per fold, on its training rows, and their vectors kept for all
+    points; ``parallelism`` points are fitted at once.
+    """
     spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+    *stages, estimator = pipeline.getStages()
+    grid = grid or [{}]
     prepared = with_folds(prepare(data), id_col, folds).persist()
+    judge = RegressionEvaluator(labelCol=LABEL, metricName="mse")
+    total = [0.0] * len(grid)
     try:
-        cv = CrossValidator(estimator=pipeline, estimatorParamMaps=grid or [{}],
-                            evaluator=RegressionEvaluator(labelCol=LABEL, metricName="mse"),
-                            foldCol="fold", numFolds=folds, parallelism=parallelism, seed=SEED)
-        return list(cv.fit(prepared).avgMetrics)
+        check_categories(prepared)
+        for fold in range(folds):
+            model = Pipeline(stages=stages).fit(prepared.filter(F.col("fold") != fold))
+            vectors = model.transform(prepared).select("fold", "features", LABEL).persist()
+            train, valid = vectors.filter(F.col("fold") != fold), vectors.filter(F.col("fold") == fold)
+            with ThreadPool(min(parallelism, len(grid))) as pool:
+                errors = pool.map(lambda point: judge.evaluate(estimator.fit(train, point).transform(valid)), grid)
+            vectors.unpersist()
+            total = [a + e / folds for a, e in zip(total, errors)]
     finally:
         prepared.unpersist()
+    return total
 
 
 def grid_search(spark, pipeline: Pipeline, data: DataFrame, grid=None, folds: int = 5,
                 parallelism: int = 4, id_col: str = "patient_id") -> list[tuple[dict, float]]:
     """Cross-validated MSE for every grid point, best first (an action).
 
-    ``grid`` defaults to ``default_grid`` over the pipeline's last stage;
-    ``parallelism`` fits that many models at once.
+    ``grid`` defaults to ``default_grid`` over the pipeline's last stage.
     """
     grid = grid or default_grid(pipeline.getStages()[-1])
     mse = cross_validate(spark, pipeline, data, folds=folds, id_col=id_col, grid=grid,
@@ -202,19 +265,30 @@ def grid_search(spark, pipeline: Pipeline, data: DataFrame, grid=None, folds: in
     return sorted(points, key=lambda x: x[1])
 
 
+def best_of_grid(spark, pipeline: Pipeline, data: DataFrame, name: str, grid=None, folds: int = 5, parallelism: int = 4,
+                 id_col: str = "patient_id", test: float = 0.2) -> tuple[PipelineModel, DataFrame, list[tuple[dict, float]]]:
+    """Searches the grid on the training part, refits the best point on all of it and judges that on the
+    held-out part: (model, metrics, points)."""
+    points = grid_search(spark, pipeline, split(data, id_col, test)[0], grid, folds, parallelism, id_col)
+    *stages, estimator = pipeline.getStages()
+    best = estimator.copy({estimator.getParam(n): v for n, v in points[0][0].items()})
+    model, m = fit_evaluate(spark, Pipeline(stages=[*stages, best]), data, name, id_col, test)
+    return model, m, points
+
+
 def default_grid(estimator) -> list:
-    """A small grid over depth and feature subsets (any grid is accepted)."""
+    """The original's grid without ``min_samples_split``, which MLlib lacks: 54 points."""
     return (ParamGridBuilder()
-            .addGrid(estimator.maxDepth, [5, 10])
+            .addGrid(estimator.numTrees, [100, 200, 300])
+            .addGrid(estimator.maxDepth, [10, 15, 20])
+            .addGrid(estimator.minInstancesPerNode, [2, 4, 6])
             .addGrid(estimator.featureSubsetStrategy, ["sqrt", "log2"])
             .build())
 
 
-def score(model: PipelineModel, data: DataFrame, id_col: str = "patient_id",
-          mode_source: DataFrame | None = None) -> DataFrame:
-    """Predictions per patient. ``mode_source`` (the training rows) supplies
-    the most-frequent values for missing categoricals, as in training."""
-    return model.transform(prepare(data, mode_source=mode_source)).select(id_col, "prediction")
+def score(model: PipelineModel, data: DataFrame, id_col: str = "patient_id") -> DataFrame:
+    """Predictions per patient; missing values are filled as in training."""
+    return model.transform(prepare(data)).select(id_col, "prediction")
 
 
 def scaled_columns(model: PipelineModel, data: DataFrame, numeric=NUMERIC_FEATURES,

@@ -17,33 +17,47 @@ from care_analytics.plans import features as FT
 from care_analytics.plans import models as M
 from .core import _features, register
 
-# Boosting rounds for the registered risk-model check: 100 rounds at step 0.1
-# (the same shrinkage budget as the library default of 1000 at 0.01, at a
-# tenth of the jobs).
-RISK_BOOST_ROUNDS, RISK_BOOST_STEP = 100, 0.1
+# Parts that have gaps before they are filled: sums and flags of patients without claims, encounters or conditions.
+GAPPED = ("total_healthcare_cost", "num_encounters", "num_claims", "num_conditions")
 
 
 def _data(spark, sf) -> DataFrame:
     return _features(spark, sf)
 
 
-@register("split_train_test")
+BUCKET = "CAST('0x' || substr(md5('{seed}:' || patient_id), 1, 8) AS BIGINT) % {n}"
+
+
+@register("split_train_test", f"SELECT patient_id, {BUCKET.format(seed=M.SEED, n=10000)} < 2000 AS is_test FROM features")
 def split_train_test(spark, sf):
     return M.with_split(_data(spark, sf)).select("patient_id", "is_test")
 
 
-# The feature table has no missing values (counts are filled with 0), so the
-# median imputer returns every value unchanged; the SQL states exactly that.
+@register("fold_patients", f"SELECT patient_id, CAST({BUCKET.format(seed=M.SEED + 1, n=5)} AS INTEGER) AS fold FROM features")
+def fold_patients(spark, sf):
+    return M.with_folds(_data(spark, sf)).select("patient_id", "fold")
+
+
+def _gapped(spark, sf) -> DataFrame:
+    """The feature table with gaps where a count is 0 (and one in seven states), as it is before they are filled."""
+    data = M.prepare(_data(spark, sf))
+    gaps = {c: F.when(F.col(c) != 0, F.col(c)) for c in GAPPED}
+    state = F.when(F.conv(F.substring(F.md5("patient_id"), 1, 2), 16, 10).cast("int") % 7 != 0, F.col("state"))
+    chronic = F.when(F.col("has_chronic_conditions") != "0", F.col("has_chronic_conditions"))
+    return data.withColumns({**gaps, "state": state, "has_chronic_conditions": chronic})
+
+
 IMPUTE_MEDIAN_SQL = "SELECT patient_id, " + ", ".join(
-    f"CAST({c} AS DOUBLE) AS {c}" for c in FT.NUMERIC_FEATURES) + " FROM features"
+    f"COALESCE(NULLIF(CAST({c} AS DOUBLE), 0), quantile_disc(NULLIF(CAST({c} AS DOUBLE), 0), 0.5) OVER ()) AS {c}" for c in GAPPED) \
+    + " FROM features"
 
 
 @register("impute_median", IMPUTE_MEDIAN_SQL)
 def impute_median(spark, sf):
-    data = M.prepare(_data(spark, sf))
-    imp = Imputer(strategy="median", inputCols=list(FT.NUMERIC_FEATURES),
-                  outputCols=list(FT.NUMERIC_FEATURES))
-    return imp.fit(data).transform(data).select("patient_id", *FT.NUMERIC_FEATURES)
+    data = _gapped(spark, sf)
+    out = [f"{c}__imp" for c in GAPPED]
+    imp = Imputer(strategy="median", relativeError=0.0, inputCols=list(GAPPED), outputCols=out)
+    return imp.fit(data).transform(data).select("patient_id", *[F.col(o).alias(c) for o, c in zip(out, GAPPED)])
 
 
 def _z_sql() -> str:
@@ -69,10 +83,17 @@ def standardise_features(spark, sf):
 
 
 @register("impute_most_frequent", """
-SELECT patient_id, state, CAST(has_chronic_conditions AS VARCHAR) AS has_chronic_conditions,
-  CAST(is_senior AS VARCHAR) AS is_senior FROM features""")
+SELECT * FROM (WITH gapped AS (
+  SELECT patient_id, CASE WHEN CAST('0x' || substr(md5(patient_id), 1, 2) AS BIGINT) % 7 <> 0 THEN state END AS state,
+    NULLIF(CAST(has_chronic_conditions AS VARCHAR), '0') AS has_chronic_conditions, CAST(is_senior AS VARCHAR) AS is_senior FROM features)
+SELECT patient_id,
+  COALESCE(state, (SELECT state FROM gapped WHERE state IS NOT NULL GROUP BY state ORDER BY COUNT(*) DESC, state LIMIT 1)) AS state,
+  COALESCE(has_chronic_conditions, (SELECT has_chronic_conditions FROM gapped WHERE has_chronic_conditions IS NOT NULL
+    GROUP BY has_chronic_conditions ORDER BY COUNT(*) DESC, has_chronic_conditions LIMIT 1), '') AS has_chronic_conditions,
+  is_senior FROM gapped)""")
 def impute_most_frequent(spark, sf):
-    return M.prepare(_data(spark, sf)).select("patient_id", *FT.CATEGORICAL_FEATURES)
+    data = _gapped(spark, sf)
+    return M.ModeImputer(FT.CATEGORICAL_FEATURES).fit(data).transform(data).select("patient_id", *FT.CATEGORICAL_FEATURES)
 
 
 def _one_hot_sql() -> str:
@@ -117,14 +138,18 @@ def _fit_query(name: str, pipeline_fn, columns=FT.RISK_COLUMNS):
     return q
 
 
-_fit_query("train_forest_risk", lambda: M.forest(numTrees=100, maxDepth=12))
+_fit_query("train_forest_risk", lambda: M.forest())
 _fit_query("train_forest_readmission",
            lambda: M.forest(numTrees=100, maxDepth=10, minInstancesPerNode=4,
                             featureSubsetStrategy="sqrt"), FT.READMISSION_COLUMNS)
-_fit_query("train_boosted_risk", lambda: M.boosted(RISK_BOOST_ROUNDS, RISK_BOOST_STEP))
-_fit_query("train_boosted_readmission",
-           lambda: M.boosted(100, 0.3, maxDepth=10, minInstancesPerNode=4,
-                             featureSubsetStrategy="sqrt"), FT.READMISSION_COLUMNS)
+_fit_query("train_boosted_risk", lambda: M.boosted(encoded=True))
+
+
+def readmission_boosted():
+    return M.boosted(100, 0.3, maxDepth=10, minInstancesPerNode=4, featureSubsetStrategy="sqrt")
+
+
+_fit_query("train_boosted_readmission", readmission_boosted, FT.READMISSION_COLUMNS)
 
 
 @register("regression_metrics", """
@@ -144,19 +169,31 @@ def regression_metrics(spark, sf):
 
 @register("cross_validate_forest")
 def cross_validate_forest(spark, sf):
-    mse = M.cross_validate(spark, M.forest(numTrees=100, maxDepth=10), _data(spark, sf), folds=5)
+    """The risk forest, over folds of the training part."""
+    mse = M.cross_validate(spark, M.forest(), M.split(_features(spark, sf, FT.RISK_COLUMNS))[0], folds=5)
+    return spark.createDataFrame([(5, float(mse[0]))], "folds int, cv_mse double")
+
+
+@register("cross_validate_boosted")
+def cross_validate_boosted(spark, sf):
+    """The boosted readmission model, over folds of all rows."""
+    mse = M.cross_validate(spark, readmission_boosted(), _data(spark, sf), folds=5)
     return spark.createDataFrame([(5, float(mse[0]))], "folds int, cv_mse double")
 
 
 @register("grid_search_forest")
 def grid_search_forest(spark, sf):
-    points = M.grid_search(spark, M.forest(numTrees=50), _data(spark, sf), folds=5, parallelism=4)
-    rows = [(int(p["maxDepth"]), str(p["featureSubsetStrategy"]), m) for p, m in points]
-    return spark.createDataFrame(rows, "max_depth int, feature_subset string, cv_mse double")
+    """All 54 points on the training part, best first, and the held-out error of the best one, refitted."""
+    _, m, points = M.best_of_grid(spark, M.forest(), _data(spark, sf), "forest")
+    held = m.first()
+    rows = [(k, int(p["numTrees"]), int(p["maxDepth"]), int(p["minInstancesPerNode"]), str(p["featureSubsetStrategy"]), e,
+             held["mse"] if k == 0 else None, held["r2"] if k == 0 else None) for k, (p, e) in enumerate(points)]
+    return spark.createDataFrame(rows, "place int, num_trees int, max_depth int, min_leaf int, feature_subset string, "
+                                       "cv_mse double, held_out_mse double, held_out_r2 double")
 
 
 @register("score_patients")
 def score_patients(spark, sf):
     data = _data(spark, sf)
-    model, _ = M.fit_evaluate(spark, M.forest(numTrees=100, maxDepth=10), data, "forest")
-    return M.score(model, data, mode_source=M.split(data)[0])
+    model, _ = M.fit_evaluate(spark, M.forest(), data, "forest")
+    return M.score(model, data)
