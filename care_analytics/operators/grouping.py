@@ -41,19 +41,6 @@ def pivot_table(df: DataFrame, rows: Sequence[str], column: str, agg: Column,
     return out
 
 
-PIVOT_VALUES = 200        # columns a pivot may get from the data
-
-
-def pivot_values(df: DataFrame, column: str, limit: int = PIVOT_VALUES) -> list[str | None]:
-    """The distinct values of ``column`` in order, NULL last: one small aggregate (a job). More than
-    ``limit`` of them is an error, not a cut."""
-    rows = df.select(F.col(column).cast("string").alias("v")).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} values: pivot a grouping of it, or keep the long form")
-    found = {r["v"] for r in rows}
-    return sorted(v for v in found if v is not None) + ([None] if None in found else [])
-
-
 def pivot_all(df: DataFrame, rows: Sequence[str], column: str, agg: Callable[[Column], Column],
               values: Sequence[str], others: str = "(other)", missing: str = "(missing)") -> DataFrame:
     """Rows x ``values`` of ``column``, plus ``others`` for every other value and ``missing`` for NULL, so

@@ -101,3 +101,26 @@ def test_random_ntz_durations_match_wall_clock(spark, pairs):
     floor = lambda t: t.replace(microsecond=0)
     want = [int((floor(b) - floor(a)) / dt.timedelta(seconds=1)) for a, b in pairs]
     assert got == want
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(claims=st.lists(st.tuples(PATIENTS, st.sampled_from(["c1", "c2", None]), st.sampled_from([1.0, 2.0, None]),
+                                 st.sampled_from(["A", "B"])), min_size=1, max_size=15),
+       encounters=encounters_st, k=st.integers(1, 6))
+def test_random_top_k_with_missing_and_repeated_claim_ids(spark, claims, encounters, k):
+    """Line-grain claims: ids are missing or repeated, insurances differ. All columns order the rows."""
+    from pyspark.sql import functions as F
+    from care_analytics.plans import cost
+    c = spark.createDataFrame(claims, "patient_id string, claim_id string, total_amount double, insurance string")
+    e = spark.createDataFrame([(f"e{i}", p, g) for i, (_, p, g) in enumerate(encounters)],
+                              "encounter_id string, patient_id string, type_text string")
+    fast = cost.top_cost_encounters(c, e, k)
+    full = cost.claim_encounters(c, e).select(*fast.columns)
+    full = full.orderBy(F.col("total_amount").desc_nulls_last(), F.col("claim_id").asc_nulls_first(),
+                        F.col("encounter_id").asc_nulls_first()).collect()
+    key = lambda r: (r["total_amount"], r["claim_id"], r["encounter_id"])
+    got = [tuple(r) for r in fast.collect()]
+    assert [key(r) for r in fast.collect()] == [key(r) for r in full[:k]]
+    left = [tuple(r) for r in full]
+    for row in got:
+        left.remove(row)                # every row is a row of the join, no more often than there
