@@ -32,13 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from care_analytics.llm.common import text_or_empty
+from care_analytics.llm.common import slices, text_or_empty, written
 
 WINDOW = 5
 MIN_COVERAGE = 0.8
 FILTER_WINDOWS = 4_000_000     # 32 MB of hashes
 LEXICON_WORDS = 500_000        # lower-case benchmark words that are shipped
-CHUNK_CHARS = 2_000_000
+CHUNK_BYTES = 2_000_000
 
 # Words that are units after a number, and signs that are units anywhere.
 UNITS = """mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t ton tons tonne tonnes oz ounce
@@ -126,17 +126,6 @@ class Templates:
         return [self.words[self.flat[i]].lower() for i in range(a, a + int(self.width[w])) if self.slot[i]]
 
 
-def _parts(ids: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
-    begin = size = 0
-    for i, text in enumerate(texts):
-        if i > begin and size + len(text) > CHUNK_CHARS:
-            yield ids[begin:i], texts[begin:i]
-            begin, size = i, 0
-        size += len(text)
-    if begin < len(texts):
-        yield ids[begin:], texts[begin:]
-
-
 def template_windows(rows: DataFrame, id_col: str, text_col: str, lexicon, only=None, window: int = WINDOW) -> DataFrame:
     """(__id, __place, __n, __key, __slots): the windows of each text, ``__n`` in all. ``only`` is a broadcast sorted
     array of hashes: other windows are left out. ``lexicon`` is a broadcast set of words."""
@@ -146,7 +135,7 @@ def template_windows(rows: DataFrame, id_col: str, text_col: str, lexicon, only=
             bits = np.zeros(1 << 24, np.bool_)
             bits[only.value >> np.uint64(40)] = True
         for batch in batches:
-            for where, texts in _parts(list(range(batch.num_rows)), batch.column(1).to_pylist()):
+            for part, texts in slices(batch, batch.column(1), CHUNK_BYTES):
                 found = Templates(texts, lexicon.value, window)
                 at = np.arange(len(found.key))
                 if bits is not None:
@@ -158,7 +147,7 @@ def template_windows(rows: DataFrame, id_col: str, text_col: str, lexicon, only=
                     total = np.bincount(found.of, minlength=len(texts))
                     who = found.of[at]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(who + where[0])), pa.array(found.place[at]), pa.array(total[who]),
+                        [part.column(0).take(pa.array(who)), pa.array(found.place[at]), pa.array(total[who]),
                          pa.array(found.key[at].view(np.int64)), pa.array([found.slots(w) for w in at.tolist()], pa.list_(pa.string()))],
                         names=["__id", "__place", "__n", "__key", "__slots"])
 
@@ -190,8 +179,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     if keys.count() <= FILTER_WINDOWS:
         only = sc.broadcast(np.unique(np.array([r[0] for r in keys.toLocalIterator()], np.int64).view(np.uint64)))
     windows = template_windows(docs, id_col, text_col, lexicon, only, window)
-    hits = windows.join(items, F.col("__key") == F.col("__ikey")) \
-        .withColumn("__line", F.col("__place") - F.col("__iplace"))
+    hits = written(windows.join(items, F.col("__key") == F.col("__ikey"))
+                   .withColumn("__line", F.col("__place") - F.col("__iplace")), "template-hits")
     alignment = ["__id", "__item", "__line"]
     bound = hits.select(*alignment, F.explode(F.arrays_zip(F.col("__islots").alias("i"), F.col("__slots").alias("d"))).alias("__s")) \
         .groupBy(*alignment, F.col("__s.i").alias("__value")) \
