@@ -150,7 +150,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("__id").alias("__rid"), F.col("__key").alias("__rkey"), "__runs"), "line-runs")
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")) \
         .withColumn("__hash", F.xxhash64(text_or_empty("__text")))
-    return rows.join(runs, F.col("__id").eqNullSafe(F.col("__rid")) & (F.col("__hash") == F.col("__rkey")), "left") \
+    # merged at every size: whether the runs of a small table fit a broadcast says nothing about a large one
+    return rows.join(runs.hint("merge"), F.col("__id").eqNullSafe(F.col("__rid")) & (F.col("__hash") == F.col("__rkey")), "left") \
         .withColumn("__new", _without("__text", "__runs")) \
         .select(F.col("__id").alias(id_col), F.col("__new.text").alias(text_col), F.col("__new.lines").alias("n_lines"),
                 F.col("__new.deleted").alias("n_deleted"), F.col("__new.runs").alias("n_runs"))
