@@ -209,13 +209,19 @@ def metrics(predictions: DataFrame, label: str = LABEL, prediction: str = "predi
     return out
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """``df`` cached in partitions of the advisory size: a tree learner runs a few jobs per level, so every
+    near-empty partition costs a task each time."""
+    return df.hint("rebalance").persist()
+
+
 def fit_evaluate(spark, pipeline: Pipeline, data: DataFrame, name: str,
                  id_col: str = "patient_id", test: float = 0.2) -> tuple[PipelineModel, DataFrame]:
     """Fit every stage on the hash-split training part; metrics on the held-out part."""
     spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     train, held_out = split(prepare(data), id_col, test)
     check_categories(train)
-    train = train.persist()
+    train = packed(train)
     try:
         model = pipeline.fit(train)
     finally:
@@ -234,18 +240,19 @@ def cross_validate(spark, pipeline: Pipeline, data: DataFrame, folds: int = 5,
     spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     *stages, estimator = pipeline.getStages()
     grid = grid or [{}]
-    prepared = with_folds(prepare(data), id_col, folds).persist()
+    prepared = packed(with_folds(prepare(data), id_col, folds))
     judge = RegressionEvaluator(labelCol=LABEL, metricName="mse")
     total = [0.0] * len(grid)
     try:
         check_categories(prepared)
         for fold in range(folds):
             model = Pipeline(stages=stages).fit(prepared.filter(F.col("fold") != fold))
-            vectors = model.transform(prepared).select("fold", "features", LABEL).persist()
-            train, valid = vectors.filter(F.col("fold") != fold), vectors.filter(F.col("fold") == fold)
+            train, valid = (packed(model.transform(prepared.filter(part)).select("features", LABEL))
+                            for part in (F.col("fold") != fold, F.col("fold") == fold))
             with ThreadPool(min(parallelism, len(grid))) as pool:
                 errors = pool.map(lambda point: judge.evaluate(estimator.fit(train, point).transform(valid)), grid)
-            vectors.unpersist()
+            train.unpersist()
+            valid.unpersist()
             total = [a + e / folds for a, e in zip(total, errors)]
     finally:
         prepared.unpersist()
