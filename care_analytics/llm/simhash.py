@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from care_analytics.llm.common import components, text_or_empty, written
+from care_analytics.llm.common import components, slices, text_or_empty, written
 
 SHINGLE_WORDS = 3
 MAX_DISTANCE = 2
@@ -48,6 +48,7 @@ SEED = 42
 CROWD = 64                 # distinct fingerprints a partition value may hold and still be paired
 PARTITIONS = (2, 3, 4)     # numbers of partitions that are weighed
 BLOCK_BITS = 8
+CHUNK_BYTES = 8_000_000
 HASHES = 1 << 17           # shingle hashes counted at once
 
 
@@ -106,8 +107,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(__id, __fp long) for each row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = fingerprints_of(batch.column(1).to_pylist(), words) if batch.num_rows else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["__id", "__fp"])
+            for part, texts in slices(batch, batch.column(1), CHUNK_BYTES):
+                fp = fingerprints_of(texts, words)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], names=["__id", "__fp"])
 
     schema = T.StructType([T.StructField("__id", docs.schema[id_col].dataType), T.StructField("__fp", T.LongType())])
     return docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text")).mapInArrow(run, schema)
@@ -333,7 +335,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = components(links(distinct.select("__fp"), max_distance))
     named = roots.join(distinct, F.col("node") == F.col("__fp")).groupBy("root").agg(F.min("__least").alias("__component"))
     of_node = roots.join(named.withColumnRenamed("root", "__root"), F.col("root") == F.col("__root")).select("node", "__component")
-    table = distinct.join(of_node, F.col("__fp") == F.col("node"), "left") \
-        .select(F.col("__fp").alias("__tfp"), F.coalesce("__component", "__least").alias("component_id"))
+    table = written(distinct.join(of_node, F.col("__fp") == F.col("node"), "left")
+                    .select(F.col("__fp").alias("__tfp"), F.coalesce("__component", "__least").alias("component_id")), "simhash-table")
     return fps.join(table, F.col("__fp") == F.col("__tfp")) \
         .select(F.col("__id").alias(id_col), F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
