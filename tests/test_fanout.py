@@ -67,7 +67,7 @@ def test_rewrites_equal_naive_on_driver_tables(spark, sf_small):
     keys = ["category_display", "gender", "age_group", "marital_status"]
     w = disparities.benefit_by(t.eob(), kept, keys)
     n = disparities.benefit_by(t.eob(), kept, keys, method="join")
-    assert sorted(map(tuple, w.collect())) == sorted(map(tuple, n.select(*w.columns).collect()))
+    assert sorted(map(tuple, w.collect()), key=repr) == sorted(map(tuple, n.select(*w.columns).collect()), key=repr)
 
 
 def test_top_cost_encounters_equals_full_sort(spark, sf_small):
