@@ -53,13 +53,14 @@ def text_or_empty(column: str | Column) -> Column:
 
 
 def keep_rows(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is in ``ids.__keep`` (null meets null)."""
-    return docs.join(ids, docs[id_col].eqNullSafe(ids["__keep"]), "left_semi")
+    """The rows of ``docs`` whose id is in ``ids.__keep`` (null meets null). The ids grow with the documents, so the
+    join is a merge at every size."""
+    return docs.join(ids.hint("merge"), docs[id_col].eqNullSafe(ids["__keep"]), "left_semi")
 
 
 def drop_rows(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is not in ``ids.__drop`` (null meets null)."""
-    return docs.join(ids, docs[id_col].eqNullSafe(ids["__drop"]), "left_anti")
+    """The rows of ``docs`` whose id is not in ``ids.__drop`` (null meets null). A merge, as in ``keep_rows``."""
+    return docs.join(ids.hint("merge"), docs[id_col].eqNullSafe(ids["__drop"]), "left_anti")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
