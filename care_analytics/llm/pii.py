@@ -1,15 +1,15 @@
 """Personal data: pattern spans, and terms that reveal them (DataFrame operations only).
 
 Method. Emails, IP addresses, payment cards and phone numbers are found by pattern; each different
-value is a protected entity. Corpus co-occurrence then tells how strongly a word near an entity
-reveals it: with document counts n(t, e) of word and entity together within ``CONTEXT`` characters,
-n(t), n(e) and N, the disclosure is PMI(t; e) / IC(e) = log2(n(t,e) N / (n(t) n(e))) / log2(N / n(e)), which is
-1 when the word occurs beside the entity only. Counts come from all documents. Pairs seen in fewer than
-``MIN_DOCS`` documents have no statistics and reveal nothing. A term over ``GENERALISE`` is a
-span of kind ``term`` and is generalised to its class; over ``REMOVE`` it is removed.
+value is a protected entity. Corpus co-occurrence then tells how strongly a word reveals an entity: with counts of
+whole documents n(t, e) of word and entity together, n(t), n(e) and N, the disclosure is
+PMI(t; e) / IC(e) = log2(n(t,e) N / (n(t) n(e))) / log2(N / n(e)), which is 1 when the word occurs in documents of the
+entity only. Counts come from all documents. Pairs seen in fewer than ``MIN_DOCS`` documents have no statistics and
+reveal nothing. Every occurrence of a term over ``GENERALISE``, in whatever text, is a span of kind ``term`` and is
+generalised to its class; over ``REMOVE`` it is removed. Words are runs of letters and digits outside the spans of entities.
 
-Words are paired only with entities they stand beside, so pairs grow with the text and not with its square.
-Counts are pre-aggregated per task. Nothing is collected.
+Only words of documents that hold an entity of ``MIN_DOCS`` documents are paired, with such entities only (no other
+pair has statistics). Counts are pre-aggregated per task. Nothing is collected.
 
 Possessive quantifiers and the look-behinds leave the matches as they are (the classes around them are disjoint)
 and keep the cost linear in long runs; ``\\G`` allows a match right after the last one.
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from care_analytics.llm.common import text_or_empty, written
 
 KINDS = ["email", "ip", "card", "phone"]       # fixed values, in the order of the result
-CONTEXT = 60               # characters on either side of an entity
-MIN_DOCS = 2               # documents in which a word stands beside an entity before it counts
+MIN_DOCS = 2               # documents that hold a word and an entity before the pair counts
+BLOCK = 256                # matches located in one go: arrays grow by copying
 GENERALISE, REMOVE = 0.8, 0.95
 
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -40,22 +40,23 @@ PATTERNS = {
 }
 # What a text must hold before its pattern is worth running; true for every text with a span that counts.
 GATES = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"(?:[0-9][ -]?){12}[0-9]", "phone": r"\+[0-9]"}
-SPAN = "array<struct<s:int,e:int,v:string,l:string,r:string>>"
+SPAN = "array<struct<s:int,e:int,v:string>>"
 WORDS = r"[\p{L}\p{N}]+"
 
 
-def _located(text: str, pattern: str, sides: bool) -> str:
-    """SQL: the matches of ``pattern`` in ``text`` as structs of start, end, value and, if ``sides``, the
-    characters before and after. Starts are running lengths of the pieces between matches."""
-    before, after = (f"right(p[i], {CONTEXT})", f"left(p[i + 1], {CONTEXT})") if sides else ("''", "''")
+def _located(text: str, pattern: str) -> str:
+    """SQL: the matches of ``pattern`` in ``text`` as structs of start, end and value. Starts are running lengths of
+    the pieces between matches."""
     return f"""
     aggregate(array(named_struct('m', regexp_extract_all({text}, r'{pattern}', 0), 'p', split({text}, r'{pattern}', -1))),
       cast(array() as {SPAN}), (none, f) -> if(size(f.m) = 0, none,
-        aggregate(sequence(0, size(f.m) - 1), named_struct('at', 0, 'out', cast(array() as {SPAN})),
-          (acc, i) -> named_struct('at', acc.at + length(f.p[i]) + length(f.m[i]),
-            'out', array_append(acc.out, named_struct('s', acc.at + length(f.p[i]), 'e', acc.at + length(f.p[i]) + length(f.m[i]),
-              'v', f.m[i], 'l', {before.replace('p[', 'f.p[')}, 'r', {after.replace('p[', 'f.p[')}))),
-          acc -> acc.out)))"""
+        aggregate(sequence(0, (size(f.m) - 1) div {BLOCK}), named_struct('at', 0, 'out', cast(array() as array<{SPAN}>)),
+          (all, b) -> aggregate(sequence(int(b * {BLOCK}), int(least(size(f.m), (b + 1) * {BLOCK}) - 1)),
+            named_struct('at', all.at, 'out', cast(array() as {SPAN})),
+            (acc, i) -> named_struct('at', acc.at + length(f.p[i]) + length(f.m[i]), 'out', array_append(acc.out, named_struct(
+              's', acc.at + length(f.p[i]), 'e', acc.at + length(f.p[i]) + length(f.m[i]), 'v', f.m[i]))),
+            acc -> named_struct('at', acc.at, 'out', array_append(all.out, acc.out))),
+          all -> flatten(all.out))))"""
 
 
 _LUHN = """aggregate(sequence(0, length(d) - 1), 0, (sum, i) -> sum + if(i % 2 = 0, int(substr(d, length(d) - i, 1)),
@@ -72,49 +73,59 @@ def base_spans(text: Column | str, kind: str) -> Column:
     """Spans of ``kind`` in a text column: leftmost, not overlapping, those that fail the check dropped."""
     name = text if isinstance(text, str) else "__text"
     gate = f"contains({name}, '@')" if kind == "email" else f"{name} rlike r'{GATES[kind]}'"
-    return F.expr(f"if({gate}, filter({_located(name, PATTERNS[kind], True)}, x -> {CHECKS[kind]}), cast(array() as {SPAN}))")
+    return F.expr(f"if({gate}, filter({_located(name, PATTERNS[kind])}, x -> {CHECKS[kind]}), cast(array() as {SPAN}))")
 
 
-def find_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(__id, __key, email, ip, card, phone): the spans of each row; ``__key`` is the hash of its text."""
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(__id, __key, __text, email, ip, card, phone): ``__key`` is the hash of the text."""
     rows = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text")) \
         .withColumn("__key", F.xxhash64("__text"))
-    return rows.select("__id", "__key", *[base_spans("__text", k).alias(k) for k in KINDS])
-
-
-def occurrences(base: DataFrame) -> DataFrame:
-    """(__id, __key, __kind, __value, __term, __s, __e): words beside each entity, with their place in the text. Words
-    cut by the edge of the context and words inside another span are left out."""
-    spans = base.withColumn("__all", F.concat(*KINDS)).filter(F.size("__all") > 0)
-    entity = F.explode(F.concat(*[F.expr(f"transform({k}, x -> named_struct('k', '{k}', 'x', x))") for k in KINDS]))
-    rows = spans.select("__id", "__key", "__all", entity.alias("__n")) \
-        .select("__id", "__key", "__all", F.col("__n.k").alias("__kind"), F.col("__n.x.v").alias("__value"),
-                F.col("__n.x.s").alias("__from"), F.col("__n.x.e").alias("__to"),
-                F.col("__n.x.l").alias("__left"), F.col("__n.x.r").alias("__right"))
-    left = F.expr(f"transform(filter({_located('__left', WORDS, False)}, x -> x.s > 0 or length(__left) < {CONTEXT}), "
-                  "x -> named_struct('s', __from - length(__left) + x.s, 'e', __from - length(__left) + x.e, 'v', lower(x.v)))")
-    right = F.expr(f"transform(filter({_located('__right', WORDS, False)}, x -> x.e < length(__right) or length(__right) < {CONTEXT}), "
-                   "x -> named_struct('s', __to + x.s, 'e', __to + x.e, 'v', lower(x.v)))")
-    return rows.withColumn("__w", F.explode(F.concat(left, right))) \
-        .filter("not exists(__all, y -> y.s < __w.e and __w.s < y.e)") \
-        .select("__id", "__key", "__kind", "__value", F.col("__w.v").alias("__term"), F.col("__w.s").alias("__s"), F.col("__w.e").alias("__e"))
-
-
-def disclosures(docs: DataFrame, base: DataFrame, beside: DataFrame, text_col: str = "text",
+    return rows.select("__id", "__key", "__text", *[base_spans("__text", k).alias(k) for k in KINDS])
+
+
+# SQL: the text with spaces in place of its spans.
+OUTSIDE = f"""aggregate(array(sort_array(transform(concat({', '.join(KINDS)}), x -> named_struct('s', x.s, 'e', x.e)))), __text, (whole, spans) ->
+    if(size(spans) = 0, whole, aggregate(spans, named_struct('at', 0, 'out', cast(array() as array<string>)), (acc, x) -> if(x.e <= acc.at, acc,
+        named_struct('at', x.e, 'out', array_append(acc.out, concat(substr(whole, acc.at + 1, greatest(x.s - acc.at, 0)),
+            repeat(' ', x.e - greatest(x.s, acc.at)))))), acc -> concat(array_join(acc.out, ''), substr(whole, acc.at + 1)))))"""
+DIFFERENT = f"array_distinct(transform(regexp_extract_all(__outside, r'{WORDS}', 0), x -> lower(x)))"
+
+
+def outside(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(__id, __key, __outside): each text with spaces in place of its spans."""
+    return _rows(docs, id_col, text_col).select("__id", "__key", F.expr(OUTSIDE).alias("__outside"))
+
+
+def find_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(__id, __key, email, ip, card, phone, __words): the spans of each row; ``__words`` are the different words outside
+    them, null for a row without a span."""
+    rows = _rows(docs, id_col, text_col)
+    some = F.size(F.concat(*KINDS)) > 0
+    return rows.withColumn("__outside", F.when(some, F.expr(OUTSIDE))).select("__id", "__key", *KINDS, F.expr(DIFFERENT).alias("__words"))
+
+
+def disclosures(docs: DataFrame, base: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 min_docs: int = MIN_DOCS, threshold: float = GENERALISE) -> DataFrame:
-    """(__kind, __value, __term, __disclosure): the terms that reveal entities over ``threshold``."""
-    together = beside.select("__kind", "__value", "__term", "__id", "__key").distinct() \
-        .groupBy("__kind", "__value", "__term").agg(F.count(F.lit(1)).alias("__te")).filter(F.col("__te") >= min_docs)
+    """(__kind, __value, __term, __disclosure): the terms that reveal entities over ``threshold``. Counts are of rows; rows
+    repeated under one id are one document for ``min_docs``."""
+    different = F.array_distinct(F.concat(*[F.expr(f"transform({k}, x -> named_struct('k', '{k}', 'v', x.v))") for k in KINDS]))
+    holders = base.filter(F.size(F.concat(*KINDS)) > 0).groupBy("__id", "__key").agg(
+        F.count(F.lit(1)).alias("__rows"), F.first(different).alias("__all"), F.first("__words").alias("__words"))
+    held = written(holders.select("__rows", "__words", F.explode("__all").alias("__x"))
+                   .select("__rows", "__words", F.col("__x.k").alias("__kind"), F.col("__x.v").alias("__value")), "pii-held")
+    entities = held.groupBy(F.col("__kind").alias("__k"), F.col("__value").alias("__v")) \
+        .agg(F.sum("__rows").alias("__ne"), F.count(F.lit(1)).alias("__docs")).filter(F.col("__docs") >= min_docs).drop("__docs")
+    entities = written(entities, "pii-entities")
+    same = (F.col("__kind") == F.col("__k")) & (F.col("__value") == F.col("__v"))
+    together = held.join(entities, same, "left_semi") \
+        .select("__kind", "__value", "__rows", F.explode("__words").alias("__term")).groupBy("__kind", "__value", "__term") \
+        .agg(F.sum("__rows").alias("__te"), F.count(F.lit(1)).alias("__docs")).filter(F.col("__docs") >= min_docs).drop("__docs")
     together = written(together, "pii-pairs")
     terms = written(together.select(F.col("__term").alias("__t")).distinct(), "pii-terms")
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(text_or_empty(text_col)), r"[^\p{L}\p{N}]+"))).alias("__w"))
+    words = outside(docs, id_col, text_col).select(F.explode(F.expr(DIFFERENT)).alias("__w"))
     of_term = words.join(terms, F.col("__w") == F.col("__t"), "left_semi").groupBy("__w").agg(F.count(F.lit(1)).alias("__nt"))
-    of_entity = F.explode(F.array_distinct(F.concat(*[
-        F.expr(f"transform({k}, x -> named_struct('k', '{k}', 'v', x.v))") for k in KINDS]))).alias("__x")
-    entities = base.select(of_entity).groupBy(F.col("__x.k").alias("__k"), F.col("__x.v").alias("__v")).agg(F.count(F.lit(1)).alias("__ne"))
     total = base.agg(F.count(F.lit(1)).alias("__n"))
-    pairs = together.join(of_term, F.col("__term") == F.col("__w")) \
-        .join(entities, (F.col("__kind") == F.col("__k")) & (F.col("__value") == F.col("__v"))) \
+    pairs = together.join(of_term, F.col("__term") == F.col("__w")).join(entities, same) \
         .withColumn("__n", F.lit(total.first()["__n"]))
     information = F.log2(F.col("__n") / F.col("__ne"))
     revealed = F.log2(F.col("__te") * F.col("__n") / (F.col("__nt") * F.col("__ne")))
@@ -128,13 +139,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_do
     """One row per input row: (__id, __key, email, ip, card, phone, term), arrays of spans; a term span has its
     largest disclosure as ``d``."""
     base = written(find_base(docs, id_col, text_col), "pii-base")
-    beside = written(occurrences(base), "pii-beside")
-    over = disclosures(docs, base, beside, text_col, min_docs, threshold).select(
-        F.col("__kind").alias("__k"), F.col("__value").alias("__v"), F.col("__term").alias("__t"), "__disclosure")
-    spans = beside.join(over, (F.col("__kind") == F.col("__k")) & (F.col("__value") == F.col("__v")) & (F.col("__term") == F.col("__t"))) \
-        .groupBy("__id", "__key", "__s", "__e").agg(F.max("__disclosure").alias("__d")) \
+    over = written(disclosures(docs, base, id_col, text_col, min_docs, threshold)
+                   .groupBy(F.col("__term").alias("__t")).agg(F.max("__disclosure").alias("__d")), "pii-over")
+    words = outside(docs, id_col, text_col).select("__id", "__key", F.explode(F.expr(_located("__outside", WORDS))).alias("__w")) \
+        .select("__id", "__key", F.col("__w.s").alias("__s"), F.col("__w.e").alias("__e"), F.lower("__w.v").alias("__term"))
+    spans = words.join(over, F.col("__term") == F.col("__t")) \
         .groupBy(F.col("__id").alias("__tid"), F.col("__key").alias("__tkey")) \
-        .agg(F.sort_array(F.collect_list(F.struct(F.col("__s").alias("s"), F.col("__e").alias("e"), F.col("__d").alias("d")))).alias("__terms"))
+        .agg(F.sort_array(F.collect_set(F.struct(F.col("__s").alias("s"), F.col("__e").alias("e"), F.col("__d").alias("d")))).alias("__terms"))
     none = F.expr("cast(array() as array<struct<s:int,e:int,d:double>>)")
     return base.join(spans, F.col("__id").eqNullSafe(F.col("__tid")) & (F.col("__key") == F.col("__tkey")), "left") \
         .select("__id", "__key", *KINDS, F.coalesce("__terms", none).alias("term"))

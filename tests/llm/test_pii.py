@@ -60,6 +60,26 @@ def test_disclosure_of_terms(spark):
     assert general[0] == "[name] [word] [word] [email] [word] the 0th"
 
 
+def test_terms_count_and_are_marked_in_whole_documents(spark):
+    far = "far and away " * 20
+    texts = [f"Quimby asks {'' if i < 2 else far}q@u.org" for i in range(10)]            # near the email in 2 of its 10 documents
+    texts += [f"Quimby {far}quimby, İzmir QUIMBY 4111111111111111"] + [f"far and away asks {i}" for i in range(989)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["__id"]: [(texts[r["__id"]][x["s"]:x["e"]], x["d"]) for x in r["term"]] for r in pii.find(docs).collect()}
+    want = math.log2(10 * 1000 / (11 * 10)) / math.log2(1000 / 10)                       # also without the email: n(t) = 11
+    assert all([w for w, _ in rows[i]] == ["Quimby"] and math.isclose(rows[i][0][1], want) for i in range(10))
+    assert [w for w, _ in rows[10]] == ["Quimby", "quimby", "QUIMBY"] and not any(rows[i] for i in range(11, 1000))
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitize(docs).collect()}
+    assert not any("quimby" in t.lower() for t in clean.values()) and clean[10].endswith(", İzmir  [card]")
+
+
+def test_many_words_keep_their_places(spark):
+    text = " ".join(f"w{i}é" for i in range(1500))
+    docs = spark.createDataFrame([(0, text + " a@b.cc"), (1, "ü " + text + " a@b.cc")] + [(i, "other") for i in range(2, 500)], "doc_id long, text string")
+    row = next(r for r in pii.find(docs).collect() if r["__id"] == 1)
+    assert [("ü " + text)[x["s"]:x["e"]] for x in row["term"]] == text.split()
+
+
 def test_odd_rows(spark, odd):
     rows = pii.find(odd).collect()
     assert len(rows) == 9 and not any(r[k] for r in rows for k in [*pii.KINDS, "term"])
