@@ -8,6 +8,9 @@ re-parameterised question (other names, numbers, units) matches, while unrelated
 shape does not. An item is found in a document when windows on consistent alignments
 cover at least 0.8 of its windows.
 
+Each window is hashed a second time by its values without case, and either hash may match, so a copy in other case is found,
+whose names cannot be told; windows equal by value count without binding slots.
+
 A unit is a listed word after a number, or a currency or per cent sign. A name is a title-case word; at the
 start of a sentence only if the benchmark never has the word in lower case. A window with fewer than two
 literals is hashed by its values, since its shape alone says nothing.
@@ -82,7 +85,7 @@ class Templates:
         self.text = np.repeat(np.arange(len(per)), [len(ts) for ts in per])
         words = list(code)
         kind = np.array([_kind(w, lexicon) for w in words], np.int64)[flat] if words else flat
-        lower = np.array([_hash(w.lower()) for w in words], np.uint64)[flat] if words else flat.astype(np.uint64)
+        lower = np.array([_hash(w.casefold()) for w in words], np.uint64)[flat] if words else flat.astype(np.uint64)
         before = np.r_[MARK, kind[:-1]] if len(kind) else kind
         before[np.r_[True, self.text[1:] != self.text[:-1]][:len(before)]] = MARK
         kind = np.where((kind == UNIT) & (before != NUMBER), LITERAL, kind)
@@ -117,17 +120,22 @@ class Templates:
             by_value[inside] += lower[at] * factor
             literals[inside] += ~self.slot[at]
             factor = np.uint64(int(factor) * PRIME % 2 ** 64)
-        key = np.where(literals >= 2, by_shape, by_value ^ np.uint64(0x5BD1E995)) + self.width.astype(np.uint64)
+        by_value = by_value ^ np.uint64(0x5BD1E995)
+        key = np.r_[np.where(literals >= 2, by_shape, by_value), ~by_value] + np.tile(self.width, 2).astype(np.uint64)
+        self.exact = np.arange(len(key)) >= len(first)
+        self.of, self.place, self.first, self.width = (np.tile(x, 2) for x in (self.of, self.place, self.first, self.width))
         self.key = (key ^ (key >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
 
     def slots(self, w: int) -> list[str]:
-        """Slot values of window ``w``, in order, lower case."""
+        """Slot values of window ``w``, in order, lower case; none where it is hashed by value."""
+        if self.exact[w]:
+            return []
         a = int(self.first[w])
         return [self.words[self.flat[i]].lower() for i in range(a, a + int(self.width[w])) if self.slot[i]]
 
 
 def template_windows(rows: DataFrame, id_col: str, text_col: str, lexicon, only=None, window: int = WINDOW) -> DataFrame:
-    """(__id, __place, __n, __key, __slots): the windows of each text, ``__n`` in all. ``only`` is a broadcast sorted
+    """(__id, __place, __n, __key, __exact, __slots): the windows of each text, ``__n`` in all, by shape and by value. ``only`` is a broadcast sorted
     array of hashes: other windows are left out. ``lexicon`` is a broadcast set of words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None
@@ -144,15 +152,15 @@ def template_windows(rows: DataFrame, id_col: str, text_col: str, lexicon, only=
                     at = at[(near < len(only.value)) & (only.value[np.minimum(near, len(only.value) - 1)] == found.key[at])] \
                         if len(only.value) else at[:0]
                 if len(at):
-                    total = np.bincount(found.of, minlength=len(texts))
+                    total = np.bincount(found.of, minlength=len(texts)) // 2
                     who = found.of[at]
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0).take(pa.array(who)), pa.array(found.place[at]), pa.array(total[who]),
-                         pa.array(found.key[at].view(np.int64)), pa.array([found.slots(w) for w in at.tolist()], pa.list_(pa.string()))],
-                        names=["__id", "__place", "__n", "__key", "__slots"])
+                         pa.array(found.key[at].view(np.int64)), pa.array(found.exact[at]), pa.array([found.slots(w) for w in at.tolist()], pa.list_(pa.string()))],
+                        names=["__id", "__place", "__n", "__key", "__exact", "__slots"])
 
     schema = T.StructType([T.StructField("__id", rows.schema[id_col].dataType), T.StructField("__place", T.LongType()),
-                           T.StructField("__n", T.LongType()), T.StructField("__key", T.LongType()),
+                           T.StructField("__n", T.LongType()), T.StructField("__key", T.LongType()), T.StructField("__exact", T.BooleanType()),
                            T.StructField("__slots", T.ArrayType(T.StringType()))])
     return rows.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text")).mapInArrow(run, schema)
 
@@ -189,7 +197,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     clash = F.lit(True)
     for c in alignment:
         clash = clash & hits[c].eqNullSafe(bound[c])
-    return hits.join(bound, clash, "left_anti") \
+    return hits.filter("not __exact").join(bound, clash, "left_anti").union(hits.filter("__exact")) \
         .groupBy("__id", "__item", "__iplace").agg(F.max("__in").alias("__in")) \
         .groupBy("__id", "__item").agg((F.count(F.lit(1)) / F.max("__in")).alias("__coverage")) \
         .filter(F.col("__coverage") >= min_coverage)

@@ -23,6 +23,10 @@ def test_other_values_match_when_they_are_consistent(spark, bench):
     assert got == {0: "1", 1: "", 2: "", 3: "", 4: "", 5: "3", 6: "", 7: "1", 8: got[8]}
 
 
+def test_copies_in_other_case_are_found(spark, bench):
+    assert found(spark, [ITEM.upper(), "so " + ITEM.lower() + " ok", ITEM.lower()[:60]], bench) == {0: "1", 1: "1", 2: ""}
+
+
 def test_without_the_filter_the_join_finds_the_same(spark, bench, monkeypatch):
     texts = [ITEM, "x " * 50 + ITEM, "the", "nothing here at all"]
     want = found(spark, texts, bench)
