@@ -4,7 +4,8 @@ Method. Words of a text are hashed, and all rolling grams of two and of five wor
 the positions of the same grams in the templates. A hit at document position p and template position q lies on
 diagonal p - q; hits are counted per diagonal, which is one placement of the template. Short templates
 (phrases) count where every gram of theirs lies on one diagonal. For long ones, neighbouring diagonals are merged (an
-inserted or missing word shifts the rest), and a merged span is verified: the words its hits cover must be
+inserted or missing word shifts the rest); of what is then not verified, each band is merged with the bands that lie
+beyond it by at most the words a stretch may add, and the best of overlapping spans counts. A merged span is verified: the words its hits cover must be
 at least 0.8 of the template's (all of them for a notice under 20 words), on a stretch of at most 1.25 times its length.
 
 Templates are the constants below or the caller's, counted before they are broadcast (at most ``MAX_GRAMS`` grams).
@@ -33,6 +34,7 @@ SHORT_GRAM, LONG_GRAM = 2, 5
 MIN_COVER, MAX_STRETCH = 0.8, 1.25
 WHOLE_WORDS = 20           # notices of fewer words must be covered whole: their last word may be the version
 MAX_SHIFT = 4              # diagonals at most so far apart are neighbours
+STEP = 1 << 20             # over the words any stretch may add
 MAX_GRAMS = 200_000        # template grams that may be broadcast (a few MB)
 CHUNK_BYTES = 4_000_000
 PRIME = 0x9E3779B97F4A7C15
@@ -139,6 +141,15 @@ def rolling_grams(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def _verified(merged: DataFrame) -> DataFrame:
+    """``merged`` with ``__cover``, and in ``__whole`` whether the span is a placement of its template."""
+    least = F.when(F.col("__size") < WHOLE_WORDS, 1.0).otherwise(MIN_COVER)
+    return merged \
+        .withColumn("__covered", F.expr("size(array_distinct(flatten(transform(__places, q -> sequence(q, q + __width - 1)))))")) \
+        .withColumn("__cover", F.col("__covered") / F.col("__size")) \
+        .withColumn("__whole", (F.col("__cover") >= least) & (F.col("__to") - F.col("__from") <= F.ceil(F.col("__size") * MAX_STRETCH)))
+
+
 def spans(rows: DataFrame, templates: list[Template]) -> DataFrame:
     """(__id, __key, __t, __base, __label, __from, __to, __cover): verified placements; words from 0, end exclusive."""
     table = positions(rows, templates)
@@ -156,16 +167,28 @@ def spans(rows: DataFrame, templates: list[Template]) -> DataFrame:
         *template, F.col("__first").alias("__from"), (F.col("__first") + F.col("__size")).alias("__to"), F.lit(1.0).alias("__cover"))
     by_line = Window.partitionBy("__id", "__key", "__t").orderBy("__line")
     opened = F.coalesce(F.col("__line") - F.lag("__line").over(by_line) > MAX_SHIFT, F.lit(True))
-    merged = lines.filter(F.col("__size") >= LONG_GRAM).withColumn("__new", opened.cast("int")) \
+    bands = lines.filter(F.col("__size") >= LONG_GRAM).withColumn("__new", opened.cast("int")) \
         .withColumn("__band", F.sum("__new").over(by_line.rowsBetween(Window.unboundedPreceding, 0))) \
         .groupBy(*template, "__band").agg(
-            F.min("__first").alias("__from"), F.max(F.col("__last") + F.col("__width")).alias("__to"),
-            F.array_distinct(F.flatten(F.collect_list("__places"))).alias("__places")) \
-        .withColumn("__covered", F.expr("size(array_distinct(flatten(transform(__places, q -> sequence(q, q + __width - 1)))))")) \
-        .withColumn("__cover", F.col("__covered") / F.col("__size")) \
-        .filter((F.col("__cover") >= F.when(F.col("__size") < WHOLE_WORDS, 1.0).otherwise(MIN_COVER)) & (F.col("__to") - F.col("__from") <= F.ceil(F.col("__size") * MAX_STRETCH)))
+            F.min("__line").alias("__line"), F.min("__first").alias("__from"), F.max(F.col("__last") + F.col("__width")).alias("__to"),
+            F.array_distinct(F.flatten(F.collect_list("__places"))).alias("__places"))
+    bands = _verified(bands)
+    # Places scaled by the words a stretch may add, so that one range frame serves all templates.
+    near = Window.partitionBy("__id", "__key", "__t").orderBy("__scaled").rangeBetween(0, STEP)
+    wide = bands.filter("not __whole").withColumn("__reach", F.ceil(F.col("__size") * (MAX_STRETCH - 1))) \
+        .filter(F.col("__reach") > MAX_SHIFT) \
+        .withColumn("__scaled", F.expr(f"((bigint(__line) + __size) * {STEP}) div __reach")) \
+        .select(*template, F.min("__from").over(near).alias("__from"), F.max("__to").over(near).alias("__to"),
+                F.array_distinct(F.flatten(F.collect_list("__places").over(near))).alias("__places"))
+    wide = _verified(wide).filter("__whole")
+    in_order = Window.partitionBy("__id", "__key", "__t").orderBy("__from", "__to")
+    apart = F.coalesce(F.col("__from") >= F.max("__to").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    wide = wide.withColumn("__new", apart.cast("int")) \
+        .withColumn("__span", F.sum("__new").over(in_order.rowsBetween(Window.unboundedPreceding, 0))) \
+        .groupBy(*template, "__span").agg(F.max(F.struct("__cover", (-F.col("__from")).alias("f"), "__to")).alias("__best")) \
+        .select(*template, (-F.col("__best.f")).alias("__from"), F.col("__best.__to").alias("__to"), F.col("__best.__cover").alias("__cover"))
     columns = ["__id", "__key", "__t", "__base", "__label", "__from", "__to", "__cover"]
-    return phrases.select(*columns).union(merged.select(*columns))
+    return phrases.select(*columns).union(bands.filter("__whole").select(*columns)).union(wide.select(*columns))
 
 
 def scan(docs: DataFrame, templates: list[Template] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -42,6 +42,18 @@ def test_places_and_templates(spark):
     assert rows[8]["labels"] == ""                              # two halves far apart are no license
 
 
+def test_insertions_and_omissions_up_to_the_stretch(spark):
+    mit = next(t for t, label in L.TEXTS if label == "mit" and len(t.split()) > 50).split()
+    half, most = len(mit) // 2, -(-len(mit) // 4)
+    texts = [" ".join(["a"] * 9 + mit[:half] + ["pad"] * k + mit[half:] + ["b"] * 9) for k in (1, 5, 12, most, most + 1)]
+    texts += [" ".join(mit[:half] + mit[half + 8:]), " ".join(mit[:30] + ["x"] * 9 + mit[30:60] + ["y"] * 8 + mit[60:]),
+              " ".join((mit[:half] + ["pad"] * 9 + mit[half:]) * 3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = L.Template(" ".join(mit), "mit", True)
+    got = {r["doc_id"]: (r["labels"], r["n_base"]) for r in L.scan(docs, [own]).collect()}
+    assert got == {i: ("", 0) if i == 4 else ("mit", 3 if i == 7 else 1) for i in range(8)}
+
+
 def test_own_templates(spark):
     docs = spark.createDataFrame([(1, "red green blue red green")], "doc_id long, text string")
     row = L.scan(docs, [L.Template("red green", "rg", True), L.Template("blue red green x", "no", False)]).first()
