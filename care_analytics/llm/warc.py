@@ -40,7 +40,6 @@ MIN_REVISIT_BYTES = 0      # smaller payloads are always responses
 DATE = "2024-01-01T00:00:00Z"
 CHUNK_BYTES = 4_000_000
 READ_BYTES = 1 << 20
-HEAD_BYTES = 1 << 16       # longest header of a record
 
 # Words of the WARC 1.1 format.
 VERSION = "WARC/1.1"
@@ -131,7 +130,7 @@ def parse(data: bytes, at: int) -> Record:
     """The record at ``data[at:]``; raises Broken when a check fails."""
     if not VERSION_LINE.match(data, at):
         raise Broken("no version line")
-    end = data.find(b"\r\n\r\n", at, at + HEAD_BYTES)
+    end = data.find(b"\r\n\r\n", at)
     if end < 0:
         raise Broken("header not closed")
     headers = {}
@@ -205,19 +204,24 @@ class Salvage:
         return b"".join(out), fed - len(unpack.unused_data) - at
 
     def _plain(self, at: int) -> tuple[Record, int]:
+        seen = at
+        while True:
+            end = self.buffer.find(b"\r\n\r\n", seen)             # a header may have any length
+            if end >= 0 or not VERSION_LINE.match(self.buffer, at):
+                break
+            binary = self.buffer.find(b"\0", seen) >= 0             # no header has such a byte: do not read on for its end
+            seen = max(at, len(self.buffer) - 3)
+            if binary or not self._more():
+                break
         while True:
             try:
                 found = parse(self.buffer, at)
                 found.payload = bytes(found.payload) if found.payload is not None else None
                 return found, found.size
             except Broken as why:
-                if str(why) not in ("block cut off", "header not closed") or not self._wants(at, str(why)) or not self._more():
+                if str(why) != "block cut off" or not self._more():
                     raise
 
-    def _wants(self, at: int, why: str) -> bool:
-        """More data could mend the record: it is cut off by the buffer, not by its own header."""
-        return why == "block cut off" or len(self.buffer) - at < HEAD_BYTES
-
     def _unit(self, at: int) -> tuple[list[tuple[int, Record]], list[tuple[int, str]], int]:
         """What starts at ``buffer[at:]``: records and gaps (by place inside the unit) and its raw length."""
         self._have(at + 10)

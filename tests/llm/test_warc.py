@@ -63,6 +63,18 @@ def test_damage_costs_only_what_it_touches(monkeypatch):
             assert any(o < where[hit[2]][0] <= o + s for o, s, _ in gaps)
 
 
+def test_headers_of_any_length(spark):
+    url = "data:text/html," + "x" * 100_000
+    for packed in (False, True):
+        parts = [W.record(i, url if i % 2 else "u", b"body", digest(b"body"), None) for i in range(4)]
+        ok, gaps = read(b"".join(W.member(r) if packed else r for r in parts))
+        assert sorted(ok) == [0, 1, 2, 3] and not gaps
+    path = scratch_path(spark, "warc-test")
+    W.write_archives(spark.createDataFrame([(1, url, "a"), (2, "u", "b")], "page_id long, url string, html string"), path)
+    rows = W.read_archives(spark, path).collect()
+    assert sorted((r["record_id"], r["reason"], r["target_uri"]) for r in rows) == [("1", None, url), ("2", None, "u")]
+
+
 def test_cut_off_archive_and_foreign_bytes():
     for packed in (False, True):
         data = b"".join(archive(5, packed))
