@@ -2,24 +2,24 @@
 
 Method. Text is cut into tokens; numbers, units and names become typed placeholders (slots), all
 other words are lower-cased literals. Every window of five template tokens is hashed, and document
-windows are hash-joined to benchmark windows. Windows on one alignment (document
-position minus item position) bind slots: each slot value of the item must meet one value only, so a
-re-parameterised question (other names, numbers, units) matches, while unrelated text of the same
-shape does not. An item is found in a document when windows on consistent alignments
-cover at least 0.8 of its windows.
+windows are hash-joined to benchmark windows. Windows on one alignment (document position minus item position) bind
+slots. Numbers and units are parameters, bound by place, so equal numbers may become different ones. A name must meet
+one value: where it meets several, windows count that hold the value it meets at over half of its places. So a
+re-parameterised question (other names, numbers, units) matches, while one that mixes up its names does not. An item is
+found in a document when windows cover at least 0.8 of its windows.
 
 Each window is hashed a second time by its values without case, and either hash may match, so a copy in other case is found,
 whose names cannot be told; windows equal by value count without binding slots.
 
 A unit is a listed word after a number, or a currency or per cent sign. A name is a title-case word; at the
-start of a sentence only if the benchmark never has the word in lower case. A window with fewer than two
-literals is hashed by its values, since its shape alone says nothing.
+start of a sentence only if the benchmark never has the word in lower case. The shape of a
+window with fewer than two literals says nothing: it is widened until it has two, to the right and to the left.
 
 The benchmark's window hashes are broadcast as a filter only while there are at most ``FILTER_WINDOWS``
 (their number is counted first); beyond, all document windows go to the join.
 
-Defined cases: null or empty texts have no windows; a text of fewer tokens than a window is one window of its
-whole length, which only equals a text of that length; rows repeated under one id count as one
+Defined cases: null or empty texts have no windows; an item of fewer tokens than a window is one window of its
+whole length, which documents have too; an item of one token only equals a text of one token; rows repeated under one id count as one
 document; an empty benchmark finds nothing; an empty table gives an empty result.
 """
 
@@ -38,6 +38,7 @@ from pyspark.sql import types as T
 from care_analytics.llm.common import slices, text_or_empty, written
 
 WINDOW = 5
+MIN_TOKENS = 2                 # items of fewer tokens equal whole texts only
 MIN_COVERAGE = 0.8
 FILTER_WINDOWS = 4_000_000     # 32 MB of hashes
 LEXICON_WORDS = 500_000        # lower-case benchmark words that are shipped
@@ -78,7 +79,7 @@ def _hash(text: str) -> int:
 class Templates:
     """The template tokens of several texts and their windows."""
 
-    def __init__(self, texts: list[str], lexicon: frozenset[str], window: int = WINDOW):
+    def __init__(self, texts: list[str], lexicon: frozenset[str], window: int = WINDOW, widths: tuple[int, ...] = ()):
         per = [TOKEN.findall(t) for t in texts]
         code: dict[str, int] = {}
         flat = np.array([code.setdefault(t, len(code)) for ts in per for t in ts], np.int64)
@@ -96,46 +97,59 @@ class Templates:
         shape = lower.copy()
         for k, name in PLACEHOLDER.items():
             shape[kind == k] = _hash(name)
-        self.slot = kind != LITERAL
-        self._windows(shape, lower, window, len(per))
+        self.slot, self.name = kind != LITERAL, kind == TITLE
+        self._windows(shape, lower, window, len(per), widths)
 
-    def _windows(self, shape: np.ndarray, lower: np.ndarray, window: int, texts: int) -> None:
+    def _windows(self, shape: np.ndarray, value: np.ndarray, window: int, texts: int, widths: tuple[int, ...]) -> None:
+        """By shape: windows with two literals, and wider ones for those without; by value: all. Windows of other
+        ``widths`` are added to texts that are longer."""
         n = len(shape)
         size = np.bincount(self.text, minlength=texts)
         start = np.cumsum(size) - size
-        short = np.flatnonzero((size > 0) & (size < window))
-        last = np.maximum(start + size - window, start)
-        count = np.where(size > 0, last - start + 1, 0)
-        first = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        self.of = np.repeat(np.arange(texts), count)
-        self.place = first - start[self.of]
-        self.first, self.width = first, np.minimum(size[self.of], window)
-        by_shape, by_value = np.zeros(len(first), np.uint64), np.zeros(len(first), np.uint64)
-        literals = np.zeros(len(first), np.int64)
-        factor = np.uint64(1)
-        for k in range(window):
-            inside = k < self.width if len(short) else slice(None)
-            at = np.minimum(first + k, max(n - 1, 0))[inside]
-            by_shape[inside] += shape[at] * factor
-            by_value[inside] += lower[at] * factor
-            literals[inside] += ~self.slot[at]
-            factor = np.uint64(int(factor) * PRIME % 2 ** 64)
-        by_value = by_value ^ np.uint64(0x5BD1E995)
-        key = np.r_[np.where(literals >= 2, by_shape, by_value), ~by_value] + np.tile(self.width, 2).astype(np.uint64)
-        self.exact = np.arange(len(key)) >= len(first)
-        self.of, self.place, self.first, self.width = (np.tile(x, 2) for x in (self.of, self.place, self.first, self.width))
+
+        def places(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            first = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            return first, np.repeat(np.arange(texts), count)
+
+        self.start, self.count = start, np.where(size > 0, np.maximum(size - window, 0) + 1, 0)
+        first, of = places(self.count)
+        end = np.minimum(first + window, (start + size)[of])
+        for width in widths:
+            more, owner = places(np.where(size > width, size - width + 1, 0))
+            first, end, of = np.r_[first, more], np.r_[end, more + width], np.r_[of, owner]
+        literals = np.r_[0, np.cumsum(~self.slot)]
+        rich = np.flatnonzero(literals[end] - literals[first] >= 2)
+        poor = np.flatnonzero((literals[end] - literals[first] < 2) & (end - first == window))
+        right = np.searchsorted(literals, literals[first[poor]] + 2)
+        left = np.searchsorted(literals, literals[end[poor]] - 2, side="right") - 1
+        to_right, to_left = right <= (start + size)[of[poor]], left >= start[of[poor]]
+        use = np.r_[rich, poor[to_right], poor[to_left]]
+        begin = np.r_[first[rich], first[poor[to_right]], left[to_left]]
+        stop = np.r_[end[rich], right[to_right], end[poor[to_left]]]
+        power, back = (np.cumprod(np.r_[np.uint64(1), np.full(n, x, np.uint64)]) for x in (PRIME, pow(PRIME, -1, 2 ** 64)))
+
+        def rolled(tokens: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            total = np.r_[np.uint64(0), np.cumsum(tokens * power[:n], dtype=np.uint64)]
+            return (total[b] - total[a]) * back[a] + (b - a).astype(np.uint64)
+
+        key = np.r_[rolled(shape, begin, stop), rolled(value, first, end) ^ np.uint64(0xA0761D6478BD642F)]
         self.key = (key ^ (key >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        self.exact = np.arange(len(key)) >= len(use)
+        self.of, self.window = np.r_[of[use], of], np.r_[first[use], first] - start[np.r_[of[use], of]]
+        self.first, self.width = np.r_[begin, first], np.r_[stop, end] - np.r_[begin, first]
+        self.place = self.first - start[self.of]
 
-    def slots(self, w: int) -> list[str]:
-        """Slot values of window ``w``, in order, lower case; none where it is hashed by value."""
-        if self.exact[w]:
-            return []
+    def names(self, w: int) -> list[tuple[int, str]]:
+        """Places and values of the names in window ``w``, in order, lower case; none where it is hashed by value."""
         a = int(self.first[w])
-        return [self.words[self.flat[i]].lower() for i in range(a, a + int(self.width[w])) if self.slot[i]]
+        inside = [] if self.exact[w] else np.flatnonzero(self.name[a:a + int(self.width[w])]).tolist()
+        return [(int(self.place[w]) + i, self.words[self.flat[a + i]].lower()) for i in inside]
 
 
-def template_windows(rows: DataFrame, id_col: str, text_col: str, lexicon, only=None, window: int = WINDOW) -> DataFrame:
-    """(__id, __place, __n, __key, __exact, __slots): the windows of each text, ``__n`` in all, by shape and by value. ``only`` is a broadcast sorted
+def template_windows(rows: DataFrame, id_col: str, text_col: str, lexicon, only=None, window: int = WINDOW,
+                     widths: tuple[int, ...] = ()) -> DataFrame:
+    """(__id, __window, __place, __width, __n, __key, __exact, __names, __at): the windows of each text, ``__n`` in all, by
+    shape and by value, with values and places of names. ``widths`` are those of shorter windows to add. ``only`` is a broadcast sorted
     array of hashes: other windows are left out. ``lexicon`` is a broadcast set of words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None
@@ -144,7 +158,7 @@ def template_windows(rows: DataFrame, id_col: str, text_col: str, lexicon, only=
             bits[only.value >> np.uint64(40)] = True
         for batch in batches:
             for part, texts in slices(batch, batch.column(1), CHUNK_BYTES):
-                found = Templates(texts, lexicon.value, window)
+                found = Templates(texts, lexicon.value, window, widths)
                 at = np.arange(len(found.key))
                 if bits is not None:
                     at = at[bits[found.key >> np.uint64(40)]]
@@ -152,16 +166,19 @@ def template_windows(rows: DataFrame, id_col: str, text_col: str, lexicon, only=
                     at = at[(near < len(only.value)) & (only.value[np.minimum(near, len(only.value) - 1)] == found.key[at])] \
                         if len(only.value) else at[:0]
                 if len(at):
-                    total = np.bincount(found.of, minlength=len(texts)) // 2
                     who = found.of[at]
+                    names = [found.names(w) for w in at.tolist()]
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(pa.array(who)), pa.array(found.place[at]), pa.array(total[who]),
-                         pa.array(found.key[at].view(np.int64)), pa.array(found.exact[at]), pa.array([found.slots(w) for w in at.tolist()], pa.list_(pa.string()))],
-                        names=["__id", "__place", "__n", "__key", "__exact", "__slots"])
-
-    schema = T.StructType([T.StructField("__id", rows.schema[id_col].dataType), T.StructField("__place", T.LongType()),
-                           T.StructField("__n", T.LongType()), T.StructField("__key", T.LongType()), T.StructField("__exact", T.BooleanType()),
-                           T.StructField("__slots", T.ArrayType(T.StringType()))])
+                        [part.column(0).take(pa.array(who)), pa.array(found.window[at]), pa.array(found.place[at]),
+                         pa.array(found.width[at]), pa.array(found.count[who]), pa.array(found.key[at].view(np.int64)),
+                         pa.array(found.exact[at]), pa.array([[v for _, v in x] for x in names], pa.list_(pa.string())),
+                         pa.array([[i for i, _ in x] for x in names], pa.list_(pa.int64()))],
+                        names=["__id", "__window", "__place", "__width", "__n", "__key", "__exact", "__names", "__at"])
+
+    schema = T.StructType([T.StructField("__id", rows.schema[id_col].dataType)]
+                          + [T.StructField(c, T.LongType()) for c in ("__window", "__place", "__width", "__n", "__key")]
+                          + [T.StructField("__exact", T.BooleanType()), T.StructField("__names", T.ArrayType(T.StringType())),
+                             T.StructField("__at", T.ArrayType(T.LongType()))])
     return rows.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text")).mapInArrow(run, schema)
 
 
@@ -180,25 +197,35 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     sc = docs.sparkSession.sparkContext
     lexicon = sc.broadcast(lexicon_of(benchmark, item_text_col))
     items = template_windows(benchmark, item_col, item_text_col, lexicon, window=window) \
-        .select(F.col("__id").alias("__item"), F.col("__place").alias("__iplace"), F.col("__n").alias("__in"),
-                F.col("__key").alias("__ikey"), F.col("__slots").alias("__islots"))
+        .select(F.col("__id").alias("__item"), F.col("__window").alias("__iwindow"), F.col("__place").alias("__iplace"),
+                F.col("__width").alias("__iwidth"), F.col("__n").alias("__in"), F.col("__key").alias("__ikey"),
+                F.col("__names").alias("__inames"), F.col("__at").alias("__iat"))
+    short = items.filter(F.col("__iwidth").between(MIN_TOKENS, window - 1)).agg(F.collect_set("__iwidth").alias("w")).first()
+    widths = tuple(sorted(short["w"]))
     keys = items.select("__ikey").distinct().limit(FILTER_WINDOWS + 1)
     only = None
     if keys.count() <= FILTER_WINDOWS:
         only = sc.broadcast(np.unique(np.array([r[0] for r in keys.toLocalIterator()], np.int64).view(np.uint64)))
-    windows = template_windows(docs, id_col, text_col, lexicon, only, window)
+    windows = template_windows(docs, id_col, text_col, lexicon, only, window, widths) \
+        .select("__id", "__place", "__key", "__exact", "__names")
     hits = written(windows.join(items, F.col("__key") == F.col("__ikey"))
                    .withColumn("__line", F.col("__place") - F.col("__iplace")), "template-hits")
     alignment = ["__id", "__item", "__line"]
-    bound = hits.select(*alignment, F.explode(F.arrays_zip(F.col("__islots").alias("i"), F.col("__slots").alias("d"))).alias("__s")) \
+    # A place of the item meets one place of the document, so the sets are at most as long as the item.
+    bound = hits.select(*alignment, F.explode(F.arrays_zip(F.col("__inames").alias("i"), F.col("__iat").alias("at"), F.col("__names").alias("d"))).alias("__s")) \
         .groupBy(*alignment, F.col("__s.i").alias("__value")) \
-        .agg((F.min("__s.d") != F.max("__s.d")).alias("__odd")) \
-        .groupBy(*alignment).agg(F.max("__odd").alias("__odd")).filter("__odd")
+        .agg(F.collect_set(F.struct("__s.at", "__s.d")).alias("__met")) \
+        .withColumn("__met", F.col("__met.d")).withColumn("__kinds", F.array_distinct("__met")).filter(F.size("__kinds") > 1) \
+        .withColumn("__most", F.expr("get(filter(__kinds, k -> 2 * size(filter(__met, m -> m = k)) > size(__met)), 0)")) \
+        .groupBy(*[F.col(c).alias(f"{c}_odd") for c in alignment]) \
+        .agg(F.collect_list(F.struct(F.col("__value").alias("i"), F.col("__most").alias("d"))).alias("__odd"))
     clash = F.lit(True)
     for c in alignment:
-        clash = clash & hits[c].eqNullSafe(bound[c])
-    return hits.filter("not __exact").join(bound, clash, "left_anti").union(hits.filter("__exact")) \
-        .groupBy("__id", "__item", "__iplace").agg(F.max("__in").alias("__in")) \
+        clash = clash & F.col(c).eqNullSafe(F.col(f"{c}_odd"))
+    return hits.join(bound, clash, "left") \
+        .filter("__odd is null or not exists(arrays_zip(__inames, __names), s -> "
+                "exists(__odd, o -> o.i = s.__inames and not (o.d <=> s.__names)))") \
+        .groupBy("__id", "__item", "__iwindow").agg(F.max("__in").alias("__in")) \
         .groupBy("__id", "__item").agg((F.count(F.lit(1)) / F.max("__in")).alias("__coverage")) \
         .filter(F.col("__coverage") >= min_coverage)
 

@@ -27,6 +27,19 @@ def test_copies_in_other_case_are_found(spark, bench):
     assert found(spark, [ITEM.upper(), "so " + ITEM.lower() + " ok", ITEM.lower()[:60]], bench) == {0: "1", 1: "1", 2: ""}
 
 
+def test_parameters_near_copies_dense_numbers_and_short_items(spark):
+    items = ["Tom has 3 apples and 3 pears", "Compute 12 + 7 * 5 - 9 and then add 4 to 13", "Who wrote Hamlet", ITEM.replace("Ann", "Tom"),
+             "add up all of 1 2 3 4 5 6 7 8"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = ["Ann has 5 apples and 8 pears", "Tom has 3 apples and 4 pears", "So: compute 1 + 2 * 8 - 9 and then add 4 to 13",
+             "I ask who wrote Hamlet, and when.", items[3].replace("with Tom", "with Zed"), "Now add up all of 9 8 7 6 5 4 3 2 1 0 at once", "Who wrote it?",
+             "who wrote", items[3].replace("Tom", "Alice").replace("with Alice", "with Zed")]
+    want = {0: "0", 1: "0", 2: "1", 3: "2", 5: "4", 6: "", 7: ""}
+    got = found(spark, texts, bench)
+    assert {i: got[i] for i in want} == want
+    assert got[4] == got[8] == ("3" if 16 / 21 >= D.MIN_COVERAGE else "")                # five of 21 windows hold the odd name
+
+
 def test_without_the_filter_the_join_finds_the_same(spark, bench, monkeypatch):
     texts = [ITEM, "x " * 50 + ITEM, "the", "nothing here at all"]
     want = found(spark, texts, bench)
