@@ -41,7 +41,7 @@ WINDOW = 5
 MIN_TOKENS = 2                 # items of fewer tokens equal whole texts only
 MIN_COVERAGE = 0.8
 FILTER_WINDOWS = 4_000_000     # 32 MB of hashes
-LEXICON_WORDS = 500_000        # lower-case benchmark words that are shipped
+LEXICON_WORDS = 500_000        # lower-case benchmark words that are shipped; more are joined
 CHUNK_BYTES = 2_000_000
 
 # Words that are units after a number, and signs that are units anywhere.
@@ -150,15 +150,20 @@ def template_windows(rows: DataFrame, id_col: str, text_col: str, lexicon, only=
                      widths: tuple[int, ...] = ()) -> DataFrame:
     """(__id, __window, __place, __width, __n, __key, __exact, __names, __at): the windows of each text, ``__n`` in all, by
     shape and by value, with values and places of names. ``widths`` are those of shorter windows to add. ``only`` is a broadcast sorted
-    array of hashes: other windows are left out. ``lexicon`` is a broadcast set of words."""
+    array of hashes: other windows are left out. ``lexicon`` is a broadcast set of words, or a table (__word) of them."""
+    texts = rows.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text"))
+    joined = isinstance(lexicon, DataFrame)
+    texts, shipped = (_with_known(texts, lexicon), None) if joined else (texts, lexicon)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None
         if only is not None:
             bits = np.zeros(1 << 24, np.bool_)
             bits[only.value >> np.uint64(40)] = True
         for batch in batches:
-            for part, texts in slices(batch, batch.column(1), CHUNK_BYTES):
-                found = Templates(texts, lexicon.value, window, widths)
+            for part, some in slices(batch, batch.column(1), CHUNK_BYTES):
+                words = shipped.value if shipped is not None else frozenset(w for ws in part.column(2).to_pylist() for w in ws or ())
+                found = Templates(some, words, window, widths)
                 at = np.arange(len(found.key))
                 if bits is not None:
                     at = at[bits[found.key >> np.uint64(40)]]
@@ -179,15 +184,41 @@ def template_windows(rows: DataFrame, id_col: str, text_col: str, lexicon, only=
                           + [T.StructField(c, T.LongType()) for c in ("__window", "__place", "__width", "__n", "__key")]
                           + [T.StructField("__exact", T.BooleanType()), T.StructField("__names", T.ArrayType(T.StringType())),
                              T.StructField("__at", T.ArrayType(T.LongType()))])
-    return rows.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text")).mapInArrow(run, schema)
+    return texts.mapInArrow(run, schema)
+
+
+def lexicon_words(benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """(__word): the words the benchmark has in lower case."""
+    return benchmark.select(F.explode(F.split(text_or_empty(text_col), r"[^\p{L}]+")).alias("__word")) \
+        .filter((F.col("__word") != "") & (F.col("__word") == F.lower("__word"))).distinct()
+
 
+def lexicon_of(benchmark: DataFrame, text_col: str = "text", limit: int = LEXICON_WORDS) -> frozenset[str] | None:
+    """``lexicon_words`` as a set to ship; None beyond ``limit``, when they are joined instead."""
+    words = lexicon_words(benchmark, text_col).limit(limit + 1).collect()
+    return frozenset(r["__word"] for r in words) if len(words) <= limit else None
 
-def lexicon_of(benchmark: DataFrame, text_col: str = "text", limit: int = LEXICON_WORDS) -> frozenset[str]:
-    """Words the benchmark has in lower case; empty beyond ``limit`` (every word that starts a
-    sentence is then a name or, where it is one, a placeholder on both sides alike)."""
-    words = benchmark.select(F.explode(F.split(text_or_empty(text_col), r"[^\p{L}]+")).alias("w")) \
-        .filter((F.col("w") != "") & (F.col("w") == F.lower("w"))).distinct().limit(limit + 1).collect()
-    return frozenset(r["w"] for r in words) if len(words) <= limit else frozenset()
+
+def _with_known(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """texts(__id, __text) -> (__id, __text, __known): ``__known`` are the title-case words at sentence starts of the row,
+    in lower case, that are in ``words(__word)``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, some in slices(batch, batch.column(2), CHUNK_BYTES):
+                tokens = [TOKEN.findall(t) for t in some]
+                starts = [sorted({w.lower() for before, w in zip(["."] + ts, ts) if before[0] in ".!?\n"
+                                  and len(w) > 1 and w[0].isupper() and w[1:].islower()}) for ts in tokens]
+                who = pa.array(np.repeat(np.arange(len(starts)), [len(x) for x in starts]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(who), part.column(1).take(who),
+                                                  pa.array([w for x in starts for w in x], pa.string())], names=["__sid", "__skey", "__start"])
+
+    keyed = texts.select("__id", F.xxhash64("__text").alias("__hash"), "__text")
+    schema = T.StructType([T.StructField("__sid", texts.schema["__id"].dataType), T.StructField("__skey", T.LongType()),
+                           T.StructField("__start", T.StringType())])
+    known = keyed.mapInArrow(run, schema).join(words, F.col("__start") == F.col("__word")) \
+        .groupBy("__sid", "__skey").agg(F.collect_set("__start").alias("__known"))
+    return keyed.join(known, F.col("__id").eqNullSafe(F.col("__sid")) & (F.col("__hash") == F.col("__skey")), "left") \
+        .select("__id", "__text", "__known")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -195,7 +226,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
             min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """(__id, __item, __coverage): items found in documents."""
     sc = docs.sparkSession.sparkContext
-    lexicon = sc.broadcast(lexicon_of(benchmark, item_text_col))
+    lexicon = lexicon_of(benchmark, item_text_col)
+    lexicon = lexicon_words(benchmark, item_text_col) if lexicon is None else sc.broadcast(lexicon)
     items = template_windows(benchmark, item_col, item_text_col, lexicon, window=window) \
         .select(F.col("__id").alias("__item"), F.col("__window").alias("__iwindow"), F.col("__place").alias("__iplace"),
                 F.col("__width").alias("__iwidth"), F.col("__n").alias("__in"), F.col("__key").alias("__ikey"),

@@ -47,6 +47,17 @@ def test_without_the_filter_the_join_finds_the_same(spark, bench, monkeypatch):
     assert found(spark, texts, bench) == want == {0: "1", 1: "1", 2: "3", 3: ""}
 
 
+def test_a_joined_lexicon_gives_the_same(spark, monkeypatch):
+    item = "The box has 3 red apples and 4 green pears. The crate holds 7 plums of the farm and 2 figs"
+    bench = spark.createDataFrame([(1, item), (2, ITEM)], "item_id long, text string")
+    texts = [item, item.replace("The box", "This box"), "Well. " + item.replace("The", "Then"), None, "", ITEM.replace("Tom", "Ann Lee"), ITEM.upper()]
+    docs = spark.createDataFrame([*enumerate(texts), (None, item), (0, item)], "doc_id long, text string")
+    want = sorted(map(str, D.decontaminate(docs, bench).collect()))
+    real = D.lexicon_of
+    monkeypatch.setattr(D, "lexicon_of", lambda b, c="text": real(b, c, 1))
+    assert sorted(map(str, D.decontaminate(docs, bench).collect())) == want and any("coverage=0.9" in r for r in want)
+
+
 def test_query_finds_all_items_that_stand_in_documents(spark, small, texts):
     from care_analytics.llm.queries.decontaminate import op5_decontamination
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()}
