@@ -3,17 +3,19 @@
 Method. Nearness is the largest inner product. Vectors are put into bands of equal length of vector and of norm (powers
 of two); within a band of largest norm M a candidate x becomes (x / M, sqrt(1 - |x|^2 / M^2)) and a query q becomes
 (q / |q|, 0), so that the Euclidean distance of the two falls as the inner product grows. Each of ``TABLES`` tables hashes a
-candidate by k functions floor((a.x + b) / W) with Gaussian (2-stable) a. k grows with the logarithm of the band's rows, so
-that a bucket holds about ``OCCUPANCY`` of them. A neighbour at distance r differs from its query by N(0, r^2) along every a,
+candidate by k functions floor((a.x + b) / W) with Gaussian (2-stable) a. A neighbour at distance r differs from its query by N(0, r^2) along every a,
 which gives each slot of each function a probability and each bucket their product. A query visits the buckets in order
 of that product, its own and perturbed ones alike, until they hold ``MASS`` of the probability in each table; there is no
-cap on their number. W and r are fitted on at most ``SAMPLE`` rows of each band (those of smallest hash of the id; r is the
-0.9 quantile of the distance to the k-th neighbour within the sample, which is larger than in the whole band); every
-row is indexed.
+cap on their number. W, r and k are fitted on about ``SAMPLE`` rows of each band (chosen by hash of the id): r is the 0.9 quantile of
+the distance to the nearest rows within the sample, which is larger than in the whole band, and k makes the work least, a
+visit counted as ``VISIT`` inner products. Every row is indexed.
 
-Rows that share a bucket are packed into blocks of at most ``BLOCK`` vectors, and so are the queries that visit it. A bucket that holds
-a third of all rows is many blocks, dealt by (bucket, id); blocks meet blocks in one join, each pair gives the best of its block for
-each query, and the tables' candidates are merged by id. Equal vectors are one class, of which the k + 1 smallest ids
+The visits come in two rounds, the likeliest buckets first (up to ``FIRST`` of the probability). What a query finds there bounds what
+a later bucket has to offer: of its candidates only those that beat the query's worst so far are sent on.
+
+Rows that share a bucket are packed into blocks of at most ``BLOCK`` vectors, dealt by (bucket, id), and so are the queries of a task that
+visit it. A bucket that holds a third of all rows is many blocks; blocks meet blocks in one join, each pair gives the best of its block
+for each query, and the tables' candidates are merged by id. Equal vectors are one class, of which the k + 1 smallest ids
 can ever be in a result. A query that finds too few candidates visits all buckets of one table, which is exact.
 Nothing is collected.
 
@@ -37,12 +39,12 @@ from pyspark.sql.window import Window
 from care_analytics.llm.common import written
 
 TABLES = 2
-OCCUPANCY = 512      # rows a bucket holds on average
+VISIT = 1000         # inner products that cost as much as a visit of a bucket
+FIRST = 0.2          # probability of the buckets that are visited first
 MASS = 0.65          # probability that the visited buckets of one table hold a neighbour
-SAMPLE = 2048        # rows of a band on which W and r are fitted
+SAMPLE = 2048        # rows of a band on which W, r and k are fitted
 BLOCK = 256          # vectors that are scored together
 WIDTH = 2.0          # W in standard deviations of the projections
-BITS = 1.3           # what a function of that width tells, about: k = log2(rows / OCCUPANCY) / BITS
 MOST = 24            # functions of a table
 SEED = 20_240
 KEY = ["__dim", "__band", "__table", "__bucket"]
@@ -50,10 +52,6 @@ KEY = ["__dim", "__band", "__table", "__bucket"]
 _erf = np.frompyfunc(math.erf, 1, 1)
 
 
-def functions_for(rows: int, occupancy: int = OCCUPANCY) -> int:
-    return int(min(MOST, max(1, round(math.log2(max(2.0, rows / occupancy)) / BITS))))
-
-
 def projections(dim: int, table: int, k: int, width: float) -> tuple[np.ndarray, np.ndarray]:
     """k Gaussian directions over dim + 1 coordinates, and their offsets: the same on every executor."""
     rng = np.random.default_rng([SEED, dim, table])
@@ -93,7 +91,7 @@ def success_order(place: np.ndarray, width: float, near: float, mass: float) ->
     cdf = 0.5 * (1.0 + _erf(edges / (near * math.sqrt(2.0))).astype(float))
     chance = np.diff(cdf, axis=1)
     held = float(np.prod(chance.sum(axis=1)))
-    least = float(np.prod(chance.max(axis=1))) / 8
+    least = float(np.prod(chance.max(axis=1))) * (1 - 1e-9)
     while True:
         product, slots = np.ones(1), np.zeros((1, 0), dtype=np.int64)
         for i in range(len(place)):
@@ -104,19 +102,29 @@ def success_order(place: np.ndarray, width: float, near: float, mass: float) ->
             order = np.argsort(-product, kind="stable")
             upto = int(np.searchsorted(np.cumsum(product[order]), mass * held)) + 1
             return slots[order[:upto]], product[order[:upto]]
-        least /= 8
+        least *= 0.6
 
 
-def fitted(x: np.ndarray, k: int, dim: int) -> tuple[float, float]:
-    """(W, r) of a band from a sample of its rows, both at least a small share of the unit scale."""
-    most = np.sqrt((x * x).sum(axis=1)).max()
-    up, q = lifted(x, most), directed(x[:256])
-    a, _ = projections(dim, 0, MOST, 1.0)
-    spread = float((up @ a.T).std())
+def fitted(x: np.ndarray, near_th: int, rows: int, mass: float) -> tuple[float, float, int]:
+    """(W, r, k) of a band from a sample of its rows, scaled to the largest norm."""
+    dim = x.shape[1]
+    up, q = lifted(x, max(1.0, np.sqrt((x * x).sum(axis=1)).max())), directed(x[:256])
+    a, b = projections(dim, 0, MOST, 1.0)
+    width = max(WIDTH * float((up @ a.T).std()), 1e-3)
     near = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (q @ up.T)))
     near.sort(axis=1)
-    r = float(np.quantile(near[:, min(k + 1, near.shape[1] - 1)], 0.9))
-    return max(WIDTH * spread, 1e-3), max(r, 1e-3)
+    r = max(float(np.quantile(near[:, min(near_th + 1, near.shape[1] - 1)], 0.9)), 1e-3)
+    slots, places = np.floor((up @ a.T + b * width) / width), q[:24] @ a.T + b * width
+    best, cost = 1, math.inf
+    for k in range(1, MOST + 1):
+        ids = bucket_ids(slots[:, :k])
+        found = [bucket_ids(success_order(p[:k], width, r, mass)[0]) for p in places]
+        now = float(np.mean([len(f) + np.isin(ids, f).mean() * rows / VISIT for f in found]))
+        if now >= 2 * cost:
+            break
+        if now < cost:
+            best, cost = k, now
+    return width, r, best
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -126,9 +134,9 @@ def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     least = rows.select(F.col(id_col).cast("long").alias("__id"), vec.alias("__vec")) \
         .filter("__id is not null and exists(__vec, x -> x <> 0) and forall(__vec, x -> x is not null and x > -double('inf') and x < double('inf'))") \
         .groupBy("__id").agg(F.min("__vec").alias("__vec"))
-    most = "array_max(transform(__vec, x -> abs(double(x))))"
-    norm = F.expr(f"{most} * sqrt(aggregate(__vec, 0d, (acc, x) -> acc + (x / {most}) * (x / {most})))")
-    return least.select("__id", "__vec", F.size("__vec").alias("__dim"), norm.alias("__norm")) \
+    most = least.withColumn("__most", F.expr("double(greatest(array_max(__vec), -array_min(__vec)))"))
+    norm = F.expr("__most * sqrt(aggregate(__vec, 0d, (acc, x) -> acc + (x / __most) * (x / __most)))")
+    return most.select("__id", "__vec", F.size("__vec").alias("__dim"), norm.alias("__norm")) \
         .withColumn("__band", F.round(F.log2("__norm")).cast("int"))
 
 
@@ -138,7 +146,7 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def parts(batch: pa.RecordBatch, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Rows of a batch by equal values of ``names`` (in the order of the batch, runs of equal rows)."""
+    """Runs of rows with equal values of ``names``."""
     if not batch.num_rows:
         return
     new = np.zeros(batch.num_rows, dtype=bool)
@@ -151,101 +159,102 @@ def parts(batch: pa.RecordBatch, names: list[str]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(begin, end - begin)
 
 
-PARAMETERS = "__dim int, __band int, __rows long, __most double, __width double, __near double"
-
-
-def parameters(classes: DataFrame, k_th: int) -> DataFrame:
-    """A row for each band: its rows, largest norm, W and r."""
+def parameters(classes: DataFrame, near_th: int, mass: float) -> DataFrame:
+    """A row for each band: its rows, largest norm, W, r and k."""
     sizes = classes.groupBy("__dim", "__band").agg(F.count(F.lit(1)).alias("__rows"), F.max("__norm").alias("__most"))
-    pick = Window.partitionBy("__dim", "__band").orderBy(F.xxhash64("__id"), "__id")
-    sample = classes.withColumn("__n", F.row_number().over(pick)).filter(F.col("__n") <= SAMPLE).select("__dim", "__band", "__vec")
+    sample = classes.join(F.broadcast(sizes), ["__dim", "__band"]) \
+        .filter(F.pmod(F.xxhash64("__id"), F.ceil(F.col("__rows") / SAMPLE)) == 0).select("__dim", "__band", "__rows", "__most", "__vec")
 
     def fit(table: pa.Table) -> pa.Table:
-        dim, band = table.column("__dim")[0].as_py(), table.column("__band")[0].as_py()
-        x = matrix(table.column("__vec").combine_chunks(), dim)
-        width, near = fitted(x / np.abs(x).max(), k_th, dim)
-        return pa.table({"__d": pa.array([dim], pa.int32()), "__b": pa.array([band], pa.int32()), "__width": [width], "__near": [near]})
-    fits = sample.groupBy("__dim", "__band").applyInArrow(fit, "__d int, __b int, __width double, __near double")
-    return written(sizes.join(fits, (F.col("__dim") == F.col("__d")) & (F.col("__band") == F.col("__b")))
-                   .select("__dim", "__band", "__rows", "__most", "__width", "__near"), "ann-bands")
+        first = table.slice(0, 1).select(["__dim", "__band", "__rows", "__most"])
+        at = first.to_pylist()[0]
+        fits = fitted(matrix(table.column("__vec").combine_chunks(), at["__dim"]) / at["__most"], near_th, at["__rows"], mass)
+        for name, value in zip(("__width", "__near", "__k"), fits):
+            first = first.append_column(name, pa.array([value]))
+        return first
+    return written(sample.groupBy("__dim", "__band").applyInArrow(
+        fit, "__dim int, __band int, __rows long, __most double, __width double, __near double, __k long"), "ann-bands")
 
 
-ENTRY = "__dim int, __band int, __table int, __bucket long, __id long, __vec "
+def bands_of(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, dict]]:
+    for part in parts(batch.sort_by([("__dim", "ascending"), ("__band", "ascending")]), ["__dim", "__band"]):
+        yield part, part.slice(0, 1).select(["__dim", "__band", "__most", "__width", "__near", "__k"]).to_pylist()[0]
 
 
-def indexed(tables: int, occupancy: int):
+def indexed(tables: int):
     """mapInArrow: candidates with their band's parameters -> one row for each table."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.sort_by([("__dim", "ascending"), ("__band", "ascending")])
-            for part in parts(batch, ["__dim", "__band"]):
-                first = part.slice(0, 1).to_pylist()[0]
-                x = lifted(matrix(part.column("__vec"), first["__dim"]), first["__most"])
+            for part, band in bands_of(batch):
+                x = lifted(matrix(part.column("__vec"), band["__dim"]), band["__most"])
                 for table in range(tables):
-                    a, b = projections(first["__dim"], table, functions_for(first["__rows"], occupancy), first["__width"])
-                    n = part.num_rows
+                    a, b = projections(band["__dim"], table, band["__k"], band["__width"])
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("__dim"), part.column("__band"), pa.array(np.full(n, table, np.int32)),
-                         pa.array(bucket_ids(np.floor((x @ a.T + b) / first["__width"]))), part.column("__id"), part.column("__vec")],
-                        names=[*KEY, "__id", "__vec"])
+                        [part.column("__dim"), part.column("__band"), pa.array(np.full(part.num_rows, table, np.int32)),
+                         pa.array(bucket_ids(np.floor((x @ a.T + b) / band["__width"]))), part.column("__id"), part.column("__vec")], names=[*KEY, "__id", "__vec"])
     return run
 
 
-def probed(tables: int, mass: float, occupancy: int):
-    """mapInArrow: queries, each with the parameters of a band -> the buckets they visit."""
+def probed(tables: int, after: float, mass: float):
+    """mapInArrow: queries (__id, __vec, __least), each with the parameters of a band -> blocks of queries for the buckets that
+    hold their probability from ``after`` to ``mass``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.sort_by([("__dim", "ascending"), ("__band", "ascending")])
-            for part in parts(batch, ["__dim", "__band"]):
-                first = part.slice(0, 1).to_pylist()[0]
-                q = directed(matrix(part.column("__vec"), first["__dim"]))
-                for table in range(tables):
-                    a, b = projections(first["__dim"], table, functions_for(first["__rows"], occupancy), first["__width"])
-                    found = [bucket_ids(success_order(p, first["__width"], first["__near"], mass)[0]) for p in q @ a.T + b]
-                    found = [np.unique(f) for f in found]
-                    at = pa.array(np.repeat(np.arange(part.num_rows), [len(f) for f in found]))
-                    n = len(at)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("__dim").take(at), part.column("__band").take(at), pa.array(np.full(n, table, np.int32)),
-                         pa.array(np.concatenate(found)), part.column("__id").take(at), part.column("__vec").take(at)], names=[*KEY, "__id", "__vec"])
+            for whole, band in bands_of(batch):
+                for begin in range(0, whole.num_rows, 1024):
+                    part = whole.slice(begin, 1024)
+                    q = directed(matrix(part.column("__vec"), band["__dim"]))
+                    rows = []
+                    for table in range(tables):
+                        a, b = projections(band["__dim"], table, band["__k"], band["__width"])
+                        for i, place in enumerate(q @ a.T + b):
+                            ids = bucket_ids(success_order(place, band["__width"], band["__near"], mass)[0])
+                            if after:
+                                ids = ids[len(success_order(place, band["__width"], band["__near"], after)[0]):]
+                            ids = np.unique(ids)
+                            rows.append((np.full(len(ids), table, np.int32), ids, np.full(len(ids), i)))
+                    table, bucket, at = (np.concatenate(c) for c in zip(*rows))
+                    order = np.lexsort((at, bucket, table))
+                    taken = pa.array(at[order])
+                    yield from blocks([pa.RecordBatch.from_arrays(
+                        [part.column("__dim").take(taken), part.column("__band").take(taken), pa.array(table[order]), pa.array(bucket[order]),
+                         part.column("__id").take(taken), part.column("__vec").take(taken), part.column("__least").take(taken)],
+                        names=[*KEY, "__id", "__vec", "__least"])], BLOCK, "q")
     return run
 
 
-def blocks(size: int, prefix: str):
-    """mapInArrow: rows in the order of their buckets -> blocks of at most ``size`` vectors of one bucket."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = {name: [] for name in [*KEY, "ids", "vecs"]}
-            for part in parts(batch, KEY):
-                head = part.slice(0, 1).to_pylist()[0]
-                for begin in range(0, part.num_rows, size):
-                    piece = part.slice(begin, size)
-                    for name in KEY:
-                        rows[name].append(head[name])
-                    rows["ids"].append(piece.column("__id").to_pylist())
-                    rows["vecs"].append(piece.column("__vec").flatten().to_numpy(zero_copy_only=False).tobytes())
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds)],
-                                             names=[*KEY, f"__{prefix}ids", f"__{prefix}vecs"])
-    return run
+def blocks(batches, size: int, prefix: str) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of their buckets -> blocks of at most ``size`` vectors of one bucket."""
+    for batch in batches:
+        least = "__least" in batch.schema.names
+        rows = {name: [] for name in [*KEY, "ids", "vecs", *(["least"] if least else [])]}
+        for part in parts(batch, KEY):
+            head = part.slice(0, 1).select(KEY).to_pylist()[0]
+            for begin in range(0, part.num_rows, size):
+                piece = part.slice(begin, size)
+                for name in KEY:
+                    rows[name].append(head[name])
+                rows["ids"].append(piece.column("__id").to_numpy())
+                rows["vecs"].append(piece.column("__vec").flatten().to_numpy(zero_copy_only=False).tobytes())
+                if least:
+                    rows["least"].append(piece.column("__least").to_numpy())
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.float64())]
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds)],
+                                         names=[*KEY, *[f"__{prefix}{name}" for name in list(rows)[len(KEY):]]])
 
 
-def packed(rows: DataFrame, prefix: str, size: int) -> DataFrame:
-    """Rows dealt and sorted by (bucket, id), so that a large bucket spreads over tasks, then packed."""
-    schema = f"__dim int, __band int, __table int, __bucket long, __{prefix}ids array<long>, __{prefix}vecs binary"
-    return rows.repartitionByRange(*KEY, "__id").sortWithinPartitions(*KEY, "__id").mapInArrow(blocks(size, prefix), schema)
+KEYS = "__dim int, __band int, __table int, __bucket long"
 
 
-def inner(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """All inner products, each summed in the same way whatever else is in the block."""
-    out = np.zeros((len(q), len(x)))
-    for i in range(q.shape[1]):
-        out += q[:, i, None] * x[None, :, i]
-    return out
+def packed(rows: DataFrame, size: int) -> DataFrame:
+    """Candidates dealt and sorted by (bucket, id), so that a large bucket spreads over tasks, then packed."""
+    return rows.repartitionByRange(*KEY, "__id").sortWithinPartitions(*KEY, "__id") \
+        .mapInArrow(lambda batches: blocks(batches, size, "x"), KEYS + ", __xids array<long>, __xvecs binary")
 
 
 def reranked(k_th: int, single: bool):
-    """mapInArrow: pairs of blocks -> for each query the ``k_th`` best of the block by exact inner product."""
+    """mapInArrow: pairs of blocks -> for each query the ``k_th`` best of the block by exact inner product, of those that
+    reach its least score. A product of matrices chooses them, with a margin for its rounding; the scores are summed for each pair alike."""
     kind = np.float32 if single else np.float64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,49 +262,69 @@ def reranked(k_th: int, single: bool):
             for i in range(batch.num_rows):
                 dim = batch.column("__dim")[i].as_py()
                 q, x = (np.frombuffer(batch.column(c)[i].as_buffer(), dtype=kind).reshape(-1, dim).astype(np.float64) for c in ("__qvecs", "__xvecs"))
-                qids, xids = (batch.column(c)[i].values.to_numpy() for c in ("__qids", "__xids"))
-                score = inner(q, x)
-                order = np.argsort(-score, axis=1, kind="stable")[:, :k_th]        # a block is in the order of its ids
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, order.shape[1])), pa.array(xids[order].ravel()),
-                                                  pa.array(np.take_along_axis(score, order, axis=1).ravel())], names=["__q", "__x", "__score"])
+                qids, xids, least = (batch.column(c)[i].values.to_numpy() for c in ("__qids", "__xids", "__qleast"))
+                rough = q @ x.T
+                margin = dim * 2.0 ** -50 * np.sqrt((q * q).sum(axis=1) * (x * x).sum(axis=1).max())
+                bar = least
+                if len(x) > k_th:
+                    bar = np.maximum(bar, np.partition(rough, len(x) - k_th, axis=1)[:, len(x) - k_th])
+                at, to = np.nonzero(rough >= (bar - 2 * margin)[:, None])
+                score = (q[at] * x[to]).sum(axis=1)
+                order = np.lexsort((to, -score, at))                       # a block is in the order of its ids
+                at, to, score = at[order], to[order], score[order]
+                place = np.arange(len(at)) - np.searchsorted(at, at)
+                good = (place < k_th) & (score >= least[at])
+                yield pa.RecordBatch.from_arrays([pa.array(qids[at[good]]), pa.array(xids[to[good]]), pa.array(score[good])], names=["__q", "__x", "__score"])
     return run
 
 
-def nearest(visits: DataFrame, index: DataFrame, k_th: int, single: bool, block: int = BLOCK) -> DataFrame:
-    """(__q, __x, __score, __n): of the candidates that the visited buckets hold, the ``k_th`` best classes of each query."""
-    pairs = packed(visits, "q", block).join(index, KEY).select("__dim", "__qids", "__qvecs", "__xids", "__xvecs") \
+def nearest(visits: DataFrame, index: DataFrame, k_th: int, single: bool, known: DataFrame | None = None) -> DataFrame:
+    """(__q, __x, __score, __n): of the candidates that the visited buckets hold (and those ``known``), the ``k_th`` best of each query."""
+    pairs = visits.join(index, KEY).select("__dim", "__qids", "__qvecs", "__qleast", "__xids", "__xvecs") \
         .mapInArrow(reranked(k_th, single), "__q long, __x long, __score double")
+    if known is not None:
+        pairs = pairs.unionByName(known.select("__q", "__x", "__score"))
     best = Window.partitionBy("__q").orderBy(F.desc("__score"), "__x")
-    return pairs.dropDuplicates(["__q", "__x"]).withColumn("__n", F.row_number().over(best)).filter(F.col("__n") <= k_th)
+    return pairs.repartition("__q").dropDuplicates(["__q", "__x"]).withColumn("__n", F.row_number().over(best)).filter(F.col("__n") <= k_th)
 
 
 def search(rows: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = TABLES,
-           mass: float = MASS, block: int = BLOCK, occupancy: int = OCCUPANCY) -> DataFrame:
+           mass: float = MASS, first: float = FIRST, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id meets the SQL condition ``is_query`` (over ``__id``) the ``k`` nearest rows found."""
     found = written(usable(rows, id_col, vec_col), "ann-rows")
-    kind = found.schema["__vec"].dataType.elementType
-    single, entry = isinstance(kind, T.FloatType), ENTRY + found.schema["__vec"].dataType.simpleString()
+    kind = found.schema["__vec"].dataType
+    single, visit = isinstance(kind.elementType, T.FloatType), KEYS + ", __qids array<long>, __qvecs binary, __qleast array<double>"
     alike = Window.partitionBy("__vec").orderBy("__id")
-    members = written(found.withColumn("__n", F.row_number().over(alike)).filter(F.col("__n") <= k + 1), "ann-members")
-    classes = members.filter("__n = 1").drop("__n")
-    firsts = classes.select(F.col("__id").alias("__class"), F.col("__vec").alias("__cvec"))
-    asked = written(found.filter(is_query).join(firsts, F.col("__vec") == F.col("__cvec")).select(F.col("__id").alias("__query"), "__class", "__vec", "__dim"), "ann-queries")
-    bands = parameters(classes, k)
-    index = written(packed(classes.join(bands, ["__dim", "__band"]).mapInArrow(indexed(tables, occupancy), entry), "x", block), "ann-index")
-    queries = asked.select(F.col("__class").alias("__id"), "__vec", "__dim").dropDuplicates(["__id"])
-    first = written(nearest(queries.join(bands, "__dim").mapInArrow(probed(tables, mass, occupancy), entry), index, k + 1, single, block), "ann-first")
-    # Queries that found too few (all of a small table do) visit every bucket of one table.
-    counts = first.groupBy("__q").agg(F.count(F.lit(1)).alias("__found"))
-    short = written(queries.join(counts, F.col("__id") == F.col("__q"), "left").filter(f"__found is null or __found < {k + 1}")
-                    .select("__id", "__vec", "__dim"), "ann-short")
-    buckets = index.filter("__table = 0").select(*KEY).distinct()
-    every = short.join(buckets, "__dim").select(*KEY, "__id", "__vec")
-    second = nearest(every, index, k + 1, single, block)
-    done = first.join(short.select(F.col("__id").alias("__s")), F.col("__q") == F.col("__s"), "left_anti").unionByName(second)
-    # Classes become rows again: of each class the k + 1 smallest ids are enough, the query's own not counted.
-    of_class = members.withColumn("__c", F.min("__id").over(Window.partitionBy("__vec"))).select("__c", F.col("__id").alias("__member"))
-    rows_of = done.join(asked.select("__query", F.col("__class").alias("__qc")), F.col("__q") == F.col("__qc")) \
-        .join(of_class, F.col("__x") == F.col("__c")).filter("__member <> __query")
-    last = Window.partitionBy("__query").orderBy(F.desc("__score"), "__member")
+    # Classes of equal vectors: the least id, and the k + 1 least of a class, which are all that a result can hold.
+    members = written(found.withColumn("__n", F.row_number().over(alike)).filter(F.col("__n") <= k + 1)
+                      .withColumn("__class", F.min("__id").over(Window.partitionBy("__vec"))), "ann-members")
+    classes = members.filter("__n = 1")
+    bands = parameters(classes, k, mass)
+    of_band = [c for c in bands.columns if c not in ("__dim", "__band", "__rows")]
+    index = written(packed(classes.select("__id", "__vec", "__dim", "__band").join(bands, ["__dim", "__band"])
+                           .select("__id", "__vec", "__dim", "__band", *of_band).mapInArrow(indexed(tables), KEYS + f", __id long, __vec {kind.simpleString()}"), block), "ann-index")
+    queries = found.filter(is_query).select("__id", "__vec", "__dim")
+
+    def visits(asked: DataFrame, after: float, upto: float) -> DataFrame:
+        return asked.join(bands, "__dim").select("__id", "__vec", "__least", "__dim", "__band", *of_band).mapInArrow(probed(tables, after, upto), visit)
+    lowest = F.lit(float("-inf")).alias("__least")
+    start = written(nearest(visits(queries.select("*", lowest), 0.0, min(first, mass)), index, k + 1, single), "ann-first")
+    bar = start.filter(F.col("__n") == k + 1).select(F.col("__q").alias("__bq"), F.col("__score").alias("__bar"))
+    barred = queries.join(bar, F.col("__id") == F.col("__bq"), "left").select("__id", "__vec", "__dim", F.coalesce("__bar", lowest).alias("__least"))
+    done = written(nearest(visits(barred, min(first, mass), mass), index, k + 1, single, start), "ann-found")
+    if done.filter(F.col("__n") == k + 1).count() < queries.count():
+        # Queries that found too few (all of a small table do) visit every bucket of one table.
+        full = done.filter(F.col("__n") == k + 1).select("__q")
+        short = written(queries.join(full, F.col("__id") == F.col("__q"), "left_anti").select("*", lowest), "ann-short")
+        one = index.filter("__table = 0")
+        every = short.join(one.select(*KEY).distinct(), "__dim").select(*KEY, "__id", "__vec", "__least") \
+            .repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(lambda batches: blocks(batches, BLOCK, "q"), visit)
+        again = nearest(every, one, k + 1, single)
+        done = done.join(short.select(F.col("__id").alias("__s")), F.col("__q") == F.col("__s"), "left_anti").unionByName(again)
+    # Classes become rows again; the query itself is none of its neighbours.
+    more = members.filter("__n > 1").select(F.col("__class").alias("__c"), F.col("__id").alias("__member"))
+    rows_of = done.select("__q", F.col("__x").alias("__member"), "__score") \
+        .unionByName(done.join(more, F.col("__x") == F.col("__c")).select("__q", "__member", "__score")).filter("__member <> __q")
+    last = Window.partitionBy("__q").orderBy(F.desc("__score"), "__member")
     return rows_of.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k) \
-        .select(F.col("__query").alias("query_id"), "rank", F.col("__member").alias("vec_id"), F.col("__score").alias("score"))
+        .select(F.col("__q").alias("query_id"), "rank", F.col("__member").alias("vec_id"), F.col("__score").alias("score"))
