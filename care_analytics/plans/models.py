@@ -6,7 +6,7 @@ on executors and scales with the table:
 
 - split and folds: an MD5 of the patient id, stable under any repartitioning
   (``randomSplit`` depends on partition layout) and the same in SQL;
-- median imputation (``Imputer``), scaling (``StandardScaler``), most-frequent
+- exact median imputation (``MedianImputer``), scaling (``StandardScaler``), most-frequent
   imputation of categoricals (``ModeImputer``), one-hot encoding (``StringIndexer`` +
   ``OneHotEncoder``), all stages of one ``Pipeline``, so they are fitted on the
   training rows of a split or fold only;
@@ -24,10 +24,9 @@ from collections.abc import Sequence
 
 from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import (Imputer, OneHotEncoder, StandardScaler, StringIndexer,
-                                VectorAssembler)
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import ParamGridBuilder
@@ -35,7 +34,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
+from . import nested
 from .features import CATEGORICAL_FEATURES, NUMERIC_FEATURES
+from .imputers import MedianImputer, ModeImputer
 
 LABEL = "label"
 SEED = 42
@@ -81,29 +82,6 @@ def mode_impute(df: DataFrame, columns: Sequence[str], source: DataFrame | None
     return df
 
 
-class ModeImputer(Estimator):
-    """Pipeline stage: the most frequent value of each column (ties -> smallest), learned where it is fitted."""
-
-    def __init__(self, columns: Sequence[str]):
-        super().__init__()
-        self.columns = list(columns)
-
-    def _fit(self, dataset: DataFrame) -> ModeImputerModel:
-        row = dataset.agg(*[F.mode(c, deterministic=True).alias(c) for c in self.columns]).first()
-        return ModeImputerModel({c: row[c] for c in self.columns})
-
-
-class ModeImputerModel(Model):
-    """Fills NULLs with the learned values; a column that had none but NULLs gets the empty text."""
-
-    def __init__(self, modes: dict[str, str | None]):
-        super().__init__()
-        self.modes = modes
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        return dataset.withColumns({c: F.coalesce(F.col(c), F.lit(m if m is not None else "")) for c, m in self.modes.items()})
-
-
 def as_double(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(c).cast("double").alias(c) if c in columns else F.col(c)
                        for c in df.columns])
@@ -118,7 +96,7 @@ def preprocess_stages(numeric: Sequence[str] = NUMERIC_FEATURES,
     ohe = [f"{c}__ohe" for c in categorical]
     return [
         ModeImputer(categorical),
-        Imputer(strategy="median", relativeError=0.0, inputCols=list(numeric), outputCols=imputed),
+        MedianImputer(inputCols=list(numeric), outputCols=imputed),
         VectorAssembler(inputCols=imputed, outputCol="num__vec", handleInvalid="keep"),
         StandardScaler(inputCol="num__vec", outputCol="num__scaled", withMean=True, withStd=True),
         StringIndexer(inputCols=list(categorical), outputCols=idx, handleInvalid="keep",
@@ -135,7 +113,7 @@ def encoded_stages(numeric: Sequence[str] = NUMERIC_FEATURES, categorical: Seque
     idx = [f"{c}__idx" for c in categorical]
     return [
         ModeImputer(categorical),
-        Imputer(strategy="median", relativeError=0.0, inputCols=list(numeric), outputCols=imputed),
+        MedianImputer(inputCols=list(numeric), outputCols=imputed),
         StringIndexer(inputCols=list(categorical), outputCols=idx, handleInvalid="keep", stringOrderType="alphabetAsc"),
         VectorAssembler(inputCols=[*imputed, *idx], outputCol=features, handleInvalid="keep"),
     ]
@@ -167,11 +145,12 @@ MAX_DEPTH = 30             # MLlib's limit; a depth without limit is asked for a
 
 def forest(numTrees: int = 100, maxDepth: int = MAX_DEPTH, minInstancesPerNode: int = 1,
            featureSubsetStrategy: str = "auto", seed: int = SEED,
-           numeric=NUMERIC_FEATURES, categorical=CATEGORICAL_FEATURES) -> Pipeline:
-    """Preprocessing + random forest. ``min_samples_split`` has no MLlib counterpart."""
+           numeric=NUMERIC_FEATURES, categorical=CATEGORICAL_FEATURES, maxMemoryInMB: int = 1024) -> Pipeline:
+    """Preprocessing + random forest. ``min_samples_split`` has no MLlib counterpart. The more memory for histograms, the
+    fewer passes a level of many trees takes."""
     rf = RandomForestRegressor(featuresCol="features", labelCol=LABEL, numTrees=numTrees,
                                maxDepth=maxDepth, minInstancesPerNode=minInstancesPerNode,
-                               featureSubsetStrategy=featureSubsetStrategy, seed=seed)
+                               featureSubsetStrategy=featureSubsetStrategy, seed=seed, maxMemoryInMB=maxMemoryInMB)
     return Pipeline(stages=[*preprocess_stages(numeric, categorical), rf])
 
 
@@ -235,7 +214,8 @@ def cross_validate(spark, pipeline: Pipeline, data: DataFrame, folds: int = 5,
     """Mean squared error per grid point of the last stage, over ``folds`` hash folds (an action).
 
     The other stages are fitted once per fold, on its training rows, and their vectors kept for all
-    points; ``parallelism`` points are fitted at once.
+    points; ``parallelism`` points are fitted at once. Points of a forest that differ in trees and depth only
+    share one fit (``nested``).
     """
     spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     *stages, estimator = pipeline.getStages()
@@ -245,6 +225,8 @@ def cross_validate(spark, pipeline: Pipeline, data: DataFrame, folds: int = 5,
     total = [0.0] * len(grid)
     try:
         check_categories(prepared)
+        if isinstance(estimator, RandomForestRegressor) and len(grid) > 1:
+            return nested.cross_validated(spark, stages, estimator, prepared, grid, folds, parallelism, packed, LABEL)
         for fold in range(folds):
             model = Pipeline(stages=stages).fit(prepared.filter(F.col("fold") != fold))
             train, valid = (packed(model.transform(prepared.filter(part)).select("features", LABEL))
@@ -293,6 +275,17 @@ def default_grid(estimator) -> list:
             .build())
 
 
+def save(model: PipelineModel, path: str, overwrite: bool = False) -> str:
+    """Stores a fitted pipeline, imputers included, under ``path`` on any Hadoop file system."""
+    (model.write().overwrite() if overwrite else model.write()).save(path)
+    return path
+
+
+def load(spark, path: str) -> PipelineModel:
+    """A stored pipeline, ready to score in this session."""
+    return PipelineModel.read().session(spark).load(path)
+
+
 def score(model: PipelineModel, data: DataFrame, id_col: str = "patient_id") -> DataFrame:
     """Predictions per patient; missing values are filled as in training."""
     return model.transform(prepare(data)).select(id_col, "prediction")

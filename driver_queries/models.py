@@ -8,13 +8,14 @@ exact are checked against SQL.
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from care_analytics.plans import features as FT
 from care_analytics.plans import models as M
+from care_analytics.plans.imputers import MedianImputer
 from .core import _features, register
 
 # Parts that have gaps before they are filled: sums and flags of patients without claims, encounters or conditions.
@@ -56,7 +57,7 @@ IMPUTE_MEDIAN_SQL = "SELECT patient_id, " + ", ".join(
 def impute_median(spark, sf):
     data = _gapped(spark, sf)
     out = [f"{c}__imp" for c in GAPPED]
-    imp = Imputer(strategy="median", relativeError=0.0, inputCols=list(GAPPED), outputCols=out)
+    imp = MedianImputer(inputCols=list(GAPPED), outputCols=out)
     return imp.fit(data).transform(data).select("patient_id", *[F.col(o).alias(c) for o, c in zip(out, GAPPED)])
 
 
@@ -75,7 +76,7 @@ def standardise_features(spark, sf):
     data = M.prepare(_data(spark, sf))
     imputed = [f"{c}__imp" for c in FT.NUMERIC_FEATURES]
     pipe = Pipeline(stages=[
-        Imputer(strategy="median", inputCols=list(FT.NUMERIC_FEATURES), outputCols=imputed),
+        MedianImputer(inputCols=list(FT.NUMERIC_FEATURES), outputCols=imputed),
         VectorAssembler(inputCols=imputed, outputCol="num__vec"),
         StandardScaler(inputCol="num__vec", outputCol="num__scaled", withMean=True, withStd=True),
     ])
@@ -167,24 +168,38 @@ def regression_metrics(spark, sf):
     return M.metrics(data.join(baseline, "state"))
 
 
+def _cv(spark, pipeline, data) -> DataFrame:
+    mse = M.cross_validate(spark, pipeline, data, folds=5)
+    return spark.createDataFrame([(5, float(mse[0]))], "folds int, cv_mse double")
+
+
 @register("cross_validate_forest")
 def cross_validate_forest(spark, sf):
+    """The readmission forest, over folds of all rows."""
+    return _cv(spark, M.forest(maxDepth=10, minInstancesPerNode=4, featureSubsetStrategy="sqrt"), _data(spark, sf))
+
+
+@register("cross_validate_forest_risk")
+def cross_validate_forest_risk(spark, sf):
     """The risk forest, over folds of the training part."""
-    mse = M.cross_validate(spark, M.forest(), M.split(_features(spark, sf, FT.RISK_COLUMNS))[0], folds=5)
-    return spark.createDataFrame([(5, float(mse[0]))], "folds int, cv_mse double")
+    return _cv(spark, M.forest(), M.split(_features(spark, sf, FT.RISK_COLUMNS))[0])
 
 
 @register("cross_validate_boosted")
 def cross_validate_boosted(spark, sf):
     """The boosted readmission model, over folds of all rows."""
-    mse = M.cross_validate(spark, readmission_boosted(), _data(spark, sf), folds=5)
-    return spark.createDataFrame([(5, float(mse[0]))], "folds int, cv_mse double")
+    return _cv(spark, readmission_boosted(), _data(spark, sf))
 
 
-@register("grid_search_forest")
-def grid_search_forest(spark, sf):
+@register("cross_validate_boosted_risk")
+def cross_validate_boosted_risk(spark, sf):
+    """The boosted risk model (1000 rounds), over folds of the training part."""
+    return _cv(spark, M.boosted(encoded=True), M.split(_features(spark, sf, FT.RISK_COLUMNS))[0])
+
+
+def _grid(spark, data) -> DataFrame:
     """All 54 points on the training part, best first, and the held-out error of the best one, refitted."""
-    _, m, points = M.best_of_grid(spark, M.forest(), _data(spark, sf), "forest")
+    _, m, points = M.best_of_grid(spark, M.forest(), data, "forest")
     held = m.first()
     rows = [(k, int(p["numTrees"]), int(p["maxDepth"]), int(p["minInstancesPerNode"]), str(p["featureSubsetStrategy"]), e,
              held["mse"] if k == 0 else None, held["r2"] if k == 0 else None) for k, (p, e) in enumerate(points)]
@@ -192,6 +207,18 @@ def grid_search_forest(spark, sf):
                                        "cv_mse double, held_out_mse double, held_out_r2 double")
 
 
+@register("grid_search_forest")
+def grid_search_forest(spark, sf):
+    """The readmission grid."""
+    return _grid(spark, _data(spark, sf))
+
+
+@register("grid_search_forest_risk")
+def grid_search_forest_risk(spark, sf):
+    """The risk grid."""
+    return _grid(spark, _features(spark, sf, FT.RISK_COLUMNS))
+
+
 @register("score_patients")
 def score_patients(spark, sf):
     data = _data(spark, sf)
