@@ -47,6 +47,7 @@ BLOCK = 256          # vectors that are scored together
 WIDTH = 2.0          # W in standard deviations of the projections
 MOST = 24            # functions of a table
 SEED = 20_240
+HELD = 1_000_000     # rows that a task merges before it sends them on
 KEY = ["__dim", "__band", "__table", "__bucket"]
 
 _erf = np.frompyfunc(math.erf, 1, 1)
@@ -257,24 +258,43 @@ def reranked(k_th: int, single: bool):
     reach its least score. A product of matrices chooses them, with a margin for its rounding; the scores are summed for each pair alike."""
     kind = np.float32 if single else np.float64
 
+    def pair(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        dim = batch.column("__dim")[i].as_py()
+        q, x = (np.frombuffer(batch.column(c)[i].as_buffer(), dtype=kind).reshape(-1, dim).astype(np.float64) for c in ("__qvecs", "__xvecs"))
+        qids, xids, least = (batch.column(c)[i].values.to_numpy() for c in ("__qids", "__xids", "__qleast"))
+        rough = q @ x.T
+        margin = dim * 2.0 ** -50 * np.sqrt((q * q).sum(axis=1) * (x * x).sum(axis=1).max())
+        bar = least
+        if len(x) > k_th:
+            bar = np.maximum(bar, np.partition(rough, len(x) - k_th, axis=1)[:, len(x) - k_th])
+        at, to = np.nonzero(rough >= (bar - 2 * margin)[:, None])
+        score = (q[at] * x[to]).sum(axis=1)
+        good = score >= least[at]
+        return best_of(qids[at[good]], xids[to[good]], score[good])
+
+    def best_of(q: np.ndarray, x: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((x, -score, q))
+        q, x, score = q[order], x[order], score[order]
+        new = np.ones(len(q), dtype=bool)
+        new[1:] = (q[1:] != q[:-1]) | (x[1:] != x[:-1])                    # equal pairs have equal scores, so they are neighbours
+        q, x, score = q[new], x[new], score[new]
+        good = np.arange(len(q)) - np.searchsorted(q, q) < k_th
+        return q[good], x[good], score[good]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0                                                  # a task merges what its blocks give for a query
         for batch in batches:
             for i in range(batch.num_rows):
-                dim = batch.column("__dim")[i].as_py()
-                q, x = (np.frombuffer(batch.column(c)[i].as_buffer(), dtype=kind).reshape(-1, dim).astype(np.float64) for c in ("__qvecs", "__xvecs"))
-                qids, xids, least = (batch.column(c)[i].values.to_numpy() for c in ("__qids", "__xids", "__qleast"))
-                rough = q @ x.T
-                margin = dim * 2.0 ** -50 * np.sqrt((q * q).sum(axis=1) * (x * x).sum(axis=1).max())
-                bar = least
-                if len(x) > k_th:
-                    bar = np.maximum(bar, np.partition(rough, len(x) - k_th, axis=1)[:, len(x) - k_th])
-                at, to = np.nonzero(rough >= (bar - 2 * margin)[:, None])
-                score = (q[at] * x[to]).sum(axis=1)
-                order = np.lexsort((to, -score, at))                       # a block is in the order of its ids
-                at, to, score = at[order], to[order], score[order]
-                place = np.arange(len(at)) - np.searchsorted(at, at)
-                good = (place < k_th) & (score >= least[at])
-                yield pa.RecordBatch.from_arrays([pa.array(qids[at[good]]), pa.array(xids[to[good]]), pa.array(score[good])], names=["__q", "__x", "__score"])
+                held.append(pair(batch, i))
+                size += len(held[-1][0])
+                if size > HELD:
+                    held = [best_of(*map(np.concatenate, zip(*held)))]
+                    size = len(held[0][0])
+                    if size > HELD // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names=["__q", "__x", "__score"])
+                        held, size = [], 0
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in best_of(*map(np.concatenate, zip(*held)))], names=["__q", "__x", "__score"])
     return run
 
 
