@@ -9,7 +9,8 @@ reveal nothing. Every occurrence of a term over ``GENERALISE``, in whatever text
 generalised to its class; over ``REMOVE`` it is removed. Words are runs of letters and digits outside the spans of entities.
 
 Only words of documents that hold an entity of ``MIN_DOCS`` documents are paired, with such entities only (no other
-pair has statistics). Counts are pre-aggregated per task. Nothing is collected.
+pair has statistics). The patterns run once over each text; counts are pre-aggregated per task; no position of a word is
+shuffled, and nothing is collected.
 
 Possessive quantifiers and the look-behinds leave the matches as they are (the classes around them are disjoint)
 and keep the cost linear in long runs; ``\\G`` allows a match right after the last one.
@@ -30,6 +31,9 @@ KINDS = ["email", "ip", "card", "phone"]       # fixed values, in the order of t
 MIN_DOCS = 2               # documents that hold a word and an entity before the pair counts
 BLOCK = 256                # matches located in one go: arrays grow by copying
 GENERALISE, REMOVE = 0.8, 0.95
+TERMS = 100_000            # terms over the threshold that are broadcast; more are joined by a shuffle
+DOCUMENTS = 500_000        # ids of documents with a span or a term, likewise
+TERM = "array<struct<s:int,e:int,d:double>>"
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
@@ -97,15 +101,13 @@ def outside(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def find_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(__id, __key, email, ip, card, phone, __words): the spans of each row; ``__words`` are the different words outside
-    them, null for a row without a span."""
-    rows = _rows(docs, id_col, text_col)
-    some = F.size(F.concat(*KINDS)) > 0
-    return rows.withColumn("__outside", F.when(some, F.expr(OUTSIDE))).select("__id", "__key", *KINDS, F.expr(DIFFERENT).alias("__words"))
+    """(__id, __key, __sha, email, ip, card, phone, __words): the spans of each row, its different words outside them, in lower
+    case, and the SHA-256 of its text. The patterns run here and nowhere else."""
+    return _rows(docs, id_col, text_col).withColumn("__outside", F.expr(OUTSIDE)) \
+        .select("__id", "__key", F.sha2("__text", 256).alias("__sha"), *KINDS, F.expr(DIFFERENT).alias("__words"))
 
 
-def disclosures(docs: DataFrame, base: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                min_docs: int = MIN_DOCS, threshold: float = GENERALISE) -> DataFrame:
+def disclosures(base: DataFrame, min_docs: int = MIN_DOCS, threshold: float = GENERALISE) -> DataFrame:
     """(__kind, __value, __term, __disclosure): the terms that reveal entities over ``threshold``. Counts are of rows; rows
     repeated under one id are one document for ``min_docs``."""
     different = F.array_distinct(F.concat(*[F.expr(f"transform({k}, x -> named_struct('k', '{k}', 'v', x.v))") for k in KINDS]))
@@ -121,11 +123,10 @@ def disclosures(docs: DataFrame, base: DataFrame, id_col: str = "doc_id", text_c
         .select("__kind", "__value", "__rows", F.explode("__words").alias("__term")).groupBy("__kind", "__value", "__term") \
         .agg(F.sum("__rows").alias("__te"), F.count(F.lit(1)).alias("__docs")).filter(F.col("__docs") >= min_docs).drop("__docs")
     together = written(together, "pii-pairs")
-    terms = written(together.select(F.col("__term").alias("__t")).distinct(), "pii-terms")
-    words = outside(docs, id_col, text_col).select(F.explode(F.expr(DIFFERENT)).alias("__w"))
-    of_term = words.join(terms, F.col("__w") == F.col("__t"), "left_semi").groupBy("__w").agg(F.count(F.lit(1)).alias("__nt"))
+    # Words are counted before they meet the pairs, so a map task sends each of its words once.
+    of_word = base.select(F.explode("__words").alias("__w")).groupBy("__w").agg(F.count(F.lit(1)).alias("__nt"))
     total = base.agg(F.count(F.lit(1)).alias("__n"))
-    pairs = together.join(of_term, F.col("__term") == F.col("__w")).join(entities, same) \
+    pairs = together.join(of_word, F.col("__term") == F.col("__w")).join(entities, same) \
         .withColumn("__n", F.lit(total.first()["__n"]))
     information = F.log2(F.col("__n") / F.col("__ne"))
     revealed = F.log2(F.col("__te") * F.col("__n") / (F.col("__nt") * F.col("__ne")))
@@ -134,21 +135,52 @@ def disclosures(docs: DataFrame, base: DataFrame, id_col: str = "doc_id", text_c
         .filter(F.col("__disclosure") >= threshold)
 
 
+def small(df: DataFrame, bound: int) -> DataFrame:
+    """``df`` with a broadcast hint where it has at most ``bound`` rows; the join gives the same rows either way."""
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+
+
+# SQL: the text with entities as [kind], revealing terms as [number], [name] or [word] (``null``) or as nothing.
+_CLEAN = r"""aggregate(__marks, named_struct('at', 0, 'out', cast(array() as array<string>)), (acc, x) -> if(x.s < acc.at, acc, named_struct('at', -x.e,
+    'out', array_append(array_append(acc.out, substr(__text, acc.at + 1, x.s - acc.at)), coalesce(x.as,
+        case when substr(__text, x.s + 1, -x.e - x.s) rlike r'^\p{N}' then '[number]'
+             when substr(__text, x.s + 1, 1) rlike r'\p{Lu}' then '[name]' else '[word]' end)))),
+    acc -> concat(array_join(acc.out, ''), substr(__text, acc.at + 1)))"""
+
+
+def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, threshold: float = GENERALISE,
+           remove: float = REMOVE) -> DataFrame:
+    """One row per input row: (__id, __key, __sha, email, ip, card, phone, term, __clean): all spans, and the sanitised text, which is
+    null where it is the text as it was.
+
+    The terms of a document are joined to it as one small list, from its different words; only documents with a span or a term are
+    read again, and their occurrences are located within the row."""
+    base = written(find_base(docs, id_col, text_col), "pii-base")
+    over = written(disclosures(base, min_docs, threshold).groupBy(F.col("__term").alias("__t")).agg(F.max("__disclosure").alias("__d")), "pii-over")
+    hits = base.select("__id", "__key", F.explode("__words").alias("__w")).join(small(over, TERMS), F.col("__w") == F.col("__t")) \
+        .groupBy(F.col("__id").alias("__hid"), F.col("__key").alias("__hkey")).agg(F.collect_set(F.struct("__t", "__d")).alias("__hits"))
+    all_rows = written(base.drop("__words").join(hits, F.col("__id").eqNullSafe(F.col("__hid")) & (F.col("__key") == F.col("__hkey")), "left")
+                       .drop("__hid", "__hkey"), "pii-marks")
+    some = (F.size(F.concat(*KINDS)) > 0) | F.col("__hits").isNotNull()
+    busy = all_rows.filter(some).dropDuplicates(["__id", "__key"]).withColumnsRenamed({"__id": "__bid", "__key": "__bkey"})
+    same = F.col("__id").eqNullSafe(F.col("__bid")) & (F.col("__key") == F.col("__bkey"))
+    texts = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text")).withColumn("__key", F.xxhash64("__text"))
+    texts = texts.join(small(busy.select("__bid", "__bkey"), DOCUMENTS), same, "left_semi").join(busy, same)
+    found = f"""if(__hits is null, cast(array() as {TERM}), transform(filter({_located('__outside', WORDS)}, x -> exists(__hits, h -> h.__t = lower(x.v))),
+        x -> named_struct('s', x.s, 'e', x.e, 'd', filter(__hits, h -> h.__t = lower(x.v))[0].__d)))"""
+    parts = [F.expr(f"transform({k}, x -> named_struct('s', x.s, 'e', -x.e, 'as', '[{k}]'))") for k in KINDS]
+    parts.append(F.expr(f"transform(term, x -> named_struct('s', x.s, 'e', -x.e, 'as', if(x.d >= {remove}, '', null)))"))
+    located = texts.withColumn("__outside", F.expr(OUTSIDE)).withColumn("term", F.expr(found)).withColumn("__marks", F.sort_array(F.concat(*parts))) \
+        .select("__id", "__key", "__sha", *KINDS, "term", F.expr(_CLEAN).alias("__clean"))
+    quiet = all_rows.filter(~some).select("__id", "__key", "__sha", *KINDS, F.expr(f"cast(array() as {TERM})").alias("term"), F.lit(None).cast("string").alias("__clean"))
+    return quiet.unionByName(located)
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS,
          threshold: float = GENERALISE) -> DataFrame:
     """One row per input row: (__id, __key, email, ip, card, phone, term), arrays of spans; a term span has its
     largest disclosure as ``d``."""
-    base = written(find_base(docs, id_col, text_col), "pii-base")
-    over = written(disclosures(docs, base, id_col, text_col, min_docs, threshold)
-                   .groupBy(F.col("__term").alias("__t")).agg(F.max("__disclosure").alias("__d")), "pii-over")
-    words = outside(docs, id_col, text_col).select("__id", "__key", F.explode(F.expr(_located("__outside", WORDS))).alias("__w")) \
-        .select("__id", "__key", F.col("__w.s").alias("__s"), F.col("__w.e").alias("__e"), F.lower("__w.v").alias("__term"))
-    spans = words.join(over, F.col("__term") == F.col("__t")) \
-        .groupBy(F.col("__id").alias("__tid"), F.col("__key").alias("__tkey")) \
-        .agg(F.sort_array(F.collect_set(F.struct(F.col("__s").alias("s"), F.col("__e").alias("e"), F.col("__d").alias("d")))).alias("__terms"))
-    none = F.expr("cast(array() as array<struct<s:int,e:int,d:double>>)")
-    return base.join(spans, F.col("__id").eqNullSafe(F.col("__tid")) & (F.col("__key") == F.col("__tkey")), "left") \
-        .select("__id", "__key", *KINDS, F.coalesce("__terms", none).alias("term"))
+    return marked(docs, id_col, text_col, min_docs, threshold).select("__id", "__key", *KINDS, "term")
 
 
 def joined(kinds: list[str]) -> Column:
@@ -160,16 +192,8 @@ def sanitize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
              threshold: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """One row per input row: (id, text): entities become ``[kind]``, revealing terms ``[number]``, ``[name]`` or ``[word]``
     (generalised) or nothing (removed). Where spans overlap, the one that starts first, then the longest, counts."""
-    spans = find(docs, id_col, text_col, min_docs, threshold)
-    parts = [F.expr(f"transform({k}, x -> named_struct('s', x.s, 'e', -x.e, 'as', '[{k}]'))") for k in KINDS]
-    parts.append(F.expr(f"transform(term, x -> named_struct('s', x.s, 'e', -x.e, 'as', if(x.d >= {remove}, '', null)))"))
     rows = docs.select(F.col(id_col), text_or_empty(text_col).alias("__text")).withColumn("__hash", F.xxhash64("__text"))
-    marks = spans.select(F.col("__id").alias("__sid"), F.col("__key").alias("__skey"), F.sort_array(F.concat(*parts)).alias("__marks")) \
-        .dropDuplicates(["__sid", "__skey"])
-    return rows.join(marks, F.col(id_col).eqNullSafe(F.col("__sid")) & (F.col("__hash") == F.col("__skey"))) \
-        .select(F.col(id_col), F.expr(r"""
-        aggregate(__marks, named_struct('at', 0, 'out', ''), (acc, x) -> if(x.s < acc.at, acc, named_struct('at', -x.e,
-            'out', concat(acc.out, substr(__text, acc.at + 1, x.s - acc.at), coalesce(x.as,
-                case when substr(__text, x.s + 1, -x.e - x.s) rlike r'^\p{N}' then '[number]'
-                     when substr(__text, x.s + 1, 1) rlike r'\p{Lu}' then '[name]' else '[word]' end)))),
-            acc -> concat(acc.out, substr(__text, acc.at + 1)))""").alias(text_col))
+    clean = marked(docs, id_col, text_col, min_docs, threshold, remove).filter("__clean is not null") \
+        .select(F.col("__id").alias("__sid"), F.col("__key").alias("__skey"), "__clean").dropDuplicates(["__sid", "__skey"])
+    return rows.join(clean, F.col(id_col).eqNullSafe(F.col("__sid")) & (F.col("__hash") == F.col("__skey")), "left") \
+        .select(F.col(id_col), F.coalesce("__clean", "__text").alias(text_col))

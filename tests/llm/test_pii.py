@@ -3,6 +3,8 @@ import math
 import random
 import re
 
+import regex
+
 from care_analytics.llm import pii
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -34,15 +36,79 @@ def test_base_spans_on_random_texts(spark):
     assert got == {i: brute(t) for i, t in enumerate(texts)}
 
 
+def brute_all(rows):
+    """For each (id, text) of rows with different ids: base spans, term spans with disclosures, and the sanitised text."""
+    spans, words = {}, {}
+    for i, text in rows:
+        text = text or ""
+        spans[i] = [(k, m.start(), m.end(), m[0]) for k in PATTERNS for m in re.finditer(PATTERNS[k], text) if good(k, m[0])]
+        out = list(text)
+        for _, a, b, _ in spans[i]:
+            out[a:b] = " " * (b - a)
+        words[i] = [(m.start(), m.end(), m[0].lower()) for m in regex.finditer(r"[\p{L}\p{N}]+", "".join(out))]
+    n = len(rows)
+    held, docs_of = {}, {}
+    for i in spans:
+        for e in {(k, v) for k, _, _, v in spans[i]}:
+            held.setdefault(e, set()).add(i)
+        for w in {w for _, _, w in words[i]}:
+            docs_of.setdefault(w, set()).add(i)
+    over = {}
+    for ids in (ids for ids in held.values() if pii.MIN_DOCS <= len(ids) < n):
+        for w in {w for i in ids for _, _, w in words[i]}:
+            both = len(docs_of[w] & ids)
+            if both >= pii.MIN_DOCS:
+                d = math.log2(both * n / (len(docs_of[w]) * len(ids))) / math.log2(n / len(ids))
+                if d >= pii.GENERALISE:
+                    over[w] = max(d, over.get(w, 0))
+    out = {}
+    for i, text in rows:
+        terms = [(a, b, over[w]) for a, b, w in words[i] if w in over]
+        marks = sorted([(a, -b, f"[{k}]") for k, a, b, _ in spans[i]] + [(a, -b, "" if d >= pii.REMOVE else None) for a, b, d in terms], key=lambda m: m[:2])
+        at, clean = 0, ""
+        for a, b, put in marks:
+            if a >= at:
+                piece = text[a:-b]
+                put = put if put is not None else "[number]" if regex.match(r"\p{N}", piece) else "[name]" if regex.match(r"\p{Lu}", piece) else "[word]"
+                clean, at = clean + text[at:a] + put, -b
+        out[i] = ([f"{k}:{a}:{b}" for k, a, b, _ in spans[i]], [f"term:{a}:{b}" for a, b, _ in terms], clean + (text or "")[at:])
+    return out
+
+
+def same_as_brute(got, rows):
+    want = brute_all(rows)
+    assert len(got) == len(rows)
+    for r in got:
+        base, terms, clean = want[r["doc_id"]]
+        assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert r["spans"] == ",".join(base + terms) and r["n_term"] == len(terms)
+        assert r["sanitized_sha256"] == hashlib.sha256(clean.encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(s.startswith(k + ":") for s in base) for k in pii.KINDS]
+    return want
+
+
 def test_query(spark, small, texts):
     from care_analytics.llm.queries.pii import op10_pii
-    rows = op10_pii(spark, small).collect()
-    assert len(rows) == len(texts)
-    for r in rows:
-        want = brute(texts[r["doc_id"]])
-        assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
-        assert [s for s in r["spans"].split(",") if not s.startswith("term")] == want.split(",")
-        assert [r[f"n_{k}"] for k in pii.KINDS] == [len(re.findall(f"{k}:", want)) for k in pii.KINDS]
+    same_as_brute(op10_pii(spark, small).collect(), list(texts.items()))
+
+
+def test_query_with_terms_and_without_broadcasts(spark, tmp_path, monkeypatch):
+    from care_analytics.llm.queries.pii import op10_pii
+    rng = random.Random(5)
+    people = [(f"name{i}", f"n{i}@mail.org", f"Street{i} {i}7") for i in range(6)]
+    rows = []
+    for i in range(150):
+        name, mail, street = rng.choice(people)
+        filler = " ".join(rng.choice("the of and to in it was on a for".split()) for _ in range(8))
+        rows.append((i, rng.choice([f"{name.title()} {filler} {mail}, {street}.", f"{filler} {street} {name}", filler, f"{name} +49 30 1234567{i % 3} {mail}", "", None])))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    first = op10_pii(spark, str(tmp_path)).collect()
+    want = same_as_brute(first, rows)
+    assert sum(bool(terms) for _, terms, _ in want.values()) > 30 and any("[name]" in c or "[word]" in c for _, _, c in want.values())
+    assert any(not base and terms for base, terms, _ in want.values())                       # terms only: no comma before them
+    monkeypatch.setattr(pii, "TERMS", 0)
+    monkeypatch.setattr(pii, "DOCUMENTS", 0)
+    assert sorted(map(tuple, op10_pii(spark, str(tmp_path)).collect())) == sorted(map(tuple, first))
 
 
 def test_disclosure_of_terms(spark):
