@@ -9,26 +9,37 @@ little: the partial (map-side) aggregate still runs before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from .columns import col_
 
-# Money values carry at most four decimals (price x rate); the sum type widens
-# to DECIMAL(28, 4), far above any claim total at warehouse scale.
-MONEY_SCALE = 4
-MONEY = DecimalType(18, MONEY_SCALE)
+# Six decimals hold any price x rate; the sum type is DECIMAL(38, 6), and a product with a row count keeps six
+# decimals. ``audit_amounts`` counts what does not fit.
+MONEY_PRECISION, MONEY_SCALE = 28, 6
 
 
-def money(c: Column | str) -> Column:
-    """A double amount as exact DECIMAL(18, 4)."""
-    return col_(c).cast(MONEY)
+def money(c: Column | str, precision: int = MONEY_PRECISION, scale: int = MONEY_SCALE) -> Column:
+    """A double amount as exact DECIMAL; NULL when it has too many digits before the point (or is no number)."""
+    return col_(c).try_cast(DecimalType(precision, scale))
 
 
-def exact_sum(c: Column | str) -> Column:
+def exact_sum(c: Column | str, precision: int = MONEY_PRECISION, scale: int = MONEY_SCALE) -> Column:
     """SUM of an amount, exact, as DECIMAL."""
-    return F.sum(money(c))
+    return F.sum(money(c, precision, scale))
+
+
+def audit_amounts(df: DataFrame, *columns: str, precision: int = MONEY_PRECISION, scale: int = MONEY_SCALE) -> DataFrame:
+    """A row for each amount column: ``amounts`` (not NULL), ``rounded`` (more decimals than ``scale``) and ``rejected`` (too large,
+    or no number; sums leave them out). One pass, no shuffle but of a row for each task."""
+    cells = []
+    for c in columns:
+        value, exact = F.col(c).cast("double"), money(c, precision, scale)
+        cells += [F.count(value).alias(f"{c}__amounts"), F.count_if(exact.isNotNull() & (exact.cast("double") != value)).alias(f"{c}__rounded"),
+                  F.count_if(value.isNotNull() & exact.isNull()).alias(f"{c}__rejected")]
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{c}__{n}").alias(n) for n in ("amounts", "rounded", "rejected")]) for c in columns])
+    return df.agg(*cells).select(F.inline(rows))
 
 
 def to_double(c: Column) -> Column:

@@ -171,11 +171,22 @@ def weighted_group_mean(per_patient: DataFrame, demographics: DataFrame, keys: S
                         out: str = "avg_value") -> DataFrame:
     """Weight per-(patient, category) sums by each patient's demographic rows. ``demographics`` has one row per
     kept encounter, or a count of them in ``_w``."""
+    return weighted_group_sums(per_patient, demographics, keys, category, patient_key) \
+        .select(*keys, ratio(F.col("_s"), F.col("_n")).alias(out))
+
+
+def weighted_mean() -> Column:
+    """The mean over groups of rows (_s, _n)."""
+    return ratio(F.sum("_s"), F.sum("_n"))
+
+
+def weighted_group_sums(per_patient: DataFrame, demographics: DataFrame, keys: Sequence[str],
+                        category: str = "category_display", patient_key: str = "patient_reference") -> DataFrame:
+    """(keys, _s, _n): the sums and counts whose ratio is the mean of ``weighted_group_mean``."""
     demo_cols = [c for c in keys if c != category]
     weight = F.sum("_w") if "_w" in demographics.columns else F.count(F.lit(1))
     per_demo = demographics.groupBy(patient_key, *demo_cols).agg(weight.alias("_w"))
     w = F.col("_w")
     return (per_patient.join(per_demo, patient_key)
             .groupBy(*keys)
-            .agg(F.sum(_weighted(F.col("_s"), w)).alias("_s"), F.sum(F.col("_n") * w).alias("_n"))
-            .select(*keys, ratio(F.col("_s"), F.col("_n")).alias(out)))
+            .agg(F.sum(_weighted(F.col("_s"), w)).alias("_s"), F.sum(F.col("_n") * w).alias("_n")))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.aggregates import to_double
 
 # Grand totals are summed exactly, whatever the number of groups.
-EXACT = "decimal(38,4)"
+EXACT = "decimal(38,6)"
 
 
 def count_by(df: DataFrame, *keys: str, alias: str = "count") -> DataFrame:
@@ -82,6 +82,27 @@ def share(df: DataFrame, value: str, out: str = "share_pct") -> DataFrame:
     return df.withColumn(out, F.try_divide(to_double(F.col(value)) * F.lit(100.0), to_double(total)))
 
 
+CANDIDATES = 100_000        # rows of the ranked side that a rank join broadcasts at most
+
+
+def top_k_joined(ranked: DataFrame, meet: Callable[[DataFrame], DataFrame], best: Callable[[DataFrame], DataFrame], k: int,
+                 order: Sequence[Column], factor: int = 4) -> DataFrame:
+    """The ``k`` best rows of an inner join whose order comes from ``ranked`` alone, without joining all of it (an action).
+
+    The best ``factor * k`` rows of ``ranked`` are joined (``meet``); a row beyond them comes after all of theirs, so when they
+    leave ``k`` rows these hold the answer (``best`` takes it). Otherwise the candidates grow fourfold, and beyond
+    ``CANDIDATES`` all of ``ranked`` is joined.
+    """
+    size = factor * k
+    while size <= CANDIDATES:
+        taken = top_k(ranked, size, order)
+        rows = meet(taken)
+        if rows.limit(k).count() >= k or taken.count() < size:
+            return best(rows)
+        size *= 4
+    return best(meet(ranked))
+
+
 def top_k(df: DataFrame, k: int, order: Sequence[Column]) -> DataFrame:
     """First ``k`` rows in ``order`` (TakeOrderedAndProject: no global sort)."""
     return df.orderBy(*order).limit(k)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.aggregates import mean_integral, mean_money, stddev_rounded, sum_double
 from ..operators import cleaning, fanout, grouping
+from ..operators.blocks import block_join
 
 DEMOGRAPHIC_COLUMNS = ("patient_reference", "gender", "age", "marital_status", "age_group")
 
@@ -61,6 +62,15 @@ def longest(df: DataFrame, k: int = 10) -> DataFrame:
                                   F.col("encounter_id").asc_nulls_first()])
 
 
+def longest_encounters(encounters_clean: DataFrame, patients_clean: DataFrame, k: int = 10) -> DataFrame:
+    """``longest(encounter_patients(...))`` by rank join: no join of all encounters."""
+    def meet(best: DataFrame) -> DataFrame:
+        ids = F.broadcast(best.select(F.col("patient_reference").alias("__of")).distinct())     # as many as candidates at most
+        return encounter_patients(best, patients_clean.join(ids, F.col("patient_id") == F.col("__of"), "left_semi"))
+    return grouping.top_k_joined(encounters_clean, meet, lambda rows: longest(rows, k), k,
+                                 [F.col("encounter_duration").desc_nulls_last(), F.col("encounter_id").asc_nulls_first()])
+
+
 # -- benefits ------------------------------------------------------------------
 
 def benefit_totals(eob: DataFrame) -> DataFrame:
@@ -114,18 +124,46 @@ def benefit_by(eob: DataFrame, encounter_patients_kept: DataFrame, keys: Sequenc
     return fanout.weighted_group_mean(per_patient, demographics(encounter_patients_kept), keys)
 
 
+BENEFIT_KEYS = ("category_display", "gender", "age_group", "marital_status")
+
+
+BENEFIT_SETS = (("category_display",), ("category_display", "gender"), ("category_display", "age_group"), BENEFIT_KEYS)
+
+
+def benefit_cube(eob: DataFrame, encounter_patients_kept: DataFrame) -> DataFrame:
+    """(category, gender, age group, marital status, _s, _n): exact sums and counts of benefit values, from one pass over the
+    EOB table. Every benefit mean and the pivot are sums of its few rows."""
+    per_patient = fanout.benefit_line_sums(
+        eob, label=lambda c: C.map_codes(c, C.BENEFIT_CATEGORY_LABELS, C.BENEFIT_CATEGORY_DEFAULT, normalise=True),
+        excluded=C.BENEFIT_CATEGORY_EXCLUDED, strip=C.reference_id)
+    return fanout.weighted_group_sums(per_patient, demographics(encounter_patients_kept), BENEFIT_KEYS)
+
+
+def benefit_sets(cube: DataFrame, sets: Sequence[Sequence[str]]) -> DataFrame:
+    """The means of all ``sets`` of keys by GROUPING SETS: the key columns, ``avg_value`` and ``grouping``, whose bits are the keys that
+    a row sums over (the first key the highest bit)."""
+    keys = [F.col(k) for k in BENEFIT_KEYS]
+    return cube.groupingSets([[F.col(k) for k in s] for s in sets], *keys) \
+        .agg(fanout.weighted_mean().alias("avg_value"), F.grouping_id(*BENEFIT_KEYS).alias("grouping"))
+
+
+def benefit_of_set(sets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of ``benefit_sets`` for one set of keys."""
+    code = sum(1 << i for i, k in enumerate(reversed(BENEFIT_KEYS)) if k not in keys)
+    return sets.filter(F.col("grouping") == code).select(*keys, "avg_value")
+
+
 def adjudication_rows(eob: DataFrame) -> DataFrame:
     """Every adjudication line with every row of its EOB. The rows grow with the square of an EOB's
     rows: for given EOBs, not for reports."""
-    return adjudication_lines(eob).join(
-        eob.select("eob_id", "insurance_coverage_display", "billable_period_start"), ["eob_id"])
+    return block_join(adjudication_lines(eob), eob.select("eob_id", "insurance_coverage_display", "billable_period_start"), "eob_id", "inner")
 
 
 def benefit_rows(eob: DataFrame, encounter_patients_kept: DataFrame) -> DataFrame:
     """The joined benefit rows themselves (lines x EOB rows x encounters), labelled and filtered. For given
     patients, not for reports: ``benefit_by`` gives the same means without the product."""
-    lines = benefit_lines(eob).join(eob.select("eob_id"), ["eob_id"]).drop("category_code")
-    return lines.join(demographics(encounter_patients_kept), ["patient_reference"])
+    lines = block_join(benefit_lines(eob).drop("category_code"), eob.select("eob_id", "billable_period_start"), "eob_id", "inner")
+    return block_join(lines, demographics(encounter_patients_kept), "patient_reference", "inner")
 
 
 __all__ = [

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.aggregates import audit_amounts
 from ..operators import cleaning, grouping
 from ..session import configure
 from ..sources.warehouse import Warehouse, write_result
@@ -26,8 +27,9 @@ GENDERS = ("female", "male", "other", "unknown")
 
 
 def reports(wh: Warehouse, as_of=None, genders=GENDERS, scratch: str | None = None) -> dict[str, DataFrame]:
-    """With ``scratch`` (a folder all executors share), the encounter cube and the patient weights are
-    written there first (two jobs), and the duration, count and benefit reports read them."""
+    """With ``scratch`` (a folder all executors share), the encounter cube, the patient weights and the benefit cube are
+    written there first (three jobs), and the duration, count and benefit reports read them. The longest encounters are
+    found by rank join, an action."""
     spark = wh.spark
     patient, encounter = wh.table("patient"), wh.table("encounter")
     claim, eob = wh.table("claim"), wh.table("explanation_of_benefit")
@@ -35,7 +37,6 @@ def reports(wh: Warehouse, as_of=None, genders=GENDERS, scratch: str | None = No
     # disparities: patients, encounters, benefits
     p = cleaning.clean_patients(patient, as_of)
     e = cleaning.clean_encounters(encounter)
-    ep = disparities.encounter_patients(e, p)
     c = cube.encounter_cube(e, p)
     weights = cube.kept_weights(e, p)
     if scratch:                                # each is read by many reports: written once
@@ -52,8 +53,8 @@ def reports(wh: Warehouse, as_of=None, genders=GENDERS, scratch: str | None = No
         "pivot_gender_class": cube.pivot_counts(c, ["gender"], "class_code", CLASS_LABELS),
         "duration_by_gender": cube.duration_by(c, ["gender"], kept=False),
         "duration_by_age_group": cube.duration_by(c, ["age_group"], kept=False),
-        "longest_encounters": disparities.longest(ep),
-        "long_inpatient_stays": disparities.longest(cleaning.long_stays(ep)),
+        "longest_encounters": disparities.longest_encounters(e, p),
+        "long_inpatient_stays": disparities.longest_encounters(cleaning.long_stays(e), p),
         "duration_by_class": cube.duration_by(c, ["class_code"], kept=False, with_max=True),
         "duration_by_class_filtered": cube.duration_by(c, ["class_code"], with_max=True),
         "duration_by_class_age": cube.duration_by(c, ["class_code", "age_group"], order=True),
@@ -64,12 +65,14 @@ def reports(wh: Warehouse, as_of=None, genders=GENDERS, scratch: str | None = No
         "duration_by_marital_gender": cube.duration_by(c, ["marital_status", "gender"], order=True),
         "duration_by_marital_gender_age": cube.duration_by(c, ["marital_status", "gender", "age_group"], order=True),
         "benefit_totals": disparities.benefit_totals(eob),
+        "benefit_amount_audit": audit_amounts(eob, "total_amount", "payment_amount"),
     }
-    for keys in (["category_display"], ["category_display", "gender"],
-                 ["category_display", "age_group"],
-                 ["category_display", "gender", "age_group", "marital_status"]):
-        out["benefit_by_" + "_".join(k.replace("_display", "") for k in keys)] = \
-            disparities.benefit_by(eob, weights, keys)
+    benefits = disparities.benefit_cube(eob, weights)
+    if scratch:
+        benefits = spark.read.parquet(write_result(benefits, scratch, "benefit_cube"))
+    sets = disparities.benefit_sets(benefits, disparities.BENEFIT_SETS)
+    for keys in disparities.BENEFIT_SETS:
+        out["benefit_by_" + "_".join(k.replace("_display", "") for k in keys)] = disparities.benefit_of_set(sets, keys)
     labels = sorted(set(C.BENEFIT_CATEGORY_LABELS.values()) - set(C.BENEFIT_CATEGORY_EXCLUDED))
     out["pivot_benefit_groups"] = grouping.pivot_table(
         out["benefit_by_category_gender_age_group_marital_status"],

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import oracle as O
 from care_analytics.functions import columns as C
-from care_analytics.functions.aggregates import sum_double
+from care_analytics.functions.aggregates import audit_amounts, sum_double
 from care_analytics.operators import cleaning, grouping
 from care_analytics.plans import cost, cube, disparities, features
 from .roles import DriverTables
@@ -210,7 +210,8 @@ SELECT encounter_id, patient_id, class_code, encounter_duration FROM ep
 WHERE class_code = 'Inpatient' AND encounter_duration > 1440
 ORDER BY encounter_duration DESC NULLS LAST, encounter_id ASC NULLS FIRST LIMIT 10""")
 def long_inpatient_stays(spark, sf):
-    return disparities.longest(cleaning.long_stays(encounter_patients(_t(spark, sf)))).select(
+    t = _t(spark, sf)
+    return disparities.longest_encounters(cleaning.long_stays(encounters_clean(t)), patients_clean(t)).select(
         "encounter_id", "patient_id", "class_code", "encounter_duration")
 
 
@@ -292,14 +293,16 @@ def join_adjudication_eob(spark, sf):
 
 
 @register("join_benefit_demographics", """
-SELECT category_display, gender, age_group, COUNT(*) AS num_rows, {s} AS total_value
+SELECT category_display, gender, age_group, COUNT(*) AS num_rows, {s} AS total_value,
+  COUNT(billable_period_start) AS num_periods, MIN(billable_period_start) AS first_period, MAX(billable_period_start) AS last_period
 FROM benefit_joined GROUP BY category_display, gender, age_group""".format(s=O.sum_sql("value")))
 def join_benefit_demographics(spark, sf):
     """The joined rows (lines x EOB rows x kept encounters), counted and summed by group only to be compared."""
     t = _t(spark, sf)
     rows = disparities.benefit_rows(t.eob(), encounter_patients_kept(t))
     return rows.groupBy("category_display", "gender", "age_group").agg(
-        F.count(F.lit(1)).alias("num_rows"), sum_double("value").alias("total_value"))
+        F.count(F.lit(1)).alias("num_rows"), sum_double("value").alias("total_value"), F.count("billable_period_start").alias("num_periods"),
+        F.min("billable_period_start").alias("first_period"), F.max("billable_period_start").alias("last_period"))
 
 
 @register("join_patient_chronic_flag", """
@@ -456,7 +459,7 @@ def cost_by_gender(spark, sf):
 
 
 @register("cost_share_by_gender", f"""
-SELECT gender, total_cost, total_cost * CAST(100.0 AS DOUBLE) / CAST(SUM(CAST(total_cost AS DECIMAL(38,4))) OVER () AS DOUBLE) AS share_pct
+SELECT gender, total_cost, total_cost * CAST(100.0 AS DOUBLE) / CAST(SUM(CAST(total_cost AS DECIMAL(38,6))) OVER () AS DOUBLE) AS share_pct
 FROM (SELECT gender, {O.sum_sql('total_amount')} AS total_cost FROM claim_patient GROUP BY gender)""")
 def cost_share_by_gender(spark, sf):
     claims, _, patients, _ = cost_inputs(_t(spark, sf))
@@ -598,6 +601,27 @@ def pivot_benefit_groups(spark, sf):
                                 BENEFIT_LABELS)
 
 
+@register("benefit_grouping_sets", f"""
+SELECT category_display, gender, age_group, marital_status, {O.mean_sql('value')} AS avg_value,
+  CAST(GROUPING(category_display, gender, age_group, marital_status) AS BIGINT) AS grouping
+FROM benefit_joined GROUP BY GROUPING SETS ((category_display), (category_display, gender), (category_display, age_group),
+  (category_display, gender, age_group, marital_status))""")
+def benefit_grouping_sets(spark, sf):
+    """All four benefit means from one cube."""
+    t = _t(spark, sf)
+    return disparities.benefit_sets(disparities.benefit_cube(t.eob(), kept_weights(t)), disparities.BENEFIT_SETS)
+
+
+@register("audit_amounts", f"""
+SELECT unnest(['total_amount', 'payment_amount']) AS column, unnest([COUNT(total_amount), COUNT(payment_amount)]) AS amounts,
+  unnest([COUNT(*) FILTER (CAST(TRY_CAST(total_amount AS DECIMAL(28,6)) AS DOUBLE) <> total_amount), COUNT(*) FILTER (CAST(TRY_CAST(payment_amount AS DECIMAL(28,6)) AS DOUBLE) <> payment_amount)]) AS rounded,
+  unnest([COUNT(*) FILTER (total_amount IS NOT NULL AND TRY_CAST(total_amount AS DECIMAL(28,6)) IS NULL), COUNT(*) FILTER (payment_amount IS NOT NULL AND TRY_CAST(payment_amount AS DECIMAL(28,6)) IS NULL)]) AS rejected
+FROM r_eob""")
+def audit_amounts_query(spark, sf):
+    """Amounts that the exact sums round or leave out."""
+    return audit_amounts(_t(spark, sf).eob(), "total_amount", "payment_amount")
+
+
 # -- 2.7 top-k -----------------------------------------------------------------------
 
 @register("topk_cost_encounters", TOP_COST_SQL)
@@ -617,7 +641,8 @@ def topk_procedures(spark, sf):
 SELECT encounter_id, patient_id, class_code, encounter_duration FROM ep
 ORDER BY encounter_duration DESC NULLS LAST, encounter_id ASC NULLS FIRST LIMIT 10""")
 def topk_longest_encounters(spark, sf):
-    return disparities.longest(encounter_patients(_t(spark, sf))).select(
+    t = _t(spark, sf)
+    return disparities.longest_encounters(encounters_clean(t), patients_clean(t)).select(
         "encounter_id", "patient_id", "class_code", "encounter_duration")
 
 

@@ -15,12 +15,12 @@ AS_OF = "2024-12-01"
 
 def mean_sql(x: str) -> str:
     """Exact mean of a money column."""
-    return (f"CAST(SUM(CAST({x} AS DECIMAL(18,4))) AS DOUBLE) / "
+    return (f"CAST(SUM(CAST({x} AS DECIMAL(28,6))) AS DOUBLE) / "
             f"CAST(NULLIF(COUNT({x}), 0) AS DOUBLE)")
 
 
 def sum_sql(x: str) -> str:
-    return f"CAST(SUM(CAST({x} AS DECIMAL(18,4))) AS DOUBLE)"
+    return f"CAST(SUM(CAST({x} AS DECIMAL(28,6))) AS DOUBLE)"
 
 
 def mean_int_sql(x: str, divisor: float | None = None) -> str:
@@ -179,9 +179,9 @@ benefit_lines AS (
          ELSE 'Unknown' END AS category_display
   FROM r_benefit),
 benefit_joined AS (
-  SELECT l.category_display, l.value, d.gender, d.age, d.marital_status, d.age_group
+  SELECT l.category_display, l.value, h.billable_period_start, d.gender, d.age, d.marital_status, d.age_group
   FROM benefit_lines l
-  JOIN (SELECT eob_id FROM r_eob) h ON l.eob_id = h.eob_id
+  JOIN (SELECT eob_id, billable_period_start FROM r_eob) h ON l.eob_id = h.eob_id
   JOIN (SELECT patient_reference, gender, age, marital_status, age_group FROM ep_kept) d
     ON l.patient_reference = d.patient_reference
   WHERE l.category_display NOT IN ('Unknown', 'Part B Deductible')),

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrameReader
 from driver_queries import QUERIES
 
 # Actions by nature: round trips through storage, and fits.
-ACTIONS = {"scan_warehouse_tables", "stream_warehouse_tables", "impute_median", "impute_most_frequent", "standardise_features",
-           "one_hot_categories", "encode_labels", "score_patients", "grid_search_forest", "cross_validate_forest", "cross_validate_boosted",
+ACTIONS = {"scan_warehouse_tables", "stream_warehouse_tables", "topk_longest_encounters", "long_inpatient_stays", "impute_median", "impute_most_frequent", "standardise_features",
+           "one_hot_categories", "encode_labels", "score_patients", "grid_search_forest", "cross_validate_forest", "cross_validate_boosted", "cross_validate_boosted_risk",
+           "cross_validate_forest_risk", "grid_search_forest_risk",
            "train_forest_risk", "train_forest_readmission", "train_boosted_risk", "train_boosted_readmission"}
 
 
