@@ -6,68 +6,84 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.flatten import FLATTENERS, flatten
 from ..schemas import CORRUPT, TABLE_OF
 from .bundles import corrupt_documents, resources, shared
+from .contracts import conform
+from .snapshots import Snapshots
 
 
 class Warehouse:
-    """Parquet tables under one root folder, one folder per table."""
+    """Parquet tables under one root folder. Tables that were written together are published together (``snapshots``);
+    a root without a manifest (as streaming leaves it) has one folder per table."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.snapshots = Snapshots(spark, self.root)
 
     def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+        return f"{self.root}/{self.snapshots.current().get(name, name)}"
 
     def table(self, name: str, check: bool = True) -> DataFrame:
-        """Read a table; with ``check``, fail fast if expected columns are missing."""
+        """Read a table; with ``check``, hold it to its declared types at every depth."""
         df = self.spark.read.parquet(self.path(name))
-        if check:
-            expected = _expected_columns(name)
-            missing = [c for c in expected if c not in df.columns]
-            if missing:
-                raise ValueError(f"table {name} lacks columns {missing}")
-        return df
+        return conform(df, expected, f"table {name}") if check and (expected := expected_schema(self.spark, name)) else df
 
-    def write(self, df: DataFrame, name: str, mode: str = "overwrite") -> None:
-        """Write one table (an action)."""
-        df.write.mode(mode).parquet(self.path(name))
+    def write(self, df: DataFrame, name: str) -> None:
+        """Write one table and make it current (an action); the other tables stay as they are."""
+        version = self.snapshots.new_version()
+        df.write.parquet(f"{self.root}/{version}/{name}")
+        self.snapshots.publish({name: f"{version}/{name}"})
 
     def build(self, entries: DataFrame, types: Iterable[str] | None = None,
               grain: str = "line", stage: str = "parquet") -> list[str]:
-        """Flatten and write every resource type (actions).
+        """Flatten and write every resource type, then publish them all at once (actions).
 
         ``stage="parquet"`` (default) writes the entries once, partitioned
-        by resource type, under ``<root>/_staging``; each table then reads
+        by resource type, beside the tables; each table then reads
         only its own partition. The input is parsed once, no executor has
         to hold it in memory, and the twelve writes restart from the staged
         files, not from the raw bundles, if executors are lost. The staged
         copy is removed when all tables are written. Malformed documents go to
         the table ``_corrupt``; its row count says how many there were.
         ``stage="memory"`` persists the entries instead (small inputs).
+
+        Readers see the old tables until the last one is written. A build that fails leaves them so; its folder is
+        removed by ``vacuum``.
         """
         types = list(types or TABLE_OF)
+        version = self.snapshots.new_version()
         if stage != "parquet":
             with shared(entries) as e:
-                return self._tables(e, types, grain)
-        path = f"{self.root}/_staging/entries"
-        (entries.filter(F.col("resource_type").isin(*types, CORRUPT))
-         .select("resource_type", "resource")
-         .write.mode("overwrite").partitionBy("resource_type").parquet(path))
-        staged = self.spark.read.schema("resource variant, resource_type string").parquet(path)
-        names = self._tables(staged, types, grain)
-        _remove(self.spark, f"{self.root}/_staging")
-        return names
-
-    def _tables(self, entries: DataFrame, types: Iterable[str], grain: str) -> list[str]:
-        for rtype in types:
-            self.write(flatten(resources(entries, rtype), FLATTENERS[rtype], grain=grain), TABLE_OF[rtype])
-        self.write(corrupt_documents(entries), CORRUPT)
+                tables = self._tables(e, types, grain, version)
+        else:
+            path = f"{self.root}/{version}/_staging"
+            (entries.filter(F.col("resource_type").isin(*types, CORRUPT))
+             .select("resource_type", "resource")
+             .write.partitionBy("resource_type").parquet(path))
+            staged = self.spark.read.schema("resource variant, resource_type string").parquet(path)
+            tables = self._tables(staged, types, grain, version)
+            _remove(self.spark, path)
+        self.snapshots.publish(tables)
         return [TABLE_OF[rtype] for rtype in types]
 
+    def _tables(self, entries: DataFrame, types: Iterable[str], grain: str, version: str) -> dict[str, str]:
+        frames = {TABLE_OF[t]: flatten(resources(entries, t), FLATTENERS[t], grain=grain) for t in types}
+        frames[CORRUPT] = corrupt_documents(entries)
+        for name, df in frames.items():
+            self._write_table(df, f"{self.root}/{version}/{name}")
+        return {name: f"{version}/{name}" for name in frames}
+
+    def _write_table(self, df: DataFrame, path: str) -> None:
+        df.write.parquet(path)
+
+    def vacuum(self, keep: int = 2) -> list[str]:
+        """Removes what the last ``keep`` published sets do not use."""
+        return self.snapshots.vacuum(keep)
+
     def row_counts(self, names: Iterable[str] | None = None) -> DataFrame:
         """One row per table: (table_name, num_rows), from a single union job."""
         parts = [self.table(n, check=False).agg(F.count(F.lit(1)).alias("num_rows"))
@@ -92,8 +108,10 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def _expected_columns(name: str) -> list[str]:
+def expected_schema(spark: SparkSession, name: str) -> StructType | None:
+    """The declared schema of a warehouse table (no job); None for other tables."""
     for rtype, table in TABLE_OF.items():
         if table == name:
-            return FLATTENERS[rtype].names()
-    return []
+            none = spark.createDataFrame([], "resource_type string, resource string").select("resource_type", F.parse_json("resource").alias("resource"))
+            return flatten(resources(none, rtype), FLATTENERS[rtype]).schema
+    return None

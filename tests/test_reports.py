@@ -24,7 +24,7 @@ def test_reports_from_etl_warehouse(spark, sf_small, tmp_path):
         assert counts[name] > 0, name
     assert counts["top_cost_encounters"] == 10
     # encounters at participant grain: every encounter row has a participant
-    enc = spark.read.parquet(f"{root}/encounter")
+    enc = Warehouse(spark, root).table("encounter")
     assert enc.filter(F.col("participant_individual_display").isNull()).count() == 0
 
 
