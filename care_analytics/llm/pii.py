@@ -49,10 +49,10 @@ WORDS = r"[\p{L}\p{N}]+"
 
 
 def _located(text: str, pattern: str) -> str:
-    """SQL: the matches of ``pattern`` in ``text`` as structs of start, end and value. Starts are running lengths of
-    the pieces between matches."""
+    """SQL: the matches of ``pattern`` (an SQL expression) in ``text`` as structs of start, end and value. Starts are running
+    lengths of the pieces between matches."""
     return f"""
-    aggregate(array(named_struct('m', regexp_extract_all({text}, r'{pattern}', 0), 'p', split({text}, r'{pattern}', -1))),
+    aggregate(array(named_struct('m', regexp_extract_all({text}, {pattern}, 0), 'p', split({text}, {pattern}, -1))),
       cast(array() as {SPAN}), (none, f) -> if(size(f.m) = 0, none,
         aggregate(sequence(0, (size(f.m) - 1) div {BLOCK}), named_struct('at', 0, 'out', cast(array() as array<{SPAN}>)),
           (all, b) -> aggregate(sequence(int(b * {BLOCK}), int(least(size(f.m), (b + 1) * {BLOCK}) - 1)),
@@ -77,7 +77,7 @@ def base_spans(text: Column | str, kind: str) -> Column:
     """Spans of ``kind`` in a text column: leftmost, not overlapping, those that fail the check dropped."""
     name = text if isinstance(text, str) else "__text"
     gate = f"contains({name}, '@')" if kind == "email" else f"{name} rlike r'{GATES[kind]}'"
-    return F.expr(f"if({gate}, filter({_located(name, PATTERNS[kind])}, x -> {CHECKS[kind]}), cast(array() as {SPAN}))")
+    return F.expr(f"if({gate}, filter({_located(name, f"r'{PATTERNS[kind]}'")}, x -> {CHECKS[kind]}), cast(array() as {SPAN}))")
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -166,11 +166,15 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
     same = F.col("__id").eqNullSafe(F.col("__bid")) & (F.col("__key") == F.col("__bkey"))
     texts = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text")).withColumn("__key", F.xxhash64("__text"))
     texts = texts.join(small(busy.select("__bid", "__bkey"), DOCUMENTS), same, "left_semi").join(busy, same)
-    found = f"""if(__hits is null, cast(array() as {TERM}), transform(filter({_located('__outside', WORDS)}, x -> exists(__hits, h -> h.__t = lower(x.v))),
+    # The words of the text that are terms, as they are written there, make a pattern of their own; only its matches are located.
+    written_so = f"if(__hits is null, array(), filter(array_distinct(regexp_extract_all(__outside, r'{WORDS}', 0)), w -> exists(__hits, h -> h.__t = lower(w))))"
+    whole = r"concat(r'(?<![\p{L}\p{N}])(?:', array_join(__so, '|'), r')(?![\p{L}\p{N}])')"
+    found = f"""if(size(__so) = 0, cast(array() as {TERM}), transform({_located('__outside', '__pattern')},
         x -> named_struct('s', x.s, 'e', x.e, 'd', filter(__hits, h -> h.__t = lower(x.v))[0].__d)))"""
     parts = [F.expr(f"transform({k}, x -> named_struct('s', x.s, 'e', -x.e, 'as', '[{k}]'))") for k in KINDS]
     parts.append(F.expr(f"transform(term, x -> named_struct('s', x.s, 'e', -x.e, 'as', if(x.d >= {remove}, '', null)))"))
-    located = texts.withColumn("__outside", F.expr(OUTSIDE)).withColumn("term", F.expr(found)).withColumn("__marks", F.sort_array(F.concat(*parts))) \
+    located = texts.withColumn("__outside", F.expr(OUTSIDE)).withColumn("__so", F.expr(written_so)).withColumn("__pattern", F.expr(whole)) \
+        .withColumn("term", F.expr(found)).withColumn("__marks", F.sort_array(F.concat(*parts))) \
         .select("__id", "__key", "__sha", *KINDS, "term", F.expr(_CLEAN).alias("__clean"))
     quiet = all_rows.filter(~some).select("__id", "__key", "__sha", *KINDS, F.expr(f"cast(array() as {TERM})").alias("term"), F.lit(None).cast("string").alias("__clean"))
     return quiet.unionByName(located)
