@@ -253,9 +253,48 @@ def packed(rows: DataFrame, size: int) -> DataFrame:
         .mapInArrow(lambda batches: blocks(batches, size, "x"), KEYS + ", __xids array<long>, __xvecs binary")
 
 
+def best_of(k_th: int, q: np.ndarray, x: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows (query, candidate, score) the ``k_th`` best different candidates of each query, by query and score."""
+    order = np.lexsort((x, -score, q))
+    q, x, score = q[order], x[order], score[order]
+    new = np.ones(len(q), dtype=bool)
+    new[1:] = (q[1:] != q[:-1]) | (x[1:] != x[:-1])                    # equal pairs have equal scores, so they are neighbours
+    q, x, score = q[new], x[new], score[new]
+    good = np.arange(len(q)) - np.searchsorted(q, q) < k_th
+    return q[good], x[good], score[good]
+
+
+def listed(q: np.ndarray, x: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    """One row for each query of rows sorted by query: (__q, __xs, __scores)."""
+    starts = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, dtype=np.int64)
+    offsets = pa.array(np.append(starts, len(q)), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(q[starts], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())),
+                                       pa.ListArray.from_arrays(offsets, pa.array(score, pa.float64()))], names=["__q", "__xs", "__scores"])
+
+
+LISTS = "__q long, __xs array<long>, __scores array<double>"
+
+
+def merged(k_th: int):
+    """mapInArrow: lists in the order of their queries -> the ``k_th`` best of each query."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+        for batch in batches:
+            xs = batch.column("__xs")
+            q = np.repeat(batch.column("__q").to_numpy(), xs.value_lengths().to_numpy(zero_copy_only=False))
+            rows = (q, xs.flatten().to_numpy(zero_copy_only=False), batch.column("__scores").flatten().to_numpy(zero_copy_only=False))
+            held = best_of(k_th, *[np.concatenate(c) for c in zip(held, rows)])
+            if len(held[0]):
+                open_at = np.searchsorted(held[0], held[0][-1])               # the last query may go on in the next batch
+                yield listed(*[c[:open_at] for c in held])
+                held = tuple(c[open_at:] for c in held)
+        yield listed(*held)
+    return run
+
+
 def reranked(k_th: int, single: bool):
-    """mapInArrow: pairs of blocks -> for each query the ``k_th`` best of the block by exact inner product, of those that
-    reach its least score. A product of matrices chooses them, with a margin for its rounding; the scores are summed for each pair alike."""
+    """mapInArrow: pairs of blocks -> for each query of the task a list of the ``k_th`` best candidates by exact inner product, of those
+    that reach its least score. A product of matrices chooses them, with a margin for its rounding; the scores are summed for each pair alike."""
     kind = np.float32 if single else np.float64
 
     def pair(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -270,16 +309,7 @@ def reranked(k_th: int, single: bool):
         at, to = np.nonzero(rough >= (bar - 2 * margin)[:, None])
         score = (q[at] * x[to]).sum(axis=1)
         good = score >= least[at]
-        return best_of(qids[at[good]], xids[to[good]], score[good])
-
-    def best_of(q: np.ndarray, x: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        order = np.lexsort((x, -score, q))
-        q, x, score = q[order], x[order], score[order]
-        new = np.ones(len(q), dtype=bool)
-        new[1:] = (q[1:] != q[:-1]) | (x[1:] != x[:-1])                    # equal pairs have equal scores, so they are neighbours
-        q, x, score = q[new], x[new], score[new]
-        good = np.arange(len(q)) - np.searchsorted(q, q) < k_th
-        return q[good], x[good], score[good]
+        return best_of(k_th, qids[at[good]], xids[to[good]], score[good])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0                                                  # a task merges what its blocks give for a query
@@ -288,24 +318,22 @@ def reranked(k_th: int, single: bool):
                 held.append(pair(batch, i))
                 size += len(held[-1][0])
                 if size > HELD:
-                    held = [best_of(*map(np.concatenate, zip(*held)))]
+                    held = [best_of(k_th, *map(np.concatenate, zip(*held)))]
                     size = len(held[0][0])
                     if size > HELD // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names=["__q", "__x", "__score"])
+                        yield listed(*held[0])
                         held, size = [], 0
         if size:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in best_of(*map(np.concatenate, zip(*held)))], names=["__q", "__x", "__score"])
+            yield listed(*best_of(k_th, *map(np.concatenate, zip(*held))))
     return run
 
 
 def nearest(visits: DataFrame, index: DataFrame, k_th: int, single: bool, known: DataFrame | None = None) -> DataFrame:
-    """(__q, __x, __score, __n): of the candidates that the visited buckets hold (and those ``known``), the ``k_th`` best of each query."""
-    pairs = visits.join(index, KEY).select("__dim", "__qids", "__qvecs", "__qleast", "__xids", "__xvecs") \
-        .mapInArrow(reranked(k_th, single), "__q long, __x long, __score double")
+    """(__q, __xs, __scores): of the candidates that the visited buckets hold (and those ``known``), the ``k_th`` best of each query."""
+    lists = visits.join(index, KEY).select("__dim", "__qids", "__qvecs", "__qleast", "__xids", "__xvecs").mapInArrow(reranked(k_th, single), LISTS)
     if known is not None:
-        pairs = pairs.unionByName(known.select("__q", "__x", "__score"))
-    best = Window.partitionBy("__q").orderBy(F.desc("__score"), "__x")
-    return pairs.repartition("__q").dropDuplicates(["__q", "__x"]).withColumn("__n", F.row_number().over(best)).filter(F.col("__n") <= k_th)
+        lists = lists.unionByName(known)
+    return lists.repartition("__q").sortWithinPartitions("__q").mapInArrow(merged(k_th), LISTS)
 
 
 def search(rows: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = TABLES,
@@ -329,12 +357,12 @@ def search(rows: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id",
         return asked.join(bands, "__dim").select("__id", "__vec", "__least", "__dim", "__band", *of_band).mapInArrow(probed(tables, after, upto), visit)
     lowest = F.lit(float("-inf")).alias("__least")
     start = written(nearest(visits(queries.select("*", lowest), 0.0, min(first, mass)), index, k + 1, single), "ann-first")
-    bar = start.filter(F.col("__n") == k + 1).select(F.col("__q").alias("__bq"), F.col("__score").alias("__bar"))
+    bar = start.filter(F.size("__xs") == k + 1).select(F.col("__q").alias("__bq"), F.element_at("__scores", -1).alias("__bar"))
     barred = queries.join(bar, F.col("__id") == F.col("__bq"), "left").select("__id", "__vec", "__dim", F.coalesce("__bar", lowest).alias("__least"))
     done = written(nearest(visits(barred, min(first, mass), mass), index, k + 1, single, start), "ann-found")
-    if done.filter(F.col("__n") == k + 1).count() < queries.count():
+    full = done.filter(F.size("__xs") == k + 1).select("__q")
+    if full.count() < queries.count():
         # Queries that found too few (all of a small table do) visit every bucket of one table.
-        full = done.filter(F.col("__n") == k + 1).select("__q")
         short = written(queries.join(full, F.col("__id") == F.col("__q"), "left_anti").select("*", lowest), "ann-short")
         one = index.filter("__table = 0")
         every = short.join(one.select(*KEY).distinct(), "__dim").select(*KEY, "__id", "__vec", "__least") \
@@ -343,6 +371,7 @@ def search(rows: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id",
         done = done.join(short.select(F.col("__id").alias("__s")), F.col("__q") == F.col("__s"), "left_anti").unionByName(again)
     # Classes become rows again; the query itself is none of its neighbours.
     more = members.filter("__n > 1").select(F.col("__class").alias("__c"), F.col("__id").alias("__member"))
+    done = done.select("__q", F.explode(F.arrays_zip("__xs", "__scores")).alias("__e")).select("__q", F.col("__e.__xs").alias("__x"), F.col("__e.__scores").alias("__score"))
     rows_of = done.select("__q", F.col("__x").alias("__member"), "__score") \
         .unionByName(done.join(more, F.col("__x") == F.col("__c")).select("__q", "__member", "__score")).filter("__member <> __q")
     last = Window.partitionBy("__q").orderBy(F.desc("__score"), "__member")
