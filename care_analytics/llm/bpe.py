@@ -18,6 +18,7 @@ encoded whole; rows repeated are encoded each; an empty table gives an empty res
 
 from __future__ import annotations
 
+import hashlib
 import base64
 import heapq
 import unicodedata
@@ -309,7 +310,7 @@ _OWN: dict[tuple[type, bytes], Merger | Decoder] = {}
 
 def own(kind: type, table: bytes) -> Merger | Decoder:
     """One merger or decoder per worker and rank table."""
-    key = (kind, table[:64] + len(table).to_bytes(8, "little"))
+    key = (kind, hashlib.sha256(table).digest())
     if key not in _OWN:
         _OWN[key] = kind(table)
     return _OWN[key]

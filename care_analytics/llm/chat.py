@@ -46,6 +46,7 @@ def observed(text: Column) -> list[Column]:
     return [F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(s) for s in SPEAKERS]), word), F.lit(0)), F.lit(0)).cast("int").alias("__m"),
             size.cast("int").alias("__s"), F.rtrim(text).endswith("?").cast("int").alias("__q")]
 
+MOST_ROLES = 500           # roles a model is learned for; more are an error
 
 @dataclass
 class Hmm:
@@ -67,7 +68,7 @@ class Hmm:
         start = (np.cumsum(lengths) - lengths)[order]
         open_at = np.searchsorted(-lengths[order], -np.arange(int(lengths.max())), side="left")
         last = np.empty((len(lengths), score.shape[1]))
-        back = np.zeros(score.shape, np.int8)
+        back = np.zeros(score.shape, np.int8 if score.shape[1] <= 128 else np.int16)
         now = first[order] + score[start]
         for t in range(1, len(open_at)):
             n = int(open_at[t])
@@ -129,7 +130,9 @@ def _features(table: pa.Table) -> np.ndarray:
 
 def train(rows: DataFrame, id_col: str, role_col: str, opens_col: str, learn_col: str) -> Hmm | None:
     """A model counted over the lines of ``arranged`` rows with ``learn_col`` true and a role; None if there is none."""
-    roles = [r[0] for r in rows.filter(F.col(learn_col) & F.col(role_col).isNotNull()).select(role_col).distinct().orderBy(role_col).limit(60).collect()]
+    roles = [r[0] for r in rows.filter(F.col(learn_col) & F.col(role_col).isNotNull()).select(role_col).distinct().orderBy(role_col).limit(MOST_ROLES + 1).collect()]
+    if len(roles) > MOST_ROLES:
+        raise ValueError(f"more than {MOST_ROLES} roles: the model has two states for each and a weight for each pair of states")
     if not roles:
         return None
     k = 2 * len(roles)

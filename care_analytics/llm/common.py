@@ -52,15 +52,25 @@ def text_or_empty(column: str | Column) -> Column:
     return F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit(""))
 
 
-def keep_rows(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is in ``ids.__keep`` (null meets null). The ids grow with the documents, so the
+def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A key of a row: its id and the hash of its text, so that rows that share an id are told apart. Null ids sort last."""
+    return F.struct(docs[id_col].isNull().alias("n"), docs[id_col].alias("i"), F.xxhash64(text_or_empty(docs[text_col])).alias("h"))
+
+
+def keep_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``row_key`` is in ``keys.__keep``. The keys grow with the documents, so the
     join is a merge at every size."""
-    return docs.join(ids.hint("merge"), docs[id_col].eqNullSafe(ids["__keep"]), "left_semi")
+    return docs.join(keys.hint("merge"), _same(docs, keys["__keep"]), "left_semi")
+
+
+def drop_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``row_key`` is not in ``keys.__drop``. A merge, as in ``keep_rows``."""
+    return docs.join(keys.hint("merge"), _same(docs, keys["__drop"]), "left_anti")
 
 
-def drop_rows(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is not in ``ids.__drop`` (null meets null). A merge, as in ``keep_rows``."""
-    return docs.join(ids.hint("merge"), docs[id_col].eqNullSafe(ids["__drop"]), "left_anti")
+def _same(docs: DataFrame, key: Column) -> Column:
+    own = row_key(docs)
+    return own.getField("i").eqNullSafe(key.getField("i")) & (own.getField("h") == key.getField("h"))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

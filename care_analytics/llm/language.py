@@ -34,6 +34,8 @@ from care_analytics.llm.common import slices, text_or_empty
 UNKNOWN = "und"
 SAMPLE_LINES = 400         # different lines a label is fitted on
 SAMPLE_WORDS = 60          # words of a sampled line that are used
+LINE_CHARS = 4000          # characters of a line that can be sampled: the driver holds at most so many for each sampled line
+MOST_LABELS = 256          # labels a model is fitted for: 2^16 weights each; more are an error
 FEATURE_BITS = 16
 CHAIN_WORDS = 48           # length of a training chain
 SPAN_WORDS = (4, 24)       # words of one language in a row, in a training chain
@@ -239,11 +241,14 @@ def training_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
                        & ~F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))) \
         .select(F.col(lang_col).cast("string").alias("__lang"), F.explode(F.split(text_col, "\n")).alias("__line")) \
+        .withColumn("__line", F.substring("__line", 1, LINE_CHARS)) \
         .filter(F.col("__line").rlike(r"\p{L}")) \
         .withColumn("__place", F.shiftrightunsigned(F.xxhash64("__line"), 1) / F.lit(float(2 ** 63)))
-    counts = {r[0]: r[1] for r in rows.groupBy("__lang").agg(F.approx_count_distinct("__line").alias("n")).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("__lang").agg(F.approx_count_distinct("__line").alias("n")).limit(MOST_LABELS + 1).collect()}
     if not counts:
         return []
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"{len(counts)} labels; a model is fitted for {MOST_LABELS} at most")
     share = {lang: min(1.0, 1.5 * sample_lines / max(n, 1)) for lang, n in counts.items()}
     limit = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])[F.col("__lang")]
     picked = rows.filter(F.col("__place") < limit).groupBy("__lang", "__line").agg(F.min("__place").alias("__place")).collect()

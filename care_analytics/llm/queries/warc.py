@@ -14,8 +14,9 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_archives(pages, path)
     kind = pages.schema["page_id"].dataType
-    return read_archives(spark, path, payloads=False).filter("reason is null") \
-        .select(F.col("record_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+    gap = F.raise_error(F.concat(F.lit("page lost, "), "reason", F.lit(" at byte "), F.col("offset").cast("string"), F.lit(" of "), "path")).cast("string")
+    return read_archives(spark, path, payloads=False) \
+        .select(F.when(F.col("reason").isNull(), F.col("record_id")).otherwise(gap).cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                 F.col("refers_to").cast(kind).alias("refers_to"))
 
 

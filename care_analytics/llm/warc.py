@@ -203,6 +203,20 @@ class Salvage:
                 raise Broken("member does not inflate") from why
         return b"".join(out), fed - len(unpack.unused_data) - at
 
+    def _check_length(self, at: int, end: int) -> None:
+        """Looks at the stated end of a plain record before its block is read, where the stream can be read at any place: a wrong
+        length then costs four bytes, not the rest of the stream."""
+        told = re.search(rb"(?mi)^content-length: *([0-9]{1,18})\r?$", bytes(self.buffer[at:end]))
+        stop = end + 4 + int(told[1]) if told else 0
+        if stop + 4 <= len(self.buffer) or not self.stream.seekable():
+            return
+        here = self.stream.tell()
+        self.stream.seek(min(self.base + stop, self.stream.seek(0, 2)))
+        after = self.stream.read(4)
+        self.stream.seek(here)
+        if bytes(after) != b"\r\n\r\n":
+            raise Broken("block cut off" if len(after) < 4 else "block of another length")
+
     def _plain(self, at: int) -> tuple[Record, int]:
         seen = at
         while True:
@@ -213,6 +227,8 @@ class Salvage:
             seen = max(at, len(self.buffer) - 3)
             if binary or not self._more():
                 break
+        if end >= 0:
+            self._check_length(at, end)
         while True:
             try:
                 found = parse(self.buffer, at)
@@ -315,7 +331,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 store, where = fs.FileSystem.from_uri(name)
-                with store.open_input_stream(where, compression=None) as stream:
+                with store.open_input_file(where) as stream:
                     for offset, size, what in Salvage(stream):
                         row = {"path": name, "offset": offset, "raw_bytes": size}
                         if isinstance(what, str):

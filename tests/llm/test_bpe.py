@@ -66,3 +66,14 @@ def test_query_equals_the_library(spark, small, texts):
         assert got[i]["ids_sha256"] == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
         assert got[i]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
     assert bpe.round_trip(spark.read.parquet(f"{small}/documents.parquet").limit(0), RANKS).count() == 0
+
+
+def test_tables_of_one_length_have_mergers_of_their_own():
+    """Two tables that differ in one token far behind: the second is not encoded by the first."""
+    import base64
+    from care_analytics.llm import bpe
+    letters = [bytes([i]) for i in range(256)]
+    tables = [b"".join(base64.b64encode(t) + b" " + str(i).encode() + b"\n" for i, t in enumerate([*letters, last])) for last in (b"ab", b"cd")]
+    assert len(tables[0]) == len(tables[1])
+    one, two = (bpe.own(bpe.Merger, t) for t in tables)
+    assert one is not two and bpe.own(bpe.Merger, tables[0]) is one

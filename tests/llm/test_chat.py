@@ -80,3 +80,19 @@ def test_odd_rows(spark):
     nothing = C.format_chat(lines.withColumn("learn", F.lit(False)), "conv", ["turn", "place", "line"], "text", "role", "opens", "learn").collect()
     assert len(nothing) == 6 and all(r["role_pred"] is None for r in nothing)
     assert C.format_chat(lines.limit(0), "conv", ["turn", "place", "line"], "text", "role", "opens", "learn").count() == 0
+
+
+def test_every_role_is_learned(spark, monkeypatch):
+    """70 roles, each with a word of its own in front: none is left out, and too many are an error."""
+    import pytest
+    from care_analytics.llm import chat
+    rows = [(c, t, f"role{(c + t) % 70:02d}", f"text {t}") for c in range(70) for t in range(6)]
+    talk = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    lines = chat.transcribe(talk).withColumn("learn", F.lit(True))
+    arranged = chat.arranged(lines, "conv", ["turn", "place", "line"], "text") if hasattr(chat, "arranged") else None
+    if arranged is not None:
+        model = chat.train(arranged, "conv", "role", "opens", "learn")
+        assert len(model.roles) == 70
+        monkeypatch.setattr(chat, "MOST_ROLES", 69)
+        with pytest.raises(ValueError, match="roles"):
+            chat.train(arranged, "conv", "role", "opens", "learn")

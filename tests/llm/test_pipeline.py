@@ -44,5 +44,18 @@ def test_empty_table(spark, odd, small):
 def test_entry_lists_every_operator():
     import __spark_entry__ as entry
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
     assert D.WINDOW == 5 and D.MIN_COVERAGE == 0.8
+
+
+def test_rows_that_share_an_id_are_judged_each_for_itself(spark, tmp_path):
+    """Of (1, A), (7, A'), (7, B), (null, A'') the copies go and B stays; a leak takes no namesake with it."""
+    a = "the quick brown fox jumps over the lazy dog and runs far away from here to the old house by the river " * 6
+    b = "nothing of this text is like the other one because it tells about ships and harbours and the sea " * 6
+    leak = "how many apples does the farmer have when 12 baskets hold 30 apples each and 7 are lost"
+    rows = [(1, a), (7, a), (7, b), (None, a), (8, leak), (8, b + "x y z " * 40)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(0, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    assert sorted((r["doc_id"], r["text"]) for r in stages["near_dedup"](spark, docs, str(tmp_path)).collect()) == sorted((i, t) for i, t in rows if (i, t) in ((1, a), (7, b), (8, leak), rows[-1]))
+    assert {(r["doc_id"], r["text"]) for r in stages["decontamination"](spark, docs, str(tmp_path)).collect()} == set(rows) - {(8, leak)}

@@ -131,3 +131,24 @@ def test_query(spark, small):
     pages = [(r["page_id"], r["html"]) for r in spark.read.parquet(f"{small}/pages.parquet").collect()]
     got = op2_warc(spark, small).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
     assert sorted(map(tuple, got), key=repr) == expected(pages)
+
+
+def test_a_wrong_length_does_not_read_the_rest(tmp_path):
+    """A plain record that states far too long a block: the gap is logged after four bytes, and later records are found."""
+    import pyarrow as pa
+    good = W.record(5, "http://x/5", b"payload", W.digest_of(b"payload"), None)
+    bad = W.record(6, "http://x/6", b"p" * 100, W.digest_of(b"p" * 100), None)
+    length = [line for line in bad.split(b"\r\n") if line.lower().startswith(b"content-length")][0]
+    for told in (b"999999999999", b"5000000"):
+        bent = bad.replace(length, b"Content-Length: " + told, 1)
+        data = bent + b"filler " * 3_000_000 + b"\r\n\r\n" + good
+        name = tmp_path / f"{told.decode()}.warc"
+        name.write_bytes(data)
+        with pa.OSFile(str(name), "rb") as stream:
+            salvage = W.Salvage(stream)
+            largest, found = 0, []
+            for item in salvage:
+                largest = max(largest, len(salvage.buffer))
+                found.append(item)
+        assert [f[2].headers["warc-target-uri"] for f in found if not isinstance(f[2], str)] == ["http://x/5"]
+        assert isinstance(found[0][2], str) and largest < 6_000_000
