@@ -2,7 +2,8 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as
 Parquet to the shared folder and reads again for the next. All but the last return the
-columns of documents. Rows with null or empty text go at the first stage (no letter, no language).
+columns of documents. Rows with null or empty text go at the first stage (no letter, no language). Rows are kept and dropped by id
+and text, so rows that share an id, or have none, are judged each for itself; a null id comes after all others.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from care_analytics.llm import bpe, decontaminate, exact_dedup, language, simhash
-from care_analytics.llm.common import drop_rows, keep_rows, written
+from care_analytics.llm.common import drop_rows, keep_rows, row_key, written
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -28,15 +29,17 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by their fingerprints, the one with the smallest doc_id stays."""
-    first = simhash.near_dedup(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))) \
-        .select(F.col("doc_id").alias("__keep")).distinct()
-    return keep_rows(docs, first)
+    """Of documents linked by their fingerprints, the one with the smallest doc_id stays (of rows that share it, the one of
+    smallest text hash)."""
+    keyed = docs.select(row_key(docs).alias("__row"), docs["text"].alias("__text"))
+    first = simhash.near_dedup(keyed, "__row", "__text").filter(F.col("__row") == F.col("component_id"))
+    return keep_rows(docs, first.select(F.col("__row").alias("__keep")).distinct())
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    leaks = decontaminate.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    keyed = docs.select(row_key(docs).alias("__row"), docs["text"].alias("__text"))
+    leaks = decontaminate.matches(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "__row", "__text")
     return drop_rows(docs, leaks.select(F.col("__id").alias("__drop")).distinct())
 
 
