@@ -115,8 +115,8 @@ def _typed_items(root: Column, path: str, items: Sequence[ColumnSpec]) -> Column
 
 
 def flatten(resources: DataFrame, spec: Spec, grain: str = "line", outer: bool = False,
-            resource_col: str = "resource") -> DataFrame:
-    """One flat table from one resource type.
+            resource_col: str = "resource", keep: Sequence[str] = ()) -> DataFrame:
+    """One flat table from one resource type; ``keep`` are further input columns, put last.
 
     Each array is first mapped to typed structs (``transform``), so an
     element is decoded once and the exploded rows carry compact values, not
@@ -127,7 +127,7 @@ def flatten(resources: DataFrame, spec: Spec, grain: str = "line", outer: bool =
     aliases = [a for a, _ in spec.arrays]
     arrays = [_typed_items(root, path, spec.items.get(alias, ())).alias(alias)
               for alias, path in spec.arrays]
-    df = resources.select(*head, *arrays)
+    df = resources.select(*head, *arrays, *keep)
     if grain == "line":
         df = explode_all(df, aliases, outer=outer)
     elif grain == "header":
@@ -138,7 +138,7 @@ def flatten(resources: DataFrame, spec: Spec, grain: str = "line", outer: bool =
     cols = [F.col(c[0]) for c in spec.head]
     for alias in aliases:
         cols += [F.col(alias).getField(c[0]).alias(c[0]) for c in spec.items.get(alias, ())]
-    return df.select(*cols).select(*spec.names())
+    return df.select(*cols, *keep).select(*spec.names(), *keep)
 
 
 S, D, B = "string", "double", "boolean"

@@ -17,8 +17,8 @@ def tables(entries: DataFrame, grain: str = "line") -> dict[str, DataFrame]:
 
 
 def run(spark: SparkSession, input_path: str, output_root: str, ndjson: bool = False,
-        num_partitions: int | None = None, grain: str = "line") -> list[str]:
+        num_partitions: int | None = None, grain: str = "line", merge: bool = False) -> list[str]:
     """Read bundles, flatten all resource types, write one Parquet folder each."""
     entries = bundle_entries(read_bundles(spark, input_path, ndjson=ndjson,
                                           num_partitions=num_partitions), keep_corrupt=True)
-    return Warehouse(spark, output_root).build(entries, grain=grain)
+    return Warehouse(spark, output_root).build(entries, grain=grain, merge=merge)

@@ -12,12 +12,14 @@ from ..operators.flatten import FLATTENERS, flatten
 from ..schemas import CORRUPT, TABLE_OF
 from .bundles import corrupt_documents, resources, shared
 from .contracts import conform
+from .merge import BATCH, ID, VERSION, current_rows, keyed, newest
 from .snapshots import Snapshots
 
 
 class Warehouse:
-    """Parquet tables under one root folder. Tables that were written together are published together (``snapshots``);
-    a root without a manifest (as streaming leaves it) has one folder per table."""
+    """Parquet tables under one root folder. Tables that were written together are published together (``snapshots``). Streaming
+    adds folders of batches to them, which ``compact`` folds in; of a resource that came more than once, readers see the
+    newest version. A root without a manifest has one folder per table."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -29,9 +31,47 @@ class Warehouse:
 
     def table(self, name: str, check: bool = True) -> DataFrame:
         """Read a table; with ``check``, hold it to its declared types at every depth."""
-        df = self.spark.read.parquet(self.path(name))
+        df = self._stored(name)
         return conform(df, expected, f"table {name}") if check and (expected := expected_schema(self.spark, name)) else df
 
+    def _stored(self, name: str, merged: bool = True) -> DataFrame:
+        """The published table and the batches after it; with ``merged``, only the newest version of each resource."""
+        tables, folded = self.snapshots.state()
+        batches = [b for b in self.snapshots.folders(name, f"{BATCH}=") if int(b.split("=")[1]) > folded]
+        parts = [self.spark.read.parquet(f"{self.root}/{tables[name]}")] if name in tables else []
+        if batches:
+            parts.append(self.spark.read.option("basePath", f"{self.root}/{name}").parquet(*[f"{self.root}/{name}/{b}" for b in batches]))
+        if not parts:
+            return self.spark.read.parquet(f"{self.root}/{name}")
+        df = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+        if ID not in df.columns or not merged:
+            return df
+        return current_rows(df).drop(ID, VERSION)
+
+    def compact(self, names: Iterable[str] | None = None, file_bytes: int = 128 << 20) -> int:
+        """Folds all stream batches into the published tables (actions): the newest version of each resource, in files of about
+        ``file_bytes``. Readers see the batches until the manifest names the new tables; the folders of batches that an earlier
+        ``compact`` folded are removed. Returns the last batch folded."""
+        names = list(names or [*TABLE_OF.values(), CORRUPT])
+        _, before = self.snapshots.state()
+        found = sorted({int(b.split("=")[1]) for n in names for b in self.snapshots.folders(n, f"{BATCH}=")})
+        if not found or found[-1] <= before:
+            return before
+        version, tables = self.snapshots.new_version(), {}
+        for name in names:
+            if self.snapshots.folders(name, f"{BATCH}="):
+                df = self._stored(name, merged=False)
+                df = current_rows(df) if ID in df.columns else df
+                rows = df.hint("rebalance").withColumn(BATCH, F.col(BATCH).cast("long"))
+                _write_in_files(rows, f"{self.root}/{version}/{name}", file_bytes)
+                tables[name] = f"{version}/{name}"
+        self.snapshots.publish(tables, folded=found[-1])
+        for name in names:
+            for b in self.snapshots.folders(name, f"{BATCH}="):
+                if int(b.split("=")[1]) <= before:
+                    self.snapshots.remove(name, b)
+        return found[-1]
+
     def write(self, df: DataFrame, name: str) -> None:
         """Write one table and make it current (an action); the other tables stay as they are."""
         version = self.snapshots.new_version()
@@ -39,7 +79,7 @@ class Warehouse:
         self.snapshots.publish({name: f"{version}/{name}"})
 
     def build(self, entries: DataFrame, types: Iterable[str] | None = None,
-              grain: str = "line", stage: str = "parquet") -> list[str]:
+              grain: str = "line", stage: str = "parquet", merge: bool = False) -> list[str]:
         """Flatten and write every resource type, then publish them all at once (actions).
 
         ``stage="parquet"`` (default) writes the entries once, partitioned
@@ -51,10 +91,13 @@ class Warehouse:
         the table ``_corrupt``; its row count says how many there were.
         ``stage="memory"`` persists the entries instead (small inputs).
 
-        Readers see the old tables until the last one is written. A build that fails leaves them so; its folder is
+        ``merge`` keeps the newest version of a resource that the bundles hold more than once; without it all are
+        kept, as they come. Readers see the old tables until the last one is written. A build that fails leaves them so; its folder is
         removed by ``vacuum``.
         """
         types = list(types or TABLE_OF)
+        if merge:
+            entries = newest(keyed(entries))
         version = self.snapshots.new_version()
         if stage != "parquet":
             with shared(entries) as e:
@@ -95,6 +138,17 @@ class Warehouse:
         return out
 
 
+def _write_in_files(df: DataFrame, path: str, file_bytes: int) -> None:
+    """Writes rows in as few files as ``file_bytes`` allows; adaptive execution merges small partitions and splits large ones."""
+    conf, key = df.sparkSession.conf, "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    old = conf.get(key, None)
+    conf.set(key, str(file_bytes))
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(key) if old is None else conf.set(key, old)
+
+
 def write_result(df: DataFrame, root: str, name: str, mode: str = "overwrite") -> str:
     """Publish an analysis result table as Parquet (an action)."""
     path = f"{root.rstrip('/')}/{name}"

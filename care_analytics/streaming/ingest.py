@@ -5,8 +5,9 @@ warehouse tables as the batch ETL. Each micro-batch is written with
 ``foreachBatch`` into a folder named after its batch id, in overwrite mode:
 if a batch is replayed after a failure (the checkpoint records progress
 only after the batch commits), it rewrites the same folder, so every input
-file lands exactly once. Readers see one table per type with a ``batch_id``
-partition column.
+file lands exactly once. Rows carry their resource's id and version, so a bundle that comes again
+replaces what it brought before; readers (``Warehouse.table``) see the newest version of each resource, with a
+``batch_id`` column. Every ``compact_every`` batches the folders are folded into one set of tables.
 """
 
 from __future__ import annotations
@@ -15,12 +16,15 @@ import hashlib
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.flatten import FLATTENERS, flatten
 from ..schemas import BUNDLE, CORRUPT, TABLE_OF
 from ..session import checkpoint_dir
-from ..sources.bundles import bundle_entries, corrupt_documents, resources, shared
+from ..sources.bundles import bundle_entries, corrupt_documents, shared
+from ..sources.merge import ID, VERSION, keyed, newest
+from ..sources.warehouse import Warehouse
 
 
 def bundle_stream(spark: SparkSession, input_dir: str, ndjson: bool = True,
@@ -32,26 +36,29 @@ def bundle_stream(spark: SparkSession, input_dir: str, ndjson: bool = True,
     return bundle_entries(reader.json(input_dir), keep_corrupt=True)
 
 
-def write_batch(output_root: str, types: Iterable[str], grain: str = "line"):
+def write_batch(output_root: str, types: Iterable[str], grain: str = "line", compact_every: int | None = None):
     """A ``foreachBatch`` function: flatten one micro-batch into every table (malformed documents into ``_corrupt``)."""
     types = list(types)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        with shared(batch) as b:
+        with shared(newest(keyed(batch))) as b:
             for rtype in types:
                 table = TABLE_OF[rtype]
-                (flatten(resources(b, rtype), FLATTENERS[rtype], grain=grain)
+                own = b.filter(F.col("resource_type") == rtype).select("resource", ID, VERSION)
+                (flatten(own, FLATTENERS[rtype], grain=grain, keep=(ID, VERSION))
                  .write.mode("overwrite")
                  .parquet(f"{output_root.rstrip('/')}/{table}/batch_id={batch_id}"))
             corrupt_documents(b).write.mode("overwrite") \
                 .parquet(f"{output_root.rstrip('/')}/{CORRUPT}/batch_id={batch_id}")
+        if compact_every and batch_id % compact_every == compact_every - 1:
+            Warehouse(batch.sparkSession, output_root).compact([*(TABLE_OF[t] for t in types), CORRUPT])
     return run
 
 
 def start(spark: SparkSession, input_dir: str, output_root: str, ndjson: bool = True,
           checkpoint: str | None = None, types: Iterable[str] | None = None,
           available_now: bool = True, processing_time: str | None = None,
-          max_files_per_trigger: int | None = None, grain: str = "line") -> StreamingQuery:
+          max_files_per_trigger: int | None = None, grain: str = "line", compact_every: int | None = 32) -> StreamingQuery:
     """Start ingestion. ``available_now`` processes what is there and stops;
     otherwise a micro-batch runs every ``processing_time``. Progress lives in
     ``checkpoint``; without it, in a folder of fixed name under the session's shared
@@ -60,7 +67,7 @@ def start(spark: SparkSession, input_dir: str, output_root: str, ndjson: bool =
     key = hashlib.sha1(f"{input_dir}|{output_root}".encode()).hexdigest()[:12]
     ckpt = checkpoint or f"{checkpoint_dir(spark)}/stream-{key}"
     writer = (bundle_stream(spark, input_dir, ndjson, max_files_per_trigger).writeStream
-              .foreachBatch(write_batch(output_root, types or TABLE_OF, grain))
+              .foreachBatch(write_batch(output_root, types or TABLE_OF, grain, compact_every))
               .option("checkpointLocation", ckpt))
     if available_now:
         writer = writer.trigger(availableNow=True)

@@ -72,3 +72,47 @@ def test_edge_case_bundles_through_reports(spark, tmp_path):
     longest = frames["longest_encounters"].collect()
     assert [r.encounter_id for r in longest] == ["e2", "e1"]
     assert longest[0].encounter_duration == 2 * 24 * 60 and longest[1].encounter_duration is None
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_benefit_reports_read_one_cube(spark, sf_small, tmp_path):
+    """With a scratch folder the EOB table is read for the cube, the totals and the audit only, not by the four means and the pivot."""
+    from care_analytics.plans import disparities
+    src = str(tmp_path / "bundles")
+    RoleResources(DriverTables(spark, sf_small)).bundles() \
+        .select(F.to_json(F.struct("entry")).alias("value")).write.text(src)
+    root = str(tmp_path / "warehouse")
+    etl.run(spark, src, root, ndjson=True)
+    wh = Warehouse(spark, root)
+    frames = reports.reports(wh, as_of="2024-12-01", scratch=str(tmp_path / "scratch"))
+    plain = reports.reports(wh, as_of="2024-12-01")
+    column = "adjudication"
+    readers = [n for n, df in frames.items() if column in plan_of(df)]
+    assert readers == [] and "benefit_totals" in frames                        # totals read two amount columns, no adjudication
+    assert sum("_versions" in " ".join(df.inputFiles()) and "explanation_of_benefit" in " ".join(df.inputFiles()) for df in frames.values()) == 2
+    names = [n for n in frames if n.startswith("benefit_by") or n == "pivot_benefit_groups"]
+    assert len(names) == 5
+    for n in names:
+        assert sorted(map(str, frames[n].collect())) == sorted(map(str, plain[n].collect())) != [], n
+    assert set(disparities.BENEFIT_KEYS) <= set(spark.read.parquet(str(tmp_path / "scratch" / "benefit_cube")).columns)
+
+
+def test_longest_encounters_join_few_rows(spark, sf_small):
+    """The join meets the best candidates only, and the answer is that of the whole join."""
+    from care_analytics.operators import cleaning
+    from care_analytics.plans import disparities
+    from driver_queries import core
+    t = DriverTables(spark, sf_small)
+    e, p = core.encounters_clean(t), core.patients_clean(t)
+    fast, naive = disparities.longest_encounters(e, p), disparities.longest(disparities.encounter_patients(e, p))
+    assert [tuple(r) for r in fast.select("encounter_id", "encounter_duration").collect()] == [tuple(r) for r in naive.select("encounter_id", "encounter_duration").collect()]
+    assert "GlobalLimit 40" in plan_of(fast) and "GlobalLimit 40" not in plan_of(naive)
+    none = p.filter("false")                                                   # no partner: candidates grow, then all
+    assert disparities.longest_encounters(e, none).count() == 0
+    few = p.limit(3)
+    got = disparities.longest_encounters(cleaning.long_stays(e, 0), few)
+    want = disparities.longest(disparities.encounter_patients(cleaning.long_stays(e, 0), few))
+    assert got.count() == want.count()
