@@ -7,7 +7,8 @@ from driver_queries import QUERIES
 TRAINING = {"split_train_test", "impute_median", "standardise_features", "impute_most_frequent",
             "one_hot_categories", "encode_labels", "train_forest_risk", "train_forest_readmission",
             "train_boosted_risk", "train_boosted_readmission", "cross_validate_forest",
-            "cross_validate_boosted", "grid_search_forest", "score_patients", "regression_metrics", "scan_warehouse_tables",
+            "cross_validate_boosted", "cross_validate_boosted_risk", "cross_validate_forest_risk",
+            "grid_search_forest", "grid_search_forest_risk", "score_patients", "regression_metrics", "scan_warehouse_tables",
             "stream_warehouse_tables"}
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython")
 
