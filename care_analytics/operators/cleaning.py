@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 
+# Fixed values.
 PATIENT_VIEW_COLUMNS = (
     "patient_id", "gender", "birth_date", "state", "postal_code", "marital_status",
     "disability_adjusted_life_years", "quality_adjusted_life_years",
 )
 
+# Fixed values.
 ENCOUNTER_HELPER_COLUMNS = (
     "service_provider_id", "service_provider_display",
     "participant_individual_display", "participant_individual_reference",

@@ -23,6 +23,7 @@ from ..functions.aggregates import exact_sum, to_double
 
 KEY = "patient_id"
 
+# The columns of the feature tables and which of them the models read.
 RISK_COLUMNS = (
     "state", "has_chronic_conditions", "total_healthcare_cost", "age", "is_senior",
     "region_risk", "label", "num_encounters", "completed_encounters", "num_claims",
