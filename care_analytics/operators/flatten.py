@@ -9,6 +9,11 @@ Grain ``line`` explodes every listed array (inner): a resource with an empty
 or missing array yields no row, and several arrays give their cross product,
 as the original tables do. Grain ``header`` keeps one row per resource and
 takes element columns from the first element of each array.
+
+The product of one resource's arrays can be far larger than the resource. ``flatten_split`` sends
+resources whose product has more than ``PRODUCT_ROWS`` rows another way: their arrays are
+cut into slices, each combination of slices is one small row that makes at most that many rows, and these
+rows are dealt to all tasks before they are exploded. Other resources never leave their task.
 """
 
 from __future__ import annotations
@@ -25,6 +30,9 @@ from ..schemas import ADJUDICATION_DDL
 # Fixed value: extension URL that marks a geolocation on an address.
 GEOLOCATION_URL = "http://hl7.org/fhir/StructureDefinition/geolocation"
 
+# Rows of one resource's product that one task makes at a time.
+PRODUCT_ROWS = 1 << 16
+
 ColumnSpec = tuple  # (name, path, type) or (name, callable(root) -> Column)
 
 
@@ -107,6 +115,45 @@ def explode_all(df: DataFrame, columns: Sequence[str], outer: bool = False) -> D
     return df
 
 
+def _length(array: Column) -> Column:
+    """Number of elements; an empty or missing array counts as one."""
+    return F.greatest(F.coalesce(F.size(array), F.lit(0)), F.lit(1)).cast("long")
+
+
+def is_wide(root: Column, spec: Spec, rows: int = PRODUCT_ROWS) -> Column:
+    """Whether the product of a resource's arrays has more than ``rows`` rows; false for types with fewer than two arrays,
+    whose rows are no more than their elements."""
+    if len(spec.arrays) < 2:
+        return F.lit(False)
+    product = F.lit(1.0)
+    for _, path in spec.arrays:
+        product = product * _length(varray(root, path))
+    return F.coalesce(product > rows, F.lit(False))
+
+
+def _slices(array: Column, length: Column) -> Column:
+    """An array of (place, slice); an empty or missing array is one slice."""
+    starts = F.sequence(F.lit(1).cast("long"), _length(array), length)
+    return F.transform(starts, lambda at: F.struct(at.alias("at"), F.slice(array, at.cast("int"), length.cast("int")).alias("part")))
+
+
+def spread_products(df: DataFrame, columns: Sequence[str], rows: int = PRODUCT_ROWS) -> DataFrame:
+    """Cuts array columns into slices so that each row's product has at most ``rows`` rows, one row for each combination of slices,
+    and deals these rows to ``spark.sql.shuffle.partitions`` tasks. Exploding them gives the product of the
+    whole arrays. Lengths are chosen from the last column on, so the first columns are cut first."""
+    rest = F.lit(rows).cast("long")
+    for c in reversed(columns):
+        df = df.withColumn(f"__len_{c}", F.least(_length(F.col(c)), rest))
+        rest = F.greatest(F.floor(rest / F.col(f"__len_{c}")), F.lit(1)).cast("long")
+    for c in columns:
+        df = df.withColumn(f"__cut_{c}", F.explode(_slices(F.col(c), F.col(f"__len_{c}")))).withColumn(c, F.col(f"__cut_{c}.part")) \
+            .withColumn(f"__at_{c}", F.col(f"__cut_{c}.at")).drop(f"__cut_{c}", f"__len_{c}")
+    # A stated number of partitions: adaptive execution would merge them by the bytes of the slices, not of their product.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = [f"__at_{c}" for c in columns]
+    return df.repartition(tasks, *at, *[c for c in df.columns if c not in {*columns, *at}][:1]).drop(*at)
+
+
 def _typed_items(root: Column, path: str, items: Sequence[ColumnSpec]) -> Column:
     """The array at ``path`` with each element decoded once into a typed struct."""
     if not items:
@@ -115,8 +162,9 @@ def _typed_items(root: Column, path: str, items: Sequence[ColumnSpec]) -> Column
 
 
 def flatten(resources: DataFrame, spec: Spec, grain: str = "line", outer: bool = False,
-            resource_col: str = "resource", keep: Sequence[str] = ()) -> DataFrame:
-    """One flat table from one resource type; ``keep`` are further input columns, put last.
+            resource_col: str = "resource", keep: Sequence[str] = (), block_rows: int | None = None) -> DataFrame:
+    """One flat table from one resource type; ``keep`` are further input columns, put last. With ``block_rows``, products
+    are made in blocks of so many rows, spread over all tasks (a shuffle; see ``flatten_split``).
 
     Each array is first mapped to typed structs (``transform``), so an
     element is decoded once and the exploded rows carry compact values, not
@@ -129,6 +177,8 @@ def flatten(resources: DataFrame, spec: Spec, grain: str = "line", outer: bool =
               for alias, path in spec.arrays]
     df = resources.select(*head, *arrays, *keep)
     if grain == "line":
+        if block_rows and aliases:
+            df = spread_products(df, aliases, block_rows)
         df = explode_all(df, aliases, outer=outer)
     elif grain == "header":
         for a in aliases:
@@ -141,6 +191,20 @@ def flatten(resources: DataFrame, spec: Spec, grain: str = "line", outer: bool =
     return df.select(*cols, *keep).select(*spec.names(), *keep)
 
 
+def flatten_split(resources: DataFrame, spec: Spec, grain: str = "line", outer: bool = False, keep: Sequence[str] = (),
+                  rows: int = PRODUCT_ROWS, wide: Column | None = None) -> DataFrame:
+    """The rows of ``flatten``; resources that are ``wide`` (by default: whose product has more than ``rows`` rows) are spread over tasks.
+
+    The input is read twice, once for each kind, so it should be stored or shared; where ``wide`` is a partition column of a
+    stored input, each resource is read once. Types with fewer than two arrays are flattened as they are.
+    """
+    if grain != "line" or len(spec.arrays) < 2:
+        return flatten(resources, spec, grain, outer, keep=keep)
+    wide = is_wide(F.col("resource"), spec, rows) if wide is None else wide
+    return flatten(resources.filter(~wide), spec, grain, outer, keep=keep) \
+        .unionByName(flatten(resources.filter(wide), spec, grain, outer, keep=keep, block_rows=rows))
+
+
 S, D, B = "string", "double", "boolean"
 
 PATIENT = Spec("Patient", head=[

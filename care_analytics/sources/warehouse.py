@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.flatten import FLATTENERS, flatten
+from ..operators.flatten import FLATTENERS, flatten, flatten_split, is_wide
 from ..schemas import CORRUPT, TABLE_OF
 from .bundles import corrupt_documents, resources, shared
 from .contracts import conform
@@ -83,8 +83,8 @@ class Warehouse:
         """Flatten and write every resource type, then publish them all at once (actions).
 
         ``stage="parquet"`` (default) writes the entries once, partitioned
-        by resource type, beside the tables; each table then reads
-        only its own partition. The input is parsed once, no executor has
+        by resource type and by whether the product of a resource's arrays is wide, beside the tables; each table then reads
+        only its own partitions, and wide products are spread over all tasks. The input is parsed once, no executor has
         to hold it in memory, and the twelve writes restart from the staged
         files, not from the raw bundles, if executors are lost. The staged
         copy is removed when all tables are written. Malformed documents go to
@@ -99,22 +99,24 @@ class Warehouse:
         if merge:
             entries = newest(keyed(entries))
         version = self.snapshots.new_version()
+        entries = entries.withColumn("wide", _wide(types))
         if stage != "parquet":
             with shared(entries) as e:
                 tables = self._tables(e, types, grain, version)
         else:
             path = f"{self.root}/{version}/_staging"
             (entries.filter(F.col("resource_type").isin(*types, CORRUPT))
-             .select("resource_type", "resource")
-             .write.partitionBy("resource_type").parquet(path))
-            staged = self.spark.read.schema("resource variant, resource_type string").parquet(path)
+             .select("resource_type", "wide", "resource")
+             .write.partitionBy("resource_type", "wide").parquet(path))
+            staged = self.spark.read.schema("resource variant, resource_type string, wide boolean").parquet(path)
             tables = self._tables(staged, types, grain, version)
             _remove(self.spark, path)
         self.snapshots.publish(tables)
         return [TABLE_OF[rtype] for rtype in types]
 
     def _tables(self, entries: DataFrame, types: Iterable[str], grain: str, version: str) -> dict[str, str]:
-        frames = {TABLE_OF[t]: flatten(resources(entries, t), FLATTENERS[t], grain=grain) for t in types}
+        frames = {TABLE_OF[t]: flatten_split(entries.filter(F.col("resource_type") == t), FLATTENERS[t], grain=grain, wide=F.col("wide"))
+                  for t in types}
         frames[CORRUPT] = corrupt_documents(entries)
         for name, df in frames.items():
             self._write_table(df, f"{self.root}/{version}/{name}")
@@ -138,6 +140,15 @@ class Warehouse:
         return out
 
 
+def _wide(types: Iterable[str]) -> Column:
+    """Whether the product of an entry's arrays is to be spread over tasks, by its type."""
+    wide = F.lit(False)
+    for rtype in types:
+        if len(FLATTENERS[rtype].arrays) > 1:
+            wide = F.when(F.col("resource_type") == rtype, is_wide(F.col("resource"), FLATTENERS[rtype])).otherwise(wide)
+    return wide
+
+
 def _write_in_files(df: DataFrame, path: str, file_bytes: int) -> None:
     """Writes rows in as few files as ``file_bytes`` allows; adaptive execution merges small partitions and splits large ones."""
     conf, key = df.sparkSession.conf, "spark.sql.adaptive.advisoryPartitionSizeInBytes"

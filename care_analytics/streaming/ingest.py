@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.flatten import FLATTENERS, flatten
+from ..operators.flatten import FLATTENERS, flatten_split
 from ..schemas import BUNDLE, CORRUPT, TABLE_OF
 from ..session import checkpoint_dir
 from ..sources.bundles import bundle_entries, corrupt_documents, shared
@@ -45,7 +45,7 @@ def write_batch(output_root: str, types: Iterable[str], grain: str = "line", com
             for rtype in types:
                 table = TABLE_OF[rtype]
                 own = b.filter(F.col("resource_type") == rtype).select("resource", ID, VERSION)
-                (flatten(own, FLATTENERS[rtype], grain=grain, keep=(ID, VERSION))
+                (flatten_split(own, FLATTENERS[rtype], grain=grain, keep=(ID, VERSION))
                  .write.mode("overwrite")
                  .parquet(f"{output_root.rstrip('/')}/{table}/batch_id={batch_id}"))
             corrupt_documents(b).write.mode("overwrite") \
