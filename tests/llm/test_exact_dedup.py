@@ -46,3 +46,33 @@ def test_colliding_keys_are_chained(spark):
     keyed = spark.createDataFrame([(1, 7, "a"), (2, 7, "b"), (3, 7, "a")], "__id long, __key long, __text string")
     rows = sorted((r["__chain"], r["__keep"], r["__n"]) for r in E.build_index(keyed).collect())
     assert rows == [(1, 2, 1), (2, 3, 2)]
+
+
+def keyed(spark, rows):
+    return spark.createDataFrame(rows, "__id long, __text string").selectExpr("__id", "xxhash64(__text) AS __key", "__text")
+
+
+def test_documents_added_give_the_index_of_all(spark):
+    rows = [(i, f"text {i % 90}") for i in range(150)]
+    index = E.open_index(keyed(spark, rows[:20]), bucket_keys=4)
+    grown = E.add_documents(index, keyed(spark, rows[20:]))
+    whole = E.open_index(keyed(spark, rows), bucket_keys=4)
+    assert grown.depth == whole.depth > index.depth               # the directory doubled
+    assert sorted(map(tuple, grown.rows.collect())) == sorted(map(tuple, whole.rows.collect()))
+    assert sorted(map(tuple, grown.slots.collect())) == sorted(map(tuple, whole.slots.collect()))
+    held = [r["n"] for r in grown.rows.groupBy("__bucket").count().withColumnRenamed("count", "n").collect()]
+    assert sum(held) == 90 and max(held) <= 4 and len(held) > 20
+
+
+def test_the_directory_routes_probes(spark):
+    """A document finds its text only in the bucket that the directory names."""
+    base = keyed(spark, [(i, f"text {i}") for i in range(60)])
+    index = E.open_index(base, bucket_keys=4)
+    assert E.locate(base, index).count() == 60
+    wrong = E.Index(index.rows, index.slots.selectExpr("__c", "__bucket + 1 AS __bucket", "__depth"), index.depth, 4)
+    assert E.locate(base, wrong).count() < 60
+
+
+def test_depth_grows_with_the_entries():
+    assert [E.depth_for(n, 4096) for n in (0, 1, 256, 257, 10 ** 6)] == [0, 0, 0, 1, 12]
+    assert E.depth_for(10 ** 11, 4096) == 29
