@@ -27,7 +27,7 @@ def as_text(df):
     return sorted(r.j for r in df.select(F.to_json(F.struct(*df.columns)).alias("j")).collect())
 
 
-@pytest.mark.parametrize("rows", [1, 2, 7, 10, 100, 10 ** 6])
+@pytest.mark.parametrize("rows", [1, 10, 100])
 @pytest.mark.parametrize("outer", [False, True])
 def test_rows_are_those_of_the_whole_product(spark, tmp_path, rows, outer):
     of = resources(entries_of(spark, tmp_path, [bundle(*CLAIMS)]), "Claim")
