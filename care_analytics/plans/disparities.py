@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.aggregates import mean_integral, mean_money, stddev_rounded, sum_double
+from ..functions.aggregates import mean_integral, mean_money, money, stddev_rounded, sum_double
 from ..operators import cleaning, fanout, grouping
-from ..operators.blocks import block_join
+from ..operators.blocks import block_join, copies, key_counts, repeated
 
 DEMOGRAPHIC_COLUMNS = ("patient_reference", "gender", "age", "marital_status", "age_group")
 
@@ -159,11 +159,21 @@ def adjudication_rows(eob: DataFrame) -> DataFrame:
     return block_join(adjudication_lines(eob), eob.select("eob_id", "insurance_coverage_display", "billable_period_start"), "eob_id", "inner")
 
 
-def benefit_rows(eob: DataFrame, encounter_patients_kept: DataFrame) -> DataFrame:
+def benefit_rows(eob: DataFrame, encounter_patients_kept: DataFrame, exact: bool = False) -> DataFrame:
     """The joined benefit rows themselves (lines x EOB rows x encounters), labelled and filtered. For given
-    patients, not for reports: ``benefit_by`` gives the same means without the product."""
-    lines = block_join(benefit_lines(eob).drop("category_code"), eob.select("eob_id", "billable_period_start"), "eob_id", "inner")
-    return block_join(lines, demographics(encounter_patients_kept), "patient_reference", "inner")
+    patients, not for reports: ``benefit_by`` gives the same means without the product.
+
+    Equal EOB rows and equal encounter rows meet the lines as one row with their number; the rows of the product are made
+    after the joins, in the tasks that read them. ``exact`` gives the value as DECIMAL (``money``), cast once for each line and not
+    once for each row of the product."""
+    amount = F.size("adjudication")
+    per_patient = key_counts(eob.select(C.reference_id("patient_reference").alias("p"), amount.alias("n")).filter("n > 0"), "p", "n")
+    periods = copies(eob.select("eob_id", "billable_period_start"), "__rows")
+    stays = copies(demographics(encounter_patients_kept), "__stays")
+    lines = benefit_lines(eob).drop("category_code")
+    lines = block_join(lines.withColumn("value", money("value")) if exact else lines, periods, "eob_id", "inner")
+    rows = block_join(lines, stays, "patient_reference", "inner", counts=(per_patient, key_counts(stays, "patient_reference", "__stays")))
+    return repeated(rows, "__rows", "__stays")
 
 
 __all__ = [
