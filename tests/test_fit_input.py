@@ -69,3 +69,7 @@ def test_arrays_are_decoded_once(spark):
     assert sorted(map(tuple, flat.collect()), key=str) == sorted([("a", "x"), ("a", None), ("a", None)], key=str)
     plan = flat._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("transform(") == 1, plan
+
+
+def test_boosted_fits_keep_no_node_ids(spark):
+    assert not M.boosted(encoded=True).getStages()[-1].getCacheNodeIds()
