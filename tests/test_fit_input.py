@@ -73,3 +73,17 @@ def test_arrays_are_decoded_once(spark):
 
 def test_boosted_fits_keep_no_node_ids(spark):
     assert not M.boosted(encoded=True).getStages()[-1].getCacheNodeIds()
+
+
+def test_forest_fits_keep_node_ids_and_grow_the_same_trees(spark):
+    from pyspark.ml.feature import VectorAssembler
+    x = [(F.xxhash64("id", F.lit(i)) % 100).cast("double").alias(f"x{i}") for i in range(4)]
+    rows = VectorAssembler(inputCols=[f"x{i}" for i in range(4)], outputCol="features").transform(
+        spark.range(300).select(*x).withColumn("label", F.col("x0") + F.abs("x1"))).cache()
+    try:
+        kept = M.forest(numTrees=4, maxDepth=12).getStages()[-1]
+        assert kept.getCacheNodeIds()
+        walked = kept.copy().setParams(cacheNodeIds=False)
+        assert kept.fit(rows).toDebugString.split("\n")[1:] == walked.fit(rows).toDebugString.split("\n")[1:]
+    finally:
+        rows.unpersist()
