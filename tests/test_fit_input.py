@@ -87,3 +87,19 @@ def test_forest_fits_keep_node_ids_and_grow_the_same_trees(spark):
         assert kept.fit(rows).toDebugString.split("\n")[1:] == walked.fit(rows).toDebugString.split("\n")[1:]
     finally:
         rows.unpersist()
+
+
+def test_the_medians_of_all_folds_take_one_set_of_passes(spark, monkeypatch):
+    from care_analytics.plans import imputers
+    passes, one_pass = [], imputers._pass
+    monkeypatch.setattr(imputers, "_pass", lambda *a: (passes.append(1), one_pass(*a))[1])
+    rows = [(i % 3 if i < 20 else None, float(i * i % 17) if i % 5 else None, float(-i), "a") for i in range(24)]
+    df = spark.createDataFrame(rows, "fold int, x double, y double, s string")
+    median = M.MedianImputer(inputCols=["x", "y"], outputCols=["x2", "y2"])
+    of_fold = M.stages_of_folds([M.ModeImputer(["s"]), median], df, 3)
+    assert len(passes) == 6
+    for k, stages in enumerate(of_fold):
+        assert isinstance(stages[0], M.ModeImputer) and stages[1].columns() == [("x", "x2"), ("y", "y2")]
+        assert stages[1].getOrDefault("values") == median.fit(df.filter(F.col("fold") != k)).getOrDefault("values")
+    again = M.MedianImputer(inputCols=["x2"], outputCols=["x3"])
+    assert M.stages_of_folds([median, again], df, 3)[1][1] is again
