@@ -46,7 +46,7 @@ def fold_patients(spark, sf):
 
 def _gapped(spark, sf) -> DataFrame:
     """The feature table with gaps where a count is 0 (and one in seven states), as it is before they are filled."""
-    data = M.prepare(_stored(spark, sf))
+    data = M.prepare(_stored(spark, sf, FT.RISK_COLUMNS))
     gaps = {c: F.when(F.col(c) != 0, F.col(c)) for c in GAPPED}
     state = F.when(F.conv(F.substring(F.md5("patient_id"), 1, 2), 16, 10).cast("int") % 7 != 0, F.col("state"))
     chronic = F.when(F.col("has_chronic_conditions") != "0", F.col("has_chronic_conditions"))
@@ -78,7 +78,7 @@ def _z_sql() -> str:
 
 @register("standardise_features", _z_sql())
 def standardise_features(spark, sf):
-    data = M.prepare(_stored(spark, sf))
+    data = M.prepare(_stored(spark, sf, FT.NUMERIC_FEATURES))     # no other column is read: first and last times would be shuffled and written
     imputed = [f"{c}__imp" for c in FT.NUMERIC_FEATURES]
     pipe = Pipeline(stages=[
         MedianImputer(inputCols=list(FT.NUMERIC_FEATURES), outputCols=imputed),
@@ -116,7 +116,7 @@ def _one_hot_sql() -> str:
 
 @register("one_hot_categories", _one_hot_sql())
 def one_hot_categories(spark, sf):
-    data = M.prepare(_stored(spark, sf))
+    data = M.prepare(_stored(spark, sf, FT.RISK_COLUMNS))
     stages = M.preprocess_stages()
     model = Pipeline(stages=stages).fit(data)
     out = model.transform(data)

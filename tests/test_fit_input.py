@@ -4,7 +4,9 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from care_analytics.operators.flatten import FLATTENERS, flatten
+from care_analytics.plans import features as FT
 from care_analytics.plans import models as M
+from driver_queries import models as Q
 from driver_queries.resources import spread
 from tests.test_models import planted, small
 
@@ -103,3 +105,30 @@ def test_the_medians_of_all_folds_take_one_set_of_passes(spark, monkeypatch):
         assert stages[1].getOrDefault("values") == median.fit(df.filter(F.col("fold") != k)).getOrDefault("values")
     again = M.MedianImputer(inputCols=["x2"], outputCols=["x3"])
     assert M.stages_of_folds([median, again], df, 3)[1][1] is again
+
+
+def test_standardise_features_stores_only_what_it_scales(spark, tmp_path, monkeypatch):
+    tables = {
+        "nation": ("n_nationkey int, n_name string", [(0, "CA"), (1, "KENYA")]),
+        "customer": ("c_custkey long, c_nationkey int, c_mktsegment string, c_acctbal double", [(k, k % 2, "x", 1.0) for k in range(1, 6)]),
+        "orders": ("o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+                   [(k, k % 4 + 1, "FOP"[k % 3], 10.5 * k, None, "1-URGENT") for k in range(1, 12)]),
+        "lineitem": ("l_orderkey long, l_linenumber int, l_partkey long", [(k, n, 1) for k in range(1, 14) for n in range(k % 3)]),
+        "part": ("p_partkey long, p_name string", [(1, "p")]),
+        "events": ("event_id long, user_id long, event_type string, value double, ts timestamp_ntz, props string",
+                   [(i, i % 5 + 1, ("error", "signup", "view")[i % 3], 40.0 * i, None, None) for i in range(17)]),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    kept, stored = [], M.stored
+    monkeypatch.setattr(M, "stored", lambda df: (kept.append(df), stored(df))[1])
+    got = Q.standardise_features(spark, str(tmp_path)).orderBy("patient_id").collect()
+    assert kept[0].columns == ["patient_id", *FT.NUMERIC_FEATURES]
+    assert "o_orderdate" not in kept[0]._jdf.queryExecution().executedPlan().toString()
+    whole = Q._features(spark, str(tmp_path)).orderBy("patient_id").collect()
+    assert [r["patient_id"] for r in got] == [r["patient_id"] for r in whole] == [f"p{k}" for k in range(1, 6)]
+    for c in FT.NUMERIC_FEATURES:
+        x = [float(r[c]) for r in whole]
+        mean = sum(x) / 5
+        sd = (sum((v - mean) ** 2 for v in x) / 4) ** 0.5
+        assert [r[f"z_{c}"] for r in got] == [round((v - mean) / sd, 4) if sd else 0.0 for v in x], c
