@@ -111,3 +111,13 @@ def test_a_table_of_another_shape_is_an_error(spark, built):
         built.table("patient")
     assert built.table("patient", check=False).count() == 1
     assert warehouse.expected_schema(spark, "nothing") is None
+
+
+def test_counted_tables_are_held_to_their_types(spark, built):
+    assert {r["table_name"]: r["num_rows"] for r in built.row_counts(["patient", "encounter"]).collect()} == {"patient": 1, "encounter": 1}
+    built.write(built.table("encounter").withColumn("status", F.struct("status")), "encounter")
+    with pytest.raises(ValueError, match="table encounter lacks columns or types: status is struct"):
+        built.row_counts()
+    built.write(built.table("encounter", check=False).drop("status"), "encounter")
+    with pytest.raises(ValueError, match="status is missing"):
+        built.row_counts()
