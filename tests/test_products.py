@@ -80,3 +80,13 @@ def test_warehouse_reads_wide_resources_from_their_own_partition(spark, tmp_path
     if stage == "parquet":
         filters = [x for x in plans["claim"].splitlines() if x.startswith("PartitionFilters")]
         assert len(filters) == 2 and all("wide" in x for x in filters)
+
+
+def test_wide_products_count_elements_of_every_shape(spark):
+    """An object is a list of one, and elements of any type, null too, are counted."""
+    rows = ['{"activity":[{"a":1},null,"x",2,[3]],"careTeam":[1,{"b":[]}]}', '{"activity":{"a":1},"careTeam":[1,2,3]}', '{"activity":[],"careTeam":[1,2,3,4]}',
+            '{"activity":"x"}', '{"careTeam":null}', 'null']
+    res = spark.createDataFrame([(r,) for r in rows], "j string").select(F.parse_json("j").alias("resource"))
+    counts = [max([n for n in range(13) if r[f"n{n}"]], default=-1) + 1
+              for r in res.select(*[is_wide(F.col("resource"), FLATTENERS["CarePlan"], n).alias(f"n{n}") for n in range(13)]).collect()]
+    assert counts == [10, 3, 4, 1, 1, 1]

@@ -121,3 +121,56 @@ def test_counted_tables_are_held_to_their_types(spark, built):
     built.write(built.table("encounter", check=False).drop("status"), "encounter")
     with pytest.raises(ValueError, match="status is missing"):
         built.row_counts()
+
+
+def test_staged_parts_and_the_input_go_when_they_are_read(spark, tmp_path, monkeypatch):
+    """The text, the staged copy and the tables all lay on disk until the last table was written."""
+    from care_analytics.sources.bundles import bundle_entries, read_bundles
+    src, root, left, write = bundle_file(tmp_path, "one", ["p1", "p2"]), tmp_path / "wh", [], Warehouse._write_table
+    monkeypatch.setattr(warehouse, "TABLES_AT_ONCE", 1)
+    monkeypatch.setattr(Warehouse, "_write_table", lambda self, df, path: (left.append(len(list(root.rglob("resource_type=*")))), write(self, df, path)))
+    gone = []
+    Warehouse(spark, str(root)).build(bundle_entries(read_bundles(spark, src, ndjson=True)), ["Patient", "Encounter"],
+                                      staged=lambda: gone.append(warehouse._remove(spark, src)))
+    assert left == [2, 1, 0] and len(gone) == 1 and not (tmp_path / "one").exists()
+    assert patients(Warehouse(spark, str(root))) == ["p1", "p2"] and not list(root.rglob("_staging"))
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
+def test_tables_and_staged_entries_are_packed(spark, tmp_path, built, monkeypatch):
+    import pyarrow.parquet as pq
+    from care_analytics.sources.bundles import bundle_entries, read_bundles
+    src = bundle_file(tmp_path, "two", ["p1", "p2"])
+    staged = warehouse.stage_entries(bundle_entries(read_bundles(spark, src, ndjson=True)), ["Patient"], str(tmp_path / "s"))
+    assert staged.count() == 2 and staged.columns == ["resource", "resource_type", "wide"]
+    for folder, column in ((tmp_path / "s", "resource"), (tmp_path / "wh", "gender")):
+        for f in folder.rglob("*.parquet"):
+            chunks = [pq.ParquetFile(f).metadata.row_group(0).column(i) for i in range(pq.ParquetFile(f).metadata.row_group(0).num_columns)] \
+                if pq.ParquetFile(f).metadata.num_row_groups else []
+            assert {c.compression for c in chunks} <= {"ZSTD"}
+            assert not any("typed_value" in c.path_in_schema for c in chunks)
+
+
+def test_bundle_text_holds_what_the_bundles_hold(spark, tmp_path):
+    from care_analytics.sources.bundles import bundle_entries, read_bundles
+    from driver_queries import etl as Q
+    from driver_queries.resources import RoleResources
+    tables = {
+        "nation": ("n_nationkey int, n_name string, n_regionkey int", [(0, 'C"A\\', 1), (1, None, 2)]),
+        "customer": ("c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+                     [(1, "a\nb", 0, 1.0, "x"), (7, None, 1, None, "é"), (7, "z", 1, 1e22, None), (None, "n", 0, -0.5, "y")]),
+        "orders": ("o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+                   [(k, k % 4 + 1, "FOP"[k % 3], 10.5 * k, None, ("1-URGENT", "5-LOW", None)[k % 3]) for k in range(1, 8)] + [(None, None, None, None, None, None)]),
+        "lineitem": ("l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_linestatus string, l_returnflag string, l_shipdate timestamp_ntz",
+                     [(k, n, 1, None, 20.0 * n, "F", "NR"[n % 2], None) for k in range(1, 8) for n in range(3)]),
+        "events": ("event_id long, user_id long, event_type string, value double, ts timestamp_ntz, props string",
+                   [(i, i % 5 + 1, ("error", "signup", "view", "click", "else", None)[i % 6], 40.0 * i, None, '{"k": 1}') for i in range(13)]),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    Q._write_bundles(spark, str(tmp_path), f"{tmp_path}/text")
+    assert list((tmp_path / "text").glob("*.gz")) and not list((tmp_path / "text").glob("*.txt"))
+    RoleResources(Q._t(spark, str(tmp_path))).bundles().select(F.to_json(F.struct("entry")).alias("value")).write.text(f"{tmp_path}/before")
+    of = lambda name: sorted((r["fullUrl"] or "", r["resource"].toJson() if r["resource"] else "") for r in bundle_entries(
+        read_bundles(spark, f"{tmp_path}/{name}", ndjson=True)).select("fullUrl", "resource").collect())
+    assert of("text") == of("before") and len(of("text")) > 90
