@@ -101,3 +101,36 @@ def test_a_stored_model_scores_a_warehouse(spark, tmp_path):
     want = sorted(map(tuple, spark.read.parquet(f"{out}/scores_risk_forest").collect()))
     got = training.score_stored(spark.newSession(), wh, out, "risk_forest", as_of="2024-12-01")
     assert sorted(map(tuple, got.collect())) == want and len(want) == 40
+
+
+def test_only_repeated_ids_of_a_stored_batch_are_compared(spark, tmp_path, monkeypatch):
+    from care_analytics.sources import merge
+    from care_analytics.sources.warehouse import stage_entries
+    text = json.dumps({"entry": [{"resource": r} for r in (
+        patient("p", "female", version="1"), patient("p", "male", version="2"), patient("q"), patient("q"), patient("r", "other"), {"resourceType": "Patient"},
+        {"resourceType": "Patient"}, claim("p", 1), claim("c", 2), {"resourceType": "Nothing", "id": "x"})]})
+    entries = merge.keyed(batch_of(spark, text))
+    stored = stage_entries(entries, ["Patient", "Claim"], str(tmp_path / "staged"), keep=(merge.ID, merge.VERSION))
+    show = lambda df: sorted((r["resource"].toJson(), r[merge.ID]) for r in df.select("resource", merge.ID).collect())
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for few in (merge.FEW, 0):
+        monkeypatch.setattr(merge, "FEW", few)
+        with merge.newest_stored(stored) as newest_of:
+            patients, claims = newest_of("Patient"), newest_of("Claim")
+            assert "Window" in plan(patients) and "Join" not in plan(claims) and "Window" not in plan(claims)
+            assert show(patients) == show(merge.newest(entries).filter("resource_type = 'Patient'")) and len(show(patients)) == 5
+            assert show(claims) == show(entries.filter("resource_type = 'Claim'")) and len(show(claims)) == 2
+
+
+def test_a_batch_is_parsed_once_and_leaves_no_staged_copy(spark, tmp_path):
+    from pyspark.sql import functions as F
+    parsed, out = spark.sparkContext.accumulator(0), str(tmp_path / "wh")
+
+    def seen(x):
+        parsed.add(1)
+        return x
+    entries = batch_of(spark, json.dumps({"entry": [{"resource": patient("p")}, {"resource": patient("p")}, {"resource": claim("c", 2)}]}))
+    counted = entries.withColumn("resource_type", F.udf(seen, "string").asNondeterministic()("resource_type"))
+    ingest.write_batch(out, ["Patient", "Claim"])(counted, 0)
+    assert parsed.value == 3 and not list((tmp_path / "wh" / "_versions").iterdir())
+    assert Warehouse(spark, out).table("patient").count() == 1
